@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import media, sharding
+from . import langid, media, sharding, urls
 
 
 def queries():
     return {
+        "op1_language_id": langid.query,
+        "op2_url_filter": urls.query,
         "op4_sharding": sharding.query,
         "op10_media_columns": media.query,
     }
 
 
 def oracle_sql():
-    return {}
+    return {"op2_url_filter": urls.ORACLE_SQL}
