@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, media, sharding, urls
+from . import html, langid, media, sharding, urls
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_language_id": langid.query,
         "op2_url_filter": urls.query,
         "op4_sharding": sharding.query,
+        "op7_html_extraction": html.query,
         "op10_media_columns": media.query,
     }
 
