@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html, langid, media, sharding, urls
+from . import html, langid, media, pieces, sharding, urls
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op2_url_filter": urls.query,
         "op4_sharding": sharding.query,
         "op7_html_extraction": html.query,
+        "op8_sentencepiece": pieces.query,
         "op10_media_columns": media.query,
     }
 
