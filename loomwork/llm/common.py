@@ -52,3 +52,14 @@ def utf8(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bounded_sample(df: DataFrame, keys: list[str], most: int, total: int | None = None) -> list:
+    """About ``most`` rows (never more) chosen by a hash of ``keys``, brought to the driver. Tasks send only the rows
+    whose hash is below a bound set by the row count, so what reaches the driver doesn't grow with the table."""
+    total = df.count() if total is None else total
+    h = f"{OWN}hash"
+    rows = df.withColumn(h, F.pmod(F.xxhash64(*keys, F.lit(17)), F.lit(1 << 30)))
+    if total > most:
+        rows = rows.where(F.col(h) < int((1 << 30) * min(1.0, 1.3 * most / total)))
+    return sorted(rows.limit(3 * most).collect(), key=lambda r: (r[h], str(r)))[:most]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html, langid, media, pieces, sharding, simhash, urls
+from . import html, langid, media, neighbours, pieces, sharding, simhash, urls
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_language_id": langid.query,
         "op2_url_filter": urls.query,
         "op4_sharding": sharding.query,
+        "op5_nearest_neighbours": neighbours.query,
         "op6_simhash_near_dedup": simhash.query,
         "op7_html_extraction": html.query,
         "op8_sentencepiece": pieces.query,
