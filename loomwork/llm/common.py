@@ -63,3 +63,10 @@ def bounded_sample(df: DataFrame, keys: list[str], most: int, total: int | None
     if total > most:
         rows = rows.where(F.col(h) < int((1 << 30) * min(1.0, 1.3 * most / total)))
     return sorted(rows.limit(3 * most).collect(), key=lambda r: (r[h], str(r)))[:most]
+
+
+def null_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join by columns of the same names in which null equals null; the left columns stay, each key once."""
+    right = right.withColumnsRenamed({k: f"{OWN}r_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"{OWN}r_{k}")) for k in keys]
+    return left.join(right, on, how).drop(*[f"{OWN}r_{k}" for k in keys])

@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-from . import html, langid, media, neighbours, pieces, sharding, simhash, urls
+from . import html, langid, lm, media, mixing, neighbours, pieces, sharding, simhash, urls
 
 
 def queries():
     return {
         "op1_language_id": langid.query,
         "op2_url_filter": urls.query,
+        "op3_mixing": mixing.query,
         "op4_sharding": sharding.query,
         "op5_nearest_neighbours": neighbours.query,
         "op6_simhash_near_dedup": simhash.query,
         "op7_html_extraction": html.query,
         "op8_sentencepiece": pieces.query,
+        "op9_lm_scoring": lm.query,
         "op10_media_columns": media.query,
     }
 
 
 def oracle_sql():
-    return {"op2_url_filter": urls.ORACLE_SQL}
+    return {"op2_url_filter": urls.ORACLE_SQL, "op3_mixing": mixing.oracle_sql()}
