@@ -1,11 +1,499 @@
-"""The registered queries of the engine and the SQL each is compared with."""
+"""The registered queries of the engine and the SQL each is compared with.
+
+Every entry runs an operator of the engine over whole tables; expressions are written in the description language and go
+through its parser and compiler.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .functions import values as V
+from .functions.compiler import compiled, row_scope
+from .operators import mine as M
+from .operators import profile as P
+from .operators.check import Checker, check_json_schema, missing_keys
+from .plans.syntax import parse_expression
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def entry(name: str, sql: str | None = None):
+    def put(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return put
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def calc(df: DataFrame, keep: list[str], **expressions: str) -> DataFrame:
+    """The columns ``keep`` and one for each expression of the language."""
+    scope = row_scope(df.schema)
+    out = []
+    for name, text in expressions.items():
+        v = compiled(parse_expression(text), scope)
+        c = V.iso(v) if v.kind == "date" else v.column
+        out.append(c.alias(name))
+    return df.select(*keep, *out)
+
+
+def simple(name: str, table: str, keep: list[str], sql: str, **expressions: str) -> None:
+    entry(name, sql)(lambda spark, sf: calc(read(spark, sf, table), keep, **expressions))
+
+
+def with_labels(spark, sf) -> DataFrame:
+    """Documents with their labels, null where there is none; the label table is small and the planner's to place."""
+    return read(spark, sf, "documents").drop("text").join(read(spark, sf, "labels"), "doc_id", "left")
+
+
+def orders_with_items(spark, sf) -> DataFrame:
+    """Orders with the array of their line items (null without any), one shuffle by key."""
+    items = read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.sort_array(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag"))).alias("items")
+    )
+    return read(spark, sf, "orders").join(items, "o_orderkey", "left")
+
+
+# -- A: coercion and comparison
+
+JOINED = "documents d LEFT JOIN labels l USING (doc_id)"
+
+
+@entry("cmp_strict_eq_null", f"SELECT doc_id, quality IS NULL AS is_null, quality IS NOT DISTINCT FROM 1 AS is_one, quality IS NOT DISTINCT FROM toxic AS same, false AS unlike FROM {JOINED}")
+def _(spark, sf):
+    return calc(with_labels(spark, sf), ["doc_id"], is_null="quality == null", is_one="quality == 1", same="quality == toxic", unlike='lang == 1')
+
+
+@entry("arith_null_as_zero", f"SELECT doc_id, (coalesce(quality, 0) + 5)::BIGINT AS plus_five, coalesce(quality, 0) < 1 AS below, coalesce(quality, 0) * 2.5::DOUBLE AS scaled, (coalesce(quality, 0) - coalesce(toxic, 0))::BIGINT AS less FROM {JOINED}")
+def _(spark, sf):
+    return calc(with_labels(spark, sf), ["doc_id"], plus_five="quality + 5", below="quality < 1", scaled="quality * 2.5", less="quality - toxic")
+
+
+simple("string_order_compare", "orders", ["o_orderkey"], "SELECT o_orderkey, o_orderpriority < '3' AS urgent, o_orderstatus >= 'O' AS late, o_orderstatus == 'F' AS done FROM orders", urgent='o_orderpriority < "3"', late='o_orderstatus >= "O"', done='o_orderstatus == "F"')
+simple("string_as_number", "orders", ["o_orderkey"], "SELECT o_orderkey, cast(regexp_extract(o_orderpriority, '^([0-9]+)', 1) AS DOUBLE) * 2 AS doubled FROM orders", doubled="o_orderpriority * 2")
+simple("ternary_nested", "orders", ["o_orderkey"], "SELECT o_orderkey, CASE WHEN o_totalprice >= 300000 THEN 'A' WHEN o_totalprice >= 100000 THEN 'B' ELSE 'C' END AS grade FROM orders", grade='o_totalprice >= 300000 ? "A" : o_totalprice >= 100000 ? "B" : "C"')
+simple("match_first_arm", "orders", ["o_orderkey"], "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' WHEN 'P' THEN 'partial' END AS label FROM orders", label='match o_orderstatus { "F" => "finished", "O" => "open", "P" => "partial", "F" => "never" }')
+simple("match_no_arm_null", "lineitem", ["l_orderkey", "l_linenumber"], "SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'R' THEN 1.5::DOUBLE END AS flag FROM lineitem", flag='match l_returnflag { "R" => 1.5, 2 => 3 }')
+
+
+@entry("logical_truthiness", f"SELECT doc_id, coalesce(quality, 0) <> 0 AND lang <> '' AS both, coalesce(quality, 0) <> 0 OR coalesce(toxic, 0) <> 0 AS either, NOT (coalesce(quality, 0) <> 0) AS none_of FROM {JOINED}")
+def _(spark, sf):
+    return calc(with_labels(spark, sf), ["doc_id"], both="quality and lang", either="quality or toxic", none_of="not quality")
+
+
+simple("unary_minus", "customer", ["c_custkey"], "SELECT c_custkey, -c_acctbal AS negative, -c_nationkey::BIGINT AS less FROM customer", negative="-c_acctbal", less="-c_nationkey")
+simple("arith_precedence", "lineitem", ["l_orderkey", "l_linenumber"], "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) + l_tax * 2 AS net, l_extendedprice - l_quantity / 4 AS less FROM lineitem", net="l_extendedprice * (1 - l_discount) + l_tax * 2", less="l_extendedprice - l_quantity / 4")
+simple("division_by_zero_null", "lineitem", ["l_orderkey", "l_linenumber"], "SELECT l_orderkey, l_linenumber, l_quantity / nullif(l_tax, 0) AS share FROM lineitem", share="l_quantity / l_tax")
+
+# -- B: numbers and dates
+
+simple("js_round_2dp", "lineitem", ["l_orderkey", "l_linenumber"], "SELECT l_orderkey, l_linenumber, floor(l_extendedprice * l_discount * 100.0 + 0.5) / 100.0 AS rounded FROM lineitem", rounded="round(l_extendedprice * l_discount, 2)")
+simple("js_round_negative_ties", "customer", ["c_custkey"], "SELECT c_custkey, floor((-(c_custkey + 0.5::DOUBLE)) + 0.5) AS up, floor(-c_acctbal + 0.5) AS whole FROM customer", up="round(-(c_custkey + 0.5))", whole="round(-c_acctbal)")
+simple("floor_dp", "part", ["p_partkey"], "SELECT p_partkey, floor(p_retailprice * 10.0) / 10.0 AS low, floor(p_retailprice / 7) AS whole FROM part", low="floor(p_retailprice, 1)", whole="floor(p_retailprice / 7)")
+simple("ceil_dp", "part", ["p_partkey"], "SELECT p_partkey, ceil(p_retailprice / 7 * 10.0) / 10.0 AS high, ceil(p_retailprice / 7) AS whole FROM part", high="ceil(p_retailprice / 7, 1)", whole="ceil(p_retailprice / 7)")
+simple("variadic_min_max", "lineitem", ["l_orderkey", "l_linenumber"], "SELECT l_orderkey, l_linenumber, least(l_quantity, 10.0, l_tax) AS low, greatest(l_quantity, 10.0, l_tax) AS high FROM lineitem", low="min(l_quantity, 10, l_tax)", high="max(l_quantity, 10, l_tax)")
+simple("date_add_days", "orders", ["o_orderkey"], "SELECT o_orderkey, strftime(o_orderdate + INTERVAL 10 DAY, '%Y-%m-%dT%H:%M:%S.') || '000Z' AS due FROM orders", due="o_orderdate + date.days(10)")
+simple("date_add_months_30d", "orders", ["o_orderkey"], "SELECT o_orderkey, strftime(o_orderdate + INTERVAL 60 DAY, '%Y-%m-%dT%H:%M:%S.') || '000Z' AS later, strftime(o_orderdate - INTERVAL 365 DAY, '%Y-%m-%dT%H:%M:%S.') || '000Z' AS before FROM orders", later="o_orderdate + date.months(2)", before="o_orderdate - date.years(1)")
+simple("date_text_plus_days", "orders", ["o_orderkey"], "SELECT o_orderkey, strftime(o_orderdate + INTERVAL 14 DAY, '%Y-%m-%d') AS day FROM orders", day='formatDate(o_orderdate, "YYYY-MM-DD") + date.weeks(2)')
+simple("format_date", "orders", ["o_orderkey"], "SELECT o_orderkey, strftime(o_orderdate, '%d/%m/%Y') AS day, strftime(o_orderdate, '%Y-%m-%d %H:%M') AS minute FROM orders", day='formatDate(o_orderdate, "DD/MM/YYYY")', minute='formatDate(o_orderdate, "YYYY-MM-DD HH:mm")')
+simple("datetime_plus_hours", "events", ["event_id"], "SELECT event_id, strftime(ts + INTERVAL 36 HOUR, '%Y-%m-%dT%H:%M:') AS later FROM events", later='formatDate(ts + date.hours(36), "YYYY-MM-DDTHH:mm:")')
+simple("date_order_compare", "orders", ["o_orderkey"], "SELECT o_orderkey, o_orderdate >= TIMESTAMP '1997-06-01' AS recent FROM orders", recent='o_orderdate >= "1997-06-01"')
+
+
+@entry("weekday_filter", "SELECT o_orderkey FROM orders WHERE dayofweek(o_orderdate) BETWEEN 1 AND 5")
+def _(spark, sf):
+    return read(spark, sf, "orders").where(~F.dayofweek("o_orderdate").isin(1, 7)).select("o_orderkey")
+
+
+# -- C: strings and regular expressions
+
+simple("str_upper_lower", "part", ["p_partkey"], "SELECT p_partkey, upper(p_name) AS u, lower(p_brand) AS l FROM part", u="uppercase(p_name)", l="lowercase(p_brand)")
+simple("str_capitalize", "part", ["p_partkey"], "SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ') AS cap FROM part", cap="capitalize(p_name)")
+simple("str_kebab", "customer", ["c_custkey"], "SELECT c_custkey, lower(regexp_replace(regexp_replace(c_name, '([a-z])([A-Z])', '\\1-\\2', 'g'), '[\\s_]+', '-', 'g')) AS kebab FROM customer", kebab="kebabCase(c_name)")
+simple("str_snake", "part", ["p_partkey"], "SELECT p_partkey, lower(regexp_replace(regexp_replace(p_name, '([a-z])([A-Z])', '\\1_\\2', 'g'), '[\\s-]+', '_', 'g')) AS snake FROM part", snake="snakeCase(p_name)")
+simple("str_camel", "part", ["p_partkey"], "SELECT p_partkey, lower(left(j, 1)) || substr(j, 2) AS camel FROM (SELECT p_partkey, array_to_string(list_transform(regexp_split_to_array(p_name, '[-_\\s]+'), lambda w, i: CASE WHEN i > 1 THEN upper(left(w, 1)) || substr(w, 2) ELSE w END), '') AS j FROM part)", camel="camelCase(p_name)")
+simple("str_trim", "documents", ["doc_id"], "SELECT doc_id, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS n FROM documents", n="length(trim(text))")
+
+
+@entry("str_concat_nulls", f"SELECT doc_id, lang || '-' || coalesce(quality::VARCHAR, '') || '/' || source AS name FROM {JOINED}")
+def _(spark, sf):
+    return calc(with_labels(spark, sf), ["doc_id"], name='concat(lang, "-", quality, "/", source)')
+
+
+simple("str_substring_js", "part", ["p_partkey"], "SELECT p_partkey, substr(p_name, 1, 5) AS a, substr(p_name, 3, 4) AS b, substr(p_name, 3) AS c, '' AS d FROM part", a="substring(p_name, 0, 5)", b="substring(p_name, 6, 2)", c="substring(p_name, 2)", d="substring(p_name, 4, 4)")
+simple("str_replace_first", "part", ["p_partkey"], "SELECT p_partkey, CASE WHEN instr(p_name, 'a') > 0 THEN substr(p_name, 1, instr(p_name, 'a') - 1) || 'A' || substr(p_name, instr(p_name, 'a') + 1) ELSE p_name END AS r FROM part", r='replace(p_name, "a", "A")')
+simple("str_length", "documents", ["doc_id"], "SELECT doc_id, length(text) AS n FROM documents", n="length(text)")
+simple("rx_matches", "documents", ["doc_id"], "SELECT doc_id, regexp_matches(text, '[0-9]{4,}') AS hit FROM documents", hit='matches("[0-9]{4,}", text)')
+simple("rx_find", "documents", ["doc_id"], "SELECT doc_id, CASE WHEN regexp_matches(text, '[0-9]{3,}') THEN regexp_extract(text, '[0-9]{3,}') END AS found FROM documents", found='regex.find("[0-9]{3,}", text)')
+simple("rx_match_all", "documents", ["doc_id"], "SELECT doc_id, len(regexp_extract_all(text, '[A-Z][a-z]+')) AS n FROM documents", n='count(regex.matchAll("[A-Z][a-z]+", text))')
+simple("rx_capture", "pages", ["page_id"], "SELECT page_id, regexp_extract(url, '^(https?)://([^/]+)', 1) AS scheme, regexp_extract(url, '^(https?)://([^/]+)', 2) AS host FROM pages", scheme='first(regex.capture("^(https?)://([^/]+)", url))', host='last(regex.capture("^(https?)://([^/]+)", url))')
+simple("rx_replace", "pages", ["page_id"], "SELECT page_id, regexp_replace(url, '[0-9]+', '#', 'g') AS u FROM pages", u='regex.replace("[0-9]+", url, "#")')
+simple("rx_split_size", "pages", ["page_id"], "SELECT page_id, len(string_split(url, '/'))::BIGINT AS n FROM pages", n='count(regex.split("/", url))')
+
+
+@entry("sql_quoted", "SELECT p_partkey, '\"' || replace(p_name, '\"', '\"\"') || '\"' AS ansi, '`' || replace(p_name, '`', '``') || '`' AS mysql FROM part")
+def _(spark, sf):
+    return calc(read(spark, sf, "part"), ["p_partkey"], ansi="sql.quoted(p_name)", mysql='sql.quoted(p_name, "mysql")')
+
+
+@entry("sql_string_escape", "SELECT doc_id, '''' || replace(lang, '''', '''''') || '''' AS lang_sql, length(replace(text, '''', '''''')) + 2 AS n FROM documents")
+def _(spark, sf):
+    return calc(read(spark, sf, "documents"), ["doc_id"], lang_sql="sql.string(lang)", n="length(sql.string(text))")
+
+
+# -- D: nested collections
+
+_WITHOUT = "orders o LEFT JOIN lineitem ON l_orderkey = o_orderkey"
+
+
+def folds(name: str, expression: str, sql: str) -> None:
+    entry(name, f"SELECT o_orderkey, {sql} AS v FROM {_WITHOUT} GROUP BY o_orderkey")(lambda spark, sf: calc(orders_with_items(spark, sf), ["o_orderkey"], v=expression))
+
+
+folds("agg_sum", "round(sum(items.l_quantity), 4)", "floor(coalesce(sum(l_quantity), 0) * 10000 + 0.5) / 10000")
+folds("agg_count", "count(items)", "count(l_orderkey)")
+folds("agg_min", "min(items.l_extendedprice)", "coalesce(min(l_extendedprice), 0)")
+folds("agg_max", "max(items.l_extendedprice)", "coalesce(max(l_extendedprice), 0)")
+folds("agg_avg", "round(avg(items.l_quantity), 4)", "floor(coalesce(avg(l_quantity), 0) * 10000.0 + 0.5) / 10000.0")
+folds("agg_first", "first(items.l_quantity)", "arg_min(l_quantity, (l_linenumber, l_quantity, l_extendedprice))")
+folds("agg_last", "last(items.l_quantity)", "arg_max(l_quantity, (l_linenumber, l_quantity, l_extendedprice))")
+folds("agg_median", "median(items.l_quantity)", "coalesce(median(l_quantity), 0)")
+folds("agg_product", "product(items.l_linenumber)", "coalesce(product(l_linenumber), 0)")
+folds("agg_empty_identity", "sum(items.l_tax) + min(items.l_tax) + max(items.l_tax) + avg(items.l_tax) + median(items.l_tax) + product(items.l_tax)", "0.0")
+folds("path_drop_nulls", "count(items.l_returnflag)", "count(l_returnflag)")
+folds("pred_all", "all(items, .l_quantity > 5)", "coalesce(bool_and(l_quantity > 5), true)")
+folds("pred_some", 'some(items, .l_returnflag == "R")', "coalesce(bool_or(l_returnflag = 'R'), false)")
+folds("pred_none", "none(items, .l_quantity > 45)", "NOT coalesce(bool_or(l_quantity > 45), false)")
+
+
+@entry("parent_ref_child_value", "SELECT l_orderkey AS o_orderkey, l_linenumber, o_orderstatus AS status, l_quantity * o_custkey AS weighted FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def _(spark, sf):
+    df = orders_with_items(spark, sf).where(F.col("items").isNotNull())
+    outer = row_scope(df.schema)
+    element = df.schema["items"].dataType.elementType
+
+    def child(x):
+        scope = outer.inside(V.Value(x, element))
+        scope.parent = outer
+        weighted = compiled(parse_expression("l_quantity * ^o_custkey"), scope).column
+        return F.struct(x["l_linenumber"].alias("l_linenumber"), compiled(parse_expression("^o_orderstatus"), scope).column.alias("status"), weighted.alias("weighted"))
+
+    return df.select("o_orderkey", F.inline(F.transform("items", child)))
+
+
+@entry("nested_collection_build", "SELECT conv_id, count(*) AS turns, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")
+def _(spark, sf):
+    turns = read(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("turns"))
+    return turns.select("conv_id", F.size("turns").cast("long").alias("turns"), F.array_join(F.col("turns.role"), ",").alias("roles"))
+
+
+@entry("array_fold_embeddings", "SELECT vec_id, len(embedding)::BIGINT AS n, floor(list_max(embedding)::DOUBLE * 10000 + 0.5) / 10000 AS high, floor(list_min(embedding)::DOUBLE * 10000 + 0.5) / 10000 AS low FROM embeddings")
+def _(spark, sf):
+    return calc(read(spark, sf, "embeddings"), ["vec_id"], n="count(embedding)", high="round(max(embedding), 4)", low="round(min(embedding), 4)")
+
+
+# -- E: checks
+
+LINEITEM_RULES = """
+schema Lineitem {
+  l_quantity: int in 1..50, l_discount: decimal(2) in 0.0..0.1, l_tax: decimal(2) in 0.0..0.08, l_returnflag: "R" | "A" | "N"
+  assume l_discount <= 0.1
+  assume if l_returnflag == "R" { l_quantity > 10 }
+  assume not l_tax > 0.08
+  assume l_quantity >= 1 and l_extendedprice > 0
+  assume l_quantity < 45 or l_discount > 0.02
+  assume l_quantity / l_tax > 100
+}
+dataset D {
+  lineitem: 10 of Lineitem,
+  validate { sum(lineitem.l_quantity) >= 100, count(lineitem) < count(orders) * 10, all(lineitem, .l_tax <= 0.08), some(lineitem, .l_quantity == 50), none(lineitem, .l_discount > 0.05),
+    avg(lineitem.l_quantity) > 10 and min(lineitem.l_quantity) >= 1, max(lineitem.l_discount) - min(lineitem.l_discount) <= 0.05, 1 / (count(orders) - count(orders)) > 0 }
+}
+"""
+
+
+@entry("check_lineitem_rules", """
+SELECT 'l_discount <= 0.1' AS rule, count(*) AS rows, count(*) FILTER (WHERE NOT l_discount <= 0.1) AS broken FROM lineitem
+UNION ALL SELECT 'if l_returnflag == "R": l_quantity > 10', count(*), count(*) FILTER (WHERE l_returnflag = 'R' AND NOT l_quantity > 10) FROM lineitem
+UNION ALL SELECT 'not l_tax > 0.08', count(*), count(*) FILTER (WHERE l_tax > 0.08) FROM lineitem
+UNION ALL SELECT 'l_quantity >= 1', count(*), count(*) FILTER (WHERE NOT l_quantity >= 1) FROM lineitem
+UNION ALL SELECT 'l_extendedprice > 0', count(*), count(*) FILTER (WHERE NOT l_extendedprice > 0) FROM lineitem
+UNION ALL SELECT 'l_quantity < 45 or l_discount > 0.02', count(*), count(*) FILTER (WHERE NOT (l_quantity < 45 OR l_discount > 0.02)) FROM lineitem
+UNION ALL SELECT 'l_quantity / l_tax > 100', count(*), count(*) FILTER (WHERE l_tax = 0 OR NOT l_quantity / l_tax > 100) FROM lineitem
+""")
+def _(spark, sf):
+    return Checker(LINEITEM_RULES).counts(read(spark, sf, "lineitem"), "Lineitem")
+
+
+def _errors(spark, sf) -> DataFrame:
+    return Checker(LINEITEM_RULES).rows(read(spark, sf, "lineitem"), "Lineitem").select("l_orderkey", "l_linenumber", F.inline("errors"))
+
+
+@entry("check_conditional_rule", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R' AND NOT l_quantity > 10")
+def _(spark, sf):
+    return _errors(spark, sf).where(F.col("rule").startswith("if ")).select("l_orderkey", "l_linenumber")
+
+
+@entry("check_and_split_errors", "SELECT 'l_quantity >= 1' AS rule, count(*) AS n FROM lineitem WHERE NOT l_quantity >= 1 HAVING count(*) > 0 UNION ALL SELECT 'l_extendedprice > 20000', count(*) FROM lineitem WHERE NOT l_extendedprice > 20000 HAVING count(*) > 0 UNION ALL SELECT 'l_quantity < 40', count(*) FROM lineitem WHERE NOT l_quantity < 40 HAVING count(*) > 0")
+def _(spark, sf):
+    found = Checker("schema L { assume l_quantity >= 1 and l_extendedprice > 20000 and l_quantity < 40 }").rows(read(spark, sf, "lineitem"), "L")
+    return found.select(F.inline("errors")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+@entry("check_or_whole", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT (l_quantity < 45 OR l_discount > 0.02)")
+def _(spark, sf):
+    return _errors(spark, sf).where(F.col("rule").contains(" or ")).select("l_orderkey", "l_linenumber")
+
+
+@entry("check_not", "SELECT c_custkey FROM customer WHERE c_acctbal < 0")
+def _(spark, sf):
+    return Checker("schema C { assume not c_acctbal < 0 }").violating(read(spark, sf, "customer"), "C").select("c_custkey")
+
+
+@entry("check_error_rows", "SELECT l_orderkey, l_linenumber, CASE WHEN l_tax = 0 THEN 'error' ELSE 'violation' END AS kind FROM lineitem WHERE l_tax = 0 OR NOT l_quantity / l_tax > 100")
+def _(spark, sf):
+    return _errors(spark, sf).where(F.col("rule").contains(" / ")).select("l_orderkey", "l_linenumber", "kind")
+
+
+@entry("check_violating_rows", "SELECT o_orderkey FROM orders WHERE NOT (o_totalprice > 1000 AND (o_orderstatus <> 'F' OR o_totalprice < 400000))")
+def _(spark, sf):
+    return Checker('schema O { assume o_totalprice > 1000 assume if o_orderstatus == "F" { o_totalprice < 400000 } }').violating(read(spark, sf, "orders"), "O").select("o_orderkey")
+
+
+@entry("check_dataset_rules", """
+SELECT * FROM (
+SELECT 'sum(lineitem.l_quantity) >= 100' AS rule, (SELECT sum(l_quantity) >= 100 FROM lineitem) AS ok, false AS failed
+UNION ALL SELECT 'count(lineitem) < count(orders) * 10', (SELECT count(*) FROM lineitem) < (SELECT count(*) FROM orders) * 10, false
+UNION ALL SELECT 'all(lineitem, l_tax <= 0.08)', (SELECT bool_and(l_tax <= 0.08) FROM lineitem), false
+UNION ALL SELECT 'some(lineitem, l_quantity == 50)', (SELECT bool_or(l_quantity = 50) FROM lineitem), false
+UNION ALL SELECT 'none(lineitem, l_discount > 0.05)', (SELECT NOT bool_or(l_discount > 0.05) FROM lineitem), false
+UNION ALL SELECT 'avg(lineitem.l_quantity) > 10 and min(lineitem.l_quantity) >= 1', (SELECT avg(l_quantity) > 10 AND min(l_quantity) >= 1 FROM lineitem), false
+UNION ALL SELECT 'max(lineitem.l_discount) - min(lineitem.l_discount) <= 0.05', (SELECT max(l_discount) - min(l_discount) <= 0.05 FROM lineitem), false
+UNION ALL SELECT '1 / count(orders) - count(orders) > 0', false, true)
+""")
+def _(spark, sf):
+    return Checker(LINEITEM_RULES).whole({t: read(spark, sf, t) for t in ("lineitem", "orders")}, "D")
+
+
+@entry("check_cross_collection_count", "SELECT 'count(customer) * 10 == count(orders)' AS rule, (SELECT count(*) FROM customer) * 10 = (SELECT count(*) FROM orders) AS ok, false AS failed UNION ALL SELECT 'sum(supplier.s_acctbal) < sum(customer.c_acctbal)', (SELECT sum(s_acctbal) FROM supplier) < (SELECT sum(c_acctbal) FROM customer), false")
+def _(spark, sf):
+    checker = Checker("dataset D { validate { count(customer) * 10 == count(orders), sum(supplier.s_acctbal) < sum(customer.c_acctbal) } }")
+    return checker.whole({t: read(spark, sf, t) for t in ("customer", "orders", "supplier")}, "D")
+
+
+@entry("check_missing_collection", "SELECT 'customers' AS collection, true AS valid, false AS missing, (SELECT count(*) FROM customer) AS rows UNION ALL SELECT 'invoices', false, true, 0")
+def _(spark, sf):
+    checker = Checker("schema Customer { assume c_custkey >= 0 } schema Invoice { assume total > 0 }")
+    reports = checker.dataset({"customers": read(spark, sf, "customer")}, checker.mapping(["customers", "invoices"]))
+    return spark.createDataFrame([(c, r.valid, r.missing, r.rows) for c, r in reports.items()], "collection string, valid boolean, missing boolean, rows bigint")
+
+
+ORDER_SCHEMA = {
+    "type": "object",
+    "required": ["o_orderkey", "o_comment"],
+    "properties": {
+        "o_orderkey": {"type": "integer", "minimum": 0},
+        "o_orderstatus": {"$ref": "#/definitions/status"},
+        "o_totalprice": {"type": "number", "minimum": 2000, "maximum": 450000},
+        "o_orderpriority": {"type": "string", "pattern": "^[1-3]-", "maxLength": 12},
+    },
+    "definitions": {"status": {"type": "string", "enum": ["F", "O"]}},
+}
+
+
+@entry("jsonschema_enum_range_pattern", """
+SELECT o_orderkey, path, keyword FROM (
+SELECT o_orderkey, '/o_orderstatus' AS path, 'enum' AS keyword FROM orders WHERE o_orderstatus NOT IN ('F', 'O')
+UNION ALL SELECT o_orderkey, '/o_totalprice', 'minimum' FROM orders WHERE o_totalprice < 2000
+UNION ALL SELECT o_orderkey, '/o_totalprice', 'maximum' FROM orders WHERE o_totalprice > 450000
+UNION ALL SELECT o_orderkey, '/o_orderpriority', 'pattern' FROM orders WHERE NOT regexp_matches(o_orderpriority, '^[1-3]-')
+UNION ALL SELECT o_orderkey, '/o_orderpriority', 'maxLength' FROM orders WHERE length(o_orderpriority) > 12)
+""")
+def _(spark, sf):
+    return check_json_schema(read(spark, sf, "orders"), ORDER_SCHEMA).select("o_orderkey", F.inline("errors")).where("keyword <> 'required'")
+
+
+@entry("jsonschema_required_nullable", f"SELECT doc_id, '/quality' AS path, 'required' AS keyword FROM {JOINED} WHERE quality IS NULL")
+def _(spark, sf):
+    schema = {"type": "object", "required": ["quality", "toxic"], "properties": {"quality": {"type": "integer"}, "toxic": {"type": "integer", "nullable": True}}}
+    return check_json_schema(with_labels(spark, sf), schema).select("doc_id", F.inline("errors"))
+
+
+@entry("check_fk_membership", "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def _(spark, sf):
+    return missing_keys(read(spark, sf, "orders"), "o_custkey", read(spark, sf, "customer").where("c_acctbal > 0"), "c_custkey").select("o_orderkey")
+
+
+# -- F: profiles
+
+
+@entry("prof_types_text", r"SELECT sum(CASE WHEN regexp_matches(v, '^-?[0-9]+$') AND abs(try_cast(v AS HUGEINT)) <= 9007199254740991 THEN 1 ELSE 0 END)::BIGINT AS ints, sum(CASE WHEN regexp_matches(v, '^-?[0-9]+\.[0-9]+$') THEN 1 ELSE 0 END)::BIGINT AS decimals, sum(CASE WHEN lower(v) IN ('true', 'yes', 'false', 'no') THEN 1 ELSE 0 END)::BIGINT AS booleans, sum(CASE WHEN regexp_matches(v, '^\d{4}-\d{2}-\d{2}') THEN 1 ELSE 0 END)::BIGINT AS dates FROM (SELECT unnest(string_split(text, ' ')) AS v FROM documents)")
+def _(spark, sf):
+    from .sources.csv import cell_type
+
+    cells = read(spark, sf, "documents").select(F.explode(F.split("text", " ", -1)).alias("v"))
+    kind = cell_type(F.col("v"))
+    iso = F.col("v").rlike(r"^\d{4}-\d{2}-\d{2}")
+    return cells.agg(*[F.count_if(kind == k).alias(n) for k, n in (("int", "ints"), ("decimal", "decimals"), ("boolean", "booleans"))], F.count_if(iso).alias("dates"))
+
+
+def _profile(spark, sf, table: str, rows: Callable, schema: str) -> DataFrame:
+    found = P.profile(read(spark, sf, table))
+    return spark.createDataFrame([r for c in found.columns for r in rows(c)], schema)
+
+
+def each(columns: list[str], table: str, sql: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{c}' AS name, {sql.replace('{c}', c)} FROM {table}" for c in columns)
+
+
+_LINE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@entry("prof_numeric_range", each(_LINE, "lineitem", "min({c})::DOUBLE AS low, max({c})::DOUBLE AS high, bool_and({c} = floor({c})) AS whole"))
+def _(spark, sf):
+    return _profile(spark, sf, "lineitem", lambda c: [(c.name, float(c.low), float(c.high), c.type == "int")] if c.type in ("int", "decimal") else [], "name string, low double, high double, whole boolean")
+
+
+@entry("prof_decimal_places", each(["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "lineitem", "max(CASE WHEN {c} = floor({c}) THEN 0 WHEN round({c}, 1) = {c} THEN 1 WHEN round({c}, 2) = {c} THEN 2 WHEN round({c}, 3) = {c} THEN 3 ELSE 4 END)::BIGINT AS places"))
+def _(spark, sf):
+    df = read(spark, sf, "lineitem")
+    names = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    one = df.agg(*[F.max(P.decimal_places(F.col(n))).cast("long").alias(n) for n in names])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("places")) for n in names])))
+
+
+@entry("prof_date_range", "SELECT 'o_orderdate' AS name, min(year(o_orderdate)) AS low, max(year(o_orderdate)) AS high FROM orders")
+def _(spark, sf):
+    return _profile(spark, sf, "orders", lambda c: [(c.name, int(c.low), int(c.high))] if c.type == "date" else [], "name string, low bigint, high bigint")
+
+
+@entry("prof_uniqueness", each(["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"], "orders", "count({c}) > 1 AND count({c}) = count(DISTINCT {c}) AS is_unique"))
+def _(spark, sf):
+    return _profile(spark, sf, "orders", lambda c: [(c.name, c.unique)] if c.name != "o_orderdate" else [], "name string, is_unique boolean")
+
+
+@entry("prof_string_length", each(["p_name", "p_brand", "p_type"], "part", "min(length({c})) AS low, max(length({c})) AS high, floor(avg(length({c})) * 10000 + 0.5) / 10000 AS mean"))
+def _(spark, sf):
+    import math
+
+    return _profile(spark, sf, "part", lambda c: [(c.name, c.length[0], c.length[1], math.floor(c.length[2] * 1e4 + 0.5) / 1e4)] if c.length else [], "name string, low bigint, high bigint, mean double")
+
+
+@entry("prof_enum_weights", " UNION ALL ".join(f"SELECT '{c}' AS name, {c} AS value, count(*) AS n, floor(count(*) * 10000.0 / (SELECT count(*) FROM orders) + 0.5)::DOUBLE / 10000 AS weight FROM orders GROUP BY {c}" for c in ("o_orderstatus", "o_orderpriority")))
+def _(spark, sf):
+    import math
+
+    rows = lambda c: [(c.name, v, n, math.floor(n * 10000.0 / c.present + 0.5) / 10000) for v, n in c.options or [] if isinstance(v, str)]
+    return _profile(spark, sf, "orders", rows, "name string, value string, n bigint, weight double")
+
+
+@entry("prof_percentage", each(["l_discount", "l_tax"], "lineitem", "'decimal' AS scale, floor(least((max({c}) - min({c})) * 2, 0.95) * 10000 + 0.5) / 10000 AS confidence"))
+def _(spark, sf):
+    import math
+
+    rows = lambda c: [(c.name, c.percentage[0], math.floor(c.percentage[1] * 1e4 + 0.5) / 1e4)] if c.name in ("l_discount", "l_tax") and c.percentage else []
+    return _profile(spark, sf, "lineitem", rows, "name string, scale string, confidence double")
+
+
+@entry("prof_moments", each(["l_quantity", "l_extendedprice"], "lineitem", "floor(avg({c}) * 100 + 0.5) / 100 AS mean, floor(stddev_pop({c}) * 100 + 0.5) / 100 AS dev, floor(kurtosis_pop({c}) * 100 + 0.5) / 100 AS kurt"))
+def _(spark, sf):
+    import math
+
+    r = lambda x: math.floor(x * 100 + 0.5) / 100
+    rows = lambda c: [(c.name, r(c.moments[0]), r(c.moments[1]), r(c.moments[3]))] if c.name in ("l_quantity", "l_extendedprice") else []
+    return _profile(spark, sf, "lineitem", rows, "name string, mean double, dev double, kurt double")
+
+
+@entry("prof_histogram", "SELECT least(19, floor((o_totalprice - lo) / ((hi - lo) / 20)))::INT AS bin, count(*) AS n FROM orders, (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders) GROUP BY 1")
+def _(spark, sf):
+    df = read(spark, sf, "orders")
+    lo, hi = df.agg(F.min("o_totalprice"), F.max("o_totalprice")).first()
+    return df.groupBy(F.least(F.lit(19), F.floor((F.col("o_totalprice") - lo) / ((hi - lo) / 20)).cast("int")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@entry("prof_format_ratio", "SELECT floor(avg(CASE WHEN regexp_matches(url, '(?i)^https?://[^\\s/$.?#].[^\\s]*$') THEN 1.0::DOUBLE ELSE 0 END) * 10000 + 0.5) / 10000 AS url, floor(avg(CASE WHEN regexp_matches(url, '^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}$') THEN 1.0::DOUBLE ELSE 0 END) * 10000 + 0.5) / 10000 AS email FROM pages")
+def _(spark, sf):
+    one = read(spark, sf, "pages").agg(*P.format_shares(F.col("url")))
+    return one.select(*[(F.floor(F.col(n) * 10000 + 0.5) / 10000).alias(n) for n in ("url", "email")])
+
+
+@entry("prof_array_cardinality", "SELECT min(n) AS low, max(n) AS high FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey)")
+def _(spark, sf):
+    found = P.profile(orders_with_items(spark, sf).select("items"))["items"]
+    return spark.createDataFrame([(int(found.low), int(found.high))], "low bigint, high bigint")
+
+
+@entry("prof_nullability", f"SELECT 'quality' AS name, count(*) - count(quality) AS nulls, count(quality) < count(*) AS nullable FROM {JOINED} UNION ALL SELECT 'lang', count(*) - count(lang), count(lang) < count(*) FROM {JOINED}")
+def _(spark, sf):
+    found = P.profile(with_labels(spark, sf).select("quality", "lang"))
+    return spark.createDataFrame([(c.name, c.rows - c.present, c.nullable) for c in found.columns], "name string, nulls bigint, nullable boolean")
+
+
+@entry("prof_describe_text")
+def _(spark, sf):
+    from .operators.describe import describe
+
+    text = describe({t: read(spark, sf, t) for t in ("orders", "events")})
+    return spark.createDataFrame([(i, line) for i, line in enumerate(text.split("\n"))], "line int, text string")
+
+
+# -- G: mining
+
+
+def ratio_of(name: str, table: str, sql: str, build: Callable) -> None:
+    @entry(name, f"SELECT floor(coalesce(avg(CASE WHEN {sql} THEN 1.0::DOUBLE ELSE 0 END), 0) * 10000 + 0.5) / 10000 AS support FROM {table}")
+    def _(spark, sf):
+        one = read(spark, sf, table).agg(build().alias("s"))
+        return one.select((F.floor(F.col("s") * 10000 + 0.5) / 10000).alias("support"))
+
+
+_near = lambda t, e: f"(abs({t} - ({e})) <= 0.01 OR abs({t} - ({e})) <= 0.0001 * abs({t}))"
+_c = lambda n: F.col(n).cast("double")
+ratio_of("mine_ordering_dates", "lineitem", "l_shipdate <= l_shipdate", lambda: M.date_order(F.col("l_shipdate"), F.col("l_shipdate")))
+ratio_of("mine_ordering_numeric", "lineitem", "l_discount <= l_tax + 0.0001", lambda: M.at_most(_c("l_discount"), _c("l_tax")))
+ratio_of("mine_product", "lineitem", _near("l_extendedprice", "l_quantity * l_tax"), lambda: M.product(_c("l_extendedprice"), _c("l_quantity"), _c("l_tax")))
+ratio_of("mine_sum", "lineitem", "abs(l_quantity - (l_linenumber + l_discount)) <= 0.0001 * greatest(abs(l_quantity), 1.0)", lambda: M.total(_c("l_quantity"), _c("l_linenumber"), _c("l_discount")))
+ratio_of("mine_difference", "lineitem", _near("l_discount", "l_tax - l_discount"), lambda: M.difference(_c("l_discount"), _c("l_tax"), _c("l_discount")))
+ratio_of("mine_ratio", "lineitem", f"l_tax <> 0 AND {_near('l_discount', 'l_tax / nullif(l_quantity, 0)')}", lambda: M.support((F.col("l_tax") != 0) & M.near(_c("l_discount"), F.try_divide(_c("l_tax"), _c("l_quantity"))), F.col("l_discount"), F.col("l_tax")))
+ratio_of("mine_constant_multiplier", "lineitem", _near("l_discount", "l_tax * 0.5"), lambda: M.multiple(_c("l_discount"), _c("l_tax"), 0.5))
+ratio_of("mine_three_term", "lineitem", "abs(l_quantity - (l_linenumber + l_discount + l_tax)) <= 0.0001 * greatest(abs(l_quantity), 1.0)", lambda: M.total(_c("l_quantity"), _c("l_linenumber"), _c("l_discount"), _c("l_tax")))
+
+
+@entry("mine_conditional_ge_eq_pos", "SELECT l_returnflag, count(*) AS n, count(*) FILTER (WHERE l_discount >= l_tax - 0.0001) AS ge, count(*) FILTER (WHERE abs(l_discount - l_tax) <= 0.0001) AS eq, count(*) FILTER (WHERE l_discount > -0.0001) AS pos FROM lineitem GROUP BY l_returnflag")
+def _(spark, sf):
+    a, b = _c("l_discount"), _c("l_tax")
+    return read(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.count_if(a >= b - M.TOLERANCE).alias("ge"), F.count_if(F.abs(a - b) <= M.TOLERANCE).alias("eq"), F.count_if(a > -M.TOLERANCE).alias("pos"))
+
 
-def queries():
-    return {}
+@entry("mine_aggregate_parent", "SELECT floor(avg(CASE WHEN abs(n - c) <= 0.01 THEN 1.0::DOUBLE ELSE 0 END) * 10000 + 0.5) / 10000 AS support FROM (SELECT l_orderkey, count(*) AS c, max(l_linenumber) AS n FROM lineitem GROUP BY l_orderkey)")
+def _(spark, sf):
+    df = orders_with_items(spark, sf).where("items IS NOT NULL").withColumn("n", F.array_max("items.l_linenumber").cast("double"))
+    one = df.agg(M.support(M.near(F.col("n"), F.size("items").cast("double")), F.col("n")).alias("s"))
+    return one.select((F.floor(F.col("s") * 10000 + 0.5) / 10000).alias("support"))
 
 
-def oracle_sql():
-    return {}
+@entry("mine_relations")
+def _(spark, sf):
+    df = read(spark, sf, "lineitem").withColumn("l_net", F.col("l_extendedprice") * F.col("l_quantity"))
+    found = M.mine(df.select("l_quantity", "l_extendedprice", "l_net", "l_returnflag"), {"l_returnflag": ["R", "A", "N"]})
+    return spark.createDataFrame([(r.kind, r.target, r.text, r.support) for r in found], "kind string, target string, text string, support double")
