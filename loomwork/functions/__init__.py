@@ -1 +1,3 @@
+"""Functions of the language; importing this package registers all of them."""
 
+from . import builtins, domains  # noqa: F401
