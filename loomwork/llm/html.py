@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_clashing, table
+from .common import bounded_sample, drop_clashing, table
 from .media import _ddl
 
 #: Bound of the sample of pages that the classifier is fitted on.
@@ -355,10 +355,10 @@ def fit(pages: DataFrame, html: str = "html", key: str = "page_id") -> np.ndarra
     """Weights from at most TRAIN_PAGES pages chosen by a hash of the key. Blocks in boilerplate containers are learned
     as boilerplate, others inside ``article`` or ``main`` as content; the rest are left out. Weights stay near PRIOR
     unless the sample says otherwise, and keep its values where there is nothing to learn from."""
-    rows = pages.where(F.col(html).isNotNull()).select(key, html).orderBy(F.xxhash64(key), key, html).limit(TRAIN_PAGES).collect()
+    rows = bounded_sample(pages.where(F.col(html).isNotNull()).select(key, html), [key], TRAIN_PAGES)
     x, y = [], []
     for r in rows:
-        for b in blocks_of(r[1]):
+        for b in blocks_of(r[html]):
             f, _, bad = features(b)
             if bad or f[-1]:
                 x.append(f[:-1])
