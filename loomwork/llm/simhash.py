@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, drop_clashing, table, written
+from .common import OWN, bounded_sample, drop_clashing, table, written
 from .components import components
 from .media import _ddl
 
@@ -175,9 +175,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     """``key``, ``fingerprint`` (long) and ``component_id``, the smallest key that links can reach, of every row."""
     slim = written(fingerprints(docs.select(F.col(key).alias(f"{OWN}key"), F.col(text).alias(f"{OWN}text")), f"{OWN}text", shingle).select(f"{OWN}key", "fingerprint"), "fingerprints")
     prints = written(slim.groupBy("fingerprint").agg(F.min(f"{OWN}key").alias("first")), "distinct-fingerprints")
-    sample = prints.orderBy(F.xxhash64("fingerprint"), "fingerprint").limit(SAMPLE).select("fingerprint")
-    sample = np.array([r[0] for r in sample.collect()], np.int64).view(np.uint64)
-    parts = plan_parts(sample, prints.count(), most)
+    count = prints.count()
+    sample = bounded_sample(prints.select("fingerprint"), ["fingerprint"], SAMPLE, count)
+    parts = plan_parts(np.array([r["fingerprint"] for r in sample], np.int64).view(np.uint64), count, most)
     stars = components(links(prints, parts, most))
     rooted = prints.join(stars, prints["fingerprint"] == stars["node"], "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
