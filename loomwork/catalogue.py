@@ -497,3 +497,271 @@ def _(spark, sf):
     df = read(spark, sf, "lineitem").withColumn("l_net", F.col("l_extendedprice") * F.col("l_quantity"))
     found = M.mine(df.select("l_quantity", "l_extendedprice", "l_net", "l_returnflag"), {"l_returnflag": ["R", "A", "N"]})
     return spark.createDataFrame([(r.kind, r.target, r.text, r.support) for r in found], "kind string, target string, text string, support double")
+
+
+# -- H: generation and state, over rows that are there
+
+
+def _numbered(spark, sf, table: str, key: str) -> DataFrame:
+    """A table's rows numbered by their (dense) key, as a generated collection is."""
+    return read(spark, sf, table).withColumn("_row", F.col(key))
+
+
+@entry("gen_ordered_sequence_cycle", "SELECT c_custkey, ['red', 'green', 'blue'][c_custkey % 3 + 1] AS color FROM customer")
+def _(spark, sf):
+    from .operators.generate import Generator
+
+    g = Generator(spark, 'schema C { color: ["red", "green", "blue"] } dataset D { rows: 1 of C }')
+    node = g.schemas["C"].fields[0]
+    df = _numbered(spark, sf, "customer", "c_custkey")
+    scope = row_scope(df.schema)
+    return df.select("c_custkey", g.value(node, scope, g.schemas["C"], "C", [F.col("_row")], F.col("_row"), 0).column.alias("color"))
+
+
+def _generated(spark, source: str, name: str, **options) -> DataFrame:
+    from .operators.generate import Generator, Options
+
+    g = Generator(spark, source, Options(**options))
+    g.run()
+    return g.made[name].frame
+
+
+@entry("gen_sequence_ids", "SELECT i AS _row, 'INV-' || (1001 + i) AS id, (100 + i)::BIGINT AS num, [48, 52, 55][i % 3 + 1]::BIGINT AS pitch FROM range(0, (SELECT count(*) FROM orders)) t(i)")
+def _(spark, sf):
+    n = read(spark, sf, "orders").count()
+    source = 'schema I { id: sequence("INV-", 1001), num: sequenceInt("n", 100), pitch: [48, 52, 55] } dataset D { rows: %d of I }' % n
+    return _generated(spark, source, "rows").select("_row", "id", "num", "pitch")
+
+
+@entry("gen_sequence_shared", "SELECT 'b' AS collection, i AS _row, 'X-' || (1 + i + 30) AS id FROM range(0, 20) t(i)")
+def _(spark, sf):
+    source = 'schema S { id: sequence("X-", 1) } dataset D { a: 30 of S, b: 20 of S }'
+    return _generated(spark, source, "b").select(F.lit("b").alias("collection"), "_row", "id")
+
+
+@entry("gen_previous_lag", "SELECT event_id, lag(value) OVER (ORDER BY event_id) AS before FROM events")
+def _(spark, sf):
+    from .operators.generate import Generator
+    from .plans import syntax as S
+
+    g = Generator(spark, 'schema E { before: previous("value") } dataset D { rows: 1 of E }')
+    df = _numbered(spark, sf, "events", "event_id")
+    return g.lagged(df, S.Field("before", g.schemas["E"].fields[0].type)).select("event_id", "before")
+
+
+def _made(g, name: str, frame: DataFrame, n: int):
+    from .operators.generate import Made
+    from .plans import syntax as S
+
+    return Made(name, S.Schema(name, ()), frame, n)
+
+
+@entry("gen_reference_by_ordinal", "SELECT o_orderkey, c_name, c_mktsegment FROM orders LEFT JOIN customer ON c_custkey = o_orderkey % (SELECT count(*) FROM customer)")
+def _(spark, sf):
+    from .operators.generate import Generator
+
+    g = Generator(spark, "schema X { a: 1 }")
+    customers = _numbered(spark, sf, "customer", "c_custkey")
+    n = customers.count()
+    g.made["customers"] = _made(g, "customers", customers, n)
+    df = read(spark, sf, "orders").withColumn("__fk_customer", F.col("o_orderkey") % n)
+    return g.joined(df, "customer", "customers").select("o_orderkey", "customer.c_name", "customer.c_mktsegment")
+
+
+@entry("gen_reference_where", "SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS ordinal, c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 0")
+def _(spark, sf):
+    from .operators.generate import Generator
+
+    g = Generator(spark, "schema X { a: 1 }")
+    made = _made(g, "customers", _numbered(spark, sf, "customer", "c_custkey"), 0)
+    out, _ = g.ordinals(made, parse_expression('.c_mktsegment == "BUILDING" and .c_acctbal > 0'))
+    return out.select(F.col("__ord").alias("ordinal"), F.col("__to").alias("c_custkey"))
+
+
+def _fields(spark, sf, table: str, keep: list[str], schema: str) -> DataFrame:
+    """The fields of a schema computed over a table's rows, refinements included."""
+    from pyspark.sql import types as T
+
+    from .operators.generate import NUMBER, Generator
+    from .plans import syntax as S
+
+    g = Generator(spark, schema)
+    s = next(iter(g.schemas.values()))
+    df = read(spark, sf, table)
+    given = row_scope(df.schema).fields
+    numbers = F.array(F.struct(F.lit(0).alias(NUMBER)))
+    arr, kind = g.elements(numbers, T.StructType([T.StructField(NUMBER, T.IntegerType())]), list(s.fields), s, s.name, [F.lit(0)], None, 0, given)
+    names = [f.name for f in kind.fields if f.name != NUMBER and not any(x.private and x.name == f.name for x in s.fields)]
+    return df.withColumn("one", F.try_element_at(arr, F.lit(1))).select(*keep, *[F.col("one")[n].alias(n) for n in names])
+
+
+@entry("gen_when_conditional", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 0.1::DOUBLE END AS refund, CASE WHEN o_totalprice > 200000 THEN 'large' END AS size FROM orders")
+def _(spark, sf):
+    return _fields(spark, sf, "orders", ["o_orderkey"], 'schema S { refund: o_totalprice * 0.1 when o_orderstatus == "F", size: "large" when o_totalprice > 200000 }')
+
+
+@entry("gen_refine_override", "SELECT p_partkey, CASE WHEN p_type = 'ECONOMY' THEN 1.5::DOUBLE WHEN p_size > 40 THEN 2.5 ELSE 0.5 END AS rate FROM part")
+def _(spark, sf):
+    return _fields(spark, sf, "part", ["p_partkey"], 'schema S { rate: 0.5 } refine { if p_size > 40 { rate: 2.5 }, if p_type == "ECONOMY" { rate: 1.5 } }')
+
+
+@entry("gen_computed_order", "SELECT l_orderkey, l_linenumber, floor((l_extendedprice * (1 - l_discount)) * (1 + l_tax) * 100 + 0.5) / 100 AS gross, l_extendedprice * (1 - l_discount) AS net FROM lineitem")
+def _(spark, sf):
+    return _fields(spark, sf, "lineitem", ["l_orderkey", "l_linenumber"], "schema S { gross: round(net * (1 + l_tax), 2), net: l_extendedprice * (1 - l_discount) }")
+
+
+@entry("gen_private_dropped", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'low' WHEN c_acctbal < 5000 THEN 'mid' ELSE 'high' END AS band FROM customer")
+def _(spark, sf):
+    return _fields(spark, sf, "customer", ["c_custkey"], 'schema S { money: private c_acctbal, band: money < 0 ? "low" : money < 5000 ? "mid" : "high" }')
+
+
+@entry("gen_let_inline", "SELECT o_orderkey, o_totalprice * 1.2::DOUBLE AS gross FROM orders")
+def _(spark, sf):
+    from .plans.syntax import parse
+
+    program = parse("let rate = 1.2 let gross = o_totalprice * rate")
+    lets = {x.name: x.value for x in program.statements}
+    df = read(spark, sf, "orders")
+    return df.select("o_orderkey", compiled(parse_expression("gross"), row_scope(df.schema, lets)).column.alias("gross"))
+
+
+@entry("gen_dynamic_cardinality", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 3 WHEN o_orderstatus = 'F' THEN 2 ELSE 0 END::INT AS n FROM orders")
+def _(spark, sf):
+    df = _fields(spark, sf, "orders", ["o_orderkey"], 'schema S { items: (o_orderstatus == "O" ? 3 : o_orderstatus == "F" ? 2 : 0) of 7 }')
+    return df.select("o_orderkey", F.size("items").alias("n"))
+
+
+@entry("gen_nested_parent", "SELECT o_orderkey, o_orderstatus || '!' AS status, 2::BIGINT AS n FROM orders")
+def _(spark, sf):
+    df = _fields(spark, sf, "orders", ["o_orderkey"], 'schema S { mark: concat(o_orderstatus, "!"), items: 2 of Item } schema Item { status: ^mark }')
+    return df.select("o_orderkey", F.col("items")[1]["status"].alias("status"), F.size(F.array_distinct("items.status")).cast("long").alias("n1")).select("o_orderkey", "status", (F.col("n1") + 1).alias("n"))
+
+
+def _mutated(spark, sf, then: str) -> DataFrame:
+    """Orders after a block of changes from their line items."""
+    from .operators.generate import Generator
+
+    g = Generator(spark, f"schema Line {{ a: 1 }} then {{ {then} }}")
+    orders = _numbered(spark, sf, "orders", "o_orderkey").withColumn("paid", F.lit(0.0))
+    g.made["orders"] = _made(g, "orders", orders, 0)
+    rows = read(spark, sf, "lineitem").withColumn("__fk_order", F.col("l_orderkey")).withColumn("_row", F.col("l_orderkey") * 1000 + F.col("l_linenumber"))
+    lines = _made(g, "lines", rows, 0)
+    lines.schema, lines.references = g.schemas["Line"], {"order": "orders"}
+    g.mutate(lines)
+    return g.made["orders"].frame
+
+
+@entry("gen_then_sum_update", "SELECT o_orderkey, coalesce(floor(q * 100 + 0.5) / 100, 0.0) AS paid, CASE WHEN q IS NULL THEN o_orderstatus WHEN q >= 150 THEN 'paid' ELSE 'partial' END AS o_orderstatus FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
+def _(spark, sf):
+    df = _mutated(spark, sf, 'order.paid += l_quantity, order.o_orderstatus = order.paid >= 150 ? "paid" : "partial"')
+    return df.select("o_orderkey", (F.floor(F.col("paid") * 100 + 0.5) / 100).alias("paid"), "o_orderstatus")
+
+
+@entry("gen_then_last_write", "SELECT o_orderkey, coalesce(f, o_orderstatus) AS o_orderstatus FROM orders LEFT JOIN (SELECT l_orderkey, arg_max(l_returnflag, l_linenumber) AS f, count(*) = count(DISTINCT l_linenumber) AS good FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE coalesce(good, true)")
+def _(spark, sf):
+    ties = read(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").count().where("count > 1").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
+    return _mutated(spark, sf, "order.o_orderstatus = l_returnflag").join(ties, "o_orderkey", "left_anti").select("o_orderkey", "o_orderstatus")
+
+
+@entry("gen_unique_permutation", "SELECT count(*) AS n, count(*) AS distinct_ids, true AS inside FROM orders")
+def _(spark, sf):
+    n = read(spark, sf, "orders").count()
+    rows = _generated(spark, f"schema U {{ id: unique int in 1000..{1000 + 2 * n} }} dataset D {{ rows: {n} of U }}", "rows")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("distinct_ids"), F.bool_and(F.col("id").between(1000, 1000 + 2 * n)).alias("inside"))
+
+
+@entry("gen_constraints_hold", "SELECT (SELECT count(*) FROM customer) AS n, (SELECT count(*) FROM customer) AS good")
+def _(spark, sf):
+    n = read(spark, sf, "customer").count()
+    rows = _generated(spark, f'schema R {{ a: int in 1..100, b: int in 1..100, s: "x" | "y" assume a < b assume if s == "x" {{ b > 50 }} }} dataset D {{ rows: {n} of R }}', "rows", seed=5)
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("a < b AND (s <> 'x' OR b > 50)")).alias("good"))
+
+
+@entry("gen_violating_rows", "SELECT (SELECT count(*) FROM customer) AS n, (SELECT count(*) FROM customer) AS bad")
+def _(spark, sf):
+    n = read(spark, sf, "customer").count()
+    rows = _generated(spark, f"schema R {{ a: int in 1..100, b: int in 1..100 assume a < b }} dataset D violating {{ rows: {n} of R }}", "rows", seed=5)
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("a >= b")).alias("bad"))
+
+
+@entry("gen_per_parent", "SELECT c_custkey * 3 + k AS _row, c_custkey AS parent_row FROM customer, range(0, 3) t(k)")
+def _(spark, sf):
+    n = read(spark, sf, "customer").count()
+    rows = _generated(spark, f"schema P {{ v: 1 }} schema C {{ v: 2 }} dataset D {{ parents: {n} of P, children: 3 per parents of C }}", "children")
+    return rows.select("_row", F.col("__fk_parent").alias("parent_row"))
+
+
+@entry("gen_flat_rows")
+def _(spark, sf):
+    n = read(spark, sf, "lineitem").count()
+    return _generated(spark, f'schema Item {{ id: int in 1..1000000, name: string, price: decimal(2) in 0.01..999.99, kind: 0.6: "a" | 0.3: "b" | "c" }} dataset D {{ rows: {n} of Item }}', "rows", seed=42).drop("_row")
+
+
+@entry("gen_references")
+def _(spark, sf):
+    source = 'schema Customer { id: uuid(), status: 0.8: "active" | "idle" } schema Order { customer: any of customers where .status == "active", amount: decimal(2) in 1..100 } dataset D { customers: 1000 of Customer, orders: 10000 of Order }'
+    return _generated(spark, source, "orders", seed=42).select("_row", "customer", "amount")
+
+
+# -- I: formats
+
+
+@entry("csv_flatten", "SELECT o_orderkey::VARCHAR AS o_orderkey, o_orderstatus AS \"price.status\", o_custkey::VARCHAR AS \"price.who\" FROM orders")
+def _(spark, sf):
+    from .sources.csv import flattened
+
+    return flattened(read(spark, sf, "orders").select("o_orderkey", F.struct(F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("who")).alias("price")))
+
+
+@entry("csv_array_json_first_count", "SELECT conv_id, '[' || string_agg(turn::VARCHAR, ',' ORDER BY turn) || ']' AS as_json, min(turn)::VARCHAR AS first_one, count(*)::VARCHAR AS how_many FROM conversations GROUP BY conv_id")
+def _(spark, sf):
+    from .sources.csv import Writing, flattened
+
+    turns = read(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("x"))
+    out = turns
+    for name, how in (("as_json", "json"), ("first_one", "first"), ("how_many", "count")):
+        part = flattened(turns.select(F.col("conv_id").alias("k"), "x"), Writing(arrays=how)).select(F.col("k").cast("long").alias("conv_id"), F.col("x").alias(name))
+        out = out.join(part, "conv_id")
+    return out.drop("x")
+
+
+@entry("csv_value_typing", "SELECT event_id, CASE WHEN event_type IN ('yes', 'true') THEN 'boolean' ELSE 'string' END AS a, 'int' AS b, CASE WHEN value = floor(value) THEN 'decimal' ELSE 'decimal' END AS c FROM events")
+def _(spark, sf):
+    from .sources.csv import cell_type
+
+    return read(spark, sf, "events").select("event_id", cell_type(F.col("event_type")).alias("a"), cell_type(F.col("event_id").cast("string")).alias("b"), cell_type(F.format_string("%.2f", F.col("value"))).alias("c"))
+
+
+@entry("csv_field_escaping", "SELECT doc_id, md5(CASE WHEN regexp_matches(text, '[,\"\\n\\r]') THEN '\"' || replace(text, '\"', '\"\"') || '\"' ELSE text END) AS digest FROM documents")
+def _(spark, sf):
+    from .sources.csv import escaped
+
+    return read(spark, sf, "documents").select("doc_id", F.md5(escaped(F.col("text"))).alias("digest"))
+
+
+@entry("ndjson_with_collection", "SELECT c_custkey, '{\"_collection\":\"customers\",\"c_custkey\":' || c_custkey || ',\"c_name\":\"' || c_name || '\"}' AS line FROM customer")
+def _(spark, sf):
+    from .sources.ndjson import line_of
+
+    lines = line_of(read(spark, sf, "customer").select("c_custkey", "c_name"), "customers")
+    return lines.select(F.get_json_object("value", "$.c_custkey").cast("long").alias("c_custkey"), F.col("value").alias("line"))
+
+
+@entry("ndjson_split_prefix", "SELECT CASE WHEN c_custkey % 3 = 0 THEN 'customers' WHEN c_custkey % 3 = 1 THEN 'people' ELSE 'default' END AS collection, c_custkey FROM customer")
+def _(spark, sf):
+    from .sources.ndjson import line_of, split_lines
+
+    df = read(spark, sf, "customer").select("c_custkey")
+    a = line_of(df.where("c_custkey % 3 = 0"), "customers", prefix=True)
+    b = line_of(df.where("c_custkey % 3 = 1"), "people")
+    c = line_of(df.where("c_custkey % 3 = 2"))
+    rows = split_lines(a.unionByName(b).unionByName(c))
+    return rows.select("collection", F.get_json_object("body", "$.c_custkey").cast("long").alias("c_custkey"))
+
+
+@entry("header_union_sorted", "SELECT unnest(['a.x', 'a.y', 'b', 'c']) AS name, unnest([0, 1, 2, 3]) AS place")
+def _(spark, sf):
+    from .sources.csv import flattened
+
+    df = read(spark, sf, "region").select(F.lit(1).alias("c"), F.lit(2).alias("b"), F.struct(F.lit(1).alias("y"), F.lit(2).alias("x")).alias("a"))
+    return spark.createDataFrame([(n, i) for i, n in enumerate(flattened(df).columns)], "name string, place int")

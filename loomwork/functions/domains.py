@@ -356,6 +356,8 @@ def from_pattern(pattern: str, scope) -> Column:
                 out.append(F.lit(chr(av)))
             elif name == "ANY":
                 out.append(letters(_LETTERS["z"], 1, scope))
+            elif name == "NOT_LITERAL":
+                out.append(letters("".join(c for c in _LETTERS["z"] if c != chr(av)), 1, scope))
             elif name == "IN":
                 out.append(letters(alphabet(av), 1, scope))
             elif name in ("MAX_REPEAT", "MIN_REPEAT"):
