@@ -24,6 +24,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,9 +37,11 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, MERGES = 1, 2
 #: A worker forgets the ids of the words that it has seen when they are more than this, or longer together.
-KEPT_WORDS, KEPT_CHARS = 800_000, 32_000_000
+KEPT_WORDS, KEPT_CHARS = 250_000, 8_000_000
+#: Pairs of pieces that a worker remembers as fitting or not.
+KEPT_STEPS = 300_000
 #: Texts are handled in groups of about so many characters.
-GROUP_CHARS = 4 << 20
+GROUP_CHARS = 3 << 20
 
 
 def _fields(data: bytes):
@@ -93,17 +96,20 @@ class Pieces:
         tails: dict[str, set[int]] = {}
         for p in self.ids:
             if len(p) > 1:
-                tails.setdefault(p[-2:], {1}).add(len(p))
-        #: Lengths of the pieces that end in two characters, longest first.
+                tails.setdefault(p[-2:], {1}).add(2 if len(p) == 2 else 1)
+        for p in self.ids:
+            if len(p) > 2:
+                tails.setdefault(p[-3:], set(tails[p[-2:]])).add(len(p))
+        #: Lengths of the pieces that can end in three, or else in two characters, longest first.
         self.tails = {t: tuple(sorted(n, reverse=True)) for t, n in tails.items()}
         self.unknown_score = min(self.scores) - 10
         plain = [p.encode() if k in (NORMAL, USER) else bytes([int(p[3:5], 16)]) if k == BYTE else " ⁇ ".encode() if k == UNKNOWN else b"" for p, k in zip(self.names, self.kinds, strict=True)]
-        self.plain = [p.replace(MARK.encode(), b" ") for p in plain]
+        self.plain = np.array([p.replace(MARK.encode(), b" ") for p in plain], dtype=object)
         # words may be cut before a mark, and around line ends, where no piece reaches across
         whole = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
         lines = not any("\n" in p and len(p) > 1 for p in self.ids)
         self.cut = re.compile("(?s).+" if whole else f"\n|{MARK}*[^{MARK}\n]+|{MARK}+" if lines else f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.forget()
 
     def forget(self) -> None:
@@ -127,61 +133,67 @@ class Pieces:
                 return parts
             parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
 
-    def step(self, last: str, piece: str) -> bool:
-        """Whether ``piece`` may follow ``last`` (empty: may open a word)."""
-        found = self.fits.get((last, piece))
+    def step(self, last: int, piece: int) -> bool:
+        """Whether one piece may follow another; START may be followed by what opens a word, OTHER is any character
+        without a piece, which never merges."""
+        key = last * len(self.names) + piece
+        found = self.fits.get(key)
         if found is None:
-            if len(self.fits) > 500_000:
+            if len(self.fits) > KEPT_STEPS:
                 self.fits.clear()
-            found = self.fits[last, piece] = self.merged(last + piece) == ([last, piece] if last else [piece])
+            pair = [self.names[last], self.names[piece]] if last >= 0 else [self.names[piece]]
+            found = self.fits[key] = self.merged("".join(pair)) == pair
         return found
 
     # -- the shared forward pass
 
     def segment(self, words: list[str]):
-        """The pieces of each of ``words``, which must be sorted."""
-        score, last = [0.0], [""]  # by length of the prefix
-        ids, scores, tails, merges, step = self.ids, self.scores, self.tails, self.model_type == MERGES, self.step
+        """The ids of each of ``words``, which must be sorted."""
+        score, last, size = [0.0], [START], [0]  # by length of the prefix
+        ids, scores, tails, merges, fits, step, width = self.ids, self.scores, self.tails, self.model_type == MERGES, self.fits, self.step, len(self.names)
         before = ""
         for word in words:
             common, most = 0, min(len(before), len(word))
             while common < most and before[common] == word[common]:
                 common += 1
-            del score[common + 1 :], last[common + 1 :]
+            del score[common + 1 :], last[common + 1 :], size[common + 1 :]
             for end in range(common + 1, len(word) + 1):
-                best, which = None, None
-                for size in tails.get(word[max(0, end - 2) : end], ONE):
-                    start = end - size
-                    if start < 0:
-                        continue
-                    piece = word[start:end]
-                    if piece not in ids and size > 1 or merges and not step(last[start], piece):
+                best, which, long = None, OTHER, 1
+                for n in tails.get(word[end - 3 : end] if end > 2 else "") or tails.get(word[end - 2 : end] if end > 1 else "", ONE):
+                    if n > end:
                         continue
-                    value = score[start] + (scores[ids[piece]] if piece in ids else self.unknown_score)
+                    k = ids.get(word[end - n : end])
+                    if k is None:
+                        if n > 1:
+                            continue
+                        k = OTHER
+                    elif merges:
+                        fit = fits.get(last[end - n] * width + k)
+                        if fit is None:
+                            fit = step(last[end - n], k)
+                        if not fit:
+                            continue
+                    if merges:
+                        which, long = k, n
+                        break  # no other step is allowed
+                    value = score[end - n] + (scores[k] if k != OTHER else self.unknown_score)
                     if best is None or value > best:
-                        best, which = value, piece
-                        if merges:
-                            break  # no other step is allowed
+                        best, which, long = value, k, n
                 score.append(best)
                 last.append(which)
+                size.append(long)
             before = word
-            parts, end = [], len(word)
+            out, end = [], len(word)
             while end:
-                parts.append(last[end])
-                end -= len(last[end])
-            yield parts[::-1]
-
-    def numbered(self, parts: list[str]) -> list[int]:
-        out = []
-        for p in parts:
-            k = self.ids.get(p)
-            if k is not None:
-                out.append(k)
-            elif self.bytes:
-                out += [self.bytes[b] for b in p.encode()]
-            elif not out or out[-1] != self.unknown:
-                out.append(self.unknown)
-        return out
+                k = last[end]
+                if k != OTHER:
+                    out.append(k)
+                elif self.bytes:
+                    out += [self.bytes[b] for b in reversed(word[end - 1].encode())]
+                elif not out or out[-1] != self.unknown:
+                    out.append(self.unknown)
+                end -= size[end]
+            yield out[::-1]
 
     def marked(self, text: str) -> str:
         return (MARK if self.prefix and text else "") + text.replace(" ", MARK)
@@ -201,7 +213,7 @@ class Pieces:
         order = sorted(range(len(new)), key=new.__getitem__)
         found: list = [None] * len(new)
         for i, parts in zip(order, self.segment([new[i] for i in order]), strict=True):
-            found[i] = self.numbered(parts)
+            found[i] = parts
         self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, found), np.int64, len(found))])
         self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(found), np.int32)])
         begins = np.cumsum(self.lengths) - self.lengths
@@ -216,12 +228,13 @@ class Pieces:
         return self.encode_batch([text])[0].tolist()
 
     def decode(self, ids) -> str:
-        plain = self.plain
-        text = b"".join([plain[i] for i in ids]).decode("utf-8", "replace")
+        text = b"".join(self.plain[np.asarray(ids, np.int64)].tolist()).decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
 ONE = (1,)
+#: In place of a piece: nothing yet, and a character without a piece.
+START, OTHER = -2, -1
 _LOADED: dict[str, Pieces] = {}
 
 
@@ -233,16 +246,15 @@ def loaded(model: bytes) -> Pieces:
     return _LOADED[key]
 
 
-def _groups(texts: list[str | None]):
-    group, held = [], 0
-    for i, t in enumerate(texts):
-        group.append(i)
-        held += len(t or "")
-        if held > GROUP_CHARS:
-            yield group
-            group, held = [], 0
-    if group:
-        yield group
+def _groups(texts: pa.Array):
+    """(first row, rows) of pieces of a batch with about GROUP_CHARS bytes of text each."""
+    sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
+    start = held = 0
+    for i, n in enumerate(sizes):
+        held += n
+        if held > GROUP_CHARS or i == len(sizes) - 1:
+            yield start, i + 1 - start
+            start, held = i + 1, 0
 
 
 def encode(docs: DataFrame, text: str = "text", model_path: str = MODEL_PATH) -> DataFrame:
@@ -255,13 +267,13 @@ def encode(docs: DataFrame, text: str = "text", model_path: str = MODEL_PATH) ->
     def run(batches):
         pieces = loaded(model)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            for group in _groups(texts):
-                part = batch.slice(group[0], len(group))
-                ids, ends = pieces.encode_batch([texts[i] or "" for i in group])
+            source = batch.column(batch.schema.get_field_index(text))
+            for start, count in _groups(source):
+                part, texts = batch.slice(start, count), source.slice(start, count).to_pylist()
+                ids, ends = pieces.encode_batch([t or "" for t in texts])
                 if ends[-1] > 2**31 - 1:
                     raise ValueError("a group of texts has more tokens than an Arrow list holds")
-                null = pa.array([texts[i] is None for i in group])
+                null = pa.array([t is None for t in texts])
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids), mask=null)
                 made = [lists, pa.array(np.diff(ends))]
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *names])
@@ -278,7 +290,7 @@ def decode(encoded: DataFrame, ids: str = "ids", model_path: str = MODEL_PATH) -
         pieces = loaded(model)
         for batch in batches:
             source = batch.column(batch.schema.get_field_index(ids))
-            texts = [pieces.decode(x.values.to_pylist()) if (x := source[i]).is_valid else None for i in range(batch.num_rows)]
+            texts = [pieces.decode(x.values.to_numpy()) if (x := source[i]).is_valid else None for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, f"{_ddl(encoded)}, decoded string")
