@@ -18,11 +18,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, drop_clashing, table
+from .common import BROADCAST_BYTES, OWN, drop_clashing, table, written
 from .media import _ddl
+from .urls import BLOCK_BYTES, URLS_A_BLOCK, bloom_filter, possible
 
 SYMBOLS, ORDER = 48, 4
 #: A context's own counts weigh against this many of what the shorter context says.
@@ -59,38 +60,28 @@ def codes_of(text: str) -> np.ndarray:
     return out
 
 
-def counted(docs: DataFrame, target: str, text: str = "text") -> DataFrame:
-    """``code``, ``everywhere`` and ``in_target``: how often each four-gram occurs in all texts and in target ones."""
+def counted(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``code`` and ``n``: how often each four-gram occurs in all of the texts."""
 
     def run(batches):
-        sums = np.zeros((2, SYMBOLS**ORDER), np.int64)
-
-        def add(codes: list[np.ndarray], row: int) -> None:
-            if codes:
-                sums[row] += np.bincount(np.concatenate(codes), minlength=sums.shape[1])
-
+        sums = np.zeros(SYMBOLS**ORDER, np.int64)
         for batch in batches:
-            texts, marks = batch.column(0), batch.column(1)
-            held, groups = 0, ([], [])
+            texts, held, group = batch.column(0), 0, []
             for i in range(batch.num_rows):
                 t = texts[i].as_py()
                 if t:
-                    codes = codes_of(t)
-                    held += len(codes)
-                    groups[1 if marks[i].as_py() else 0].append(codes)
-                if held > GROUP or i == batch.num_rows - 1:
-                    add(groups[0], 0)
-                    add(groups[1], 1)
-                    held, groups = 0, ([], [])
-        sums[0] += sums[1]
-        some = np.nonzero(sums[0])[0]
+                    group.append(codes_of(t))
+                    held += len(group[-1])
+                if group and (held > GROUP or i == batch.num_rows - 1):
+                    sums += np.bincount(np.concatenate(group), minlength=len(sums))
+                    held, group = 0, []
+        some = np.nonzero(sums)[0]
         for at in range(0, len(some), 200_000):
             part = some[at : at + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(sums[0][part]), pa.array(sums[1][part])], names=["code", "everywhere", "in_target"])
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(sums[part])], names=["code", "n"])
 
-    rows = docs.select(F.col(text).alias("text"), F.coalesce(F.col(target), F.lit(False)).alias("target"))
-    sums = rows.mapInArrow(run, "code int, everywhere bigint, in_target bigint")
-    return sums.groupBy("code").agg(F.sum("everywhere").alias("everywhere"), F.sum("in_target").alias("in_target"))
+    sums = docs.select(F.col(text).alias("text")).mapInArrow(run, "code int, n bigint")
+    return sums.groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def losses(counts: np.ndarray) -> np.ndarray:
@@ -104,14 +95,13 @@ def losses(counts: np.ndarray) -> np.ndarray:
     return (-np.log2(p)).astype(np.float32).reshape(-1)
 
 
-def models(docs: DataFrame, target: str, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Losses under the target and the background model. At most 48^4 counts reach the driver."""
-    got = counted(docs, target, text).toArrow()
-    code = got.column("code").to_numpy()
+def models(target: DataFrame, everything: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Losses under the target and the background model. At most 48^4 counts of each reach the driver."""
     out = []
-    for name in ("in_target", "everywhere"):
+    for docs in (target, everything):
+        got = counted(docs, text).toArrow()
         counts = np.zeros(SYMBOLS**ORDER, np.float64)
-        counts[code] = got.column(name).to_numpy()
+        counts[got.column("code").to_numpy()] = got.column("n").to_numpy()
         out.append(counts)
     if not out[0].any():
         out[0] = out[1]
@@ -145,19 +135,20 @@ def score(docs: DataFrame, of: tuple[np.ndarray, np.ndarray], text: str = "text"
     return docs.mapInArrow(run, f"{_ddl(docs)}, n_tokens bigint, loss_target double, loss_background double, score double")
 
 
-def marked(docs: DataFrame, good: DataFrame, key: str = "doc_id", column: str = f"{OWN}target") -> DataFrame:
-    """``docs`` with a boolean: whether ``good`` holds its key. Ids are few beside texts; the planner broadcasts them when
-    they are small and otherwise splits hot keys, of which ``good`` has one row each."""
-    ids = good.select(F.col(key).alias(f"{OWN}id")).where(F.col(f"{OWN}id").isNotNull()).distinct().withColumn(column, F.lit(True))
-    return docs.join(ids, F.col(key) == F.col(f"{OWN}id"), "left").drop(f"{OWN}id")
-
-
-def is_good(quality: Column) -> Column:
-    return quality == 1
+def having(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose key ``ids`` holds. While a Bloom filter of the ids is small enough to be sent along, the
+    rows that it passes are the only ones that a join may have to shuffle with their texts."""
+    own = f"{OWN}id"
+    ids = written(ids.select(F.col(key).cast("string").alias(own)).where(F.col(own).isNotNull()).distinct(), "target-ids")
+    blocks = max(1, ids.count() // URLS_A_BLOCK)
+    if blocks * BLOCK_BYTES <= BROADCAST_BYTES:
+        docs = possible(docs, F.col(key).cast("string"), bloom_filter(ids, own, blocks), blocks)
+    # not a semi-join, which the optimizer would move below the filter's join
+    return docs.join(ids, F.col(key).cast("string") == F.col(own)).drop(own)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    good = table(spark, sf_dir, "labels").where(is_good(F.col("quality")))
-    of = models(marked(docs, good), f"{OWN}target")
+    good = table(spark, sf_dir, "labels").where("quality = 1")
+    of = models(having(docs, good), docs)
     return score(docs, of).select("doc_id", "n_tokens", "loss_target", "loss_background", "score")

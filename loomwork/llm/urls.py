@@ -85,6 +85,15 @@ def bloom_filter(listed: DataFrame, url: str, blocks: int) -> DataFrame:
     return marked.groupBy(BLOCK).agg(*[F.bit_or(w).alias(w) for w in WORDS])
 
 
+def possible(rows: DataFrame, key: Column, bloom: DataFrame, blocks: int) -> DataFrame:
+    """The rows whose key a (broadcast) filter passes: all that were listed, and few others."""
+    block, bits = _spot(key, blocks)
+    hit = F.lit(True)
+    for b, w in zip(bits, WORDS, strict=True):
+        hit = hit & (F.col(w).bitwiseAND(b) == b)
+    return rows.withColumn(BLOCK, block).join(F.broadcast(bloom), BLOCK).where(hit).select(*rows.columns)
+
+
 def judge(pages: DataFrame, listed: DataFrame, url: str = "url", rules: list[Rule] | None = None) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``canonical``, ``rule`` and ``verdict``.
 
