@@ -493,4 +493,4 @@ WORDS = "amber basin cedar delta ember field grove haven inlet jetty knoll ledge
 
 
 def word(u: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(w) for w in WORDS]), (F.floor(u * len(WORDS)) + 1).cast("int"))
+    return F.element_at(F.split(F.lit(" ".join(WORDS)), " "), (F.floor(u * len(WORDS)) + 1).cast("int"))

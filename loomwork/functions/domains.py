@@ -104,6 +104,9 @@ _SLOT = re.compile(r"\{([a-z_]+|[9xAazH]:\d+|\d+-\d+)\}")
 
 
 def picked(options: list, u: Column) -> Column:
+    """One of some literals. Strings are one literal that is cut up, which is folded when the plan is made."""
+    if all(isinstance(o, str) for o in options):
+        return F.element_at(F.split(F.lit("\x1f".join(options)), "\x1f", -1), (F.floor(u * len(options)) + 1).cast("int"))
     return F.element_at(F.array(*[F.lit(o) for o in options]), (F.floor(u * len(options)) + 1).cast("int"))
 
 

@@ -215,27 +215,27 @@ class Generator:
         row = F.col(ROW)
         rules = bool(schema.assumes)
 
-        def attempts(first: int, count: int) -> tuple[Column, T.StructType]:
+        def attempts(first: int, count: int) -> tuple[Column, Column, T.StructType]:
+            """The attempts that satisfy the rules, all of them, and their type."""
             numbers = F.transform(F.sequence(F.lit(first), F.lit(first + count - 1)), lambda i: F.struct(i.alias(NUMBER)))
             arr, kind = self.elements(numbers, T.StructType([T.StructField(NUMBER, T.IntegerType())]), now, schema, label, [row], Scope(lets=self.lets), made.count, given)
             if not rules:
-                return arr, kind
+                return arr, arr, kind
 
             def fits(x: Column) -> Column:
                 scope = self.scope(x, kind, [row, x[NUMBER]], label, None, given)
                 ok = holds(schema, scope)
                 return ~ok if violating else ok
 
-            return F.filter(arr, fits), kind
+            return F.filter(arr, fits), arr, kind
 
         if rules:
-            few, kind = attempts(0, FIRST)
-            many, _ = attempts(FIRST, ATTEMPTS - FIRST)
-            plain, _ = self.elements(F.array(F.struct(F.lit(0).alias(NUMBER))), T.StructType([T.StructField(NUMBER, T.IntegerType())]), now, schema, label, [row], Scope(lets=self.lets), made.count, given)
-            one = F.coalesce(F.try_element_at(few, F.lit(1)), F.try_element_at(many, F.lit(1)))
-            df = df.withColumn("__one", one).withColumn("__unmet", F.col("__one").isNull()).withColumn("__one", F.coalesce("__one", F.try_element_at(plain, F.lit(1))))
+            few, tried, kind = attempts(0, FIRST)
+            many = attempts(FIRST, ATTEMPTS - FIRST)[0]
+            df = df.withColumn("__one", F.coalesce(F.try_element_at(few, F.lit(1)), F.try_element_at(many, F.lit(1))))
+            df = df.withColumn("__unmet", F.col("__one").isNull()).withColumn("__one", F.coalesce("__one", F.try_element_at(tried, F.lit(1))))
         else:
-            arr, kind = attempts(0, 1)
+            arr, _, kind = attempts(0, 1)
             df = df.withColumn("__one", F.try_element_at(arr, F.lit(1)))
         names = [f.name for f in kind.fields if f.name != NUMBER]
         df = df.select(*[x for x in df.columns if x != "__one"], *[F.col("__one").getField(n).alias(n) for n in names])
