@@ -37,11 +37,11 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, MERGES = 1, 2
 #: A worker forgets the ids of the words that it has seen when they are more than this, or longer together.
-KEPT_WORDS, KEPT_CHARS = 250_000, 8_000_000
+KEPT_WORDS, KEPT_CHARS = 200_000, 8_000_000
 #: Pairs of pieces that a worker remembers as fitting or not.
 KEPT_STEPS = 300_000
 #: Texts are handled in groups of about so many characters.
-GROUP_CHARS = 3 << 20
+GROUP_CHARS = 2 << 20
 
 
 def _fields(data: bytes):
@@ -257,11 +257,12 @@ def _groups(texts: pa.Array):
             start, held = i + 1, 0
 
 
-def encode(docs: DataFrame, text: str = "text", model_path: str = MODEL_PATH) -> DataFrame:
+def encode(docs: DataFrame, text: str = "text", model_path: str = MODEL_PATH, decoded: bool = False) -> DataFrame:
     """``docs`` with ``ids`` (array of int) and ``n_tokens`` of each whole text. The model file is read by the driver and
-    sent along (half a megabyte), so executors need no file of their own; nothing is shuffled."""
+    sent along (half a megabyte), so executors need no file of their own; nothing is shuffled. With ``decoded``, also
+    the text of the ids, as ``decode`` gives it, made by the same worker instead of a second one beside it."""
     model = Path(model_path).read_bytes()
-    names = ["ids", "n_tokens"]
+    names = ["ids", "n_tokens", *(["decoded"] if decoded else [])]
     docs = drop_clashing(docs, names)
 
     def run(batches):
@@ -276,9 +277,12 @@ def encode(docs: DataFrame, text: str = "text", model_path: str = MODEL_PATH) ->
                 null = pa.array([t is None for t in texts])
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids), mask=null)
                 made = [lists, pa.array(np.diff(ends))]
+                if decoded:
+                    made.append(pa.array([None if t is None else pieces.decode(ids[ends[i] : ends[i + 1]]) for i, t in enumerate(texts)], pa.string()))
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *names])
+        pieces.forget()  # an idle worker holds no words
 
-    return docs.mapInArrow(run, f"{_ddl(docs)}, ids array<int>, n_tokens bigint")
+    return docs.mapInArrow(run, f"{_ddl(docs)}, ids array<int>, n_tokens bigint{', decoded string' if decoded else ''}")
 
 
 def decode(encoded: DataFrame, ids: str = "ids", model_path: str = MODEL_PATH) -> DataFrame:
@@ -299,5 +303,5 @@ def decode(encoded: DataFrame, ids: str = "ids", model_path: str = MODEL_PATH) -
 def query(spark, sf_dir: str) -> DataFrame:
     """Encodes every whole text, decodes the ids again, and says whether that gave the text back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    seen = decode(encode(docs))
+    seen = encode(docs, decoded=True)
     return seen.select("doc_id", "n_tokens", "ids", F.crc32(F.encode("decoded", "UTF-8")).alias("decoded_crc32"), F.col("decoded").eqNullSafe(F.col("text")).alias("exact"))
