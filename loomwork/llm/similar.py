@@ -1,11 +1,15 @@
-"""Near-copies by similarity: SimHash of 1024 bits for candidates, exact overlap of word shingles for links.
+"""Near-copies by similarity: exact overlap (Jaccard) of word shingles, by prefixes of ordered shingle sets.
 
-For texts whose shingle sets overlap (Jaccard) by 0.8, some 15 of 100 SimHash bits differ: more than parts of 64 bits can
-bear. So the fingerprint is wider, and the parts are many: each part is a set of bits drawn at random, so wide that two
-unlike texts of a table this size seldom share one, and there are as many parts as it takes to find MISSED or fewer of
-the pairs at the limit. Within a part's bucket, put in an order that differs from part to part, each text meets the
-first and the one before it; a pair that is alike shares several buckets, and the links of a group connect it. So work
-and rows grow with the number of texts and not with the square of a group. Every pair that meets is verified.
+All shingles are put in one order, rare ones first. Two sets whose overlap reaches the limit must share a shingle among the
+first ``size - ceil(limit * size) + 1`` of each; and after the first shingle that they share, enough must be left in both
+to reach the limit. So what meets on such a shingle, with enough left, holds every pair at the limit, whatever the order:
+the order (counts of all shingles, folded to a table of fixed size) decides only how much meets besides. Nothing is
+drawn at random and nothing dropped.
+
+Only the groups are asked for, so pairs already in one group needn't meet. First each text meets the one before it on
+each shingle, in an order that differs from shingle to shingle, and what proves alike is grouped; then all texts of
+different groups meet. Thus a group of near copies costs work in its size, not in its square. Every pair that meets is
+verified on the whole sets.
 
 Copies of a text (equal words) are linked by their hash and meet others once. Defined results: a null, empty or blank
 text is linked with others like it; a text of fewer words than a shingle is one shingle; repeated rows are copies. An
@@ -15,11 +19,12 @@ empty table gives an empty table.
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -27,33 +32,48 @@ from .common import OWN, written
 from .components import components
 from .simhash import hashes_of, words_of
 
-SHINGLE, SIMILAR, WORDS, MISSED, LEAST_WIDTH = 5, 0.8, 16, 0.01, 20
-#: Neighbours before a text in its bucket that it meets besides the first.
-BEFORE = 1
-#: Differing bits of one of the fingerprint's 64-bit words beyond which a meeting isn't verified: 3.6 deviations out for a pair at the limit.
-SCREEN = 20
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+SHINGLE, SIMILAR = 5, 0.8
+#: Slots of the table of shingle counts, and slots sent in one row.
+SLOTS, SLOTS_A_ROW = 1 << 21, 1 << 16
+
+
+def counts_of(slim: DataFrame) -> np.ndarray:
+    """How many texts hold a shingle of each slot, as steps of a quarter of a doubling (a byte each)."""
+
+    def packed(sums):
+        for k in np.nonzero(sums.reshape(-1, SLOTS_A_ROW).any(axis=1))[0]:
+            yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), pa.array([zlib.compress(sums[k * SLOTS_A_ROW : (k + 1) * SLOTS_A_ROW].tobytes(), 1)])], names=["part", "n"])
 
+    def count(batches):
+        sums = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            sets = [np.frombuffer(x.as_py(), np.uint32) for x in batch.column(0)]
+            if sets:
+                sums += np.bincount(np.concatenate(sets) % SLOTS, minlength=SLOTS)
+        yield from packed(sums)
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                got = np.frombuffer(zlib.decompress(n), np.int64)
+                sums[k] = sums[k] + got if k in sums else got
+        for k, n in sums.items():
+            steps = np.minimum(255, np.round(4 * np.log2(1 + n))).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([steps.tobytes()])], names=["part", "n"])
 
-def wide_bits(hashes: np.ndarray) -> np.ndarray:
-    """The 64 * WORDS majority bits of the shingle hashes, each word from hashes mixed anew."""
-    counts = np.zeros(64 * WORDS, np.int64)
-    for at in range(0, len(hashes), 255):
-        h = hashes[at : at + 255, None] + _STEP * np.arange(1, WORDS + 1, dtype=np.uint64)
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(31)
-        counts += np.add.reduce(np.unpackbits(h.view(np.uint8), axis=1), axis=0, dtype=np.uint8)
-    return counts * 2 > len(hashes)
+    sent = slim.select("shingles").mapInArrow(count, "part int, n binary").repartition("part")
+    out = np.zeros(SLOTS, np.uint8)
+    for r in sent.mapInArrow(add, "part int, n binary").collect():
+        out[r["part"] * SLOTS_A_ROW : (r["part"] + 1) * SLOTS_A_ROW] = np.frombuffer(r["n"], np.uint8)
+    return out
 
 
-def parts_for(count: int, similar: float = SIMILAR) -> np.ndarray:
-    """Bit numbers of each part, for a table of ``count`` texts."""
-    width = max(LEAST_WIDTH, math.ceil(math.log2(max(2, count))) + 2)
-    agree = 1 - math.acos(2 * similar / (1 + similar)) / math.pi
-    parts = math.ceil(math.log(MISSED) / math.log(1 - agree**width))
-    rng = np.random.default_rng(97)
-    return np.stack([rng.choice(64 * WORDS, width, replace=False) for _ in range(parts)])
+def prefix_of(hashes: np.ndarray, counts: np.ndarray, similar: float) -> tuple[np.ndarray, int]:
+    """The first shingles of a text in the common order, so many that a text at the limit shares one, and the size of the set."""
+    own = np.unique(hashes)
+    order = np.lexsort((own, counts[own.astype(np.uint32) % SLOTS]))
+    return own[order[: len(own) - math.ceil(similar * len(own) - 1e-9) + 1]], len(own)
 
 
 def _identity(words: list[bytes]) -> int:
@@ -68,8 +88,6 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similar: float = SIMILAR) -> DataFrame:
     """``key`` and ``component_id``, the smallest key that links of at least ``similar`` can reach, of every row."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    parts = parts_for(rows.count(), similar)
-    place = 1 << np.arange(parts.shape[1])
 
     def features(batches):
         for batch in batches:
@@ -82,12 +100,16 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shi
                 sets.append(np.unique(hashes_of(t, shingle).astype(np.uint32)).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["key", "id", "shingles"])
 
-    def buckets(batches):
+    kind = rows.schema["key"].dataType.simpleString()
+    slim = written(rows.mapInArrow(features, f"key {kind}, id bigint, shingles binary"), "shingles")
+    counts = docs.sparkSession.sparkContext.broadcast(counts_of(slim))
+
+    def prefixes(batches):
         seen: set[int] = set()  # of this task: a copy sends nothing again
         for batch in batches:
             source = batch.column(1)
             for start in range(0, batch.num_rows, 256):
-                ids, keys, screens = [], [], []
+                ids, firsts, sizes = [], [], []
                 for i in range(start, min(start + 256, batch.num_rows)):
                     t = source[i].as_py()
                     words = words_of(t)
@@ -95,28 +117,35 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shi
                     if not words or one in seen:
                         continue
                     seen.add(one)
-                    bits = wide_bits(hashes_of(t, shingle))
-                    keys.append(bits[parts] @ place + (np.arange(len(parts)) << 32))
+                    first, size = prefix_of(hashes_of(t, shingle), counts.value, similar)
                     ids.append(one)
-                    screens.append(int(np.packbits(bits[:64]).view(">i8")[0]))
+                    firsts.append(first)
+                    sizes.append(size)
                 if ids:
-                    n = len(parts)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(ids, np.int64), n)), pa.array(np.repeat(np.array(screens, np.int64), n))], names=["bucket", "id", "screen"])
-
-    kind = rows.schema["key"].dataType.simpleString()
-    slim = written(rows.mapInArrow(features, f"key {kind}, id bigint, shingles binary"), "shingles")
-    dealt = rows.mapInArrow(buckets, "bucket bigint, id bigint, screen bigint")
-    over = Window.partitionBy("bucket").orderBy(F.xxhash64("id", "bucket"), "id")
-    me = F.struct("id", "screen")
-    met = dealt.select("id", "screen", F.array(F.first(me).over(over), *[F.lag(me, k).over(over) for k in range(1, BEFORE + 1)]).alias("others"))
-    near = F.filter("others", lambda o: o.isNotNull() & (o["id"] != F.col("id")) & (F.bit_count(o["screen"].bitwiseXOR(F.col("screen"))) <= SCREEN))
-    pairs = met.select("id", F.explode(near).alias("o")).select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b"))
-    pairs = written(pairs.distinct(), "similar-pairs")
-
-    wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id")
-    sets = slim.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("shingles").alias("shingles"))
-    sets = written(sets, "compared-shingles")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+                    many = [len(x) for x in firsts]
+                    at = np.concatenate([np.arange(n, dtype=np.int32) for n in many])
+                    columns = [np.concatenate(firsts).view(np.int64), np.repeat(np.array(ids, np.int64), many), np.repeat(np.array(sizes, np.int32), many), at]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shingle", "id", "size", "at"])
+
+    def enough(size_a: Column, left_a: Column, size_b: Column, left_b: Column) -> Column:
+        return F.least(left_a, left_b) >= F.lit(similar / (1 + similar)) * (size_a + size_b) - 1e-6
+
+    dealt = rows.mapInArrow(prefixes, "shingle bigint, id bigint, size int, at int").select("shingle", "id", "size", (F.col("size") - F.col("at")).alias("left"))
+    over, all_ = Window.partitionBy("shingle").orderBy(F.xxhash64("id", "shingle"), "id"), Window.partitionBy("shingle")
+    met = dealt.withColumns({"before": F.lag(F.struct("id", "size", "left")).over(over), "least": F.min("id").over(all_), "most": F.max("id").over(all_)})
+    met = met.where("least < most AND (before IS NULL OR before.id <> id)").drop("least", "most")
+    met = written(met, "shared-shingles")
+
+    def named(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs whose sets overlap enough."""
+        wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id")
+        sets = slim.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("shingles").alias("shingles"))
+        sets = written(sets, "compared-shingles")
+        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+        return written(both.select("a", "b", "x", "y").mapInArrow(verified, "a bigint, b bigint"), name)
 
     def verified(batches):
         for batch in batches:
@@ -124,7 +153,22 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shi
             keep = [overlap(np.frombuffer(x[i].as_py(), np.uint32), np.frombuffer(y[i].as_py(), np.uint32)) >= similar for i in range(batch.num_rows)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    links = both.select("a", "b", "x", "y").mapInArrow(verified, "a bigint, b bigint")
+    first = met.where(enough(F.col("size"), F.col("left"), F.col("before.size"), F.col("before.left")))
+    tried = written(named(first.select(F.col("id").alias("x"), F.col("before.id").alias("y"))), "first-pairs")
+    links = linked(tried, "first-links")
+    grouped = components(links)
+    inside = met.drop("before").join(grouped.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    inside = written(inside.withColumns({"least": F.min("root").over(all_), "most": F.max("root").over(all_)}).where("least < most").drop("least", "most"), "unlike-groups")
+    # groups that meet on a shingle, by the best that any of their texts has there; then their texts
+    best = inside.groupBy("shingle", "root").agg(F.min("size").alias("size"), F.max("left").alias("left"))
+    g, h = best.alias("g"), best.alias("h")
+    meeting = g.join(h, (F.col("g.shingle") == F.col("h.shingle")) & (F.col("g.root") < F.col("h.root")) & enough(F.col("g.size"), F.col("g.left"), F.col("h.size"), F.col("h.left")))
+    meeting = written(meeting.select("g.shingle", F.col("g.root").alias("root_x"), F.col("h.root").alias("root_y")), "meeting-groups")
+    for side in "xy":
+        meeting = meeting.join(inside.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("root", "id", "size", "left")]), ["shingle", f"root_{side}"])
+    rest = named(meeting.where(enough(F.col("size_x"), F.col("left_x"), F.col("size_y"), F.col("left_y"))).select(F.col("id_x").alias("x"), F.col("id_y").alias("y")))
+    rest = written(rest.join(tried, ["a", "b"], "left_anti"), "other-pairs")
+    links = links.unionByName(linked(rest, "other-links"))
     stars = components(links)
     firsts = slim.groupBy("id").agg(F.min("key").alias("first"))
     rooted = firsts.join(stars, firsts["id"] == stars["node"], "left").select("id", "first", F.coalesce("root", "id").alias("root"))
