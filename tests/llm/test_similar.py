@@ -24,3 +24,15 @@ def test_pairs_in_a_dense_family(spark):
     assert similar.overlap(sets[0], sets[1]) < 0.8 <= min(similar.overlap(sets[i], sets[1200 + i]) for i in range(100))
     got = groups_of(spark, texts)
     assert all(got[1200 + i] == got[i] == i for i in range(100)) and len(set(got.values())) == 1200
+
+
+def test_repeated_lines_and_short_texts(spark):
+    """What is repeated in a copy adds nothing to its set; eight words and nine share four of five shingles."""
+    rng = np.random.default_rng(4)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    texts = [" ".join(fresh(200)) for _ in range(20)] + [" ".join(fresh(8)) for _ in range(40)]
+    texts += [f"{t} {' '.join(fresh(12) * 10)}" for t in texts[:20]] + [f"{t} {fresh(1)[0]}" for t in texts[20:60]]
+    sets = sets_of(texts)
+    assert min(similar.overlap(sets[i], sets[60 + i]) for i in range(60)) >= 0.8
+    got = groups_of(spark, texts)
+    assert all(got[60 + i] == got[i] == i for i in range(60))
