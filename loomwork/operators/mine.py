@@ -1,7 +1,6 @@
 """Mining relations between the columns of a table.
 
-Each candidate relation is one support ratio, so a pass over the table tests a chunk of candidates at once; candidates
-are first screened on a bounded sample, as most fail there, and the survivors are tested on all rows.
+Each candidate relation is one support ratio over all rows, so a pass over the table tests a chunk of candidates at once.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SUPPORT, TOLERANCE, MOST_RULES = 0.95, 1e-4, 20
-CHUNK, SCREEN_ROWS = 150, 4000
+CHUNK = 150
 ABSOLUTE, RELATIVE = 0.01, 1e-4
 
 # Names between which an order of numbers means something, smaller first.
@@ -87,10 +86,7 @@ def _tested(df: DataFrame, candidates: list[tuple[str, tuple, Column]]) -> list[
 
 
 def _screened(df: DataFrame, candidates: list[tuple[str, tuple, Column]]) -> list[tuple[str, tuple, Column, float]]:
-    """The candidates that hold on a sample and then on all rows, with their support."""
-    if len(candidates) > 40:
-        rough = _tested(df.limit(SCREEN_ROWS), candidates)
-        candidates = [c for c, s in zip(candidates, rough, strict=True) if s >= SUPPORT - 0.1]
+    """The candidates that hold on all rows, with their support."""
     return [(*c, s) for c, s in zip(candidates, _tested(df, candidates), strict=True) if s >= SUPPORT]
 
 

@@ -47,3 +47,10 @@ def test_round_trip(spark):
 def test_names(spark):
     assert identifier("Total Price-2") == "total_price_2" and identifier("date") == "date_" and identifier("1st") == "_1st"
     assert "id: number;" in typescript("A", profile(spark.range(3)))
+
+
+def test_mining_counts_all_rows_of_a_wide_table(spark):
+    """A relation whose columns are null in the first thousands of rows."""
+    df = spark.range(0, 20000, 1, 1).selectExpr("id % 97 + 2.0 AS a", "id % 89 + 3.0 AS b", "id % 83 + 5.0 AS c", "id % 79 * 7.5 AS d")
+    df = df.selectExpr("*", "CASE WHEN monotonically_increasing_id() >= 5000 THEN a * b END AS t")
+    assert any(r.kind == "product" and r.target == "t" and r.text == "a * b" and r.support == 1.0 for r in mine.mine(df))
