@@ -657,6 +657,12 @@ def _(spark, sf):
     return df.select("o_orderkey", (F.floor(F.col("paid") * 100 + 0.5) / 100).alias("paid"), "o_orderstatus")
 
 
+@entry("gen_then_subtract", "SELECT o_orderkey, floor((o_totalprice - coalesce(q, 0)) * 100 + 0.5) / 100 AS o_totalprice FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
+def _(spark, sf):
+    df = _mutated(spark, sf, "order.o_totalprice = order.o_totalprice - l_quantity")
+    return df.select("o_orderkey", (F.floor(F.col("o_totalprice") * 100 + 0.5) / 100).alias("o_totalprice"))
+
+
 @entry("gen_then_last_write", "SELECT o_orderkey, coalesce(f, o_orderstatus) AS o_orderstatus FROM orders LEFT JOIN (SELECT l_orderkey, arg_max(l_returnflag, l_linenumber) AS f, count(*) = count(DISTINCT l_linenumber) AS good FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE coalesce(good, true)")
 def _(spark, sf):
     ties = read(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").count().where("count > 1").select(F.col("l_orderkey").alias("o_orderkey")).distinct()

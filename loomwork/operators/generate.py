@@ -473,7 +473,8 @@ class Generator:
 
     def mutate(self, made: Made) -> None:
         """``then``: sums into and last writes onto the rows that a collection refers to, in one aggregate by their number
-        and one join; values that read the referenced row see it after the sums."""
+        and one join; values that read the referenced row see it after the sums where only the last one counts, or else all
+        changes are made row by row, in order."""
         by_target: dict[str, list[S.Mutation]] = {}
         for m in made.schema.mutations:
             if len(m.target) != 2 or m.target[0] not in made.references:
@@ -482,6 +483,9 @@ class Generator:
             by_target.setdefault(m.target[0], []).append(m)
         for ref, mutations in by_target.items():
             target = self.made[made.references[ref]]
+            if _stepwise(ref, mutations):
+                target.frame, target.changed = self.folded(made.frame, target.frame, ref, mutations), True
+                continue
             scope = row_scope(made.frame.schema, self.lets, self.options.functions)
             sums, after = [], []
             for k, m in enumerate(mutations):
@@ -517,6 +521,64 @@ class Generator:
             target.frame = df.select(*order)
             target.changed = True
 
+    def folded(self, rows: DataFrame, target: DataFrame, ref: str, mutations: list[S.Mutation]) -> DataFrame:
+        """``target`` after all changes of each referring row in turn. The rows of one target are gathered, as such changes
+        can't be added up in parts."""
+        named = sorted({n for m in mutations for n in names_in(m.value)} & set(rows.columns) - {ref, ROW})
+        changes = rows.where(F.col(f"__fk_{ref}").isNotNull()).groupBy(F.col(f"__fk_{ref}").alias("__to"))
+        changes = changes.agg(F.sort_array(F.collect_list(F.struct(F.col(ROW), *[F.col(f"`{n}`") for n in named]))).alias("__rows"))
+        shown = {f.name: f.dataType for f in target.schema.fields}
+        kinds = dict(shown)
+
+        def change(m: S.Mutation, state: dict[str, Column], row: Column) -> Value:
+            whole = F.struct(*[state.get(c, F.col(f"`{c}`")).alias(c) for c in kinds])
+            own = {n: Value(row.getField(n), rows.schema[n].dataType) for n in named}
+            kind = T.StructType([T.StructField(c, t) for c, t in kinds.items()])
+            v = compiled(m.value, Scope({**own, ref: Value(whole, kind)}, None, self.lets, None, REGISTRY | self.options.functions))
+            if m.op != "+=":
+                return v
+            f = m.target[1]
+            old = F.coalesce(state[f].cast("double"), F.lit(0.0)) if f in state else F.lit(0.0)
+            return Value(old + F.coalesce(V.number(v), F.lit(0.0)), T.DoubleType())
+
+        fields = list(dict.fromkeys(m.target[1] for m in mutations))
+        for m in mutations:
+            f = m.target[1]
+            if m.op == "+=" and isinstance(kinds.get(f), (T.IntegralType, type(None))):
+                kinds[f] = T.DoubleType()
+            elif f not in kinds:
+                kinds[f] = change(m, {x: F.lit(None).cast(kinds[x]) for x in fields if x in kinds and x not in shown}, F.element_at("__rows", 1)).type
+
+        def step(state: Column, row: Column) -> Column:
+            now = {f: state.getField(f) for f in fields}
+            for m in mutations:
+                now[m.target[1]] = change(m, now, row).column.cast(kinds[m.target[1]])
+            return F.struct(*[now[f].alias(f) for f in fields])
+
+        start = F.struct(*[(F.col(f"`{f}`") if f in shown else F.lit(None)).cast(kinds[f]).alias(f) for f in fields])
+        df = target.join(changes, F.col(ROW) == F.col("__to"), "left")
+        df = df.withColumn("__end", F.when(F.col("__rows").isNotNull(), F.aggregate("__rows", start, step)))
+        for f in fields:
+            kind = T.LongType() if isinstance(shown.get(f), T.IntegralType) and any(m.op == "+=" for m in mutations if m.target[1] == f) else shown.get(f, kinds[f])
+            old = F.col(f"`{f}`") if f in shown else F.lit(None)
+            df = df.withColumn(f, F.when(F.col("__rows").isNotNull(), F.col("__end").getField(f).cast(kind)).otherwise(old.cast(kind)))
+        return df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*shown, *fields])])
+
+
+def _stepwise(ref: str, mutations: list[S.Mutation]) -> bool:
+    """Whether a value that reads the referenced row depends on more than sums and last writes made before it."""
+    targets = [m.target[1] for m in mutations]
+    readers = [ref in names_in(m.value) for m in mutations]
+    for k, m in enumerate(mutations):
+        if not readers[k]:
+            continue
+        paths = [n.parts for n in S.walk(m.value) if isinstance(n, S.Path) and n.parts[0] == ref]
+        if m.op == "+=" or targets.count(targets[k]) > 1 or any(len(x) < 2 for x in paths):
+            return True
+        if any(targets[i] == x[1] and (i >= k or readers[i] or targets.count(x[1]) > 1) for x in paths for i in range(len(mutations))):
+            return True
+    return False
+
 
 def _mapped(arr: Column, f) -> Column:
     """``transform`` of a function of one argument, whatever defaults it has besides."""

@@ -70,3 +70,17 @@ def test_dataset_rules_are_retried_then_warned_of(spark):
     g = Generator(spark, "schema A { a: 1 } dataset D { xs: 1 of A, validate { sum(xs.a) == 2 } }")
     g.run()
     assert g.warnings
+
+
+def test_changes_that_read_the_referenced_row_are_made_row_by_row(spark):
+    from loomwork.catalogue import _made
+    from loomwork.operators.generate import Generator
+
+    g = Generator(spark, "schema P { a: 1 } then { i.left = i.left * 2 - amount, i.paid += amount, i.twice += i.paid }")
+    g.made["is"] = _made(g, "is", spark.createDataFrame([(0, 100.0, 0), (1, 5.0, 7)], "_row long, left double, paid int"), 2)
+    rows = spark.createDataFrame([(2, 0, 1.0), (0, 0, 10.0), (1, 0, 20.0)], "_row long, __fk_i long, amount double")
+    made = _made(g, "ps", rows, 3)
+    made.schema, made.references = g.schemas["P"], {"i": "is"}
+    g.mutate(made)
+    got = [tuple(r) for r in g.made["is"].frame.orderBy("_row").collect()]
+    assert got == [(0, 719.0, 31, 71.0), (1, 5.0, 7, None)]
