@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -637,14 +637,14 @@ def _(spark, sf):
     return df.select("o_orderkey", F.col("items")[1]["status"].alias("status"), F.size(F.array_distinct("items.status")).cast("long").alias("n1")).select("o_orderkey", "status", (F.col("n1") + 1).alias("n"))
 
 
-def _mutated(spark, sf, then: str) -> DataFrame:
+def _mutated(spark, sf, then: str, row: Column | None = None) -> DataFrame:
     """Orders after a block of changes from their line items."""
     from .operators.generate import Generator
 
     g = Generator(spark, f"schema Line {{ a: 1 }} then {{ {then} }}")
     orders = _numbered(spark, sf, "orders", "o_orderkey").withColumn("paid", F.lit(0.0))
     g.made["orders"] = _made(g, "orders", orders, 0)
-    rows = read(spark, sf, "lineitem").withColumn("__fk_order", F.col("l_orderkey")).withColumn("_row", F.col("l_orderkey") * 1000 + F.col("l_linenumber"))
+    rows = read(spark, sf, "lineitem").withColumn("__fk_order", F.col("l_orderkey")).withColumn("_row", F.col("l_orderkey") * 1000 + F.col("l_linenumber") if row is None else row)
     lines = _made(g, "lines", rows, 0)
     lines.schema, lines.references = g.schemas["Line"], {"order": "orders"}
     g.mutate(lines)
@@ -669,6 +669,12 @@ def _(spark, sf):
     return _mutated(spark, sf, "order.o_orderstatus = l_returnflag").join(ties, "o_orderkey", "left_anti").select("o_orderkey", "o_orderstatus")
 
 
+@entry("gen_then_last_write_all", "SELECT o_orderkey, coalesce(f, o_orderstatus) AS o_orderstatus FROM orders LEFT JOIN (SELECT l_orderkey, l_returnflag AS f FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_returnflag DESC) = 1) ON l_orderkey = o_orderkey")
+def _(spark, sf):
+    row = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_returnflag"))
+    return _mutated(spark, sf, "order.o_orderstatus = l_returnflag", row).select("o_orderkey", "o_orderstatus")
+
+
 @entry("gen_unique_permutation", "SELECT count(*) AS n, count(*) AS distinct_ids, true AS inside FROM orders")
 def _(spark, sf):
     n = read(spark, sf, "orders").count()
