@@ -30,13 +30,61 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: While a table is written: Spark deletes the query's shuffle files when the query ends, not when the driver next
+#: collects garbage, and tasks exchange no more than so many rows at once with Python, as texts may be long.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
+    spark = df.sparkSession
+    before = {k: spark.conf.get(k, None) for k in WRITING}
+    try:
+        for k, v in WRITING.items():
+            spark.conf.set(k, v)
+        df.write.parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: it cuts lineage, survives lost executors, and
     lets the planner know the table's true size, so that it broadcasts small ones by itself."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomwork/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _write(df, f"{shared_dir(df.sparkSession)}/loomwork/{name}-{uuid.uuid4().hex}")
+
+
+class Scratch:
+    """Intermediate tables of one call, each written to the shared folder and read again. A table that takes the name of
+    another replaces it: the old one is deleted when the new one is complete. What the caller needs no more it drops."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, f"{shared_dir(spark)}/loomwork/{name}-{uuid.uuid4().hex}"
+        self.paths: dict[str, str] = {}
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        before, path = self.paths.get(name), f"{self.path}/{name}-{uuid.uuid4().hex}"
+        out = _write(df, path)
+        self.paths[name] = path
+        if before:
+            self._delete(before)
+        return out
+
+    def drop(self, *names: str) -> None:
+        """Deletes the named tables; without names, all of them."""
+        for n in names or list(self.paths):
+            if n in self.paths:
+                self._delete(self.paths.pop(n))
+
+    def _delete(self, path: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def ddl(df: DataFrame) -> str:
+    """The columns of ``df`` as a schema string."""
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
 def drop_clashing(df: DataFrame, made: list[str]) -> DataFrame:

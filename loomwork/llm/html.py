@@ -23,8 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, drop_clashing, table
-from .media import _ddl
+from .common import bounded_sample, ddl, drop_clashing, table
 
 #: Bound of the sample of pages that the classifier is fitted on.
 TRAIN_PAGES = 400
@@ -391,7 +390,7 @@ def extract(pages: DataFrame, weights: np.ndarray = PRIOR, html: str = "html") -
             made = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *names])
 
-    return pages.mapInArrow(run, f"{_ddl(pages)}, text string, n_chars bigint")
+    return pages.mapInArrow(run, f"{ddl(pages)}, text string, n_chars bigint")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

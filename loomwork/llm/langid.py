@@ -19,8 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, drop_clashing, table
-from .media import _ddl
+from .common import OWN, ddl, drop_clashing, table
 
 #: Bytes of a window, and how many windows go through the network at once.
 WINDOW, BATCH = 256, 256
@@ -173,7 +172,7 @@ def identify(docs: DataFrame, net: Network | None, text: str = "text") -> DataFr
             made = [pa.array([a[0] for a in answers], pa.string()), pa.array([a[1] for a in answers], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, f"{_ddl(docs)}, lang_pred string, score double")
+    return docs.mapInArrow(run, f"{ddl(docs)}, lang_pred string, score double")
 
 
 def predict(net: Network | None, texts: list[str | None]) -> list[tuple[str, float]]:

@@ -21,8 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, OWN, drop_clashing, table, written
-from .media import _ddl
+from .common import BROADCAST_BYTES, OWN, ddl, drop_clashing, table, written
 from .urls import BLOCK_BYTES, URLS_A_BLOCK, bloom_filter, possible
 
 SYMBOLS, ORDER = 48, 4
@@ -132,7 +131,7 @@ def score(docs: DataFrame, of: tuple[np.ndarray, np.ndarray], text: str = "text"
             made = [pa.array(made[0], pa.int64()), *(pa.array(m, pa.float64()) for m in made[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, f"{_ddl(docs)}, n_tokens bigint, loss_target double, loss_background double, score double")
+    return docs.mapInArrow(run, f"{ddl(docs)}, n_tokens bigint, loss_target double, loss_background double, score double")
 
 
 def having(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_clashing
+from .common import ddl, drop_clashing
 
 #: Side of the square NPY tiles, and samples a row of media that hold a text.
 TILE, TEXT_WIDTH = 32, 64
@@ -171,16 +171,12 @@ def media_columns(df: DataFrame, media: str = "media", side: int = TILE) -> Data
                     yield pa.RecordBatch.from_arrays([*kept.columns, *made], names=[*kept.schema.names, *names])
                     from_row, size, rows = i + 1, 0, []
 
-    return df.mapInArrow(run, f"{_ddl(df)}, {MADE}")
+    return df.mapInArrow(run, f"{ddl(df)}, {MADE}")
 
 
 KINDS = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.string()]
 
 
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields)
-
-
 def text_media(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
     """``df`` with the UTF-8 bytes of a whole text (null: none) stored as the samples of a raw 8-bit Netpbm picture,
     64 samples a row; zeros fill the last row, and an empty text makes one row. Built by JVM functions only."""

@@ -28,8 +28,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_clashing, table
-from .media import _ddl
+from .common import ddl, drop_clashing, table
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -282,7 +281,7 @@ def encode(docs: DataFrame, text: str = "text", model_path: str = MODEL_PATH, de
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *names])
         pieces.forget()  # an idle worker holds no words
 
-    return docs.mapInArrow(run, f"{_ddl(docs)}, ids array<int>, n_tokens bigint{', decoded string' if decoded else ''}")
+    return docs.mapInArrow(run, f"{ddl(docs)}, ids array<int>, n_tokens bigint{', decoded string' if decoded else ''}")
 
 
 def decode(encoded: DataFrame, ids: str = "ids", model_path: str = MODEL_PATH) -> DataFrame:
@@ -297,7 +296,7 @@ def decode(encoded: DataFrame, ids: str = "ids", model_path: str = MODEL_PATH) -
             texts = [pieces.decode(x.values.to_numpy()) if (x := source[i]).is_valid else None for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, f"{_ddl(encoded)}, decoded string")
+    return encoded.mapInArrow(run, f"{ddl(encoded)}, decoded string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -25,9 +25,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, bounded_sample, drop_clashing, table, written
+from .common import OWN, bounded_sample, ddl, drop_clashing, table, written
 from .components import components
-from .media import _ddl
 
 BITS, SHINGLE, MOST_BITS, SEED = 64, 3, 3, 42
 #: Fingerprints that the parts are fitted on.
@@ -76,7 +75,7 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) ->
             made = np.fromiter((majority(hashes_of(source[i].as_py(), shingle)) for i in range(batch.num_rows)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made.view(np.int64))], names=[*batch.schema.names, "fingerprint"])
 
-    return docs.mapInArrow(run, f"{_ddl(docs)}, fingerprint bigint")
+    return docs.mapInArrow(run, f"{ddl(docs)}, fingerprint bigint")
 
 
 @dataclass(frozen=True)
