@@ -4,10 +4,12 @@ Two models of the same order, smoothing and vocabulary are counted: the target m
 marks as good, the background model on all documents. A document's score is the mean, over its tokens, of the loss of
 the target model less the loss of the background model; the lower, the more it is like the target.
 
-A token is one of 48 symbols that UTF-8 bytes are folded to (letters without case, digits, kinds of punctuation, lead and
-continuation bytes by class, the border of a text). So a table of all 48^4 four-grams is the whole model: its size
-is bounded whatever the corpus, nothing in it is cut or hashed, and it can be sent to every task. Counts are taken over
-all texts in full; what tasks send grows with the input, as each sends the counts of all that it has read.
+A token is a character (a code point, as it is) or the border of a text, so the vocabulary is closed and shared, and no
+script or letter is folded into another. All four-grams of all texts are counted, in one pass for both models, into a
+table that grows with the corpus; nothing in it is cut. Losses are computed from it in DataFrame steps, each order smoothed
+by the one below. For scoring, the table is dealt into slices of at most SLICE_GRAMS grams by a hash; the slices are sent to
+the tasks, and the texts pass them one after another in one job, each adding what it knows of every token. So what a task
+holds is bounded, however large the table, and texts aren't shuffled.
 
 Defined results: a null or empty text has no tokens, and null losses and score. Repeated rows count as often as they
 occur and score alike. Without any target document the two models are alike and every score is zero. Columns named like
@@ -16,138 +18,198 @@ an output are replaced.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import BROADCAST_BYTES, OWN, ddl, drop_clashing, table, written
-from .urls import BLOCK_BYTES, URLS_A_BLOCK, bloom_filter, possible
+from .bloom import flagged
+from .common import OWN, Scratch, ddl, drop_clashing, table
 
-SYMBOLS, ORDER = 48, 4
+ORDER = 4
 #: A context's own counts weigh against this many of what the shorter context says.
 TRUST = 8.0
-#: Tokens that are counted or scored at once.
-GROUP = 1 << 20
-BORDER = SYMBOLS - 1
-
-
-def _folding() -> np.ndarray:
-    """The symbol of each byte."""
-    out = np.full(256, 34, np.uint8)
-    for k in range(26):
-        out[ord("a") + k] = out[ord("A") + k] = k
-    for symbol, some in ((26, b"0123456789"), (27, b" "), (28, b"\t\n\r\v\f"), (29, b".!?"), (30, b",;:"), (31, b"\"'`"), (32, b"-_/\\|"), (33, b"()[]{}<>")):
-        out[list(some)] = symbol
-    out[0xC0:0xC4], out[0xC4:0xE0], out[0xE0:0xF0], out[0xF0:] = 35, 36, 37, 38
-    out[0x80:0xC0] = 39 + np.arange(64) // 8
+#: The border of a text: a number above all code points.
+BORDER = 0x110000
+#: Tokens that are counted or scored at once, distinct grams that a task holds before it sends them, and grams of a slice.
+GROUP, HELD, SLICE_GRAMS = 1 << 20, 4 << 20, 2 << 20
+GRAM = ["a", "b", "c", "d"]
+
+
+def grams_of(text: str) -> np.ndarray:
+    """The four-gram that each token of a text ends (a row of ORDER code points): its characters and the border at the
+    end, after borders at the start."""
+    raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    s = np.full(len(raw) + ORDER, BORDER, np.uint32)
+    s[ORDER - 1 : -1] = raw
+    return np.lib.stride_tricks.sliding_window_view(s, ORDER)
+
+
+def codes_of(grams: np.ndarray) -> np.ndarray:
+    """A 64-bit number for each gram: the sum of its tokens' hashes by place."""
+    out = np.zeros(len(grams), np.uint64)
+    for k in range(ORDER):
+        out = (out ^ grams[:, k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
     return out
 
 
-FOLDING = _folding()
+class _Tally:
+    """Distinct grams of some texts and how often they occur in target texts and in all."""
 
+    def __init__(self):
+        self.parts: list[tuple] = []
+        self.held = 0
 
-def codes_of(text: str) -> np.ndarray:
-    """The four-gram that each token of a text ends: its bytes and the border at the end, after borders at the start."""
-    raw = FOLDING[np.frombuffer(text.encode(), np.uint8)]
-    border = np.full(ORDER - 1, BORDER, np.uint8)
-    s = np.concatenate([border, raw, border[:1]]).astype(np.int32)
-    out = s[: len(s) - ORDER + 1].copy()
-    for k in range(1, ORDER):
-        out *= SYMBOLS
-        out += s[k : len(s) - ORDER + 1 + k]
-    return out
+    def add(self, pieces: list[np.ndarray], good: list[bool]) -> None:
+        grams = np.concatenate(pieces)
+        near = np.repeat(np.array(good, np.int64), list(map(len, pieces)))
+        codes, first, at = np.unique(codes_of(grams), return_index=True, return_inverse=True)
+        self.parts.append((codes, grams[first], np.bincount(at, near, len(codes)).astype(np.int64), np.bincount(at, minlength=len(codes))))
+        self.held += len(codes)
+
+    def merged(self) -> tuple:
+        codes = np.concatenate([p[0] for p in self.parts])
+        one, first, at = np.unique(codes, return_index=True, return_inverse=True)
+        sums = [np.bincount(at, np.concatenate([p[k] for p in self.parts]), len(one)).astype(np.int64) for k in (2, 3)]
+        self.parts = [(one, np.concatenate([p[1] for p in self.parts])[first], *sums)]
+        self.held = len(one)
+        return self.parts[0]
 
+    def batches(self):
+        if self.parts:
+            _, grams, near, far = self.merged()
+            for at in range(0, len(grams), 100_000):
+                part = slice(at, at + 100_000)
+                columns = [pa.array(grams[part, k].astype(np.int32)) for k in range(ORDER)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(near[part]), pa.array(far[part])], names=[*GRAM, "near", "far"])
+        self.parts, self.held = [], 0
 
-def counted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``code`` and ``n``: how often each four-gram occurs in all of the texts."""
+
+def counted(docs: DataFrame, text: str = "text", good: Column | None = None) -> DataFrame:
+    """Four-grams (``a`` to ``d``) of all texts, with how often they occur in those that are ``good`` (``near``) and in all
+    (``far``)."""
 
     def run(batches):
-        sums = np.zeros(SYMBOLS**ORDER, np.int64)
+        tally = _Tally()
         for batch in batches:
-            texts, held, group = batch.column(0), 0, []
+            texts, flags, group, marks, size = batch.column(0), batch.column(1), [], [], 0
             for i in range(batch.num_rows):
-                t = texts[i].as_py()
-                if t:
-                    group.append(codes_of(t))
-                    held += len(group[-1])
-                if group and (held > GROUP or i == batch.num_rows - 1):
-                    sums += np.bincount(np.concatenate(group), minlength=len(sums))
-                    held, group = 0, []
-        some = np.nonzero(sums)[0]
-        for at in range(0, len(some), 200_000):
-            part = some[at : at + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(sums[part])], names=["code", "n"])
-
-    sums = docs.select(F.col(text).alias("text")).mapInArrow(run, "code int, n bigint")
-    return sums.groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def losses(counts: np.ndarray) -> np.ndarray:
-    """-log2 of the chance of each four-gram's last token after its first three, from the counts of all four-grams.
-    Each order is smoothed by the one below it, the lowest by equal chances."""
-    p = np.full((1, SYMBOLS), 1 / SYMBOLS)
-    for n in range(1, ORDER + 1):
-        c = counts.reshape(-1, SYMBOLS**n).sum(axis=0).reshape(-1, SYMBOLS)
-        below = p if n == 1 else np.tile(p, (SYMBOLS if n > 1 else 1, 1))
-        p = (c + TRUST * below) / (c.sum(axis=1, keepdims=True) + TRUST)
-    return (-np.log2(p)).astype(np.float32).reshape(-1)
-
-
-def models(target: DataFrame, everything: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Losses under the target and the background model. At most 48^4 counts of each reach the driver."""
+                grams, good = grams_of(texts[i].as_py() or ""), bool(flags[i].as_py())
+                for at in range(0, len(grams) if len(grams) > 1 else 0, GROUP):
+                    group.append(grams[at : at + GROUP])
+                    marks.append(good)
+                    size += len(group[-1])
+                    if size >= GROUP:
+                        tally.add(group, marks)
+                        group, marks, size = [], [], 0
+            if group:
+                tally.add(group, marks)
+            if tally.held > HELD:
+                tally.merged()
+                if tally.held > HELD // 2:
+                    yield from tally.batches()
+        yield from tally.batches()
+
+    rows = docs.select(F.col(text).alias("text"), (F.lit(True) if good is None else good).alias("good"))
+    sums = rows.mapInArrow(run, "a int, b int, c int, d int, near bigint, far bigint")
+    return sums.groupBy(*GRAM).agg(F.sum("near").alias("near"), F.sum("far").alias("far"))
+
+
+def losses(counts: DataFrame) -> DataFrame:
+    """``a`` to ``d`` and -log2 of the chance of ``d`` after the others, by either model: ``loss_near``, ``loss_far``. Each
+    order is smoothed by the one below it, the lowest by equal chances. Without target counts both are the background."""
+    p = None
+    for k in range(ORDER - 1, -1, -1):
+        gram, context = GRAM[k:], GRAM[k:-1]
+        rows = counts.groupBy(*gram).agg(F.sum("near").alias("near"), F.sum("far").alias("far"))
+        over = Window.partitionBy(*context) if context else Window.partitionBy(F.lit(0))
+        rows = rows.withColumns({"all_near": F.sum("near").over(over), "all_far": F.sum("far").over(over)})
+        if p is None:
+            rows = rows.withColumns({"low_near": 1 / F.count(F.lit(1)).over(over), "low_far": 1 / F.count(F.lit(1)).over(over)})
+        else:
+            rows = rows.join(p, GRAM[k + 1 :])
+        chance = lambda x: (F.col(x) + TRUST * F.col(f"low_{x}")) / (F.col(f"all_{x}") + TRUST)
+        p = rows.select(*gram, chance("near").alias("low_near"), chance("far").alias("low_far"))
+    return p.select(*GRAM, (-F.log2("low_near")).alias("loss_near"), (-F.log2("low_far")).alias("loss_far"))
+
+
+@dataclass
+class Slice:
+    """Part of the models' grams: their numbers in order, and their losses."""
+
+    codes: np.ndarray
+    near: np.ndarray
+    far: np.ndarray
+
+
+def models(docs: DataFrame, text: str = "text", good: Column | None = None) -> list[Slice]:
+    """The models in slices. ``good`` marks the target documents."""
+    scratch = Scratch(docs.sparkSession, "lm")
+    counts = scratch.put(counted(docs, text, good), "counts")
+    told = scratch.put(losses(counts), "losses")
+    size = counts.agg(F.count(F.lit(1)), F.sum("near")).first()
+    parts = max(1, -(-size[0] // SLICE_GRAMS))
+    far = F.col("loss_far").cast("float")
+    near = F.col("loss_near").cast("float") if size[1] else far
     out = []
-    for docs in (target, everything):
-        got = counted(docs, text).toArrow()
-        counts = np.zeros(SYMBOLS**ORDER, np.float64)
-        counts[got.column("code").to_numpy()] = got.column("n").to_numpy()
-        out.append(counts)
-    if not out[0].any():
-        out[0] = out[1]
-    return losses(out[0]), losses(out[1])
+    for k in range(parts):
+        got = told.where(F.pmod(F.xxhash64(*GRAM), F.lit(parts)) == k).select(*GRAM, near.alias("near"), far.alias("far")).toArrow()
+        codes = codes_of(np.stack([got.column(c).to_numpy().astype(np.uint32) for c in GRAM], axis=1))
+        order = np.argsort(codes)
+        out.append(Slice(codes[order], got.column("near").to_numpy()[order], got.column("far").to_numpy()[order]))
+    scratch.drop()
+    return out
 
 
-def score(docs: DataFrame, of: tuple[np.ndarray, np.ndarray], text: str = "text") -> DataFrame:
-    """``docs`` with ``n_tokens``, ``loss_target``, ``loss_background`` (bits a token) and ``score`` of each text."""
-    names = ["n_tokens", "loss_target", "loss_background", "score"]
-    docs = drop_clashing(docs, names)
-    sent = docs.sparkSession.sparkContext.broadcast(of)
+def _added(docs: DataFrame, part: Slice, text: str) -> DataFrame:
+    """``docs`` with what a slice knows added to the sums of the losses of each text."""
+    sent = docs.sparkSession.sparkContext.broadcast(part)
+    sums = [f"{OWN}near", f"{OWN}far"]
+    names = docs.columns
 
     def run(batches):
-        near, far = sent.value
+        own = sent.value
         for batch in batches:
-            source = batch.column(batch.schema.get_field_index(text))
-            made = ([], [], [], [])
+            source = batch.column(names.index(text))
+            old = [batch.column(names.index(c)).to_numpy(zero_copy_only=False) for c in sums]
+            new = np.zeros((2, batch.num_rows))
             for i in range(batch.num_rows):
                 t = source[i].as_py()
-                if t:
-                    codes = codes_of(t)
-                    a, b = float(near[codes].mean(dtype=np.float64)), float(far[codes].mean(dtype=np.float64))
-                    row = (len(codes), a, b, a - b)
-                else:
-                    row = (0, None, None, None)
-                for column, value in zip(made, row, strict=True):
-                    column.append(value)
-            made = [pa.array(made[0], pa.int64()), *(pa.array(m, pa.float64()) for m in made[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *names])
-
-    return docs.mapInArrow(run, f"{ddl(docs)}, n_tokens bigint, loss_target double, loss_background double, score double")
-
-
-def having(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose key ``ids`` holds. While a Bloom filter of the ids is small enough to be sent along, the
-    rows that it passes are the only ones that a join may have to shuffle with their texts."""
-    own = f"{OWN}id"
-    ids = written(ids.select(F.col(key).cast("string").alias(own)).where(F.col(own).isNotNull()).distinct(), "target-ids")
-    blocks = max(1, ids.count() // URLS_A_BLOCK)
-    if blocks * BLOCK_BYTES <= BROADCAST_BYTES:
-        docs = possible(docs, F.col(key).cast("string"), bloom_filter(ids, own, blocks), blocks)
-    # not a semi-join, which the optimizer would move below the filter's join
-    return docs.join(ids, F.col(key).cast("string") == F.col(own)).drop(own)
+                for at in range(0, len(t) + 1 if t and len(own.codes) else 0, GROUP):
+                    # a part of the text, with the characters before it
+                    grams = grams_of(t)[at : at + GROUP]
+                    codes = codes_of(grams)
+                    where = np.minimum(np.searchsorted(own.codes, codes), len(own.codes) - 1)
+                    where = where[own.codes[where] == codes]
+                    new[:, i] += own.near[where].sum(dtype=np.float64), own.far[where].sum(dtype=np.float64)
+            made = {c: pa.array(o + n) for c, o, n in zip(sums, old, new, strict=True)}
+            yield pa.RecordBatch.from_arrays([made.get(c, batch.column(k)) for k, c in enumerate(names)], names=names)
+
+    return docs.mapInArrow(run, ddl(docs))
+
+
+def score(docs: DataFrame, of: list[Slice], text: str = "text") -> DataFrame:
+    """``docs`` with ``n_tokens``, ``loss_target``, ``loss_background`` (bits a token) and ``score`` of each text."""
+    docs = drop_clashing(docs, ["n_tokens", "loss_target", "loss_background", "score"])
+    names = docs.columns
+    rows = docs.withColumns({f"{OWN}near": F.lit(0.0), f"{OWN}far": F.lit(0.0)})
+    for part in of:
+        rows = _added(rows, part, text)
+    length = F.coalesce(F.length(text), F.lit(0)).cast("long")
+    tokens = F.when(length > 0, length + 1).otherwise(length)
+    mean = lambda c: F.when(tokens > 0, F.col(c) / tokens)
+    rows = rows.select(*names, tokens.alias("n_tokens"), mean(f"{OWN}near").alias("loss_target"), mean(f"{OWN}far").alias("loss_background"))
+    return rows.withColumn("score", F.col("loss_target") - F.col("loss_background"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").where("quality = 1")
-    of = models(having(docs, good), docs)
+    good = good.select(F.col("doc_id").cast("string").alias("id")).where("id IS NOT NULL").distinct()
+    marked = flagged(docs, F.col("doc_id").cast("string"), good, "id", f"{OWN}good")
+    of = models(marked, good=F.col(f"{OWN}good"))
     return score(docs, of).select("doc_id", "n_tokens", "loss_target", "loss_background", "score")

@@ -2,46 +2,75 @@ import math
 from collections import Counter
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from loomwork.llm import lm
-
-
-def test_losses_against_plain_counts():
-    texts = ["Hello there, hello!", "Grüße 123", "the the the"]
-    grams = Counter(int(c) for t in texts for c in lm.codes_of(t))
-    counts = np.zeros(lm.SYMBOLS**lm.ORDER)
-    for k, n in grams.items():
-        counts[k] = n
-    table = lm.losses(counts)
-
-    def p(code, order):
-        if order == 0:
-            return 1 / lm.SYMBOLS
-        size = lm.SYMBOLS**order
-        own = sum(n for k, n in grams.items() if k % size == code % size)
-        context = sum(n for k, n in grams.items() if k // lm.SYMBOLS % (size // lm.SYMBOLS) == code // lm.SYMBOLS % (size // lm.SYMBOLS)) if order > 1 else sum(grams.values())
-        return (own + lm.TRUST * p(code, order - 1)) / (context + lm.TRUST)
-
-    for code in list(grams)[:20] + [0, 17, 12345]:
-        assert abs(table[code] + math.log2(p(code, lm.ORDER))) < 1e-4
-    assert abs((2.0 ** -table.reshape(-1, lm.SYMBOLS).astype(float)).sum(1) - 1).max() < 1e-4
-
-
-def test_scores(spark, odd_docs, no_docs):
-    good = spark.createDataFrame([(1,), (1,), (None,)], "doc_id long")
-    target = lm.having(odd_docs, good)
-    assert [r.doc_id for r in target.collect()] == [1, 1]
-    of = lm.models(target, odd_docs)
-    got = {r.doc_id: r for r in lm.score(odd_docs, of).collect()}
-    assert got[2].score is None and got[3].n_tokens == 0 and got[1].score < 0 < got[6].score
-    near, far = of
-    codes = lm.codes_of(got[7].text)
-    assert abs(got[7].score - (near[codes].astype(float).mean() - far[codes].astype(float).mean())) < 1e-9
-    same = lm.models(target.limit(0), odd_docs)
-    assert all(r.score in (0.0, None) for r in lm.score(odd_docs, same).collect())
-    assert lm.score(no_docs, of).count() == 0 and lm.models(no_docs, no_docs)[0].shape
-
-
-def test_counts_cover_all_texts(spark, odd_docs):
-    total = sum(r.n for r in lm.counted(odd_docs).collect())
-    assert total == sum(len(r.text.encode()) + 1 for r in odd_docs.collect() if r.text)
+from loomwork.llm import bloom, lm
+
+TEXTS = [("Hello there, hello!", True), ("Grüße 123 \U0001f600", False), ("the the the", True), ("Привет, мир", False), ("тhe", False)]
+
+
+def grams(texts):
+    return Counter(tuple(g) for t in texts for g in lm.grams_of(t).tolist())
+
+
+def plain(counts, letters):
+    """-log2 p of a gram, from counts of all four-grams."""
+
+    def p(gram):
+        if not gram:
+            return 1 / letters
+        own = sum(n for g, n in counts.items() if g[lm.ORDER - len(gram) :] == gram)
+        context = sum(n for g, n in counts.items() if g[lm.ORDER - len(gram) : -1] == gram[:-1])
+        return (own + lm.TRUST * p(gram[1:])) / (context + lm.TRUST)
+
+    return lambda gram: -math.log2(p(gram))
+
+
+def test_losses_against_plain_counts(spark):
+    near, far = grams(t for t, good in TEXTS if good), grams(t for t, _ in TEXTS)
+    letters = len({g[-1] for g in far})
+    docs = spark.createDataFrame(TEXTS, "text string, good boolean")
+    rows = lm.losses(lm.counted(docs, good=F.col("good"))).collect()
+    assert {(r.a, r.b, r.c, r.d) for r in rows} == set(far)
+    by_near, by_far = plain(near, letters), plain(far, letters)
+    for r in rows:
+        g = (r.a, r.b, r.c, r.d)
+        assert abs(r.loss_near - by_near(g)) < 1e-9 and abs(r.loss_far - by_far(g)) < 1e-9
+
+
+@pytest.mark.parametrize("size", [lm.SLICE_GRAMS, 16])
+def test_scores(spark, odd_docs, no_docs, monkeypatch, size):
+    """Whatever the slices, the score is the mean difference of losses over the tokens."""
+    monkeypatch.setattr(lm, "SLICE_GRAMS", size)
+    few = odd_docs.where("doc_id IS NULL OR doc_id <> 6").withColumn("Score", F.lit("old"))
+    of = lm.models(few, good=F.col("doc_id").eqNullSafe(F.lit(1)))
+    assert (len(of) > 2) == (size == 16)
+    got = {r.doc_id: r for r in lm.score(few, of).collect()}
+    texts = [(r.text, r.doc_id == 1) for r in few.collect() if r.text]
+    near, far = grams(t for t, good in texts if good), grams(t for t, _ in texts)
+    letters = len({g[-1] for g in far})
+    by_near, by_far = plain(near, letters), plain(far, letters)
+    own = [tuple(g) for g in lm.grams_of(got[7].text).tolist()]
+    assert got[7].n_tokens == len(own) == len(got[7].text) + 1
+    assert abs(got[7].score - np.mean([by_near(g) - by_far(g) for g in own])) < 1e-5
+    assert got[2].score is None and got[3].n_tokens == 0 and got[1].score < 0 < got[7].score
+    same = lm.models(few, good=F.lit(False))
+    assert all(r.score in (0.0, None) for r in lm.score(few, same).collect())
+    assert lm.score(no_docs, of).count() == 0 and lm.score(few, lm.models(no_docs)).count() == few.count()
+
+
+def test_counts_cover_all_texts(spark, odd_docs, monkeypatch):
+    want = sum(len(r.text) + 1 for r in odd_docs.collect() if r.text)
+    assert sum(r.far for r in lm.counted(odd_docs).collect()) == want
+    monkeypatch.setattr(lm, "GROUP", 50)
+    monkeypatch.setattr(lm, "HELD", 20)
+    assert sum(r.far for r in lm.counted(odd_docs).collect()) == want
+
+
+@pytest.mark.parametrize("limit", [1 << 30, 100_000, 0])
+def test_flags(spark, monkeypatch, limit):
+    monkeypatch.setattr(bloom, "BROADCAST_BYTES", limit)
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate([None, *range(3000), 7])], "k long, i long")
+    got = bloom.flagged(rows, F.col("k"), spark.range(0, 6000, 3), "id", "flag").collect()
+    assert len(got) == 3002 and all(r.flag == (r.k is not None and r.k % 3 == 0) for r in got)
