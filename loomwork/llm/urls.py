@@ -15,13 +15,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, OWN, drop_clashing, table, written
+from .bloom import Filter
+from .common import OWN, drop_clashing, table, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Listed URLs that a block is made for: 256 bits for 16 URLs are 16 bits each, which passes about 1 in 500 wrongly.
-URLS_A_BLOCK = 16
-#: Bytes of a block in a hash relation: four longs, its number and the entry itself.
-BLOCK_BYTES = 80
 
 
 @dataclass(frozen=True)
@@ -68,38 +65,12 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Colu
     return name, verdict
 
 
-def _spot(url: Column, blocks: int) -> tuple[Column, list[Column]]:
-    """The block of a URL and its two bits in each of the block's longs, from two independent 64-bit hashes."""
-    h = F.xxhash64(url, F.lit(5))
-    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 6 * k).bitwiseAND(63).cast("int"))
-    return F.pmod(F.xxhash64(url), F.lit(blocks)), [bit(2 * k).bitwiseOR(bit(2 * k + 1)) for k in range(4)]
-
-
-BLOCK, WORDS = f"{OWN}block", [f"{OWN}word{k}" for k in range(4)]
-
-
-def bloom_filter(listed: DataFrame, url: str, blocks: int) -> DataFrame:
-    """One row for each block that has a bit set: its number and its four longs."""
-    block, bits = _spot(F.col(url), blocks)
-    marked = listed.select(block.alias(BLOCK), *[b.alias(w) for b, w in zip(bits, WORDS, strict=True)])
-    return marked.groupBy(BLOCK).agg(*[F.bit_or(w).alias(w) for w in WORDS])
-
-
-def possible(rows: DataFrame, key: Column, bloom: DataFrame, blocks: int) -> DataFrame:
-    """The rows whose key a (broadcast) filter passes: all that were listed, and few others."""
-    block, bits = _spot(key, blocks)
-    hit = F.lit(True)
-    for b, w in zip(bits, WORDS, strict=True):
-        hit = hit & (F.col(w).bitwiseAND(b) == b)
-    return rows.withColumn(BLOCK, block).join(F.broadcast(bloom), BLOCK).where(hit).select(*rows.columns)
-
-
 def judge(pages: DataFrame, listed: DataFrame, url: str = "url", rules: list[Rule] | None = None) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``canonical``, ``rule`` and ``verdict``.
 
-    ``listed`` has one string column of canonical URLs to block. The filter has a block for every URLS_A_BLOCK of them;
-    it is broadcast while its size stays under BROADCAST_BYTES, and joined by block beyond that. The hit rows of a hot
-    URL are split by adaptive execution, as the list has each URL once.
+    ``listed`` has one string column of canonical URLs to block. A filter of them is broadcast while its size stays
+    under BROADCAST_BYTES (about four million URLs), so that only the possible hits are shuffled; beyond that every page
+    without a rule is. The hit rows of a hot URL are split by adaptive execution, as the list has each URL once.
     """
     rules = RULES if rules is None else rules
     made = ["host", "path", "canonical", "rule", "verdict"]
@@ -108,24 +79,15 @@ def judge(pages: DataFrame, listed: DataFrame, url: str = "url", rules: list[Rul
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     pages = pages.withColumns({"canonical": canonical(F.col("host"), F.col("path")), "rule": name, "verdict": verdict})
 
-    key = f"{OWN}listed"
+    key, maybe, names = f"{OWN}listed", f"{OWN}maybe", pages.columns
     listed = written(listed.select(F.col(listed.columns[0]).alias(key)).where(f"{key} <> ''").distinct(), "url-list")
-    blocks = max(1, listed.count() // URLS_A_BLOCK)
-    bloom = bloom_filter(listed, key, blocks)
-    if blocks * BLOCK_BYTES <= BROADCAST_BYTES:
-        bloom = F.broadcast(bloom)
-    ruled = pages.where(F.col("verdict").isNotNull())
-    block, bits = _spot(F.col("canonical"), blocks)
-    asked = pages.where(F.col("verdict").isNull()).withColumn(BLOCK, block).join(bloom, BLOCK, "left")
-    passed = F.lit(True)
-    for b, w in zip(bits, WORDS, strict=True):
-        passed = passed & (F.col(w).bitwiseAND(b) == b)
-    passed = F.coalesce(passed, F.lit(False))
-    names = pages.columns
-    out = asked.where(~passed).select(*names).withColumn("verdict", F.lit("allow"))
-    maybe = asked.where(passed).select(*names).join(listed.hint("shuffle_hash"), F.col("canonical") == F.col(key), "left")
-    maybe = maybe.withColumn("verdict", F.when(F.col(key).isNotNull(), "block").otherwise("allow")).select(*names)
-    return ruled.unionByName(out).unionByName(maybe)
+    bloom = Filter(listed, key, listed.count())
+    unruled = F.when(F.col("verdict").isNull(), F.col("canonical"))
+    pages = bloom.marked(pages, unruled, maybe) if bloom.small else pages.withColumn(maybe, F.col("verdict").isNull())
+    sure = pages.where(~F.col(maybe)).select(*names).withColumn("verdict", F.coalesce("verdict", F.lit("allow")))
+    hits = pages.where(maybe).select(*names).join(listed.hint("shuffle_hash"), F.col("canonical") == F.col(key), "left")
+    hits = hits.withColumn("verdict", F.when(F.col(key).isNotNull(), "block").otherwise("allow")).select(*names)
+    return sure.unionByName(hits)
 
 
 #: Words of a host's name that put its pages on the list that the registered query uses.

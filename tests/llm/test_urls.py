@@ -1,8 +1,9 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from loomwork.llm import urls
+from loomwork.llm import bloom, urls
 
 CASES = [
     ("http://A.org/x", "a.org", "/x", "org/", "allow"), ("https://sub.Example.ORG/es/1", "sub.example.org", "/es/1", "example.org/es/", "block"), ("http://example.org/en/12?q", "example.org", "/en/12", "example.org/en/1", "block"),
@@ -14,7 +15,7 @@ CASES = [
 
 @pytest.mark.parametrize("limit", [1 << 30, 0])
 def test_judge(spark, monkeypatch, limit):
-    monkeypatch.setattr(urls, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(bloom, "BROADCAST_BYTES", limit)
     pages = spark.createDataFrame([(i, c[0], "old") for i, c in enumerate(CASES)], "page_id long, url string, verdict string")
     listed = spark.createDataFrame([("bad.net/page",), ("bad.net/page",), (None,), ("",)], "u string")
     got = {r.page_id: r for r in urls.judge(pages, listed).collect()}
@@ -29,9 +30,20 @@ def test_filter_loses_nothing(spark):
     pages = spark.range(20000).selectExpr("id AS page_id", "concat('http://h', id, '.net/p') AS url")
     got = urls.judge(pages, listed)
     assert got.where("verdict = 'block'").count() == 5000 and got.where("verdict = 'block' AND page_id >= 5000").count() == 0
-    blocks = 5000 // urls.URLS_A_BLOCK
-    wrong = urls.possible(pages.selectExpr("concat('h', page_id, '.net/p') AS u").where("page_id >= 5000"), __import__("pyspark").sql.functions.col("u"), urls.bloom_filter(listed, "u", blocks), blocks).count()
-    assert wrong / 15000 < 0.02
+    keys = pages.selectExpr("concat('h', page_id, '.net/p') AS u", "page_id")
+    passed = bloom.Filter(listed, "u", 5000).marked(keys, F.col("u"), "maybe").where("maybe")
+    assert passed.where("page_id < 5000").count() == 5000 and passed.where("page_id >= 5000").count() / 15000 < 0.02
+
+
+@pytest.mark.parametrize("limit", [1 << 30, 100_000, 0])
+def test_having_and_lacking(spark, monkeypatch, limit):
+    monkeypatch.setattr(bloom, "BROADCAST_BYTES", limit)
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate([None, *range(3000), 7])], "k long, i long")
+    listed = spark.range(0, 6000, 3)
+    got = {r.i for r in bloom.having(rows, F.col("k"), listed, "id").collect()}
+    assert got == {r.i for r in rows.where("k % 3 = 0").collect()}
+    assert {r.i for r in bloom.lacking(rows, F.col("k"), listed, "id").collect()} == set(range(3002)) - got
+    assert bloom.having(rows, F.col("k"), listed.limit(0), "id").count() == 0 and bloom.lacking(rows, F.col("k"), listed.limit(0), "id").count() == 3002
 
 
 def test_main_path_has_no_python(spark):
