@@ -1,7 +1,8 @@
 """Mixing sources to target weights by hierarchical budgets, in DataFrame functions only.
 
 Sources are the leaves of a tree: domain, language, source. A budget of tokens flows down it by weights. A node can take
-no more than its leaves hold in ``max_epochs`` passes. What one can't take goes to its siblings in proportion to their
+no more than its leaves hold in ``max_epochs`` passes; one of weight 0 takes nothing, so nothing below it counts either.
+What one can't take goes to its siblings in proportion to their
 weights; only when all of them are full does their parent take less, and then the parent's siblings take more. Each
 family is levelled at once: sorted by capacity to weight, the nodes that are full form a beginning of that order, found
 by running sums. All amounts are whole numbers, so any engine gets the same ones.
@@ -27,7 +28,7 @@ from pyspark.sql.window import Window
 from .common import OWN, drop_clashing, null_join, table, written
 
 #: Documents of a bucket at most, on average.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4096
 HASH_BITS = 60
 
 
@@ -93,13 +94,13 @@ LEAF = ["domain", "language", "leaf"]
 def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     """``leaves`` (domain, language, leaf, rows, tokens) with ``budget``, whole ``epochs`` and ``rest``."""
     n = lambda c: F.col(c).cast("decimal(38,0)")
-    leaves = leaves.withColumn("capacity", n("tokens") * mix.max_epochs).withColumn("w", _weight(F.col("leaf"), mix.sources))
-    langs = leaves.groupBy("domain", "language").agg(F.sum("capacity").cast("decimal(38,0)").alias("capacity"), F.sum("tokens").alias("tokens"))
-    tops = langs.groupBy("domain").agg(F.sum("capacity").cast("decimal(38,0)").alias("capacity"), F.sum("tokens").alias("tokens"))
-    tops = tops.withColumn("w", _weight(F.col("domain"), mix.domains)).withColumn("top", F.lit(0))
+    able = F.when(F.col("w") > 0, F.col("capacity")).otherwise(F.lit(0)).cast("decimal(38,0)")
+    sums = [F.sum("capacity").cast("decimal(38,0)").alias("capacity"), F.sum("tokens").alias("tokens")]
+    leaves = leaves.withColumns({"capacity": n("tokens") * mix.max_epochs, "w": _weight(F.col("leaf"), mix.sources)}).withColumn("capacity", able)
+    langs = leaves.groupBy("domain", "language").agg(*sums).withColumn("w", _weight(F.col("language"), mix.languages)).withColumn("capacity", able)
+    tops = langs.groupBy("domain").agg(*sums).withColumn("w", _weight(F.col("domain"), mix.domains)).withColumn("capacity", able).withColumn("top", F.lit(0))
     tops = tops.withColumn("given", F.floor(F.sum(n("tokens")).over(Window.partitionBy("top")) * mix.budget / 1000).cast("decimal(38,0)"))
     tops = levelled(tops, ["top"], "domain", "given", "capacity", "w", "given_domain").select("domain", "given_domain")
-    langs = langs.withColumn("w", _weight(F.col("language"), mix.languages))
     langs = null_join(langs, tops, ["domain"])
     langs = levelled(langs, ["domain"], "language", "given_domain", "capacity", "w", "given_language").select("domain", "language", "given_language")
     rows = null_join(leaves, langs, ["domain", "language"])
@@ -165,16 +166,20 @@ def oracle_sql(how: Mix | None = None) -> str:
             SELECT *, w > 0 AND ({given} - cap_before) * w >= capacity * (w_all - w_before) AS is_full FROM (
               SELECT *, coalesce(sum(capacity) OVER ({over}), 0)::HUGEINT AS cap_before, coalesce(sum(w) OVER ({over}), 0)::HUGEINT AS w_before, (sum(w) OVER (PARTITION BY {family}))::HUGEINT AS w_all FROM ({source})))))"""
 
-    tops = f"SELECT *, 0 AS top, {case('domain', how.domains)} AS w, (sum(tokens) OVER () * {how.budget}) // 1000 AS given FROM (SELECT domain, sum(capacity)::HUGEINT AS capacity, sum(tokens)::HUGEINT AS tokens FROM leaves GROUP BY ALL)"
-    langs = f"SELECT l.*, given_domain, {case('language', how.languages)} AS w FROM (SELECT domain, language, sum(capacity)::HUGEINT AS capacity FROM leaves GROUP BY ALL) l JOIN tops t ON l.domain IS NOT DISTINCT FROM t.domain"
-    rows = f"SELECT f.*, given_language, {case('leaf', how.sources)} AS w FROM leaves f JOIN langs l ON f.domain IS NOT DISTINCT FROM l.domain AND f.language IS NOT DISTINCT FROM l.language"
+    able = lambda rows, w: f"SELECT * REPLACE (CASE WHEN w > 0 THEN capacity ELSE 0 END AS capacity) FROM (SELECT *, {w} AS w FROM ({rows}))"
+    sums = lambda keys, rows: f"SELECT {keys}, sum(capacity)::HUGEINT AS capacity, sum(tokens)::HUGEINT AS tokens FROM {rows} GROUP BY ALL"
+    tops = f"SELECT *, 0 AS top, (sum(tokens) OVER () * {how.budget}) // 1000 AS given FROM ({able(sums('domain', 'families'), case('domain', how.domains))})"
+    langs = "SELECT l.*, given_domain FROM families l JOIN tops t ON l.domain IS NOT DISTINCT FROM t.domain"
+    rows = "SELECT f.*, given_language FROM leaves f JOIN langs l ON f.domain IS NOT DISTINCT FROM l.domain AND f.language IS NOT DISTINCT FROM l.language"
     return f"""
 WITH docs AS (
   SELECT doc_id, lang, source, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+'))::BIGINT AS tokens,
     coalesce(['web', 'books', 'code'][try_cast(nullif(regexp_extract(source, '([0-9]{{1,9}})$', 1), '') AS INT) % 3 + 1], 'other') AS domain
   FROM documents
 ), leaves AS (
-  SELECT domain, lang AS language, source AS leaf, sum(tokens)::HUGEINT AS tokens, sum(tokens)::HUGEINT * {how.max_epochs} AS capacity FROM docs GROUP BY ALL
+  {able(f"SELECT domain, lang AS language, source AS leaf, sum(tokens)::HUGEINT AS tokens, sum(tokens)::HUGEINT * {how.max_epochs} AS capacity FROM docs GROUP BY ALL", case("leaf", how.sources))}
+), families AS (
+  {able(sums("domain, language", "leaves"), case("language", how.languages))}
 ), tops AS (SELECT domain, given_domain FROM {level(tops, 'top', 'domain', 'given', 'given_domain')}),
 langs AS (SELECT domain, language, given_language FROM {level(langs, 'domain', 'language', 'given_domain', 'given_language')}),
 plan AS (SELECT domain, language, leaf, (budget // greatest(tokens, 1))::BIGINT AS epochs, (budget - (budget // greatest(tokens, 1)) * greatest(tokens, 1))::BIGINT AS rest FROM {level(rows, 'domain, language', 'leaf', 'given_language', 'budget')}),
