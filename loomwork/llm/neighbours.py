@@ -1,36 +1,46 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
-Each of several tables hashes a vector by the cells that it falls into on a few random lines (normal directions are
-stable under the Euclidean norm). A query visits its own bucket of each table and then those reached by moving to
-neighbouring cells, in the order of the estimated chance that a neighbour lies there, which falls with the sum of the
-squared distances to the cells' borders. The candidates of all tables are merged and ranked by exact distance.
+Each of two tables hashes a vector by the cells that it falls into on a few random lines (normal directions are stable
+under the Euclidean norm). A query visits its own bucket of each table and then those reached by moving to neighbouring
+cells, in the order of the estimated chance that a neighbour lies there, which falls with the sum of the squared distances
+to the cells' borders. The candidates of all tables are merged and ranked by exact distance, in double precision.
 
-Equal vectors are indexed once; of each such class at most one vector more than is asked for can be among the answers,
-so the class keeps its smallest ids. Large buckets are dealt to several tasks in chunks, and their queries to each.
+The index is fitted on a bounded sample: as many lines as keep an average bucket near BUCKET vectors of the whole table,
+and as many probes as find WANTED of the sample's own neighbours; if MOST_PROBES don't, the cells are widened until they
+do. The recall that the sample shows is logged.
 
-Defined results: vectors that are null, zero, hold null or non-finite components, or are of another length than most
-take no part. Of rows with one id the smallest vector counts. Ties go to the smaller id. A query for which the buckets
-hold too few candidates is compared with every vector, in blocks. An empty table gives an empty table.
+Equal vectors are indexed once; of each such class at most one vector more than is asked for can be among the answers,
+so the class keeps its smallest ids. Buckets are dealt to tasks in chunks of about CHUNK vectors; a chunk is held in
+memory while the queries that visit its bucket stream past it.
+
+Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part. Vectors are
+compared with those of the same length; lengths that are rare (not among the LENGTHS commonest, or of no more than BUCKET
+vectors) are searched whole, as one bucket. Every row is a candidate, whatever its id: rows that share an id are vectors
+of their own (only the query's own row is left out), and a null id comes last among ties. A query for which the buckets
+hold too few candidates is compared with every vector of its length. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import heapq
+import logging
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import bounded_sample, table, written
+from .common import Scratch, bounded_sample, table
 
-TABLES, LINES, CELL = 4, 8, 2.5
-#: Vectors of the sample that the number of probes is fitted on, queries among them, and the recall asked for there.
-SAMPLE, SAMPLE_QUERIES, WANTED, MOST_PROBES = 3000, 150, 0.97, 600
-#: Vectors of a bucket in one chunk, and the seed of the random lines.
-CHUNK, LINE_SEED = 4096, 13
+LOG = logging.getLogger("loomwork.llm.neighbours")
+TABLES, CELL, MOST_LINES, WIDER = 2, 2.5, 16, 1.5
+#: Vectors of the sample that the index is fitted on, queries among them, the recall asked for there, and probes a table.
+SAMPLE, SAMPLE_QUERIES, WANTED, MOST_PROBES = 3000, 150, 0.95, 128
+#: Vectors that an average bucket should hold, vectors of one chunk, lengths with an index, and the seed of the lines.
+BUCKET, CHUNK, LENGTHS, LINE_SEED = 2048, 4096, 8, 13
 
 
 @dataclass
@@ -38,6 +48,7 @@ class Index:
     lines: np.ndarray  # tables, lines, dimensions; divided by the cell width
     shifts: np.ndarray  # tables, lines
     probes: int
+    recall: float = 1.0
 
     def cells(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cell numbers and positions in the cell, each (tables, n, lines)."""
@@ -45,15 +56,11 @@ class Index:
         low = np.floor(at)
         return low.astype(np.int64), at - low
 
-    def visits(self, x: np.ndarray, probes: int | None = None):
-        """For each vector, (table, bucket) of all its probes, most promising first in each table."""
+    def visits(self, x: np.ndarray):
+        """For each vector, the buckets of its probes in each table, most promising first."""
         cells, places = self.cells(x)
         for i in range(x.shape[0]):
-            out = []
-            for t in range(len(self.lines)):
-                moves = probe_order(places[t, i], probes or self.probes)
-                out.append(bucket_of(cells[t, i][None] + moves))
-            yield out
+            yield [bucket_of(cells[t, i][None] + probe_order(places[t, i], self.probes)) for t in range(len(self.lines))]
 
 
 def bucket_of(cells: np.ndarray) -> np.ndarray:
@@ -92,188 +99,193 @@ def probe_order(place: np.ndarray, count: int) -> np.ndarray:
     return moves[:found]
 
 
-def fit(sample: np.ndarray, k: int, seed: int = LINE_SEED) -> Index:
-    """Lines, cells scaled to the sample, and the least number of probes that finds WANTED of the sample's neighbours."""
-    d = sample.shape[1]
+def fit(sample: np.ndarray, total: int, k: int, seed: int = LINE_SEED) -> Index:
+    """Lines, cells and probes for ``total`` vectors, from a sample of them."""
+    n, d = sample.shape
     rng = np.random.default_rng(seed)
-    lines = rng.standard_normal((TABLES, LINES, d))
+    lines, shifts = rng.standard_normal((TABLES, MOST_LINES, d)), rng.random((TABLES, MOST_LINES))
     spread = float(np.sqrt(np.sum(np.var(sample, axis=0)))) or 1.0  # of a projection onto a line
-    index = Index(lines / (CELL * spread), rng.random((TABLES, LINES)), 1)
-    if len(sample) <= k + 1:
-        return index
     queries = sample[:SAMPLE_QUERIES]
-    far = ((queries[:, None, :] - sample[None, :, :]) ** 2).sum(axis=2) if len(sample) * d < 400_000 else np.maximum(0, (queries**2).sum(1)[:, None] + (sample**2).sum(1) - 2 * queries @ sample.T)
+    far = np.maximum(0, (queries**2).sum(1)[:, None] + (sample**2).sum(1) - 2 * queries @ sample.T)
     far[np.arange(len(queries)), np.arange(len(queries))] = np.inf
-    near = np.argsort(far, axis=1, kind="stable")[:, :k]
-    cells, _ = index.cells(sample)
-    own = np.stack([bucket_of(c) for c in cells])
-    needed = []
-    for i, visits in enumerate(index.visits(queries, MOST_PROBES)):
-        first = np.full(k, MOST_PROBES + 1)
-        for t, buckets in enumerate(visits):
-            at = {int(b): n + 1 for n, b in reversed(list(enumerate(buckets)))}
-            first = np.minimum(first, [at.get(int(own[t, j]), MOST_PROBES + 1) for j in near[i]])
-        needed.append(first)
-    needed = np.sort(np.concatenate(needed))
-    index.probes = int(min(MOST_PROBES, needed[min(len(needed) - 1, int(np.ceil(WANTED * len(needed))))]))
-    return index
+    near = np.argsort(far, axis=1, kind="stable")[:, : max(1, min(k, n - 1))]
+    cell = CELL
+    while True:
+        for count in range(1, MOST_LINES + 1):
+            index = Index(lines[:, :count] / (cell * spread), shifts[:, :count], MOST_PROBES)
+            own = np.stack([bucket_of(c) for c in index.cells(sample)[0]])
+            sizes = [np.unique(o, return_counts=True)[1] for o in own]
+            if np.mean([(c * (c - 1.0)).sum() for c in sizes]) / max(1, n * (n - 1)) * total <= BUCKET:
+                break
+        needed = []
+        for i, visits in enumerate(index.visits(queries)):
+            first = np.full(near.shape[1], MOST_PROBES + 1)
+            for t, buckets in enumerate(visits):
+                at = {int(b): p + 1 for p, b in reversed(list(enumerate(buckets)))}
+                first = np.minimum(first, [at.get(int(own[t, j]), MOST_PROBES + 1) for j in near[i]])
+            needed.append(first)
+        needed = np.sort(np.concatenate(needed))
+        enough = needed[min(len(needed) - 1, int(np.ceil(WANTED * len(needed))))]
+        if enough <= MOST_PROBES:
+            index.probes, index.recall = int(enough), float((needed <= enough).mean())
+            LOG.info("%d vectors of %d components: %d lines, cells of %.2f, %d probes, recall %.3f in the sample", total, d, count, cell, index.probes, index.recall)
+            return index
+        cell *= WIDER
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _spread(rows: DataFrame, index: Index, probing: bool) -> DataFrame:
-    """A row for each table (or probe) of each (id, vector): table, bucket, kind (0 query, 1 indexed), id, vector."""
+CANDIDATE, QUERY = 0, 1
+
+
+def _spread(rows: DataFrame, indexes: dict[int, Index], probing: bool) -> DataFrame:
+    """A row for each bucket that each vector (class, n, vector, first) is in, or is to visit: n, table, bucket, kind and
+    the vector's own columns. Vectors of a length without an index are all in one bucket."""
+    kind = QUERY if probing else CANDIDATE
+    step = 64 if probing else 2048
 
     def run(batches):
         for batch in batches:
-            ids, vectors = batch.column(0), batch.column(1)
-            for at in range(0, batch.num_rows, 64 if probing else 2048):
-                part = vectors.slice(at, 64 if probing else 2048)
-                if not len(part):
-                    continue
-                x = _matrix(part)
-                if probing:
-                    seen = list(index.visits(x))
-                    rows = np.concatenate([np.full(sum(map(len, v)), i) for i, v in enumerate(seen)])
-                    tables = np.concatenate([np.full(len(b), t) for v in seen for t, b in enumerate(v)])
-                    buckets = np.concatenate([b for v in seen for b in v])
-                else:
-                    cells, _ = index.cells(x)
-                    rows = np.tile(np.arange(len(x)), len(cells))
-                    tables = np.repeat(np.arange(len(cells)), len(x))
-                    buckets = np.concatenate([bucket_of(c) for c in cells])
-                take = pa.array(rows)
-                for s in range(0, len(rows), 20_000):
-                    some = take.slice(s, 20_000)
-                    n = len(some)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(tables[s : s + n].astype(np.int32)), pa.array(buckets[s : s + n]), pa.array(np.full(n, 0 if probing else 1, np.int32)), ids.slice(at).take(some), part.take(some)],
-                        names=["table", "bucket", "kind", "id", "vector"],
-                    )
-
-    return rows.select("id", "vector").mapInArrow(run, "table int, bucket bigint, kind int, id bigint, vector array<float>")
-
-
-def _nearest(qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndarray, k: int):
-    """(query, id, distance) of the k nearest of x for each of q; the product of matrices only screens."""
+            classes, lengths, vectors, firsts = batch.column(0), batch.column(1).to_numpy(), batch.column(2), batch.column(3)
+            for n in np.unique(lengths):
+                where = np.nonzero(lengths == n)[0]
+                for at in range(0, len(where), step):
+                    part = where[at : at + step]
+                    if n not in indexes:
+                        rows, tables, buckets = np.arange(len(part)), np.full(len(part), -1), np.zeros(len(part), np.int64)
+                    elif probing:
+                        seen = list(indexes[n].visits(_matrix(vectors.take(pa.array(part)))))
+                        rows = np.concatenate([np.full(sum(map(len, v)), i) for i, v in enumerate(seen)])
+                        tables = np.concatenate([np.full(len(b), t) for v in seen for t, b in enumerate(v)])
+                        buckets = np.concatenate([b for v in seen for b in v])
+                    else:
+                        cells, _ = indexes[n].cells(_matrix(vectors.take(pa.array(part))))
+                        rows = np.tile(np.arange(len(part)), len(cells))
+                        tables = np.repeat(np.arange(len(cells)), len(part))
+                        buckets = np.concatenate([bucket_of(c) for c in cells])
+                    for s in range(0, len(rows), 20_000):
+                        take = pa.array(part[rows[s : s + 20_000]])
+                        columns = [np.full(len(take), n, np.int32), tables[s : s + 20_000].astype(np.int32), buckets[s : s + 20_000], np.full(len(take), kind, np.int32)]
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), classes.take(take), vectors.take(take), firsts.take(take)], names=["n", "table", "bucket", "kind", "class", "vector", "first"])
+
+    kind_of = rows.schema["vector"].dataType.simpleString()
+    return rows.select("class", "n", "vector", "first").mapInArrow(run, f"n int, table int, bucket bigint, kind int, class bigint, vector {kind_of}, first bigint")
+
+
+def _nearest(qid: np.ndarray, q: np.ndarray, xid: np.ndarray, first: np.ndarray, x: np.ndarray, k: int):
+    """(query, class, first id, distance) of the k nearest of x for each of q, ties by first id; the product of matrices
+    only screens."""
     out = []
-    xx = (x**2).sum(1)
-    for at in range(0, len(q), 256):
-        some = q[at : at + 256]
-        rough = (some**2).sum(1)[:, None] + xx[None] - 2 * some @ x.T
-        slack = 1e-9 * ((some**2).sum(1) + xx.max())
-        limit = np.partition(rough, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1] + slack
-        for i in range(len(some)):
-            keep = np.nonzero(rough[i] <= limit[i])[0]
-            exact = np.sqrt(((x[keep] - some[i]) ** 2).sum(axis=1))
-            best = np.lexsort((xid[keep], exact))[:k]
-            out.append((np.full(len(best), qid[at + i]), xid[keep][best], exact[best]))
-    return [np.concatenate(c) for c in zip(*out, strict=True)] if out else None
+    with np.errstate(over="ignore", invalid="ignore"):
+        xx = (x**2).sum(1)
+        for at in range(0, len(q), 256):
+            some = q[at : at + 256]
+            rough = (some**2).sum(1)[:, None] + xx[None] - 2 * some @ x.T
+            slack = 1e-9 * ((some**2).sum(1) + xx.max())
+            limit = np.partition(rough, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1] + slack
+            for i in range(len(some)):
+                keep = np.nonzero(~(rough[i] > limit[i]))[0]  # what isn't a number stays
+                exact = np.sqrt(((x[keep] - some[i]) ** 2).sum(axis=1))
+                best = np.lexsort((xid[keep], first[keep], exact))[:k]
+                out.append((np.full(len(best), qid[at + i]), xid[keep][best], first[keep][best], exact[best]))
+    return [np.concatenate(c) for c in zip(*out, strict=True)]
 
 
 def _matched(rows: DataFrame, k: int) -> DataFrame:
-    """The k nearest within each (table, bucket, chunk), whose rows come sorted, queries first; a group is streamed."""
+    """The k nearest classes within each chunk, whose rows come sorted: its candidates are held, its queries streamed."""
 
     def run(batches):
-        key, queries, xs = None, [], []
-
-        def flush(done: bool):
-            nonlocal queries, xs
-            if queries and xs:
-                q = [np.concatenate(c) for c in zip(*queries, strict=True)]
-                x = [np.concatenate(c) for c in zip(*xs, strict=True)]
-                found = _nearest(q[0], q[1], x[0], x[1], k)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "class", "distance"])
-            xs = []
-            if done:
-                queries = []
-
+        key, parts, held = None, [], None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            names = batch.schema.names
-            get = lambda c: batch.column(names.index(c)).to_numpy(zero_copy_only=False)  # noqa: E731,B023
-            keys = np.stack([get("table").astype(np.int64), get("bucket"), get("chunk").astype(np.int64)], axis=1)
-            kind, ids, vectors = get("kind"), get("id"), _matrix(batch.column(names.index("vector")))
+            get = lambda c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)  # noqa: E731,B023
+            keys = np.stack([get(c).astype(np.int64) for c in ("n", "table", "bucket", "chunk", "kind")], axis=1)
+            ids, firsts, vectors = get("class"), get("first"), batch.column(batch.schema.get_field_index("vector"))
             cuts = np.nonzero(np.any(keys[1:] != keys[:-1], axis=1))[0] + 1
             for a, b in zip([0, *cuts], [*cuts, len(ids)], strict=True):
-                if key is None or (keys[a] != key).any():
-                    yield from flush(True)
-                    key = keys[a].copy()
-                asks = kind[a:b] == 0
-                if asks.any():
-                    queries.append((ids[a:b][asks], vectors[a:b][asks]))
-                if not asks.all():
-                    xs.append((ids[a:b][~asks], vectors[a:b][~asks]))
-                    if sum(len(x[0]) for x in xs) >= CHUNK:
-                        yield from flush(False)
-        yield from flush(True)
-
-    dealt = rows.repartition(_tasks(rows), "table", "bucket", "chunk").sortWithinPartitions("table", "bucket", "chunk", "kind", "id")
-    return dealt.mapInArrow(run, "query_id bigint, class bigint, distance double")
-
-
-def _tasks(rows: DataFrame) -> int:
-    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+                if a == b:
+                    continue
+                if key is None or (keys[a][:4] != key).any():
+                    key, parts, held = keys[a][:4].copy(), [], None
+                if keys[a][4] == CANDIDATE:
+                    parts.append((ids[a:b].copy(), firsts[a:b].copy(), _matrix(vectors.slice(a, b - a))))
+                    held = None
+                elif parts:
+                    held = held or [np.concatenate(c) for c in zip(*parts, strict=True)]
+                    found = _nearest(ids[a:b], _matrix(vectors.slice(a, b - a)), *held, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query", "class", "first", "distance"])
+
+    order = ["n", "table", "bucket", "chunk"]
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, *order).sortWithinPartitions(*order, "kind").mapInArrow(run, "query bigint, class bigint, first bigint, distance double")
+
+
+def _chunked(scratch: Scratch, candidates: DataFrame, queries: DataFrame) -> DataFrame:
+    """Candidates with the chunk of their bucket that they are dealt to, and queries with every chunk of theirs."""
+    at = ["n", "table", "bucket"]
+    heavy = candidates.groupBy(*at).count().where(F.col("count") > CHUNK)
+    heavy = scratch.put(heavy.select(*at, F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks")), "large-buckets")
+    chunks = F.coalesce("chunks", F.lit(1))
+    candidates = candidates.join(heavy, at, "left").withColumn("chunk", F.pmod(F.hash("class"), chunks)).drop("chunks")
+    queries = queries.join(heavy, at, "left").withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).drop("chunks")
+    return candidates.unionByName(queries)
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """``id`` and ``vector`` (floats) of the rows that take part, once for each id."""
-    v = F.col(vector)
+    """``row`` (a number of its own), ``id``, ``n`` (the length) and ``vector`` of the rows that take part. Floats stay
+    floats, other numbers become doubles; both are compared as doubles."""
+    kind = vectors.schema[vector].dataType
+    kept = "array<float>" if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else "array<double>"
+    v = F.col(vector).cast(kept)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = vectors.where(F.col(key).isNotNull() & v.isNotNull() & (F.size(v) > 0)).where(~bad & F.exists(v, lambda x: x != 0))
-    return rows.groupBy(F.col(key).alias("id")).agg(F.min(v.cast("array<float>")).alias("vector"))
+    rows = vectors.where(v.isNotNull() & (F.size(v) > 0)).where(~bad & F.exists(v, lambda x: x != 0))
+    return rows.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("id"), F.size(v).alias("n"), v.alias("vector"))
 
 
 def search(vectors: DataFrame, asks, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id`` and ``score`` (distance) of the ``k`` nearest found for each vector for
-    whose ``id`` the condition ``asks`` (a function of a column) holds."""
-    rows = usable(vectors, key, vector)
-    lengths = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    spark = vectors.sparkSession
-    if lengths is None:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    rows = written(rows.where(F.size("vector") == lengths["n"]), "vectors")
-    total = lengths["count"]
-    # the smallest ids of each class of equal vectors; the first of them names the class
-    over = Window.partitionBy("vector").orderBy("id")
-    members = rows.withColumn("n", F.row_number().over(over)).where(F.col("n") <= k + 1)
-    members = written(members.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("id"), "vector", "ids"), "classes")
-    sample = bounded_sample(members.select("id", "vector"), ["id"], SAMPLE)
-    index = fit(np.array([r["vector"] for r in sample], np.float64), k)
+    whose id the condition ``asks`` (a function of a column) holds."""
+    scratch = Scratch(vectors.sparkSession, "neighbours")
+    rows = scratch.put(usable(vectors, key, vector), "vectors")  # so that the rows' numbers stay
+    # the smallest ids of each class of equal vectors; the first row names the class
+    over = Window.partitionBy("vector").orderBy(F.col("id").asc_nulls_last(), "row")
+    members = rows.withColumn("at", F.row_number().over(over)).where(F.col("at") <= k + 1)
+    members = members.groupBy("vector", "n").agg(F.min("row").alias("class"), F.coalesce(F.min("id"), F.lit((1 << 63) - 1)).alias("first"), F.collect_list(F.struct("id", "row")).alias("members"))
+    members = scratch.put(members, "classes")
     queries = rows.where(asks(F.col("id")))
-
-    indexed, probes = _spread(members, index, False), _spread(queries, index, True)
-    heavy = indexed.groupBy("table", "bucket").count().where(F.col("count") > CHUNK)
-    heavy = written(heavy.select("table", "bucket", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks")), "large-buckets")
-    chunks = F.coalesce("chunks", F.lit(1))
-    indexed = indexed.join(heavy, ["table", "bucket"], "left").withColumn("chunk", F.pmod(F.hash("id"), chunks)).drop("chunks")
-    probes = probes.join(heavy, ["table", "bucket"], "left").withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).drop("chunks")
-    found = _merged(_matched(indexed.unionByName(probes), k + 1), members, k)
-    found = written(found, "found")
-
-    least = min(k, total - 1)
-    got = found.groupBy("query_id").count().where(F.col("count") >= least)
-    short = written(queries.join(got, queries["id"] == got["query_id"], "left_anti"), "short-queries")
-    few = short.count() if least > 0 else 0
-    if few:
-        blocks = -(-total // CHUNK)
-        every = members.select(F.lit(-1).alias("table"), F.lit(0).cast("long").alias("bucket"), F.lit(1).alias("kind"), "id", "vector", F.pmod(F.hash("id"), F.lit(blocks)).alias("chunk"))
-        asked = short.select(F.lit(-1).alias("table"), F.lit(0).cast("long").alias("bucket"), F.lit(0).alias("kind"), "id", "vector", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("chunk"))
-        whole = _merged(_matched(every.unionByName(asked), k + 1), members, k)
-        found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(whole)
-    return found
-
-
-def _merged(matches: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    best = matches.groupBy("query_id", "class").agg(F.min("distance").alias("score"))
-    best = best.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "class"))).where(F.col("n") <= k + 1)
-    ids = members.select(F.col("id").alias("class"), "ids")
-    rows = best.join(ids, "class").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    asked = scratch.put(queries.join(members.select("vector", "class"), "vector").select("class", "n", F.col("id").alias("query_id"), F.col("row").alias("query_row")), "asked")
+    lengths = rows.groupBy("n").agg(F.count(F.lit(1)).alias("count"))
+    indexes = {}
+    for r in members.groupBy("n").count().orderBy(F.desc("count"), "n").limit(LENGTHS).collect():
+        if r["count"] > BUCKET:
+            sample = bounded_sample(members.where(F.col("n") == r["n"]).select("class", "vector"), ["class"], SAMPLE, r["count"])
+            indexes[r["n"]] = fit(np.array([x["vector"] for x in sample], np.float64), r["count"], k)
+    asking = members.join(asked.select("class").distinct(), "class", "left_semi")
+    both = _chunked(scratch, _spread(members, indexes, False), _spread(asking, indexes, True))
+    found = scratch.put(_ranked(_matched(both, k + 1), members, asked, k), "found")
+
+    # queries with fewer answers than there are vectors of their length see all of these
+    got = found.groupBy("query_row").agg(F.count(F.lit(1)).alias("got"))
+    short = asked.join(got, "query_row", "left").join(lengths, "n").where(F.coalesce("got", F.lit(0)) < F.least(F.lit(k), F.col("count") - 1))
+    short = scratch.put(short.select("class", "n", "query_id", "query_row"), "short-queries")
+    if short.limit(1).count():
+        every = members.join(short.select("n").distinct(), "n", "left_semi")
+        asking = members.join(short.select("class").distinct(), "class", "left_semi")
+        whole = _ranked(_matched(_chunked(scratch, _spread(every, {}, False), _spread(asking, {}, True)), k + 1), members, short, k)
+        found = scratch.put(found.join(short.select("query_row"), "query_row", "left_anti").unionByName(whole), "completed")
+    scratch.drop(*[n for n in scratch.paths if n not in ("found", "completed")])
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+def _ranked(matches: DataFrame, members: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """For each row that asks, its k nearest rows, from the nearest classes of its own class."""
+    best = matches.groupBy("query", "class", "first").agg(F.min("distance").alias("score"))
+    best = best.withColumn("at", F.row_number().over(Window.partitionBy("query").orderBy("score", "first", "class"))).where(F.col("at") <= k + 1)
+    rows = best.join(members.select("class", "members"), "class").select("query", "score", F.explode("members").alias("to"))
+    rows = rows.join(asked.select(F.col("class").alias("query"), "query_id", "query_row"), "query").where("to.row <> query_row")
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy("score", F.col("to.id").asc_nulls_last(), "to.row"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "query_row", "rank", F.col("to.id").alias("vec_id"), "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,49 +1,78 @@
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from loomwork.llm import neighbours
 
 
 def exact(rows, asks, k):
+    """By row number: the k nearest rows of each row that asks, of the same length, with null ids last among ties."""
     out = {}
-    for q, v in rows:
-        if asks(q):
-            near = sorted((float(np.sqrt(((np.array(v) - np.array(w)) ** 2).sum())), i) for i, w in rows if i != q)[:k]
-            out[q] = near
+    for i, (q, v) in enumerate(rows):
+        if q is not None and asks(q):
+            near = [(float(np.sqrt(((v - w) ** 2).sum())), j is None, j or 0, j) for m, (j, w) in enumerate(rows) if m != i and len(w) == len(v)]
+            out[i] = (q, [(d, j) for d, _, _, j in sorted(near, key=lambda x: x[:3])[:k]])
     return out
 
 
+def answers(rows, asks, k):
+    return sorted(((q, n, j, d) for q, near in exact(rows, asks, k).values() for n, (d, j) in enumerate(near, 1)), key=str)
+
+
 def test_recall_and_order(spark):
     got = neighbours.query(spark, "/root/testdata/sf0.01").collect()
     rows = [(r.vec_id, np.array(r.embedding, np.float32).astype(float)) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
-    want = exact(rows, lambda i: i % 100 == 0, 10)
-    hits = sum(any(i == r.vec_id for _, i in want[r.query_id]) for r in got)
-    assert hits / (10 * len(want)) >= 0.9 and len(got) == 10 * len(want)
+    want = {(q, j) for q, _, j, _ in answers(rows, lambda i: i % 100 == 0, 10)}
+    assert len(want & {(r.query_id, r.vec_id) for r in got}) >= 0.9 * len(want) and len(got) == len(want)
     vectors = dict(rows)
     for r in got:
         assert abs(r.score - np.sqrt(((vectors[r.query_id] - vectors[r.vec_id]) ** 2).sum())) < 1e-12
 
 
 def test_odd_vectors_copies_and_ties(spark):
-    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, [0.0, -1.0]), (5, None), (6, [0.0, 0.0]), (7, [math.nan, 1.0]), (8, [None, 1.0]), (9, [math.inf, 1.0]), (10, [1.0]), (None, [1.0, 1.0]), (3, [0.0, 1.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = [(r.query_id, r["rank"], r.vec_id) for r in neighbours.search(df, lambda i: i % 3 == 0, 3).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 1), (0, 2, 2), (0, 3, 3), (3, 1, 0), (3, 2, 1), (3, 3, 2)]
+    """Repeated and null ids are rows of their own; other lengths are compared among themselves."""
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, [0.0, -1.0]), (5, None), (6, [0.0, 0.0]), (7, [math.nan, 1.0]), (8, [None, 1.0]), (9, [math.inf, 1.0]), (10, [1.0]), (None, [1.0, 1.0]), (3, [0.0, 1.0]), (12, [2.0]), (None, [1.0, 0.0]), (15, [1.0, 2.0, 3.0]), (18, [])]
+    for kind in ("float", "double"):
+        df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").withColumn("row", F.lit(1)).withColumn("n", F.lit("x"))
+        got = sorted(((r.query_id, r["rank"], r.vec_id, r.score) for r in neighbours.search(df, lambda i: i % 3 == 0, 3).collect()), key=str)
+        usable = [(i, np.array(v)) for i, v in rows if v and None not in v and np.isfinite(v).all() and any(v)]
+        assert got == answers(usable, lambda i: i % 3 == 0, 3) and len(got) == 3 + 3 + 3 + 1
     assert neighbours.search(df.limit(0), lambda i: i % 3 == 0).count() == 0
     assert neighbours.search(df.where("vec_id = 0"), lambda i: i % 3 == 0).count() == 0
 
 
+def test_doubles_keep_their_precision(spark):
+    rows = [(0, [1.0, 2.0, 3.0]), (1, [1.0 + 3e-9, 2.0, 3.0]), (2, [1.0, 2.0 + 1e-9, 3.0]), (3, [1.0, 2.0, 4.0]), (4, [1e200, 0.0, 0.0])]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i == 0, 3).collect()
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(j, d) for d, j in exact([(i, np.array(v)) for i, v in rows], lambda i: i == 0, 3)[0][1]]
+    assert 0 < got[0].score < 4e-9
+
+
+def test_index_reaches_its_recall_for_mixed_lengths_and_norms(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BUCKET", 64)
+    rng = np.random.default_rng(8)
+    near = np.concatenate([rng.standard_normal((30, 16)) * s + rng.standard_normal(16) * 3 for s in np.geomspace(0.01, 30, 60)])
+    other = rng.standard_normal((500, 5))
+    vectors = [*near, *other]
+    rows = [(int(i), v.tolist()) for i, v in zip(rng.permutation(len(vectors)), vectors, strict=True)]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 20 == 0, 10).collect()
+    want = answers([(i, np.array(v)) for i, v in rows], lambda i: i % 20 == 0, 10)
+    hits = {(q, j) for q, _, j, _ in want} & {(r.query_id, r.vec_id) for r in got}
+    assert len(got) == len(want) and len(hits) >= 0.9 * len(want)
+
+
 def test_large_buckets_and_copies(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "CHUNK", 16)
+    monkeypatch.setattr(neighbours, "BUCKET", 32)
     rng = np.random.default_rng(3)
     base = rng.standard_normal((300, 8)).astype(np.float32)
     base[100:220] = base[100]
     rows = [(i, v.tolist()) for i, v in enumerate(base)]
     got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), lambda i: i % 50 == 0, 5).collect()
-    want = exact([(i, np.array(v)) for i, v in rows], lambda i: i % 50 == 0, 5)
-    assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 150] == [i for _, i in want[150]] == [100, 101, 102, 103, 104]
-    assert sum(any(i == r.vec_id for _, i in want[r.query_id]) for r in got) >= 0.9 * len(got)
+    want = answers([(i, np.array(v)) for i, v in rows], lambda i: i % 50 == 0, 5)
+    assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 150] == [100, 101, 102, 103, 104]
+    assert len(got) == len(want) and len({(q, j) for q, _, j, _ in want} & {(r.query_id, r.vec_id) for r in got}) >= 0.9 * len(want)
 
 
 def test_probe_order():
