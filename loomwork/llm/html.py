@@ -1,9 +1,13 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is cut into blocks of text. A logistic classifier gives each block a cost for being called content and one for
-being called boilerplate: these are the capacities of its edges to the two terminals. Neighbouring blocks are joined by
-edges whose capacity falls with the number of containers that lie between them in the DOM. The maximum flow finds the
-cheapest cut, and the blocks on the source's side are the article.
+A page is cut into blocks of text. A logistic classifier reads each block's text and tags and the marks (tags, and words
+in class, id and role) of the containers around it, and gives it a cost for being called content and one for being called
+boilerplate: these are the capacities of its edges to the two terminals. All neighbouring blocks are joined by edges whose
+capacity falls with the number of containers that lie between them in the DOM. The maximum flow finds the cheapest cut, and
+the blocks on the source's side are the article: a mark on one paragraph doesn't take it out of the article that it stands
+in, nor does a good sentence bring a menu into it.
+
+Parsing and features take time in proportion to the page, however deep it is nested.
 
 Defined results: null, empty and text-free HTML give an empty text. Cut-off pages are read as far as they go; an
 unfinished tag or comment at the end is dropped. Repeated rows give equal texts. Columns named like an output are
@@ -80,6 +84,13 @@ class Node:
     unseen: bool = False
     chars: int = 0
     holds_good: bool = False
+    owner: "Node | None" = None  # the block that text in this element belongs to
+    # of this element and those around it
+    marks: int = 0
+    halves: int = 0
+    header: bool = False
+    favours: bool = False
+    in_good: bool = False
 
 
 @dataclass
@@ -113,32 +124,52 @@ def _marked(node: Node, attrs: str) -> None:
                     node.good = True
 
 
+class _Stack:
+    """The open elements, and where those of each tag stand."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.at, self.links = [root], {}, 0
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+        self.links += node.tag == "a"
+
+    def leave(self, k: int) -> None:
+        while len(self.nodes) > k:
+            tag = self.nodes.pop().tag
+            self.at[tag].pop()
+            self.links -= tag == "a"
+
+    def last(self, tags) -> int:
+        """The innermost open element of some tags, 0 for none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+
+#: Elements that an inline end tag doesn't close.
+WALLS = ("td", "th", "li", "div", "section", "article")
+
+
 def blocks_of(page: str) -> list[Block]:
     """The visible blocks of text of a page in order; white space in each is one space, character references decoded."""
     root = Node("#root", None, 0)
-    at, stack, blocks, current, links = 0, [root], [], None, 0
+    root.owner = root
+    at, stack, blocks, current, nodes = 0, _Stack(root), [], None, [root]
 
     def say(raw: str) -> None:
         nonlocal current
-        if not raw or stack[-1].unseen:
+        if not raw or stack.nodes[-1].unseen:
             return
         text = entities.unescape(raw)
         if current is None:
             if text.isspace():
                 return
-            owner = next(n for n in reversed(stack) if n.tag in BLOCK or n is root)
-            current = Block(owner)
+            current = Block(stack.nodes[-1].owner)
             blocks.append(current)
         current.parts.append(text)
-        if links:
+        if stack.links:
             current.linked += len(text)
 
-    def leave(k: int) -> None:
-        nonlocal links
-        for n in stack[k:]:
-            links -= n.tag == "a"
-        del stack[k:]
-
     size = len(page)
     while at < size:
         m = _TOKEN.search(page, at)
@@ -154,33 +185,31 @@ def blocks_of(page: str) -> list[Block]:
         if m[5] and at == size and page[-1] != ">":
             break  # a tag that the page's end cuts off
         if slash:
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == name), 0)
+            k = stack.last((name,))
             if name in BLOCK:
                 current = None
-            if k and (name in BLOCK or not any(n.tag in ("td", "th", "li", "div", "section", "article") for n in stack[k + 1 :])):
-                leave(k)
+            if k and (name in BLOCK or stack.last(WALLS) <= k):
+                stack.leave(k)
             continue
         if name in BLOCK or name == "body":
             current = None
         if name in CLOSES:
             ends, stops = CLOSES[name]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in stops:
-                    break
-                if stack[i].tag in ends:
-                    leave(i)
-                    break
+            k = stack.last(ends)
+            if k > stack.last(stops):
+                stack.leave(k)
         if name == "br":
             if current is not None:
                 current.parts.append(" ")
             continue
         if name in VOID:
             continue
-        top = stack[-1]
+        top = stack.nodes[-1]
         if name == "body" and top.tag == "head":
-            leave(len(stack) - 1)
-            top = stack[-1]
+            stack.leave(len(stack.nodes) - 1)
+            top = stack.nodes[-1]
         node = Node(name, top, top.depth + 1)
+        node.owner = node if name in BLOCK else top.owner
         _marked(node, attrs)
         node.unseen = node.unseen or top.unseen
         if attrs.endswith("/") and name not in BLOCK:
@@ -189,59 +218,65 @@ def blocks_of(page: str) -> list[Block]:
             end = _RAW[name].search(page, at)
             at = end.end() if end else size
             continue
-        stack.append(node)
-        links += name == "a"
+        stack.push(node)
+        nodes.append(node)
 
     kept = []
     for b in blocks:
         b.text = " ".join("".join(b.parts).split())
         if b.text:
             kept.append(b)
-            n = b.node
-            while n is not None:
-                n.chars += len(b.text)
-                n = n.parent
-    for b in kept:
-        n, inside = b.node, False
-        while n is not None:
-            n.holds_good = n.holds_good or inside
-            inside = inside or n.tag in GOOD_TAGS
-            n = n.parent
+            b.node.chars += len(b.text)
+    for n in reversed(nodes):  # inner elements first
+        up = n.parent
+        if up is not None and n.chars:
+            up.chars += n.chars
+            up.holds_good = up.holds_good or n.holds_good or n.tag in GOOD_TAGS
+    for n in nodes:  # outer elements first
+        _inherit(n, root.chars or 1)
     return kept
 
 
-#: What the classifier reads of a block, and the weights that it starts from (log odds of content).
-FEATURES = ("one", "log of words", "linked share", "ends as a sentence", "heading", "paragraph", "list item", "in article or main")
-PRIOR = np.array([-0.4, 0.45, -4.0, 0.7, 0.6, 0.7, -0.4, 2.6])
-#: Log odds that a boilerplate container, a header or form, and a content-like class add.
-BAD, HALF_BAD, GOOD = -9.0, -4.0, 1.5
+def _inherit(n: Node, total: int) -> None:
+    """Marks, content-like classes and articles of an element and those around it. What wraps most of a page isn't marked."""
+    up = n.parent
+    if up is not None:
+        n.marks, n.halves, n.header, n.favours, n.in_good = up.marks, up.halves, up.header, up.favours, up.in_good
+    wraps = n.holds_good or n.chars >= 0.7 * total and n.tag not in BAD_TAGS | {"footer"}
+    if n.bad == 2 and not (wraps and n.tag not in ("nav", "footer", "aside")):
+        n.marks += 1
+    elif n.bad == 1 and not wraps:
+        if n.tag == "header" and n.in_good:
+            n.header = True  # of an article: its headings are content
+        else:
+            n.halves += 1
+    n.favours = n.favours or n.good and n.tag not in GOOD_TAGS
+    n.in_good = n.in_good or n.tag in GOOD_TAGS
+
+
+#: What the classifier reads of a block, and the weights that it starts from (log odds of content). Those of marks aren't
+#: fitted, as marks name the blocks that the others are fitted on.
+FEATURES = ("one", "log of words", "linked share", "ends as a sentence", "heading", "paragraph", "list item", "in article or main", "content-like class", "marked container", "header or form")
+PRIOR = np.array([-0.4, 0.45, -4.0, 0.7, 0.6, 0.7, -0.4, 2.6, 1.5, -7.0, -6.5])
+#: Weights that are fitted: the first so many.
+FITTED = 7
 #: Smoothness of two blocks of the same container; it is divided by the containers between them and one.
-SMOOTH = 1.2
-
-
-def features(b: Block) -> tuple[list[float], float, bool]:
-    """Text and tag features, what hints add, and whether a boilerplate container holds the block."""
-    chain, n = [], b.node
-    while n is not None:
-        chain.append(n)
-        n = n.parent
-    total = chain[-1].chars or 1
-    hint, bad = 0.0, False
-    in_good = False
-    for k, n in enumerate(chain):
-        wraps = n.holds_good or n.chars >= 0.7 * total and n.tag not in BAD_TAGS | {"footer"}
-        if n.bad == 2 and not (wraps and n.tag not in ("nav", "footer", "aside")):
-            hint, bad = hint + BAD, True
-        elif n.bad == 1 and not wraps:
-            within = n.tag == "header" and any(a.tag in GOOD_TAGS for a in chain[k + 1 :])
-            heading = within and b.node.tag in ("h1", "h2")
-            hint, bad = hint + (0.0 if heading else HALF_BAD), bad or not heading
-        in_good = in_good or n.tag in GOOD_TAGS
-        if n.good and n.tag not in GOOD_TAGS:
-            hint = hint + GOOD if not bad and hint < GOOD else hint
-    tag = b.node.tag
+SMOOTH = 1.6
+
+
+def features(b: Block) -> list[float]:
+    n, tag = b.node, b.node.tag
     words = b.text.count(" ") + 1
-    return [1.0, math.log1p(words), b.linked / (len(b.text) or 1), float(bool(_ENDS.search(b.text))), float(len(tag) == 2 and tag[0] == "h" and tag != "hr"), float(tag in ("p", "blockquote", "pre")), float(tag in ("li", "dt", "dd")), float(in_good)], hint, bad
+    halves = n.halves + (n.header and tag not in ("h1", "h2"))
+    return [
+        1.0, math.log1p(words), b.linked / len(b.text), float(bool(_ENDS.search(b.text))), float(len(tag) == 2 and tag[0] == "h" and tag != "hr"), float(tag in ("p", "blockquote", "pre")), float(tag in ("li", "dt", "dd")),
+        float(n.in_good), float(n.favours and not n.marks and not halves), float(min(n.marks, 2)), float(min(halves, 2)),
+    ]
+
+
+def costs_of(blocks: list[Block], weights: np.ndarray = PRIOR) -> list[int]:
+    """Thousandths of the log odds of content of each block."""
+    return np.round(1000 * np.array([features(b) for b in blocks]) @ weights).astype(np.int64).tolist()
 
 
 def _between(a: Node, b: Node) -> int:
@@ -331,22 +366,21 @@ def min_cut(costs: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
     return seen[:n]
 
 
+def edges_of(blocks: list[Block]) -> list[tuple[int, int, int]]:
+    """Edges between neighbours, and between siblings one apart."""
+    out = []
+    for i in range(len(blocks) - 1):
+        out.append((i, i + 1, round(1000 * SMOOTH / (1 + _between(blocks[i].node, blocks[i + 1].node)))))
+        if i + 2 < len(blocks) and blocks[i].node.parent is blocks[i + 2].node.parent:
+            out.append((i, i + 2, round(500 * SMOOTH)))
+    return out
+
+
 def main_text(page: str | None, weights: np.ndarray = PRIOR) -> str:
     blocks = blocks_of(page) if page else []
     if not blocks:
         return ""
-    costs, held, w = [], [], weights.tolist()
-    for b in blocks:
-        x, hint, bad = features(b)
-        costs.append(round(1000 * (hint + sum(p * q for p, q in zip(x, w, strict=True)))))
-        held.append(bad)
-    edges = []
-    for i in range(len(blocks) - 1):
-        if held[i] == held[i + 1]:
-            edges.append((i, i + 1, round(1000 * SMOOTH / (1 + _between(blocks[i].node, blocks[i + 1].node)))))
-        if i + 2 < len(blocks) and held[i] == held[i + 2] and blocks[i].node.parent is blocks[i + 2].node.parent:
-            edges.append((i, i + 2, round(500 * SMOOTH)))  # siblings one apart
-    side = min_cut(costs, edges)
+    side = min_cut(costs_of(blocks, weights), edges_of(blocks))
     return "\n".join(b.text for b, content in zip(blocks, side, strict=True) if content)
 
 
@@ -357,15 +391,15 @@ def fit(pages: DataFrame, html: str = "html", key: str = "page_id") -> np.ndarra
     rows = bounded_sample(pages.where(F.col(html).isNotNull()).select(key, html), [key], TRAIN_PAGES)
     x, y = [], []
     for r in rows:
-        for b in blocks_of(r[html]):
-            f, _, bad = features(b)
-            if bad or f[-1]:
-                x.append(f[:-1])
+        for f in map(features, blocks_of(r[html])):
+            bad, article = f[9] or f[10], f[7]
+            if bad or article:
+                x.append(f[:FITTED])
                 y.append(0.0 if bad else 1.0)
     weights = PRIOR.copy()
     if not x or min(y) == max(y):
         return weights
-    a, t, start = np.array(x), np.array(y), PRIOR[:-1]
+    a, t, start = np.array(x), np.array(y), PRIOR[:FITTED]
     w = start.copy()
     stay = 0.2 * len(a)  # the prior counts like this many rows
     for _ in range(20):  # Newton's steps
@@ -374,7 +408,7 @@ def fit(pages: DataFrame, html: str = "html", key: str = "page_id") -> np.ndarra
         w -= step
         if np.abs(step).max() < 1e-8:
             break
-    weights[:-1] = np.round(w, 6)
+    weights[:FITTED] = np.round(w, 6)
     return weights
 
 

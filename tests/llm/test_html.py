@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import pytest
 
@@ -39,3 +40,33 @@ def test_table(spark):
 def test_long_page_ends():
     page = "<article>" + "<p>word and more.</p>" * 20_000 + "</article>"
     assert html.main_text(page).count("\n") == 19_999
+
+
+def alone(page):
+    """What the costs alone would keep."""
+    blocks = html.blocks_of(page)
+    return "\n".join(b.text for b, c in zip(blocks, html.costs_of(blocks), strict=True) if c > 0)
+
+
+def test_the_cut_corrects_a_wrong_mark():
+    """A paragraph that a word of its class calls boilerplate stays in the article that it stands in."""
+    said = "The board said on Monday that it would go on with its plans for the year, whatever the others thought of them."
+    parts = [f"{said} {i}." for i in range(5)]
+    body = "".join(f"<p class='{'share-price' if i == 2 else 'x'}'>{t}</p>" for i, t in enumerate(parts))
+    page = f"<div class='content'>{body}</div><div class='footer'><p>{said}</p></div>"
+    assert parts[2] not in alone(page) and html.main_text(page) == "\n".join(parts)
+    advert = page.replace(f"<p class='share-price'>{parts[2]}</p>", "<p class='advert'>Buy now</p>")
+    assert html.main_text(advert) == "\n".join(p for i, p in enumerate(parts) if i != 2)
+
+
+def test_the_cut_takes_a_sentence_out_of_an_unmarked_menu():
+    menu = "<ul>" + "".join(f"<li>{'Here you find all that was said of it before, in order.' if i == 4 else f'<a href=x>Part {i}</a>'}</li>" for i in range(9)) + "</ul>"
+    page = f"<main><p>One paragraph of the story. It goes on.</p></main>{menu}"
+    assert "Here you find" in alone(page) and html.main_text(page) == "One paragraph of the story. It goes on."
+
+
+@pytest.mark.parametrize("page", ["<div>" * 50_000 + "x y z.", "<div>" * 50_000 + "</span>" * 50_000 + "<p>a b.", "<div><p>t one.</p>" * 20_000, "<i>" * 50_000 + "x"])
+def test_deep_pages_take_time_in_proportion(page):
+    began = time.process_time()
+    html.main_text(page)
+    assert time.process_time() - began < 2
