@@ -5,9 +5,9 @@ which lays them out as the paths of a trie in depth-first order: going from one
 their common prefix stay, and only the rest is computed. A state is the best segmentation of a prefix: its score and its
 last piece.
 
-For a unigram model the score is the sum of the pieces' scores. For a merge model (BPE) that sum is not what its merges
-give, so a step from one piece to the next is allowed only if merging the two pieces' joined text gives back just
-those two; exactly one allowed path remains, and it is the library's own result.
+The score is the sum of the pieces' scores. For a merge model (BPE) the greatest sum is not what its merges give, so there a
+step from one piece to the next is allowed only if merging the two pieces' joined text gives back just those two; one
+allowed step to each prefix remains, its score is carried on, and the path is the library's own result.
 
 Defined results: a null text has null ids and decodes to null; an empty text has no ids and decodes to an empty text.
 Characters without a piece become byte pieces. A literal ``▁`` decodes to a space, as in the library. Repeated rows
@@ -150,6 +150,7 @@ class Pieces:
         """The ids of each of ``words``, which must be sorted."""
         score, last, size = [0.0], [START], [0]  # by length of the prefix
         ids, scores, tails, merges, fits, step, width = self.ids, self.scores, self.tails, self.model_type == MERGES, self.fits, self.step, len(self.names)
+        unknown_score = self.unknown_score
         before = ""
         for word in words:
             common, most = 0, min(len(before), len(word))
@@ -172,12 +173,11 @@ class Pieces:
                             fit = step(last[end - n], k)
                         if not fit:
                             continue
-                    if merges:
-                        which, long = k, n
-                        break  # no other step is allowed
-                    value = score[end - n] + (scores[k] if k != OTHER else self.unknown_score)
+                    value = score[end - n] + (scores[k] if k != OTHER else unknown_score)
                     if best is None or value > best:
                         best, which, long = value, k, n
+                    if merges:
+                        break  # no other step is allowed
                 score.append(best)
                 last.append(which)
                 size.append(long)
