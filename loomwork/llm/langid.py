@@ -25,9 +25,9 @@ from .common import OWN, ddl, drop_clashing, table
 WINDOW, BATCH = 256, 256
 #: Widths of the filters, filters of each width, and size of a byte's vector.
 WIDTHS, FILTERS, EMBEDDING = (2, 3, 4), (8, 12, 12), 8
-#: Bound of the training sample: labelled rows of each language, windows taken from each row, and the longest part of
-#: a text that is fetched for them.
-TRAIN_ROWS, TRAIN_WINDOWS, TRAIN_CHARS = 300, 4, 16_384
+#: Bounds of the training sample: labelled rows of each language (all of their text is learned from), and languages, the
+#: commonest first.
+TRAIN_ROWS, MOST_LABELS = 120, 256
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -122,37 +122,33 @@ def windows_of(raw: bytes) -> np.ndarray:
 
 
 def training_windows(texts: list[str], labels: list[str], seed: int = 7) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Up to TRAIN_WINDOWS windows from random places of each text; some are cut short, as texts and their ends are."""
+    """All windows of each text, some of them cut short, as short texts and ends of texts are."""
     rng = np.random.default_rng(seed)
     names = sorted(set(labels))
     rows, which = [], []
     for text, label in zip(texts, labels, strict=True):
-        raw = text.encode()
-        for _ in range(min(TRAIN_WINDOWS, -(-len(raw) // WINDOW))):
-            at = int(rng.integers(0, max(1, len(raw) - WINDOW + 1)))
-            size = int(rng.integers(8, WINDOW)) if rng.random() < 0.4 else WINDOW
-            rows.append(raw[at : at + size].ljust(WINDOW, b"\0"))
-            which.append(names.index(label))
-    return np.frombuffer(b"".join(rows), np.uint8).reshape(-1, WINDOW), np.array(which, np.int64), names
+        windows = windows_of(text.encode()).copy()
+        for i in np.nonzero(rng.random(len(windows)) < 0.4)[0]:
+            windows[i, int(rng.integers(8, WINDOW)) :] = 0
+        rows.append(windows)
+        which.append(np.full(len(windows), names.index(label), np.int64))
+    return np.concatenate(rows), np.concatenate(which), names
 
 
 def fit(docs: DataFrame, usable: Column, text: str = "text", label: str = "lang", key: str = "doc_id") -> Network | None:
     """A network learned from at most about TRAIN_ROWS usable labelled rows of each language, chosen by a hash of the
-    key, whatever the size of the table. Only sample rows reach the driver; of a longer text,
-    TRAIN_CHARS characters from a place that the hash decides."""
+    key, whatever the size of the table. Only sample rows reach the driver."""
     known = docs.filter(usable & F.col(label).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    counts = {r[label]: r["count"] for r in known.groupBy(label).count().collect()}
+    counts = {r[label]: r["count"] for r in known.groupBy(label).count().orderBy(F.desc("count"), label).limit(MOST_LABELS).collect()}
     if not counts:
         return None
     chance = F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(1_000_003)) / 1_000_003.0
     share = F.lit(0.0)
     for name, n in sorted(counts.items()):
         share = F.when(F.col(label) == name, min(1.0, TRAIN_ROWS / n)).otherwise(share)
-    start = F.pmod(F.xxhash64(F.col(key), F.lit(12)), F.greatest(F.lit(1), F.length(text) - TRAIN_CHARS + 1)).cast("int") + 1
-    sample = known.filter(chance < share).select(key, F.col(text).substr(start, F.lit(TRAIN_CHARS)).alias(text), label)
+    sample = known.filter(chance < share).select(key, text, label)
     rows = sorted(sample.limit(2 * TRAIN_ROWS * len(counts)).collect(), key=lambda r: (str(r[0]), r[1]))
-    windows, which, names = training_windows([r[1] for r in rows], [r[2] for r in rows])
-    return train(windows, which, names) if len(rows) else None
+    return train(*training_windows([r[1] for r in rows], [r[2] for r in rows])) if rows else None
 
 
 def identify(docs: DataFrame, net: Network | None, text: str = "text") -> DataFrame:
