@@ -1,19 +1,24 @@
-"""Near-copies by similarity: exact overlap (Jaccard) of word shingles, by prefixes of ordered shingle sets.
-
-All shingles are put in one order, rare ones first. Two sets whose overlap reaches the limit must share a shingle among the
-first ``size - ceil(limit * size) + 1`` of each; and after the first shingle that they share, enough must be left in both
-to reach the limit. So what meets on such a shingle, with enough left, holds every pair at the limit, whatever the order:
-the order (counts of all shingles, folded to a table of fixed size) decides only how much meets besides. Nothing is
-drawn at random and nothing dropped.
-
-Only the groups are asked for, so pairs already in one group needn't meet. First each text meets the one before it on
-each shingle, in an order that differs from shingle to shingle, and what proves alike is grouped; then all texts of
-different groups meet. Thus a group of near copies costs work in its size, not in its square. Every pair that meets is
-verified on the whole sets.
-
-Copies of a text (equal words) are linked by their hash and meet others once. Defined results: a null, empty or blank
-text is linked with others like it; a text of fewer words than a shingle is one shingle; repeated rows are copies. An
-empty table gives an empty table.
+"""Near-copies by similarity: overlap (Jaccard) of sets of word shingles, for stages that ask for a similarity.
+
+Fingerprints of 64 bits that differ in three bits show only the closest copies, so they come first and don't have the
+last word. Groups are found in three steps, each of which compares only texts of different groups:
+
+1. SimHash fingerprints of the sets, probed by the generalised pigeonhole (``simhash.links``): representatives of equal and
+   of near fingerprints meet.
+2. The same principle on the sets themselves. All shingles are put in one order, rare ones first. Sets of size n at the limit
+   differ in so few shingles that they must agree on one of the first ``n - ceil(limit * n) + 1`` of each: those shingles
+   are parts with threshold 0, all commoner ones parts with threshold -1. In a few rounds each text is compared with the
+   closest of those that come before it on its shingles, in orders that differ from shingle to shingle.
+3. All texts of different groups that agree on such a shingle, with enough left in both, are compared. So nothing is
+   missed whatever the first steps did; they only make the groups so large that little is left to compare.
+
+Every pair passes a bound before its sets are fetched: parity sketches (bit i tells whether an odd number of shingles fall
+to place i) differ in no more places than the sets do. What passes is verified on the whole sets. The order (counts of
+all shingles of all texts, folded to a table of fixed size) decides only how much work is done.
+
+Copies of a text (equal words) share a 64-bit identity and are compared once. Shingles are 64-bit hashes. Defined results:
+a null, empty or blank text is linked with others like it; a text of fewer words than a shingle is one shingle; repeated
+rows are copies. Rows that share a key but not a text are judged by their texts. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,161 +33,320 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import OWN, written
+from .bloom import having, lacking
+from .common import OWN, Scratch, bounded_sample, ddl
 from .components import components
-from .simhash import hashes_of, words_of
+from .simhash import SAMPLE, links, majority, plan_parts, words_of
 
 SHINGLE, SIMILAR = 5, 0.8
 #: Slots of the table of shingle counts, and slots sent in one row.
 SLOTS, SLOTS_A_ROW = 1 << 21, 1 << 16
+#: Longs of a parity sketch, rounds of the second step, and words whose hashes a worker keeps.
+SKETCH, ROUNDS, KEPT_WORDS = 16, 2, 1 << 16
+#: Shingles that are counted at once.
+GROUP = 1 << 20
 
 
-def counts_of(slim: DataFrame) -> np.ndarray:
-    """How many texts hold a shingle of each slot, as steps of a quarter of a doubling (a byte each)."""
+class _Words(dict):
+    """64-bit hashes of words."""
 
-    def packed(sums):
-        for k in np.nonzero(sums.reshape(-1, SLOTS_A_ROW).any(axis=1))[0]:
-            yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), pa.array([zlib.compress(sums[k * SLOTS_A_ROW : (k + 1) * SLOTS_A_ROW].tobytes(), 1)])], names=["part", "n"])
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        self[word] = found = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
+def shingles_of(words: list[bytes], size: int, known: _Words | None = None) -> np.ndarray:
+    """The distinct shingles of a text, sorted: 64-bit hashes made of those of their words in order."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    one = np.fromiter(map((_Words() if known is None else known).__getitem__, words), np.uint64, len(words))
+    size = min(size, len(words))
+    n = len(words) - size + 1
+    out = np.full(n, size, np.uint64)
+    for k in range(size):
+        out = (out ^ one[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return np.unique(out * np.uint64(0xD6E8FEB86659FD93))
+
+
+def identity_of(words: list[bytes]) -> int:
+    return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
+
+
+def sketch_of(own: np.ndarray) -> np.ndarray:
+    """SKETCH longs: the parity of the shingles that fall to each bit."""
+    bits = np.bincount((own >> np.uint64(40)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH).astype(np.uint8) & 1
+    return np.packbits(bits).view(np.int64)
+
+
+def prefix_of(own: np.ndarray, counts: np.ndarray, similar: float) -> np.ndarray:
+    """The first shingles of a set in the common order, so many that a set at the limit shares one."""
+    order = np.lexsort((own, counts[own % np.uint64(SLOTS)]))
+    return own[order[: len(own) - math.ceil(similar * len(own) - 1e-9) + 1]]
+
+
+def overlap(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def counts_of(texts: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
+    """How many texts (a column) hold a shingle of each slot, as steps of a quarter of a doubling (a byte each)."""
 
     def count(batches):
-        sums = np.zeros(SLOTS, np.int64)
+        known, sums, group, held = _Words(), np.zeros(SLOTS, np.int32), [], 0
         for batch in batches:
-            sets = [np.frombuffer(x.as_py(), np.uint32) for x in batch.column(0)]
-            if sets:
-                sums += np.bincount(np.concatenate(sets) % SLOTS, minlength=SLOTS)
-        yield from packed(sums)
+            for i in range(batch.num_rows):
+                group.append(shingles_of(words_of(batch.column(0)[i].as_py()), shingle, known) % np.uint64(SLOTS))
+                held += len(group[-1])
+                if held > GROUP or i == batch.num_rows - 1:
+                    sums += np.bincount(np.concatenate(group).astype(np.int64), minlength=SLOTS).astype(np.int32)
+                    group, held = [], 0
+        for k in np.nonzero(sums.reshape(-1, SLOTS_A_ROW).any(axis=1))[0]:
+            yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), pa.array([zlib.compress(sums[k * SLOTS_A_ROW : (k + 1) * SLOTS_A_ROW].tobytes(), 1)])], names=["part", "n"])
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = np.frombuffer(zlib.decompress(n), np.int64)
-                sums[k] = sums[k] + got if k in sums else got
+                sums[k] = sums.get(k, 0) + np.frombuffer(zlib.decompress(n), np.int32).astype(np.int64)
         for k, n in sums.items():
             steps = np.minimum(255, np.round(4 * np.log2(1 + n))).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([steps.tobytes()])], names=["part", "n"])
 
-    sent = slim.select("shingles").mapInArrow(count, "part int, n binary").repartition("part")
+    sent = texts.mapInArrow(count, "part int, n binary").repartition("part")
     out = np.zeros(SLOTS, np.uint8)
-    for r in sent.mapInArrow(add, "part int, n binary").collect():
+    for r in sent.mapInArrow(add, "part int, n binary").collect():  # of a fixed size
         out[r["part"] * SLOTS_A_ROW : (r["part"] + 1) * SLOTS_A_ROW] = np.frombuffer(r["n"], np.uint8)
     return out
 
 
-def prefix_of(hashes: np.ndarray, counts: np.ndarray, similar: float) -> tuple[np.ndarray, int]:
-    """The first shingles of a text in the common order, so many that a text at the limit shares one, and the size of the set."""
-    own = np.unique(hashes)
-    order = np.lexsort((own, counts[own.astype(np.uint32) % SLOTS]))
-    return own[order[: len(own) - math.ceil(similar * len(own) - 1e-9) + 1]], len(own)
-
+def features(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """``key``, ``id`` (the text's identity), ``size``, ``print`` (SimHash) and ``sketch`` of each row (key, text)."""
 
-def _identity(words: list[bytes]) -> int:
-    return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
+    def run(batches):
+        known = _Words()
+        for batch in batches:
+            ids, sizes, prints, sketches = [], [], [], []
+            for i in range(batch.num_rows):
+                words = words_of(batch.column(1)[i].as_py())
+                own = shingles_of(words, shingle, known)
+                ids.append(identity_of(words))
+                sizes.append(len(own))
+                prints.append(majority(own))
+                sketches.append(sketch_of(own))
+            flat = pa.array(np.concatenate(sketches)) if sketches else pa.array([], pa.int64())
+            offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * SKETCH)
+            columns = [batch.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.ListArray.from_arrays(offsets, flat)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "size", "print", "sketch"])
 
+    return rows.mapInArrow(run, f"{ddl(rows.select('key'))}, id bigint, size int, print bigint, sketch array<bigint>")
 
-def overlap(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
+def _prefixes(rows: DataFrame, shingle: int, similar: float, counts) -> DataFrame:
+    """``shingle``, ``id`` and ``place`` (the set's size, and how many shingles are left from this one on) of the prefixes."""
 
-def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similar: float = SIMILAR) -> DataFrame:
-    """``key`` and ``component_id``, the smallest key that links of at least ``similar`` can reach, of every row."""
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-
-    def features(batches):
-        for batch in batches:
-            source = batch.column(1)
-            ids, sets = [], []
-            for i in range(batch.num_rows):
-                t = source[i].as_py()
-                words = words_of(t)
-                ids.append(_identity(words))
-                sets.append(np.unique(hashes_of(t, shingle).astype(np.uint32)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["key", "id", "shingles"])
-
-    kind = rows.schema["key"].dataType.simpleString()
-    slim = written(rows.mapInArrow(features, f"key {kind}, id bigint, shingles binary"), "shingles")
-    counts = docs.sparkSession.sparkContext.broadcast(counts_of(slim))
-
-    def prefixes(batches):
-        seen: set[int] = set()  # of this task: a copy sends nothing again
+    def run(batches):
+        known, seen = _Words(), set()  # a copy within a task sends nothing again
         for batch in batches:
-            source = batch.column(1)
             for start in range(0, batch.num_rows, 256):
                 ids, firsts, sizes = [], [], []
                 for i in range(start, min(start + 256, batch.num_rows)):
-                    t = source[i].as_py()
-                    words = words_of(t)
-                    one = _identity(words)
+                    words = words_of(batch.column(0)[i].as_py())
+                    one = identity_of(words)
                     if not words or one in seen:
                         continue
                     seen.add(one)
-                    first, size = prefix_of(hashes_of(t, shingle), counts.value, similar)
+                    own = shingles_of(words, shingle, known)
                     ids.append(one)
-                    firsts.append(first)
-                    sizes.append(size)
+                    firsts.append(prefix_of(own, counts.value, similar))
+                    sizes.append(len(own))
                 if ids:
                     many = [len(x) for x in firsts]
-                    at = np.concatenate([np.arange(n, dtype=np.int32) for n in many])
-                    columns = [np.concatenate(firsts).view(np.int64), np.repeat(np.array(ids, np.int64), many), np.repeat(np.array(sizes, np.int32), many), at]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shingle", "id", "size", "at"])
-
-    def enough(size_a: Column, left_a: Column, size_b: Column, left_b: Column) -> Column:
-        return F.least(left_a, left_b) >= F.lit(similar / (1 + similar)) * (size_a + size_b) - 1e-6
-
-    dealt = rows.mapInArrow(prefixes, "shingle bigint, id bigint, size int, at int").select("shingle", "id", "size", (F.col("size") - F.col("at")).alias("left"))
-    over, all_ = Window.partitionBy("shingle").orderBy(F.xxhash64("id", "shingle"), "id"), Window.partitionBy("shingle")
-    met = dealt.withColumns({"before": F.lag(F.struct("id", "size", "left")).over(over), "least": F.min("id").over(all_), "most": F.max("id").over(all_)})
-    met = met.where("least < most AND (before IS NULL OR before.id <> id)").drop("least", "most")
-    met = written(met, "shared-shingles")
-
-    def named(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-    def linked(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs whose sets overlap enough."""
-        wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id")
-        sets = slim.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("shingles").alias("shingles"))
-        sets = written(sets, "compared-shingles")
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-        return written(both.select("a", "b", "x", "y").mapInArrow(verified, "a bigint, b bigint"), name)
-
-    def verified(batches):
+                    left = np.repeat(np.array(sizes, np.int64), many)
+                    place = (left << 32) + left - np.concatenate([np.arange(n) for n in many])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), many)), pa.array(place)], names=["shingle", "id", "place"])
+
+    return rows.select("text").mapInArrow(run, "shingle bigint, id bigint, place bigint")
+
+
+class _Texts:
+    """The rows (key, text) of one call, and the tables made of them."""
+
+    def __init__(self, rows: DataFrame, shingle: int, similar: float):
+        self.rows, self.shingle, self.similar = rows, shingle, similar
+        self.scratch = Scratch(rows.sparkSession, "similar")
+        self.features = self.scratch.put(features(rows, shingle), "features")
+        self.texts = self.scratch.put(self.features.groupBy("id").agg(F.min("key").alias("key"), F.count("key").alias("keys"), *[F.first(c).alias(c) for c in ("size", "print", "sketch")]), "texts")
+        self.nameless = bool(self.texts.where("keys = 0").limit(1).count())
+
+    def apart(self, size_a: Column, size_b: Column) -> Column:
+        """How many shingles two sets at the limit may differ in."""
+        return F.lit((1 - self.similar) / (1 + self.similar)) * (size_a + size_b) + 1e-6
+
+    def enough(self, a: Column, b: Column) -> Column:
+        """Whether two places leave enough shingles, counted from the first one that the sets share."""
+        left = lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))
+        return F.least(left(a), left(b)) >= F.lit(self.similar / (1 + self.similar)) * (_size(a) + _size(b)) - 1e-6
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """Of distinct pairs of ids (``a``, ``b``), those whose sketches allow the limit, with the places that differ."""
+        for c in ("a", "b"):
+            side = self.texts.select(F.col("id").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+            pairs = pairs.join(side, c)
+        h = _differing(F.col("sketch_a"), F.col("sketch_b"))
+        return pairs.withColumn("h", h).where(F.col("h") <= self.apart(F.col("size_a"), F.col("size_b"))).select("a", "b", "h")
+
+    def verified(self, pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs of ids whose sets overlap enough. Texts are fetched by key, behind a Bloom filter."""
+        pairs = self.scratch.put(pairs.select("a", "b").distinct(), "pairs")
+        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        wanted = self.scratch.put(wanted.join(self.texts.select("id", "key"), "id"), "wanted")
+        keys = wanted.select(F.col("key").cast("string").alias("key")).where("key IS NOT NULL").distinct()
+        texts = having(self.rows, F.col("key").cast("string"), keys, "key")
+        if self.nameless:
+            texts = texts.unionByName(self.rows.where("key IS NULL"))
+        shingle = self.shingle
+
+        def sets(batches):
+            known = _Words()
+            for batch in batches:
+                for start in range(0, batch.num_rows, 256):
+                    words = [words_of(batch.column(0)[i].as_py()) for i in range(start, min(start + 256, batch.num_rows))]
+                    made = [shingles_of(w, shingle, known).view(np.int64) for w in words]
+                    offsets = pa.array(np.cumsum([0, *map(len, made)]).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array([identity_of(w) for w in words], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(made)))], names=["id", "own"])
+
+        own = texts.select("text").mapInArrow(sets, "id bigint, own array<bigint>").join(wanted.select("id"), "id", "left_semi")
+        own = self.scratch.put(own.groupBy("id").agg(F.first("own").alias("own")), "sets")
+        both = pairs.join(own.select(F.col("id").alias("a"), F.col("own").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("own").alias("y")), "b")
+        shared = F.size(F.array_intersect("x", "y"))
+        alike = shared >= F.lit(self.similar) * (F.size("x") + F.size("y") - shared)
+        found = self.scratch.put(both.where(alike).select("a", "b"), name)
+        self.scratch.drop("sets", "wanted", "pairs")
+        return found
+
+    def by_prints(self) -> DataFrame:
+        """Pairs of representatives of equal and of near fingerprints."""
+        some = self.texts.where("size > 0")
+        prints = self.scratch.put(some.groupBy(F.col("print").alias("fingerprint")).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "prints")
+        count = prints.count()
+        sample = bounded_sample(prints.select("fingerprint"), ["fingerprint"], SAMPLE, count)
+        parts = plan_parts(np.array([r["fingerprint"] for r in sample], np.int64).view(np.uint64), count)
+        first = lambda c: prints.select(F.col("fingerprint").alias(c), F.col("first").alias(f"first_{c}"))
+        near = links(prints, parts).join(first("a"), "a").join(first("b"), "b").select("first_a", "first_b")
+        same = some.join(prints.where("n > 1"), F.col("print") == F.col("fingerprint")).where("id <> first").select("id", "first")
+        return _named(near.union(same), "first_a", "first_b")
+
+    def shared(self) -> DataFrame:
+        """The rows of the prefixes whose shingle several texts have, one of them of a size that allows the limit."""
+        counts = self.rows.sparkSession.sparkContext.broadcast(counts_of(self.rows.select("text"), self.shingle))
+        all_ = Window.partitionBy("shingle")
+        by_size = all_.orderBy("place")
+        rows = _prefixes(self.rows, self.shingle, self.similar, counts)
+        rows = rows.withColumns({"least": F.min("id").over(all_), "most": F.max("id").over(all_), "smaller": F.lag("place").over(by_size), "larger": F.lead("place").over(by_size)})
+        fits = (_size(F.col("smaller")) >= self.similar * _size(F.col("place")) - 1e-6) | (_size(F.col("place")) >= self.similar * _size(F.col("larger")) - 1e-6)
+        out = self.scratch.put(rows.where((F.col("least") < F.col("most")) & fits).groupBy("shingle", "id").agg(F.first("place").alias("place")), "shared")
+        counts.unpersist()
+        return out
+
+
+def _size(place: Column) -> Column:
+    return F.call_function("shiftright", place, F.lit(32))
+
+
+def _named(pairs: DataFrame, x: str, y: str) -> DataFrame:
+    """Distinct pairs ``a`` > ``b`` of two columns."""
+    return pairs.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).where("a > b").distinct()
+
+
+def _differing(x: Column, y: Column) -> Column:
+    """In how many places two sketches differ."""
+    out = F.lit(0)
+    for k in range(SKETCH):
+        out = out + F.bit_count(x[k].bitwiseXOR(y[k]))
+    return out
+
+
+def _closest(pairs: DataFrame) -> DataFrame:
+    """For each ``a`` the ``b`` with the closest sketch."""
+    return pairs.groupBy("a").agg(F.min(F.struct("h", "b")).alias("to")).select("a", F.col("to.b").alias("b"))
+
+
+def _grouped(docs: DataFrame, key: str, text: str, shingle: int, similar: float) -> DataFrame:
+    """``key``, ``id`` (of the text), ``root`` (of the group) and ``component_id`` of every row."""
+    it = _Texts(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), shingle, similar)
+    scratch = it.scratch
+    met = it.shared()
+    found = it.verified(_closest(it.near(it.by_prints())), "links-0")
+    scratch.drop("prints")
+
+    def tagged(found: DataFrame) -> DataFrame:
+        roots = components(found, scratch=scratch).withColumnRenamed("node", "id")
+        return met.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+    for k in range(1, ROUNDS + 1):
+        over = Window.partitionBy("shingle").orderBy(F.xxhash64("id", "shingle", F.lit(k)), "id")
+        before = tagged(found).withColumn("before", F.lag(F.struct("id", "place", "root")).over(over))
+        before = before.where((F.col("before.root") != F.col("root")) & it.enough(F.col("place"), F.col("before.place")))
+        tried = _closest(it.near(_named(before, "id", "before.id")))
+        found = scratch.put(found.unionByName(it.verified(tried, "tried")), f"links-{k}")
+        scratch.drop("tried", f"links-{k - 1}")
+
+    all_ = Window.partitionBy("shingle")
+    inside = tagged(found).withColumns({"least": F.min("root").over(all_), "most": F.max("root").over(all_)}).where("least < most").drop("least", "most")
+    inside = scratch.put(inside.join(it.texts.select("id", "size", "sketch"), "id"), "inside")
+    scratch.drop("shared")
+    g, h = inside.alias("g"), inside.alias("h")
+    meets = (F.col("g.shingle") == F.col("h.shingle")) & (F.col("g.root") < F.col("h.root")) & it.enough(F.col("g.place"), F.col("h.place"))
+    meets = meets & (_differing(F.col("g.sketch"), F.col("h.sketch")) <= it.apart(F.col("g.size"), F.col("h.size")))
+    rest = it.verified(_named(g.join(h, meets), "g.id", "h.id"), "rest")
+    scratch.drop("inside")
+    stars = components(found.unionByName(rest), scratch=scratch)
+    rooted = it.texts.select("id", "key").join(stars, F.col("id") == F.col("node"), "left").select("id", "key", F.coalesce("root", "id").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("key").alias("component_id"))
+    named = scratch.put(rooted.join(least, "root").select("id", "root", "component_id"), "named")
+    out = scratch.put(it.features.select("key", "id").join(named, "id").select("key", "id", "root", "component_id"), "groups")
+    scratch.drop(*[n for n in scratch.paths if n != "groups"])
+    return out
+
+
+def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similar: float = SIMILAR) -> DataFrame:
+    """``key`` and ``component_id``, the smallest key that links of at least ``similar`` can reach, of every row."""
+    return _grouped(docs, key, text, shingle, similar).select(F.col("key").alias(key), "component_id")
+
+
+def _identified(rows: DataFrame, text: str) -> DataFrame:
+    def run(batches):
         for batch in batches:
-            x, y = batch.column(2), batch.column(3)
-            keep = [overlap(np.frombuffer(x[i].as_py(), np.uint32), np.frombuffer(y[i].as_py(), np.uint32)) >= similar for i in range(batch.num_rows)]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    first = met.where(enough(F.col("size"), F.col("left"), F.col("before.size"), F.col("before.left")))
-    tried = written(named(first.select(F.col("id").alias("x"), F.col("before.id").alias("y"))), "first-pairs")
-    links = linked(tried, "first-links")
-    grouped = components(links)
-    inside = met.drop("before").join(grouped.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    inside = written(inside.withColumns({"least": F.min("root").over(all_), "most": F.max("root").over(all_)}).where("least < most").drop("least", "most"), "unlike-groups")
-    # groups that meet on a shingle, by the best that any of their texts has there; then their texts
-    best = inside.groupBy("shingle", "root").agg(F.min("size").alias("size"), F.max("left").alias("left"))
-    g, h = best.alias("g"), best.alias("h")
-    meeting = g.join(h, (F.col("g.shingle") == F.col("h.shingle")) & (F.col("g.root") < F.col("h.root")) & enough(F.col("g.size"), F.col("g.left"), F.col("h.size"), F.col("h.left")))
-    meeting = written(meeting.select("g.shingle", F.col("g.root").alias("root_x"), F.col("h.root").alias("root_y")), "meeting-groups")
-    for side in "xy":
-        meeting = meeting.join(inside.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("root", "id", "size", "left")]), ["shingle", f"root_{side}"])
-    rest = named(meeting.where(enough(F.col("size_x"), F.col("left_x"), F.col("size_y"), F.col("left_y"))).select(F.col("id_x").alias("x"), F.col("id_y").alias("y")))
-    rest = written(rest.join(tried, ["a", "b"], "left_anti"), "other-pairs")
-    links = links.unionByName(linked(rest, "other-links"))
-    stars = components(links)
-    firsts = slim.groupBy("id").agg(F.min("key").alias("first"))
-    rooted = firsts.join(stars, firsts["id"] == stars["node"], "left").select("id", "first", F.coalesce("root", "id").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = written(rooted.join(least, "root").select("id", "component_id"), "named-texts")
-    return slim.select("key", "id").join(named, "id").select(F.col("key").alias(key), "component_id")
-
-
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group, that of its smallest key. Where several rows have that key, one of them stays; only those
-    rows are shuffled, the others are filtered in place when the kept keys can be sent along."""
-    kept = similar_groups(docs, key, text).where(F.col(key).eqNullSafe(F.col("component_id")))
-    kept = written(kept.groupBy(F.col(key).alias(f"{OWN}kept")).agg(F.count(F.lit(1)).alias(f"{OWN}n")), "kept-keys")
-    same = F.col(key).eqNullSafe(F.col(f"{OWN}kept"))
-    once = docs.join(kept.where(F.col(f"{OWN}n") == 1), same, "left_semi")
-    more = docs.join(kept.where(F.col(f"{OWN}n") > 1), same, "left_semi").dropDuplicates([key])
-    return once.unionByName(more)
+            source = batch.column(batch.schema.get_field_index(text))
+            ids = [identity_of(words_of(source[i].as_py())) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int64())], names=[*batch.schema.names, f"{OWN}id"])
+
+    return rows.mapInArrow(run, f"{ddl(rows)}, {OWN}id bigint")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similar: float = SIMILAR) -> DataFrame:
+    """One row of each group: one that has its smallest key (null, if all are) and, of the texts with that key in the group,
+    the smallest identity. Texts never go because they share a key with others. Only where some rows of a key go and others
+    stay are that key's rows told apart by their texts; the rest are filtered in place by the keys that go."""
+    groups = _grouped(docs, key, text, shingle, similar)
+    scratch = Scratch(docs.sparkSession, "one-of-each")
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "id")).alias("kept"))
+    groups = groups.join(first.select("root", F.col("kept.key").alias("kept_key"), F.col("kept.id").alias("kept_id")), "root")
+    stays = F.col("key").eqNullSafe(F.col("kept_key")) & (F.col("id") == F.col("kept_id"))
+    keys = groups.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(F.when(stays, F.col("id"))).alias("stay"), F.sort_array(F.collect_set(F.when(stays, F.col("id")))).alias("ids"))
+    changed = scratch.put(keys.where("key IS NULL OR stay < rows"), "changed")
+    name, none = F.col(key).cast("string"), F.col(key).isNull()
+    gone = changed.where("key IS NOT NULL").select(F.col("key").cast("string").alias("key"))
+    out = lacking(docs.where(~none), name, gone, "key")
+    mixed = changed.where("stay > 0").select("key", F.explode("ids").alias("id"))
+    if mixed.limit(1).count():
+        asked = mixed.where("key IS NOT NULL").select(F.col("key").cast("string").alias("key")).distinct()
+        told = _identified(having(docs, name, asked, "key").unionByName(docs.where(none)), text)
+        own = mixed.select(F.col("key").alias(f"{OWN}key"), F.col("id").alias(f"{OWN}kept"))
+        told = told.join(own, F.col(key).eqNullSafe(F.col(f"{OWN}key")) & (F.col(f"{OWN}id") == F.col(f"{OWN}kept")), "left_semi")
+        out = out.unionByName(told.dropDuplicates([key, f"{OWN}id"]).drop(f"{OWN}id"))
+    return out
