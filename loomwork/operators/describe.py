@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
 from ..plans.syntax import KEYWORDS
 from .mine import Relation, mine
-from .profile import FORMAT_GENERATORS, NAME_GENERATORS, ColumnProfile, TableProfile, profile
+from .profile import FORMAT_GENERATORS, MOST_OPTIONS, NAME_GENERATORS, ColumnProfile, TableProfile, profile
 
 
 def identifier(name: str) -> str:
@@ -41,7 +42,16 @@ def _number(x: float, places: int) -> str:
     return str(int(x)) if x == int(x) else f"{x:.{max(places, 1)}f}" if places <= 4 else repr(x)
 
 
-def type_text(p: ColumnProfile, names: dict[str, str] | None = None) -> str:
+@dataclass(frozen=True)
+class Style:
+    """Whether formats and names become generators, and options keep their weights; most options of an enumeration."""
+
+    formats: bool = True
+    weights: bool = True
+    most_options: int = MOST_OPTIONS
+
+
+def type_text(p: ColumnProfile, names: dict[str, str] | None = None, style: Style = Style()) -> str:
     """A field's type. Order of decisions: nested tables, unique fields, enumerations, names, formats, ranges."""
     unique = "unique " if p.unique else ""
     if p.type == "array":
@@ -51,10 +61,10 @@ def type_text(p: ColumnProfile, names: dict[str, str] | None = None) -> str:
     if p.type == "object":
         return (names or {}).get(p.name, "string")
     if not p.unique and p.options and p.type != "date":
-        if p.even or len(p.options) == 1:
+        if p.even or len(p.options) == 1 or not style.weights:
             return " | ".join(_value(v) for v, _ in p.options)
         return " | ".join(f"{round(n / p.present, 2):g}: {_value(v)}" for v, n in p.options)
-    if p.type == "string":
+    if p.type == "string" and style.formats:
         low = p.name.lower()
         if not (low == "id" or low.endswith("_id")) and (g := NAME_GENERATORS.get(low.replace("_", ""))):
             return g
@@ -71,14 +81,14 @@ def type_text(p: ColumnProfile, names: dict[str, str] | None = None) -> str:
     return p.type if p.type in ("boolean", "int", "decimal") else f"{unique}string"
 
 
-def schema_text(name: str, table: TableProfile, relations: list[Relation] = (), taken: dict[str, str] | None = None) -> list[str]:
+def schema_text(name: str, table: TableProfile, relations: list[Relation] = (), taken: dict[str, str] | None = None, style: Style = Style()) -> list[str]:
     """The schema of a table and, before it, those of its nested tables; equal nested ones are written once."""
     out, names = [], {}
     taken = {} if taken is None else taken
     for p in table.columns:
         if p.nested:
             inner = pascal(singular(p.name))
-            *before, body = schema_text(inner, p.nested, (), taken)
+            *before, body = schema_text(inner, p.nested, (), taken, style)
             shape = body.split("{", 1)[1]
             if shape not in taken:
                 base, k = inner, 2
@@ -90,21 +100,21 @@ def schema_text(name: str, table: TableProfile, relations: list[Relation] = (),
     derived = {r.target: r.text for r in relations if r.kind not in ("ordering", "conditional")}
     lines = []
     for p in table.columns:
-        text = derived.get(p.name) or type_text(p, names) + ("?" if p.nullable and not p.options else "")
+        text = derived.get(p.name) or type_text(p, names, style) + ("?" if p.nullable and not p.options else "")
         lines.append(f"  {identifier(p.name)}: {text}")
     rules = [f"  {r.text}" for r in relations if r.kind in ("ordering", "conditional")]
     body = ",\n".join(lines) + ("," if rules and lines else "") + ("\n\n" + "\n".join(rules) if rules else "")
     return [*out, f"schema {name} {{\n{body}\n}}"]
 
 
-def describe(frames: dict[str, DataFrame], dataset: str = "Generated", relations: bool = True, exact: bool = True) -> str:
+def describe(frames: dict[str, DataFrame], dataset: str = "Generated", relations: bool = True, exact: bool = True, style: Style = Style()) -> str:
     """A description of tables: a schema each, with the relations mined from it, and a dataset of their sizes."""
     texts, entries, taken = [], [], {}
     for name, df in frames.items():
-        table = profile(df, exact)
+        table = profile(df, exact, most_options=style.most_options)
         enums = {p.name: [v for v, _ in p.options] for p in table.columns if p.options}
         schema = pascal(singular(name))
-        texts += schema_text(schema, table, mine(df, enums) if relations else (), taken)
+        texts += schema_text(schema, table, mine(df, enums) if relations else (), taken, style)
         entries.append(f"  {identifier(name)}: {table.rows} of {schema}")
     return "\n\n".join([*texts, f"dataset {dataset} {{\n" + ",\n".join(entries) + "\n}"]) + "\n"
 

@@ -1,8 +1,9 @@
+import pytest
 from pyspark.sql import functions as F
 
 from loomwork.operators import mine
 from loomwork.operators.describe import describe, identifier, schema_text, typescript
-from loomwork.operators.profile import profile, shape_of
+from loomwork.operators.profile import percentage, profile, shape_of
 from loomwork.plans.syntax import parse
 
 
@@ -22,8 +23,32 @@ def test_empty_and_null_columns(spark):
 
 
 def test_shapes():
-    assert shape_of([0.1] * 10, 0, 1, (0.5, 0.29, 0, -1.2))[0] == "uniform"
-    assert shape_of([0.5, 0.25, 0.12, 0.06, 0.04, 0.03], 0, 6, (1, 1, 1.9, 4))[0] in ("exponential", "gaussian")
+    from statistics import NormalDist
+
+    assert shape_of([0.1] * 10, 0, 1, (0.5, 0.29, 0, -1.2)) == ("uniform", pytest.approx(1.0))
+    falling = [2.0**-i for i in range(1, 11)]
+    mean = sum(s * (i + 0.5) for i, s in enumerate(falling)) / sum(falling)
+    assert shape_of([s / sum(falling) for s in falling], 0, 10, (mean, 1.4, 2, 6))[0] == "exponential"
+    bell = [NormalDist(5, 1.5).cdf(i + 1) - NormalDist(5, 1.5).cdf(i) for i in range(10)]
+    assert shape_of(bell, 0, 10, (5, 1.5, 0, 0))[0] == "gaussian"
+    two = [0.15, 0.2, 0.15, 0, 0, 0, 0, 0.15, 0.2, 0.15]
+    assert shape_of(two, 0, 10, (5, 3.6, 0, -1.9))[0] == "bimodal"
+    assert shape_of([0.5, 0, 0.1, 0, 0, 0.4, 0, 0, 0, 0], 0, 10, (2.5, 2.2, 0, -1))[0] == "unknown"
+
+
+def test_percentages():
+    assert percentage(100, 100, 90, 100, 0) == ("decimal", 0.9) and percentage(100, 3, 2, 100, 80) == ("percent", 0.8)
+    assert percentage(100, 100, 0, 100, 0) is None and percentage(100, 20, 20, 90, 80) is None and percentage(1, 1, 1, 1, 0) is None
+
+
+def test_parts_and_formats_of_repeated_values(spark):
+    df = spark.range(400).selectExpr("concat('a', id % 5, '@example.com') AS mail", "concat('b', id, '@example.com') AS own", "'2024-05-06' AS day", "id * 0.5 AS x", "cast(null as string) AS none")
+    p = profile(df)
+    assert p["mail"].format == p["own"].format == "email" and p["day"].type == "date" and (p["day"].low, p["day"].has_time) == (2024, False) and p["none"].format is None
+    q = profile(df, parts=set())
+    assert (q["x"].low, q["x"].high, q["x"].places) == (0.0, 199.5, 1) and q["mail"].format is None and q["x"].shape is None and q["mail"].options is None
+    with pytest.raises(ValueError):
+        profile(df, parts={"more"})
 
 
 def test_mining(spark):
