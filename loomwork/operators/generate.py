@@ -6,8 +6,9 @@ alone. Fields are computed in levels, each a projection that uses the one before
 structs built the same way; a reference is an ordinal that an equi-join looks up.
 
 Rejection: a row that must satisfy rules is tried FIRST times at once, and up to ATTEMPTS times if none of those
-holds; this is one expression, without loops on the driver and without a shuffle. References are drawn once for all of a
-row's attempts.
+holds; this is one expression, without loops on the driver and without a shuffle. Where the rules read referenced rows,
+references are drawn anew for each attempt: rows are multiplied by their attempts, look up what each refers to, and only
+the number of the first attempt that holds is kept; the row itself is then made once, from that number.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ LOG = logging.getLogger("loomwork.generate")
 FIRST, ATTEMPTS, DATASET_ATTEMPTS = 8, 100, 20
 #: A field with ``?`` on a range, reference or collection is left out with this chance.
 OPTIONAL = 0.3
-ROW, NUMBER, TRIES = "_row", "__i", "__ok"
+ROW, NUMBER, TRY = "_row", "__i", "__try"
 #: Rows that an ordinal group aims at, and elements of a collection that nested references may carry along.
 GROUP_ROWS, CARRIED = 50_000, 10_000
 
@@ -46,6 +47,11 @@ class Options:
     seed: int = 0
     strict: bool = False
     optional: float = OPTIONAL
+    #: Counts the rows that break their rules after all attempts, and warns of them.
+    report: bool = True
+    #: Attempts of a row and of a dataset.
+    attempts: int = ATTEMPTS
+    dataset_attempts: int = DATASET_ATTEMPTS
     imports: dict[str, dict[str, list[S.Field]]] = field(default_factory=dict)
     functions: dict = field(default_factory=dict)
 
@@ -122,22 +128,24 @@ class Generator:
         self.sequences: dict[tuple, int] = {}
         self.warnings: list[str] = []
         self.salt, self.labels = 0, 0
+        self.picks: dict[tuple, tuple[DataFrame, int]] = {}
 
     # -- whole programs
 
     def run(self) -> dict[str, DataFrame]:
         out: dict[str, DataFrame] = {}
         for d in self.datasets.values():
-            for attempt in range(DATASET_ATTEMPTS + 1):
+            most = self.options.dataset_attempts
+            for attempt in range(most + 1):
                 self.salt, self.labels, self.sequences = attempt, 0, {}
                 frames = self.dataset(d)
-                if not d.rules or attempt == DATASET_ATTEMPTS:
+                if not d.rules or attempt == most:
                     break
                 inner = {n: m.frame for n, m in self.made.items()}
                 if all(r["ok"] for r in dataset_rules(list(d.rules), inner, self.lets).collect()) != d.violating:
                     break
-            if d.rules and attempt == DATASET_ATTEMPTS:
-                self.warn(f"dataset {d.name}: its rules don't hold after {DATASET_ATTEMPTS} attempts")
+            if d.rules and attempt == most:
+                self.warn(f"dataset {d.name}: its rules don't hold after {most} attempts")
             out |= frames
         return out
 
@@ -146,7 +154,7 @@ class Generator:
         LOG.warning(text)
 
     def dataset(self, d: S.Dataset) -> dict[str, DataFrame]:
-        self.made = {}
+        self.made, self.picks = {}, {}
         for c in d.collections:
             if c.schema not in self.schemas:
                 raise CompileError(f"collection {c.name!r} names no schema {c.schema!r}")
@@ -205,19 +213,23 @@ class Generator:
         else:
             made.count = self.count(c.count, c.name)
             df = self.spark.range(made.count).withColumnRenamed("id", ROW)
-        df, given = self.referenced(df, fields, made, schema.name)
         label = f"{c.name}.{schema.name}"
         later = [f for f in fields if self._previous(f)]
-        now = [f for f in fields if f not in later and f.name not in given]
-        outer = row_scope(df.schema, self.lets, self.options.functions)
-        if c.per:
-            outer.fields["parent"] = given["parent"] = outer.fields["parent"]
-        row = F.col(ROW)
         rules = bool(schema.assumes)
+        redrawn = rules and self._read_by_rules(schema, fields)
+        start = self.labels
+
+        def look_up(df: DataFrame) -> tuple[DataFrame, dict[str, Value]]:
+            df, given = self.referenced(df, fields, made, schema.name, TRY if redrawn else None)
+            if c.per:
+                given["parent"] = row_scope(df.schema, self.lets, self.options.functions).fields["parent"]
+            return df, given
 
-        def attempts(first: int, count: int) -> tuple[Column, Column, T.StructType]:
+        def attempts(numbers: Column, given: dict[str, Value]) -> tuple[Column, Column, T.StructType]:
             """The attempts that satisfy the rules, all of them, and their type."""
-            numbers = F.transform(F.sequence(F.lit(first), F.lit(first + count - 1)), lambda i: F.struct(i.alias(NUMBER)))
+            now = [f for f in fields if f not in later and f.name not in given]
+            numbers = F.transform(numbers, lambda i: F.struct(i.alias(NUMBER)))
+            row = F.col(ROW)
             arr, kind = self.elements(numbers, T.StructType([T.StructField(NUMBER, T.IntegerType())]), now, schema, label, [row], Scope(lets=self.lets), made.count, given)
             if not rules:
                 return arr, arr, kind
@@ -229,20 +241,46 @@ class Generator:
 
             return F.filter(arr, fits), arr, kind
 
-        if rules:
-            few, tried, kind = attempts(0, FIRST)
-            many = attempts(FIRST, ATTEMPTS - FIRST)[0]
-            df = df.withColumn("__one", F.coalesce(F.try_element_at(few, F.lit(1)), F.try_element_at(many, F.lit(1))))
+        if redrawn:
+
+            def first_fit(rows: DataFrame, first: int, count: int) -> DataFrame:
+                """The first of some attempts that satisfies the rules, of each row that has one."""
+                self.labels = start
+                rows, given = look_up(rows.withColumn(TRY, F.explode(F.sequence(F.lit(first), F.lit(first + count - 1)))))
+                fitting = rows.where(F.size(attempts(F.array(TRY), given)[0]) > 0)
+                return fitting.groupBy(ROW).agg(F.min(TRY).alias(TRY))
+
+            few = first_fit(df, 0, min(FIRST, self.options.attempts))
+            if self.options.attempts > FIRST:
+                few = few.unionByName(first_fit(df.join(few, ROW, "left_anti"), FIRST, self.options.attempts - FIRST))
+            df = df.join(few, ROW, "left").withColumn("__unmet", F.col(TRY).isNull())
+            df = df.withColumn(TRY, F.coalesce(TRY, F.lit(0)))
+            self.labels = start
+            df, given = look_up(df)
+            _, arr, kind = attempts(F.array(TRY), given)
+            df = df.withColumn("__one", F.try_element_at(arr, F.lit(1))).drop(TRY)
+        elif rules:
+            df, given = look_up(df)
+            first = min(FIRST, self.options.attempts)
+            few, tried, kind = attempts(F.sequence(F.lit(0), F.lit(first - 1)), given)
+            one = F.try_element_at(few, F.lit(1))
+            if self.options.attempts > first:
+                one = F.coalesce(one, F.try_element_at(attempts(F.sequence(F.lit(first), F.lit(self.options.attempts - 1)), given)[0], F.lit(1)))
+            df = df.withColumn("__one", one)
             df = df.withColumn("__unmet", F.col("__one").isNull()).withColumn("__one", F.coalesce("__one", F.try_element_at(tried, F.lit(1))))
         else:
-            arr, _, kind = attempts(0, 1)
+            df, given = look_up(df)
+            arr, _, kind = attempts(F.sequence(F.lit(0), F.lit(0)), given)
             df = df.withColumn("__one", F.try_element_at(arr, F.lit(1)))
         names = [f.name for f in kind.fields if f.name != NUMBER]
         df = df.select(*[x for x in df.columns if x != "__one"], *[F.col("__one").getField(n).alias(n) for n in names])
-        if rules and self.options.strict:
+        if rules and (self.options.strict or self.options.report):
             bad = df.where("__unmet").count()
+            said = f"{schema.name}: {bad} of {made.count} rows satisfy no attempt of {self.options.attempts} ({'violating' if violating else 'satisfying'})"
+            if bad and self.options.strict:
+                raise ConstraintError(said)
             if bad:
-                raise ConstraintError(f"{schema.name}: {bad} rows satisfy no attempt of {ATTEMPTS} ({'violating' if violating else 'satisfying'})")
+                self.warn(said)
         for f in later:
             df = self.lagged(df, f)
         order = [f.name for f in fields if f.name in df.columns]
@@ -250,6 +288,16 @@ class Generator:
         made.frame = df.select(*hidden, *order)
         return made
 
+    def _read_by_rules(self, schema: S.Schema, fields: list[S.Field]) -> bool:
+        """Whether the rules read drawn references, themselves or through other fields."""
+        reading = {f.name for f in fields if isinstance(f.type, S.AnyOf) and f.type.collection.parts[0] in self.made}
+        more = True
+        while more:
+            more = {f.name for f in fields if (names_in(f.type) | names_in(f.when)) & reading} - reading
+            reading |= more
+        named = {n for a in schema.assumes for x in (*a.rules, a.condition) for n in names_in(x)}
+        return bool(named & reading)
+
     @staticmethod
     def _previous(f: S.Field) -> bool:
         return any(isinstance(n, S.Call) and n.name == "previous" for n in S.walk(f.type))
@@ -270,8 +318,10 @@ class Generator:
 
     # -- references
 
-    def referenced(self, df: DataFrame, fields: list[S.Field], made: Made, label: str) -> tuple[DataFrame, dict[str, Value]]:
-        """``df`` with the row that each ``any of`` field draws, embedded as a struct, and its number."""
+    def referenced(self, df: DataFrame, fields: list[S.Field], made: Made, label: str, attempt: str | None = None) -> tuple[DataFrame, dict[str, Value]]:
+        """``df`` with the row that each ``any of`` field draws, embedded as a struct, and its number. A column ``attempt``
+        makes the draws differ from attempt to attempt."""
+        keys = [F.col(ROW)] if attempt is None else [F.col(ROW), F.col(attempt)]
         given: dict[str, Value] = {}
         if "__fk_parent" in df.columns:
             df = self.joined(df, "parent", made.references["parent"])
@@ -284,13 +334,16 @@ class Generator:
                 given[f.name] = Value(F.col(f.name), T.NullType())
                 continue
             source = self.made[name]
-            u = uniform(self.options.seed + self.salt * 1_000_003, f"{label}.{f.name}", F.col(ROW))
+            u = uniform(self.options.seed + self.salt * 1_000_003, f"{label}.{f.name}", *keys)
             if f.optional:
-                u = F.when(uniform(self.options.seed, f"{label}.{f.name}?", F.col(ROW)) >= self.options.optional, u)
+                u = F.when(uniform(self.options.seed, f"{label}.{f.name}?", *keys) >= self.options.optional, u)
             if f.type.condition is None:
                 df = df.withColumn(f"__fk_{f.name}", F.floor(u * source.count).cast("long") if source.count else F.lit(None).cast("long"))
             else:
-                ordinals, n = self.ordinals(source, f.type.condition)
+                known = (made.name, f.name)
+                if known not in self.picks:
+                    self.picks[known] = self.ordinals(source, f.type.condition)
+                ordinals, n = self.picks[known]
                 pick = F.floor(u * n).cast("long") if n else F.lit(None).cast("long")
                 df = df.withColumn("__pick", pick).join(ordinals, F.col("__pick") == F.col("__ord"), "left").withColumnRenamed("__to", f"__fk_{f.name}").drop("__pick", "__ord")
             df = self.joined(df, f.name, name)

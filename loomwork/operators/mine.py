@@ -12,14 +12,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The least support, the tolerance of comparisons, the most rules of a schema, and what counts as near.
 SUPPORT, TOLERANCE, MOST_RULES = 0.95, 1e-4, 20
-CHUNK = 150
 ABSOLUTE, RELATIVE = 0.01, 1e-4
+#: Candidates that one pass over the table tests.
+CHUNK = 150
 
-# Names between which an order of numbers means something, smaller first.
+# Names between which an order of numbers means something.
 ORDERED_NAMES = [
-    ("min", "max"), ("low", "high"), ("start", "end"), ("from", "to"), ("lower", "upper"), ("paid", "total"), ("discount", "price"), ("discount", "total"), ("cost", "price"), ("used", "limit"),
-    ("net", "gross"), ("subtotal", "total"), ("tax", "total"),
+    ("min", "max"), ("start", "end"), ("begin", "end"), ("from", "to"), ("low", "high"), ("amount_paid", "total"), ("amount_paid", "grand_total"), ("paid", "total"), ("paid", "due"),
+    ("subtotal", "total"), ("subtotal", "grand_total"), ("tax", "total"), ("discount", "total"),
 ]
 
 
@@ -142,7 +144,7 @@ def derivations(df: DataFrame) -> list[Relation]:
     return _compatible(found)
 
 
-#: What a kind of relation adds to its rank among relations of one support.
+# What a kind of relation adds to its rank among relations of one support.
 BOOST = {"product": 0.10, "ratio": 0.08, "sum": 0.05, "difference": 0.04, "sum3": 0.03, "multiple": 0.0}
 
 

@@ -84,3 +84,28 @@ def test_changes_that_read_the_referenced_row_are_made_row_by_row(spark):
     g.mutate(made)
     got = [tuple(r) for r in g.made["is"].frame.orderBy("_row").collect()]
     assert got == [(0, 719.0, 31, 71.0), (1, 5.0, 7, None)]
+
+
+def test_rules_on_references_are_met_by_drawing_them_anew(spark):
+    source = """
+    schema City { id: sequence("C", 1), size: int in 1..3 }
+    schema Road { a: any of cities, b: any of cities where .size < 3, far: a.size - b.size, assume not a.id == b.id assume far >= 0 }
+    dataset D { cities: 6 of City, roads: 400 of Road }
+    """
+    g = Generator(spark, source, Options(2))
+    roads = g.run()["roads"]
+    assert roads.count() == 400 and not g.warnings
+    assert roads.where("a.id = b.id OR a.size < b.size OR b.size = 3 OR far <> a.size - b.size").count() == 0
+    assert sorted(map(str, roads.repartition(7).collect())) == sorted(map(str, Generator(spark, source, Options(2)).run()["roads"].collect()))
+
+
+def test_rows_that_no_attempt_satisfies_are_counted(spark):
+    source = "schema C { id: sequence(\"C\", 1) } schema R { a: any of cs, b: any of cs assume not a.id == b.id } dataset D { cs: 1 of C, rs: 9 of R }"
+    g = Generator(spark, source)
+    assert g.run()["rs"].count() == 9 and "9 of 9 rows" in g.warnings[0]
+    g = Generator(spark, "schema A { a: int in 1..9 assume a > 100 } dataset D { xs: 10 of A }", Options(attempts=3))
+    g.run()
+    assert "10 of 10 rows satisfy no attempt of 3" in g.warnings[0]
+    g = Generator(spark, "schema A { a: int in 1..9 assume a > 100 } dataset D { xs: 10 of A }", Options(report=False))
+    g.run()
+    assert not g.warnings
