@@ -1,34 +1,43 @@
-"""A mock server over generated collections: ``/`` lists them, ``/name`` gives rows, ``/name/i`` one row.
+"""A mock server over generated collections: ``/`` lists them, ``/name`` gives rows, ``/name/i`` the row of a number.
 
-For development: each collection's first LIMIT rows are brought to this process, anew for every request.
+For development: ``/name?offset=N&limit=N`` brings at most PAGE rows to this process, anew for every request. Rows are found
+by their number, so any row of a collection of any size can be asked for.
 """
 
 from __future__ import annotations
 
 import json
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from urllib.parse import parse_qs, urlsplit
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from .operators.generate import Generator, Options
+from .operators.generate import ROW, Generator, Options
 
-LIMIT = 1000
+PAGE = 1000
 
 
 def answer(spark: SparkSession, source: str, path: str, seed: int = 0) -> tuple[int, object]:
     """Status and body of a GET."""
-    parts = [p for p in path.split("?")[0].split("/") if p]
-    frames = Generator(spark, source, Options(seed)).run()
+    at = urlsplit(path)
+    parts = [p for p in at.path.split("/") if p]
+    generator = Generator(spark, source, Options(seed))
+    frames = generator.run()
     if not parts:
         return 200, {"collections": sorted(frames)}
-    if parts[0] not in frames or len(parts) > 2:
+    if parts[0] not in frames or len(parts) > 2 or len(parts) == 2 and not parts[1].isdigit():
         return 404, {"error": "not found"}
-    rows = [json.loads(r) for r in frames[parts[0]].limit(LIMIT).toJSON().collect()]
+    asked = {k: int(v[0]) for k, v in parse_qs(at.query).items() if k in ("offset", "limit") and v[0].isdigit()}
+    first = int(parts[1]) if len(parts) == 2 else asked.get("offset", 0)
+    count = 1 if len(parts) == 2 else min(PAGE, asked.get("limit", PAGE))
+    made = generator.embedded(generator.made[parts[0]])
+    rows = made.frame.where(F.col(ROW).between(first, first + count - 1)).orderBy(ROW)
+    shown = made.shown().columns
+    found = [json.loads(r) for r in rows.select(*[F.col(f"`{c}`") for c in shown]).toJSON().collect()]
     if len(parts) == 1:
-        return 200, rows
-    if not parts[1].isdigit() or int(parts[1]) >= len(rows):
-        return 404, {"error": "not found"}
-    return 200, rows[int(parts[1])]
+        return 200, found
+    return (200, found[0]) if found else (404, {"error": "not found"})
 
 
 def serve(spark: SparkSession, source: str, port: int = 8080) -> ThreadingHTTPServer:

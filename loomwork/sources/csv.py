@@ -122,12 +122,15 @@ def lines(df: DataFrame, how: Writing | None = None) -> DataFrame:
 
 
 def write_sections(frames: dict[str, DataFrame], path: str, how: Writing | None = None) -> None:
-    """All collections in one file of sections ``# name``, empty ones left out; for collections that fit the driver."""
+    """All collections in one file of sections ``# name``, empty ones left out. One file is written by one process: rows
+    come to it a partition at a time, so it holds no more than one."""
     how = how or Writing()
-    parts = []
-    for name, df in frames.items():
-        rows = [r[0] for r in lines(df, how).collect()]
-        if rows:
+    with Path(path).open("w") as out:
+        between = ""
+        for name, df in frames.items():
             head = [how.delimiter.join(flattened(df, how).columns)] if how.header else []
-            parts.append("\n".join([f"# {name}", *head, *rows]))
-    Path(path).write_text("\n\n".join(parts) + "\n")
+            for i, r in enumerate(lines(df, how).toLocalIterator()):
+                if i == 0:
+                    out.write("\n".join([f"{between}# {name}", *head, ""]))
+                    between = "\n"
+                out.write(r[0] + "\n")

@@ -85,3 +85,12 @@ def write_ndjson(frames: dict[str, DataFrame], path: str, include: bool = False,
 def write_by_collection(frames: dict[str, DataFrame], folder: str) -> None:
     for name, df in frames.items():
         df.write.mode("overwrite").json(f"{folder}/{name}")
+
+
+def write_json(frames: dict[str, DataFrame], folder: str, pretty: bool = False) -> None:
+    """A folder of JSON rows for each collection; with ``pretty``, each row over several indented lines."""
+    for name, df in frames.items():
+        if pretty:
+            df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"pretty": "true"}).alias("value")).write.text(f"{folder}/{name}")
+        else:
+            df.write.json(f"{folder}/{name}")
