@@ -357,8 +357,8 @@ def _(spark, sf):
     return cells.agg(*[F.count_if(kind == k).alias(n) for k, n in (("int", "ints"), ("decimal", "decimals"), ("boolean", "booleans"))], F.count_if(iso).alias("dates"))
 
 
-def _profile(spark, sf, table: str, rows: Callable, schema: str) -> DataFrame:
-    found = P.profile(read(spark, sf, table))
+def _profile(spark, sf, table: str, rows: Callable, schema: str, parts: str = "") -> DataFrame:
+    found = P.profile(read(spark, sf, table), parts=set(parts.split()))
     return spark.createDataFrame([r for c in found.columns for r in rows(c)], schema)
 
 
@@ -389,7 +389,7 @@ def _(spark, sf):
 
 @entry("prof_uniqueness", each(["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"], "orders", "count({c}) > 1 AND count({c}) = count(DISTINCT {c}) AS is_unique"))
 def _(spark, sf):
-    return _profile(spark, sf, "orders", lambda c: [(c.name, c.unique)] if c.name != "o_orderdate" else [], "name string, is_unique boolean")
+    return _profile(spark, sf, "orders", lambda c: [(c.name, c.unique)] if c.name != "o_orderdate" else [], "name string, is_unique boolean", "distinct")
 
 
 @entry("prof_string_length", each(["p_name", "p_brand", "p_type"], "part", "min(length({c})) AS low, max(length({c})) AS high, floor(avg(length({c})) * 10000 + 0.5) / 10000 AS mean"))
@@ -404,14 +404,14 @@ def _(spark, sf):
     import math
 
     rows = lambda c: [(c.name, v, n, math.floor(n * 10000.0 / c.present + 0.5) / 10000) for v, n in c.options or [] if isinstance(v, str)]
-    return _profile(spark, sf, "orders", rows, "name string, value string, n bigint, weight double")
+    return _profile(spark, sf, "orders", rows, "name string, value string, n bigint, weight double", "distinct options")
 
 
-@entry("prof_percentage", each(["l_discount", "l_tax"], "lineitem", "'decimal' AS scale, floor(least((max({c}) - min({c})) * 2, 0.95) * 10000 + 0.5) / 10000 AS confidence"))
+@entry("prof_percentage", f"SELECT name, scale, floor(c * 10000 + 0.5) / 10000 AS confidence FROM (SELECT name, CASE WHEN in1 >= 0.98 * n AND inner1 >= 0.2 * n THEN 'decimal' WHEN in100 >= 0.98 * n AND over10 >= 0.2 * n THEN 'percent' END AS scale, CASE WHEN in1 >= 0.98 * n AND inner1 >= 0.2 * n THEN in1::DOUBLE * inner1 / (n * n) ELSE in100::DOUBLE * over10 / (n * n) END AS c FROM ({each(_LINE, 'lineitem', 'count({c}) AS n, count(*) FILTER (WHERE {c} BETWEEN 0 AND 1) AS in1, count(*) FILTER (WHERE {c} > 0 AND {c} < 1) AS inner1, count(*) FILTER (WHERE {c} BETWEEN 0 AND 100) AS in100, count(*) FILTER (WHERE {c} > 10 AND {c} <= 100) AS over10')})) WHERE scale IS NOT NULL")
 def _(spark, sf):
     import math
 
-    rows = lambda c: [(c.name, c.percentage[0], math.floor(c.percentage[1] * 1e4 + 0.5) / 1e4)] if c.name in ("l_discount", "l_tax") and c.percentage else []
+    rows = lambda c: [(c.name, c.percentage[0], math.floor(c.percentage[1] * 1e4 + 0.5) / 1e4)] if c.percentage else []
     return _profile(spark, sf, "lineitem", rows, "name string, scale string, confidence double")
 
 
@@ -426,9 +426,20 @@ def _(spark, sf):
 
 @entry("prof_histogram", "SELECT least(19, floor((o_totalprice - lo) / ((hi - lo) / 20)))::INT AS bin, count(*) AS n FROM orders, (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders) GROUP BY 1")
 def _(spark, sf):
-    df = read(spark, sf, "orders")
-    lo, hi = df.agg(F.min("o_totalprice"), F.max("o_totalprice")).first()
-    return df.groupBy(F.least(F.lit(19), F.floor((F.col("o_totalprice") - lo) / ((hi - lo) / 20)).cast("int")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    df = read(spark, sf, "orders").select("o_totalprice")
+    found = P.profile(df, parts=set())["o_totalprice"]
+    return df.groupBy(P.histogram(F.col("o_totalprice"), found.low, found.high, P.BINS).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_BINS = "SELECT least(19, floor((o_totalprice - lo) / ((hi - lo) / 20))) AS bin, count(*) / any_value(n)::DOUBLE AS share FROM orders, (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi, count(o_totalprice) AS n FROM orders) GROUP BY 1"
+
+
+@entry("prof_shape_uniform", f"SELECT 'o_totalprice' AS name, CASE WHEN fit >= 0.8 THEN 'uniform' ELSE 'unknown' END AS shape, floor(fit * 1000 + 0.5) / 1000 AS fit FROM (SELECT 1 - sum(abs(coalesce(share, 0) - 0.05)) / 2 AS fit FROM range(0, 20) t(i) LEFT JOIN ({_BINS}) ON bin = i)")
+def _(spark, sf):
+    import math
+
+    found = P.profile(read(spark, sf, "orders").select("o_totalprice"), parts={"shapes"})["o_totalprice"]
+    return spark.createDataFrame([(found.name, found.shape[0], math.floor(found.shape[1] * 1000 + 0.5) / 1000)], "name string, shape string, fit double")
 
 
 @entry("prof_format_ratio", "SELECT floor(avg(CASE WHEN regexp_matches(url, '(?i)^https?://[^\\s/$.?#].[^\\s]*$') THEN 1.0::DOUBLE ELSE 0 END) * 10000 + 0.5) / 10000 AS url, floor(avg(CASE WHEN regexp_matches(url, '^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}$') THEN 1.0::DOUBLE ELSE 0 END) * 10000 + 0.5) / 10000 AS email FROM pages")
@@ -460,21 +471,25 @@ def _(spark, sf):
 # -- G: mining
 
 
-def ratio_of(name: str, table: str, sql: str, build: Callable) -> None:
+def ratio_of(name: str, table: str, sql: str, build: Callable, frame: Callable | None = None) -> None:
     @entry(name, f"SELECT floor(coalesce(avg(CASE WHEN {sql} THEN 1.0::DOUBLE ELSE 0 END), 0) * 10000 + 0.5) / 10000 AS support FROM {table}")
     def _(spark, sf):
-        one = read(spark, sf, table).agg(build().alias("s"))
+        one = (frame(spark, sf) if frame else read(spark, sf, table)).agg(build().alias("s"))
         return one.select((F.floor(F.col("s") * 10000 + 0.5) / 10000).alias("support"))
 
 
+def _shipped(spark, sf) -> DataFrame:
+    return read(spark, sf, "lineitem").join(read(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+
+
 _near = lambda t, e: f"(abs({t} - ({e})) <= 0.01 OR abs({t} - ({e})) <= 0.0001 * abs({t}))"
 _c = lambda n: F.col(n).cast("double")
-ratio_of("mine_ordering_dates", "lineitem", "l_shipdate <= l_shipdate", lambda: M.date_order(F.col("l_shipdate"), F.col("l_shipdate")))
+ratio_of("mine_ordering_dates", "lineitem JOIN orders ON l_orderkey = o_orderkey", "o_orderdate <= l_shipdate", lambda: M.date_order(F.col("o_orderdate"), F.col("l_shipdate")), _shipped)
 ratio_of("mine_ordering_numeric", "lineitem", "l_discount <= l_tax + 0.0001", lambda: M.at_most(_c("l_discount"), _c("l_tax")))
 ratio_of("mine_product", "lineitem", _near("l_extendedprice", "l_quantity * l_tax"), lambda: M.product(_c("l_extendedprice"), _c("l_quantity"), _c("l_tax")))
 ratio_of("mine_sum", "lineitem", "abs(l_quantity - (l_linenumber + l_discount)) <= 0.0001 * greatest(abs(l_quantity), 1.0)", lambda: M.total(_c("l_quantity"), _c("l_linenumber"), _c("l_discount")))
 ratio_of("mine_difference", "lineitem", _near("l_discount", "l_tax - l_discount"), lambda: M.difference(_c("l_discount"), _c("l_tax"), _c("l_discount")))
-ratio_of("mine_ratio", "lineitem", f"l_tax <> 0 AND {_near('l_discount', 'l_tax / nullif(l_quantity, 0)')}", lambda: M.support((F.col("l_tax") != 0) & M.near(_c("l_discount"), F.try_divide(_c("l_tax"), _c("l_quantity"))), F.col("l_discount"), F.col("l_tax")))
+ratio_of("mine_ratio", "lineitem", _near("l_discount", "l_tax / nullif(l_quantity, 0)"), lambda: M.ratio(_c("l_discount"), _c("l_tax"), _c("l_quantity")))
 ratio_of("mine_constant_multiplier", "lineitem", _near("l_discount", "l_tax * 0.5"), lambda: M.multiple(_c("l_discount"), _c("l_tax"), 0.5))
 ratio_of("mine_three_term", "lineitem", "abs(l_quantity - (l_linenumber + l_discount + l_tax)) <= 0.0001 * greatest(abs(l_quantity), 1.0)", lambda: M.total(_c("l_quantity"), _c("l_linenumber"), _c("l_discount"), _c("l_tax")))
 
@@ -492,10 +507,33 @@ def _(spark, sf):
     return one.select((F.floor(F.col("s") * 10000 + 0.5) / 10000).alias("support"))
 
 
-@entry("mine_relations")
+_SPLIT = "SELECT l_returnflag, l_discount AS paid, CASE l_returnflag WHEN 'R' THEN l_discount + l_tax WHEN 'A' THEN l_discount ELSE l_tax END AS total FROM lineitem"
+_TESTS = {"paid >= total": "paid >= total - 0.0001", "total >= paid": "total >= paid - 0.0001", "paid == total": "abs(paid - total) <= 0.0001", "total == paid": "abs(paid - total) <= 0.0001", "paid > 0": "paid > -0.0001", "total > 0": "total > -0.0001"}
+
+
+@entry("mine_conditionals", "SELECT 'assume if l_returnflag == \"' || l_returnflag || '\" { ' || test || ' }' AS text, floor(share * 10000 + 0.5) / 10000 AS support FROM (" + " UNION ALL ".join(f"SELECT l_returnflag, '{t}' AS test, avg(CASE WHEN {e} THEN 1.0::DOUBLE ELSE 0 END) AS share, count(*) AS n, (SELECT avg(CASE WHEN {e} THEN 1.0::DOUBLE ELSE 0 END) FROM ({_SPLIT})) AS whole FROM ({_SPLIT}) GROUP BY 1" for t, e in _TESTS.items()) + ") WHERE share >= 0.95 AND whole < 0.95 AND n >= 2")
+def _(spark, sf):
+    import math
+
+    read(spark, sf, "lineitem").createOrReplaceTempView("lineitem")
+    found = M.conditionals(spark.sql(_SPLIT), {"l_returnflag": ["R", "A", "N"]})
+    return spark.createDataFrame([(r.text, math.floor(r.support * 1e4 + 0.5) / 1e4) for r in found], "text string, support double")
+
+
+@entry("mine_aggregations", "SELECT target, text, avg(CASE WHEN abs(t - v) <= 0.01 OR abs(t - v) <= 0.0001 * abs(t) THEN 1.0::DOUBLE ELSE 0 END) AS support FROM (SELECT unnest(['n', 'q', 'least', 'most']) AS target, unnest(['count(items)', 'sum(items.l_quantity)', 'min(items.l_discount)', 'max(items.l_linenumber)']) AS text, unnest([n, q, least, most]) AS t, unnest([c, sq, ml, mx]) AS v FROM (SELECT l_orderkey, count(*)::DOUBLE AS n, sum(l_quantity) AS q, min(l_discount) AS least, max(l_linenumber)::DOUBLE AS most FROM lineitem GROUP BY 1) a JOIN (SELECT l_orderkey AS k, len(list(l_quantity))::DOUBLE AS c, list_sum(list(l_quantity)) AS sq, list_min(list(l_discount)) AS ml, list_max(list(l_linenumber))::DOUBLE AS mx FROM lineitem GROUP BY 1) b ON k = l_orderkey) GROUP BY ALL HAVING support >= 0.95")
+def _(spark, sf):
+    lines = read(spark, sf, "lineitem")
+    items = lines.groupBy("l_orderkey").agg(F.collect_list(F.struct("l_quantity", "l_discount", "l_linenumber")).alias("items"))
+    sums = lines.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q"), F.min("l_discount").alias("least"), F.max("l_linenumber").alias("most"))
+    found = M.aggregations(items.join(sums, "l_orderkey").drop("l_orderkey"))
+    return spark.createDataFrame([(r.target, r.text, r.support) for r in found], "target string, text string, support double")
+
+
+@entry("mine_relations", f"SELECT 'product' AS kind, 'l_net' AS target, 'l_quantity * l_extendedprice' AS text, avg(CASE WHEN {_near('l_quantity * l_extendedprice', 'l_extendedprice * l_quantity')} THEN 1.0::DOUBLE ELSE 0 END) AS support FROM lineitem UNION ALL SELECT 'ordering', 'paid', 'assume paid <= total', avg(CASE WHEN l_discount <= l_discount + l_tax + 0.0001 THEN 1.0::DOUBLE ELSE 0 END) FROM lineitem")
 def _(spark, sf):
     df = read(spark, sf, "lineitem").withColumn("l_net", F.col("l_extendedprice") * F.col("l_quantity"))
-    found = M.mine(df.select("l_quantity", "l_extendedprice", "l_net", "l_returnflag"), {"l_returnflag": ["R", "A", "N"]})
+    df = df.withColumn("paid", F.col("l_discount")).withColumn("total", F.col("l_discount") + F.col("l_tax"))
+    found = [*M.mine(df.select("l_quantity", "l_extendedprice", "l_net")), *M.mine(df.select("paid", "total"))]
     return spark.createDataFrame([(r.kind, r.target, r.text, r.support) for r in found], "kind string, target string, text string, support double")
 
 
@@ -689,6 +727,26 @@ def _(spark, sf):
     return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("a < b AND (s <> 'x' OR b > 50)")).alias("good"))
 
 
+@entry("gen_reference_rules", "SELECT (SELECT count(*) FROM customer) AS n, 0::BIGINT AS bad, true AS varied, 0::BIGINT AS warnings")
+def _(spark, sf):
+    """Rules on two references to one collection: every attempt draws them anew."""
+    from .operators.generate import Generator, Options
+
+    n = read(spark, sf, "customer").count()
+    source = """
+    schema City { id: sequence("C", 1), kind: "port" | "inland" }
+    schema Road {
+      a: any of cities, b: any of cities where .kind == "port", km: int in 1..300, hours: decimal(2) in 0..8,
+      assume not a.id == b.id assume hours >= km / 120 assume hours <= km / 40
+    }
+    dataset D { cities: 12 of City, roads: %d of Road }
+    """ % n
+    g = Generator(spark, source, Options(seed=11))
+    roads = g.run()["roads"]
+    bad = "a.id = b.id OR b.kind <> 'port' OR hours < km / 120 OR hours > km / 40"
+    return roads.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr(bad)).alias("bad"), (F.count_distinct("a.id", "b.id") > 4).alias("varied")).withColumn("warnings", F.lit(len(g.warnings)).cast("long"))
+
+
 @entry("gen_violating_rows", "SELECT (SELECT count(*) FROM customer) AS n, (SELECT count(*) FROM customer) AS bad")
 def _(spark, sf):
     n = read(spark, sf, "customer").count()
@@ -715,6 +773,37 @@ def _(spark, sf):
     return _generated(spark, source, "orders", seed=42).select("_row", "customer", "amount")
 
 
+# -- text
+
+
+@entry("text_word_transitions", "SELECT u[i] || ' ' || u[i + 1] AS prefix, u[i + 2] AS next, count(*) AS n FROM (SELECT u, unnest(range(1, len(u) - 1)) AS i FROM (SELECT list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS u FROM conversations)) GROUP BY ALL")
+def _(spark, sf):
+    from .operators import text as X
+
+    return X.transitions(read(spark, sf, "conversations"), "text", 2).select(F.concat_ws(" ", "prefix").alias("prefix"), "next", "n")
+
+
+@entry("text_character_transitions", "SELECT p_name[i:i] AS prefix, p_name[i + 1:i + 1] AS next, count(*) AS n FROM (SELECT p_name, unnest(range(1, length(p_name))) AS i FROM part) GROUP BY ALL")
+def _(spark, sf):
+    from .operators import text as X
+
+    return X.transitions(read(spark, sf, "part"), "p_name", 1, characters=True).select(F.col("prefix")[0].alias("prefix"), "next", "n")
+
+
+@entry("text_walk", "SELECT (SELECT count(*) FROM customer) AS n, 0::BIGINT AS unknown, true AS varied")
+def _(spark, sf):
+    """Walks of ten words, of which every three in a row occur in the texts that the chain was counted on."""
+    from .operators import text as X
+
+    counts = X.transitions(read(spark, sf, "conversations"), "text", 2)
+    chain = X.chain_of(counts)
+    start = chain.agg(F.max_by("prefix", F.struct("total", "prefix")).alias("prefix"))
+    rows = X.walk(read(spark, sf, "customer").select("c_custkey").join(F.broadcast(start)), chain, 10, "c_custkey", seed=4)
+    parts = rows.select("c_custkey", F.explode(F.sequence(F.lit(1), F.size("units") - 2)).alias("i"), "units").select("c_custkey", F.slice("units", F.col("i"), 2).alias("prefix"), F.element_at("units", F.col("i") + 2).alias("next"))
+    unknown = parts.join(counts, ["prefix", "next"], "left_anti").agg(F.count(F.lit(1)).alias("unknown"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), (F.count_distinct("units") > 10).alias("varied")).join(F.broadcast(unknown))
+
+
 # -- I: formats
 
 
