@@ -40,7 +40,7 @@ TABLES, CELL, MOST_LINES, WIDER = 2, 2.5, 16, 1.5
 #: Vectors of the sample that the index is fitted on, queries among them, the recall asked for there, and probes a table.
 SAMPLE, SAMPLE_QUERIES, WANTED, MOST_PROBES = 3000, 150, 0.95, 128
 #: Vectors that an average bucket should hold, vectors of one chunk, lengths with an index, and the seed of the lines.
-BUCKET, CHUNK, LENGTHS, LINE_SEED = 2048, 4096, 8, 13
+BUCKET, CHUNK, LENGTHS, LINE_SEED = 2048, 1024, 8, 13
 
 
 @dataclass
