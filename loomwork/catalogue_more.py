@@ -124,7 +124,7 @@ def _(spark, sf):
 RULES = "schema Event { assume value >= 50 assume if event_type == \"click\" { value < 90 } }"
 
 
-@entry("stream_window_counts", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, rule, count(*) AS broken FROM (SELECT ts, 'value >= 50' AS rule FROM events WHERE NOT value >= 50 UNION ALL SELECT ts, 'if event_type == \"click\" { value < 90 }' FROM events WHERE event_type = 'click' AND NOT value < 90) GROUP BY ALL")
+@entry("stream_window_counts", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, rule, count(*) AS broken FROM (SELECT ts, 'value >= 50' AS rule FROM events WHERE NOT value >= 50 UNION ALL SELECT ts, 'if event_type == \"click\": value < 90' FROM events WHERE event_type = 'click' AND NOT value < 90) GROUP BY ALL")
 def _(spark, sf):
     """Broken rules by day of a stream of events; the stream is read to its end, late rows within its whole span."""
     at = _folder(spark, "stream")

@@ -38,6 +38,21 @@ ROW, NUMBER, TRY = "_row", "__i", "__try"
 GROUP_ROWS, CARRIED = 50_000, 10_000
 
 
+# Words in a plain string field's name (or in its schema's) and the generator that they stand for.
+COMPANIES, PEOPLE, THINGS = ("company", "business", "organization"), ("person", "customer", "contact"), ("product", "item", "description")
+
+
+def named_string(field_: str, schema: str) -> str | None:
+    """The generator that suits a plain string by its name: a company's name, a person's, a product's."""
+    low = field_.lower()
+    told = lambda words, text: any(w in text for w in words)
+    if told(COMPANIES, low) or low == "name" and told(COMPANIES, schema.lower()):
+        return "companyName"
+    if low == "name" or told(PEOPLE, low):
+        return "fullName"
+    return "faker.commerce.productName" if told(THINGS, low) else None
+
+
 class ConstraintError(RuntimeError):
     """In strict mode: rows that no attempt could satisfy."""
 
@@ -462,6 +477,8 @@ class Generator:
             return compiled(S.Choice(tuple((w, S.Draw("int", None, b) if isinstance(b, S.Range) else b) for b, w in buckets)), scope)
         if f.unique and (v := self.unique(node, row, rows, f"{label}.{f.name}", keys)) is not None:
             return v
+        if isinstance(node, S.Draw) and node.kind == "string" and (call := named_string(f.name, schema.name)):
+            return compiled(S.Call(call, ()), scope)
         scope.functions = scope.functions | {"sequence": lambda a, s: self.sequence(a, row, rows, True), "sequenceInt": lambda a, s: self.sequence(a, row, rows, False)}
         return compiled(node, scope)
 

@@ -12,8 +12,13 @@ from ..operators.check import deref
 from ..operators.describe import pascal, singular
 from ..plans import syntax as S
 
-#: Generators of string formats.
-FORMATS = {"uuid": "uuid", "email": "email", "uri": "url", "url": "url", "hostname": "faker.internet.domainName", "ipv4": "faker.internet.ipv4", "ipv6": "faker.internet.ipv6", "phone": "phone", "date-time": "datetime"}
+# String formats and what generates them.
+FORMATS = {
+    "uuid": "uuid()", "email": "email()", "phone": "phone()", "phone-number": "phone()", "uri": "faker.internet.url()", "url": "faker.internet.url()", "hostname": "faker.internet.domainName()",
+    "ipv4": "faker.internet.ipv4()", "ipv6": "faker.internet.ipv6()", "mac-address": "faker.internet.mac()", "slug": "faker.lorem.slug()", "password": "faker.internet.password()",
+    "date-time": "datetime()", "datetime": "datetime()", "time": 'regex("([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]")', "credit-card": "faker.finance.creditCardNumber()", "iban": "iban()",
+    "isbn": "faker.commerce.isbn()", "ssn": 'regex("[1-8][0-9]{2}-[0-9]{2}-[0-9]{4}")', "hex-color": "faker.color.rgb()", "byte": 'regex("[A-Za-z0-9]{22}==")', "binary": 'regex("[0-9a-f]{32}")',
+}
 EXAMPLES = 5
 
 
@@ -40,7 +45,7 @@ def field_of(name: str, schema: dict, root: dict, required: bool) -> S.Field:
     elif schema.get("format") == "date":
         node = S.Draw("date")
     elif schema.get("format") in FORMATS:
-        node = S.Call(FORMATS[schema["format"]], ())
+        node = S.parse_expression(FORMATS[schema["format"]])
     else:
         node = S.Draw("string")
     return S.Field(name, node, optional=not required and schema.get("nullable", False))
@@ -136,7 +141,7 @@ def json_schema(node: S.Node, schemas: dict[str, S.Schema]) -> dict:
             return {"const": value}
         case S.Call(name, _):
             for form, generator in FORMATS.items():
-                if generator == name:
+                if name in (generator.removesuffix("()"), generator.removesuffix("()").rsplit(".", 1)[-1]):
                     return {"type": "string", "format": form}
             return {"type": "integer"} if name in ("count", "sequenceInt", "poisson") else {"type": "number"} if name in ("sum", "avg", "min", "max", "median", "product", "round", "floor", "ceil", "gaussian", "uniform") else {"type": "string"}
         case S.Binary(op, _, _):

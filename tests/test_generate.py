@@ -109,3 +109,11 @@ def test_rows_that_no_attempt_satisfies_are_counted(spark):
     g = Generator(spark, "schema A { a: int in 1..9 assume a > 100 } dataset D { xs: 10 of A }", Options(report=False))
     g.run()
     assert not g.warnings
+
+
+def test_plain_strings_follow_their_names(spark):
+    from loomwork.operators.generate import named_string
+
+    assert [named_string(f, s) for f, s in (("name", "Company"), ("name", "Pet"), ("companyName", "A"), ("contactPerson", "A"), ("productTitle", "A"), ("code", "Business"), ("note", "A"))] == ["companyName", "fullName", "companyName", "fullName", "faker.commerce.productName", None, None]
+    df = rows(spark, "name: string, product: string, code: string", 50)
+    assert df.where("name NOT LIKE '% %' OR size(split(product, ' ')) < 3 OR code LIKE '% %'").count() == 0

@@ -68,3 +68,16 @@ def test_stream(spark, tmp_path):
     q = stream_counts(stream, rule, "E", "ts").writeStream.outputMode("complete").format("memory").queryName("broken").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("select sum(broken) from broken").first()[0] == 10
+
+
+def test_every_format_has_a_generator(spark):
+    from loomwork.operators.generate import Generator, Options
+
+    document = {"components": {"schemas": {"A": {"type": "object", "properties": {f"f{i}": {"type": "string", "format": f} for i, f in enumerate(openapi.FORMATS)}}}}}
+    rows = Generator(spark, "schema A from api.A { n: 1 } dataset D { xs: 20 of A }", Options(1, imports={"api": openapi.fields_of(document)})).run()["xs"]
+    assert len(rows.columns) == len(openapi.FORMATS) + 1
+    assert rows.where(" OR ".join(f"f{i} IS NULL OR length(f{i}) < 4" for i in range(len(openapi.FORMATS)))).count() == 0
+    from loomwork.plans import syntax as S
+
+    program = S.parse('schema A { u: uuid(), m: faker.internet.mac(), w: url() }')
+    assert openapi.export(program)["components"]["schemas"]["A"]["properties"] == {"u": {"type": "string", "format": "uuid"}, "m": {"type": "string", "format": "mac-address"}, "w": {"type": "string", "format": "uri"}}
