@@ -68,21 +68,41 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     return samples.reshape(shape).astype(np.uint8 if top < 256 else np.uint16)
 
 
+#: Masks of red, green and blue that a BMP without masks of its own has.
+MASKS = {16: (0x7C00, 0x3E0, 0x1F), 32: (0xFF0000, 0xFF00, 0xFF)}
+
+
+def _field(values: np.ndarray, mask: int) -> np.ndarray:
+    """The bits of a mask as samples from 0 to 255."""
+    if not mask:
+        return np.zeros(values.shape, np.uint8)
+    low = (mask & -mask).bit_length() - 1
+    most = mask >> low
+    return np.floor(((values & mask) >> low).astype(np.float64) * 255 / most + 0.5).astype(np.uint8)
+
+
 def decode_bmp(data: bytes) -> np.ndarray:
-    """Samples of an uncompressed BMP of 8 (palette), 24 or 32 bits as (height, width, 3), top row first, red first."""
+    """Samples of an uncompressed BMP of 1, 4 or 8 (palette), 16, 24 or 32 bits, with bit masks or without, as (height,
+    width, 3), top row first, red first."""
     start, info = int.from_bytes(data[10:14], "little"), int.from_bytes(data[14:18], "little")
     width, height = (int.from_bytes(data[i : i + 4], "little", signed=True) for i in (18, 22))
     bits, packing = int.from_bytes(data[28:30], "little"), int.from_bytes(data[30:34], "little")
-    if width < 1 or not height or bits not in (8, 24, 32) or packing not in (0, 3):
+    masked = packing == 3 and bits in MASKS
+    if width < 1 or not height or bits not in (1, 4, 8, 16, 24, 32) or packing != 0 and not masked:
         raise ValueError("this kind of BMP is not read")
-    stride = (width * bits // 8 + 3) // 4 * 4
+    stride = (width * bits + 31) // 32 * 4
     rows = np.frombuffer(data, np.uint8, stride * abs(height), start).reshape(abs(height), stride)
     rows = rows[::-1] if height > 0 else rows
-    if bits == 8:
-        colours = int.from_bytes(data[46:50], "little") or 256
+    if bits <= 8:
+        colours = int.from_bytes(data[46:50], "little") or 1 << bits
         palette = np.frombuffer(data, np.uint8, colours * 4, 14 + info).reshape(-1, 4)
-        return palette[rows[:, :width]][:, :, 2::-1].copy()
-    return rows[:, : width * bits // 8].reshape(abs(height), width, bits // 8)[:, :, 2::-1].copy()
+        places = np.unpackbits(rows, axis=1).reshape(len(rows), -1, bits) @ (1 << np.arange(bits - 1, -1, -1))
+        return palette[places[:, :width]][:, :, 2::-1].copy()
+    if bits == 24:
+        return rows[:, : width * 3].reshape(abs(height), width, 3)[:, :, ::-1].copy()
+    values = np.ascontiguousarray(rows).view("<u2" if bits == 16 else "<u4")[:, :width].astype(np.int64)
+    masks = np.frombuffer(data, "<u4", 3, 54).tolist() if masked else MASKS[bits]
+    return np.stack([_field(values, m) for m in masks], axis=2)
 
 
 def decode(data: bytes) -> np.ndarray:

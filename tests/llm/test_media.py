@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomwork.llm import media
 
@@ -27,6 +28,13 @@ def test_decoders():
     assert media.decode(b"P5 1 1 65535\n" + b"\x01\x02").tolist() == [[258]]
     palette = b"BM" + struct.pack("<IHHI", 0, 0, 0, 54 + 8) + struct.pack("<IiiHHIIiiII", 40, 2, -1, 1, 8, 0, 0, 0, 0, 2, 0) + bytes([1, 2, 3, 0, 4, 5, 6, 0]) + bytes([1, 0, 0, 0])
     assert media.decode(palette).tolist() == [[[6, 5, 4], [3, 2, 1]]]
+    head = lambda w, h, bits, packing, more, colours=0: b"BM" + struct.pack("<IHHI", 0, 0, 0, 54 + len(more)) + struct.pack("<IiiHHIIiiII", 40, w, h, 1, bits, packing, 0, 0, 0, colours, 0) + more
+    colours = bytes([0, 0, 0, 0, 9, 8, 7, 0])
+    assert media.decode(head(3, -1, 1, 0, colours, 2) + bytes([0b01000000, 0, 0, 0])).tolist() == [[[0, 0, 0], [7, 8, 9], [0, 0, 0]]]
+    assert media.decode(head(3, -1, 4, 0, colours, 2) + bytes([0x10, 0x10, 0, 0])).tolist() == [[[7, 8, 9], [0, 0, 0], [7, 8, 9]]]
+    assert media.decode(head(2, -1, 16, 0, b"") + struct.pack("<HH", 31 << 10 | 31, 31 << 5)).tolist() == [[[255, 0, 255], [0, 255, 0]]]
+    assert media.decode(head(1, -1, 16, 3, struct.pack("<III", 0xF800, 0x7E0, 0x1F)) + struct.pack("<HH", 31 << 11 | 63 << 5, 0)).tolist() == [[[255, 255, 0]]]
+    assert media.decode(head(1, -1, 32, 3, struct.pack("<III", 0xFF, 0xFF00, 0xFF0000)) + bytes([1, 2, 3, 9])).tolist() == [[[1, 2, 3]]]
     for bad in (b"", b"P5\n9 9\n255\nxx", b"P5 0 1 255 ", b"GIF89a", b"P2 2 1 255 1"):
         with pytest.raises((ValueError, IndexError)):
             media.decode(bad)
@@ -60,3 +68,10 @@ def test_bad_media_and_tiles(spark):
     got = {r.id: r for r in media.media_columns(df, side=4).collect()}
     assert np.load(io.BytesIO(bytes(got[1].tile))).shape == (4, 4) and got[1].error is None and bytes(got[1].samples) == b"abcd"
     assert got[2].error and got[3].error == "no media" and got[2].tile is None
+
+
+def test_clashing_columns(spark, odd_docs):
+    df = media.text_media(odd_docs.select("doc_id", "text").withColumn("Width", F.lit("mine")).withColumn("dhash", F.lit(1)).withColumn("other", F.lit(2)))
+    out = media.media_columns(df)
+    assert len({c.lower() for c in out.columns}) == len(out.columns) and "other" in out.columns and out.schema["width"].dataType.simpleString() == "int"
+    assert out.count() == odd_docs.count()
