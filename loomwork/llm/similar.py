@@ -87,11 +87,6 @@ def prefix_of(own: np.ndarray, counts: np.ndarray, similar: float) -> np.ndarray
     return own[order[: len(own) - math.ceil(similar * len(own) - 1e-9) + 1]]
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
-
-
 def counts_of(texts: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
     """How many texts (a column) hold a shingle of each slot, as steps of a quarter of a doubling (a byte each)."""
 

@@ -2,6 +2,7 @@ import random
 
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from loomwork.llm import pieces
 
@@ -48,3 +49,10 @@ def test_tables(spark, odd_docs, no_docs, model):
     assert all(r.ids is None and r.n_tokens == 0 for r in rows if r.text is None) and all(r.n_tokens == len(r.ids) for r in rows if r.text is not None)
     assert pieces.decode(pieces.encode(no_docs)).count() == 0
     assert sorted(map(str, pieces.encode(odd_docs, decoded=True).collect())) == sorted(map(str, rows))
+
+
+def test_clashing_columns(spark, odd_docs):
+    df = odd_docs.withColumn("IDS", F.lit("old")).withColumn("n_tokens", F.lit("old")).withColumn("Decoded", F.lit(1)).withColumn("word", F.lit(2))
+    out = pieces.encode(df, decoded=True)
+    assert len({c.lower() for c in out.columns}) == len(out.columns) and "word" in out.columns
+    assert all(r.decoded == r.text and (r.text is None or r.n_tokens == len(r.ids)) for r in out.collect())

@@ -1,6 +1,9 @@
+import struct
 import zlib
 
 import numpy as np
+import xxhash
+from pyspark.sql import functions as F
 
 from loomwork.llm import sharding
 
@@ -35,7 +38,19 @@ def test_query(spark, odd_docs, saved, monkeypatch):
     for r in rows:
         raw = (texts[r.doc_id] or "").encode()
         assert r["size"] == len(raw) + 1 and r.text_crc32 == zlib.crc32(raw) and r.grown_shard in (r.shard, 8) and r.law == "key"
+        key = 42 if r.doc_id is None else xxhash.xxh64_intdigest(struct.pack("<q", r.doc_id), 42)
+        assert (r.shard, r.grown_shard) == (plain(key, 8), plain(key, 9))
 
 
 def test_empty(spark, no_docs, saved):
     assert sharding.query(spark, saved(no_docs, "documents")).count() == 0
+
+
+def test_clashing_columns(spark, odd_docs):
+    df = odd_docs.withColumn("Shard", F.lit("old")).withColumn("SLOT", F.lit(None).cast("string")).withColumn("part", F.lit(1))
+    out = sharding.number_rows(sharding.assign_shards(df, "doc_id", 3), "shard")
+    assert len({c.lower() for c in out.columns}) == len(out.columns) and {"part", "text"} <= set(out.columns)
+    rows = out.collect()
+    assert len(rows) == odd_docs.count() and all(r.shard in (0, 1, 2) for r in rows)
+    for s in {r.shard for r in rows}:
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
