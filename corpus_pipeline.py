@@ -2,6 +2,13 @@
 
 ``STAGES`` are applied one after another, each to what the one before kept; a driver may write and reread the rows in
 between. All stages but the last return the columns of ``documents``.
+
+Defined results: nulls may stand in any column. Documents whose text is null, or holds no letter, have no language and go in
+the first stage. Repeated rows and rows that share a doc_id are documents like others there; near-dedup then keeps one row
+of each group of like texts, so that of repeated rows one stays, while unlike texts under one doc_id all stay; of the rows
+with the group's smallest doc_id the one with the smallest text hash stays. In mixing, null languages and sources are leaves
+of their own, and rows that share a doc_id in a leaf share one fate. An empty table gives an empty table at each stage.
+Further columns stay with their rows, up to the last stage, which returns its own.
 """
 
 from __future__ import annotations
