@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, bounded_sample, ddl, drop_clashing, table, written
+from .common import OWN, Scratch, bounded_sample, ddl, drop_clashing, table
 from .components import components
 
 BITS, SHINGLE, MOST_BITS, SEED = 64, 3, 3, 42
@@ -172,15 +172,18 @@ def links(prints: DataFrame, parts: list[Part], most: int = MOST_BITS, column: s
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, most: int = MOST_BITS) -> DataFrame:
     """``key``, ``fingerprint`` (long) and ``component_id``, the smallest key that links can reach, of every row."""
-    slim = written(fingerprints(docs.select(F.col(key).alias(f"{OWN}key"), F.col(text).alias(f"{OWN}text")), f"{OWN}text", shingle).select(f"{OWN}key", "fingerprint"), "fingerprints")
-    prints = written(slim.groupBy("fingerprint").agg(F.min(f"{OWN}key").alias("first")), "distinct-fingerprints")
+    scratch = Scratch(docs.sparkSession, "simhash")
+    slim = docs.select(F.col(key).alias(f"{OWN}key"), F.col(text).alias(f"{OWN}text"))
+    slim = scratch.put(fingerprints(slim, f"{OWN}text", shingle).select(f"{OWN}key", "fingerprint"), "fingerprints")
+    prints = scratch.put(slim.groupBy("fingerprint").agg(F.min(f"{OWN}key").alias("first")), "distinct")
     count = prints.count()
     sample = bounded_sample(prints.select("fingerprint"), ["fingerprint"], SAMPLE, count)
     parts = plan_parts(np.array([r["fingerprint"] for r in sample], np.int64).view(np.uint64), count, most)
-    stars = components(links(prints, parts, most))
+    stars = components(links(prints, parts, most), scratch=scratch)
     rooted = prints.join(stars, prints["fingerprint"] == stars["node"], "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = written(rooted.join(least, "root").select("fingerprint", "component_id"), "named-fingerprints")
+    named = scratch.put(rooted.join(least, "root").select("fingerprint", "component_id"), "named")
+    scratch.drop("distinct", "stars")
     return slim.join(named, "fingerprint").select(F.col(f"{OWN}key").alias(key), "fingerprint", "component_id")
 
 

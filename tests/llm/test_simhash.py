@@ -79,8 +79,8 @@ def test_similar_groups(spark, odd_docs, no_docs):
             rows.append((i, " ".join(copy)))
             i += 1
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    sets = {k: np.unique(simhash.hashes_of(t, 5).astype(np.uint32)) for k, t in rows}
-    pairs = [(a, b) for a in sets for b in sets if b < a and similar.overlap(sets[a], sets[b]) >= 0.8]
+    sets = {k: set(simhash.hashes_of(t, 5).tolist()) for k, t in rows}
+    pairs = [(a, b) for a in sets for b in sets if b < a and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     want = groups(pairs, sets)
     got = {x.doc_id: x.component_id for x in similar.similar_groups(df).collect()}
     assert got == want
