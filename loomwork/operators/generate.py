@@ -53,6 +53,16 @@ def named_string(field_: str, schema: str) -> str | None:
     return "faker.commerce.productName" if told(THINGS, low) else None
 
 
+# The kinds of warnings.
+UNIQUE, RETRIES, TARGET, UNKNOWN = "UniqueValueExhaustion", "ConstraintRetryLimit", "MutationTargetNotFound", "UnknownFieldInImportedSchema"
+
+
+class Warned(str):
+    """A warning's text, with its ``kind``."""
+
+    kind: str
+
+
 class ConstraintError(RuntimeError):
     """In strict mode: rows that no attempt could satisfy."""
 
@@ -141,7 +151,7 @@ class Generator:
         self.distributions = self.program.all(S.Distribution)
         self.made: dict[str, Made] = {}
         self.sequences: dict[tuple, int] = {}
-        self.warnings: list[str] = []
+        self.warnings: list[Warned] = []
         self.salt, self.labels = 0, 0
         self.picks: dict[tuple, tuple[DataFrame, int]] = {}
 
@@ -160,13 +170,16 @@ class Generator:
                 if all(r["ok"] for r in dataset_rules(list(d.rules), inner, self.lets).collect()) != d.violating:
                     break
             if d.rules and attempt == most:
-                self.warn(f"dataset {d.name}: its rules don't hold after {most} attempts")
+                self.warn(RETRIES, f"dataset {d.name}: its rules don't hold after {most} attempts")
             out |= frames
         return out
 
-    def warn(self, text: str) -> None:
-        self.warnings.append(text)
-        LOG.warning(text)
+    def warn(self, kind: str, text: str) -> None:
+        if text not in self.warnings:
+            said = Warned(text)
+            said.kind = kind
+            self.warnings.append(said)
+            LOG.warning("%s: %s", kind, text)
 
     def dataset(self, d: S.Dataset) -> dict[str, DataFrame]:
         self.made, self.picks = {}, {}
@@ -191,7 +204,7 @@ class Generator:
             known = {f.name for f in base}
             for f in schema.fields:
                 if f.name not in known and len(schema.base) > 1:
-                    self.warn(f"{schema.name}.{f.name} isn't a field of {'.'.join(schema.base)}")
+                    self.warn(UNKNOWN, f"{schema.name}.{f.name} isn't a field of {'.'.join(schema.base)}")
             out |= {f.name: f for f in base}
         out |= {f.name: f for f in schema.fields}
         out |= {f.name: f for f in overrides}
@@ -295,7 +308,7 @@ class Generator:
             if bad and self.options.strict:
                 raise ConstraintError(said)
             if bad:
-                self.warn(said)
+                self.warn(RETRIES, said)
         for f in later:
             df = self.lagged(df, f)
         order = [f.name for f in fields if f.name in df.columns]
@@ -516,7 +529,7 @@ class Generator:
         else:
             return None
         if rows > size:
-            self.warn(f"{label}: {rows} rows have only {size} unique values")
+            self.warn(UNIQUE, f"{label}: {rows} rows have only {size} unique values")
         step = (int(size * 0.618) | 1) + 2 * (self.options.seed % 97)
         while gcd(step, size) != 1:
             step += 1
@@ -548,7 +561,7 @@ class Generator:
         by_target: dict[str, list[S.Mutation]] = {}
         for m in made.schema.mutations:
             if len(m.target) != 2 or m.target[0] not in made.references:
-                self.warn(f"{made.schema.name}: {'.'.join(m.target)} isn't a field of a referenced row")
+                self.warn(TARGET, f"{made.schema.name}: {'.'.join(m.target)} isn't a field of a referenced row")
                 continue
             by_target.setdefault(m.target[0], []).append(m)
         for ref, mutations in by_target.items():

@@ -117,3 +117,16 @@ def test_plain_strings_follow_their_names(spark):
     assert [named_string(f, s) for f, s in (("name", "Company"), ("name", "Pet"), ("companyName", "A"), ("contactPerson", "A"), ("productTitle", "A"), ("code", "Business"), ("note", "A"))] == ["companyName", "fullName", "companyName", "fullName", "faker.commerce.productName", None, None]
     df = rows(spark, "name: string, product: string, code: string", 50)
     assert df.where("name NOT LIKE '% %' OR size(split(product, ' ')) < 3 OR code LIKE '% %'").count() == 0
+
+
+def test_warnings_have_kinds(spark):
+    from loomwork.operators import generate as G
+
+    source = """
+    schema C { id: unique int in 1..3 }
+    schema R { c: any of cs, n: int in 1..2 assume n > 5 } then { d.x += n }
+    dataset D { cs: 9 of C, rs: 4 of R, validate { count(rs) == 5 } }
+    """
+    g = Generator(spark, source, Options(dataset_attempts=1, attempts=2))
+    g.run()
+    assert {w.kind for w in g.warnings} == {G.UNIQUE, G.RETRIES, G.TARGET} and len(g.warnings) == len(set(g.warnings))
