@@ -30,21 +30,28 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-#: While a table is written: Spark deletes the query's shuffle files when the query ends, not when the driver next
-#: collects garbage, and tasks exchange no more than so many rows at once with Python, as texts may be long.
-WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+#: Lets Spark delete a query's shuffle files when the query ends, not when the driver next collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows that tasks exchange with Python at once: texts may be long, and both sides keep the memory of the largest batch.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session that from now on exchanges no more than BATCH_ROWS rows at once with Python."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH)) <= BATCH_ROWS:
+        conf.set(BATCH, str(BATCH_ROWS))
+    return df
 
 
 def _write(df: DataFrame, path: str) -> DataFrame:
     spark = df.sparkSession
-    before = {k: spark.conf.get(k, None) for k in WRITING}
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
     try:
-        for k, v in WRITING.items():
-            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

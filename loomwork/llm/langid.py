@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, ddl, drop_clashing, table
+from .common import OWN, ddl, drop_clashing, small_batches, table
 
 #: Bytes of a window, and how many windows go through the network at once.
 WINDOW, BATCH = 256, 256
@@ -157,7 +157,7 @@ def identify(docs: DataFrame, net: Network | None, text: str = "text") -> DataFr
     Rows are handled in Arrow batches by tasks that hold nothing but the small network; nothing is shuffled.
     """
     names = ["lang_pred", "score"]
-    docs = drop_clashing(docs, names)
+    docs = small_batches(drop_clashing(docs, names))
 
     def run(batches):
         for batch in batches:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bloom import flagged
-from .common import OWN, Scratch, ddl, drop_clashing, table
+from .common import OWN, Scratch, ddl, drop_clashing, small_batches, table
 
 ORDER = 4
 #: A context's own counts weigh against this many of what the shorter context says.
@@ -114,7 +114,7 @@ def counted(docs: DataFrame, text: str = "text", good: Column | None = None) ->
                     yield from tally.batches()
         yield from tally.batches()
 
-    rows = docs.select(F.col(text).alias("text"), (F.lit(True) if good is None else good).alias("good"))
+    rows = small_batches(docs).select(F.col(text).alias("text"), (F.lit(True) if good is None else good).alias("good"))
     sums = rows.mapInArrow(run, "a int, b int, c int, d int, near bigint, far bigint")
     return sums.groupBy(*GRAM).agg(F.sum("near").alias("near"), F.sum("far").alias("far"))
 

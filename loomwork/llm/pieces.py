@@ -28,7 +28,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ddl, drop_clashing, table
+from .common import ddl, drop_clashing, small_batches, table
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -36,9 +36,9 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, MERGES = 1, 2
 #: A worker forgets the ids of the words that it has seen when they are more than this, or longer together.
-KEPT_WORDS, KEPT_CHARS = 200_000, 8_000_000
+KEPT_WORDS, KEPT_CHARS = 120_000, 6_000_000
 #: Pairs of pieces that a worker remembers as fitting or not.
-KEPT_STEPS = 300_000
+KEPT_STEPS = 200_000
 #: Texts are handled in groups of about so many characters.
 GROUP_CHARS = 2 << 20
 
@@ -262,7 +262,7 @@ def encode(docs: DataFrame, text: str = "text", model_path: str = MODEL_PATH, de
     the text of the ids, as ``decode`` gives it, made by the same worker instead of a second one beside it."""
     model = Path(model_path).read_bytes()
     names = ["ids", "n_tokens", *(["decoded"] if decoded else [])]
-    docs = drop_clashing(docs, names)
+    docs = small_batches(drop_clashing(docs, names))
 
     def run(batches):
         pieces = loaded(model)

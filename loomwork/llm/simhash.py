@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, Scratch, bounded_sample, ddl, drop_clashing, table
+from .common import OWN, Scratch, bounded_sample, ddl, drop_clashing, small_batches, table
 from .components import components
 
 BITS, SHINGLE, MOST_BITS, SEED = 64, 3, 3, 42
@@ -67,7 +67,7 @@ def majority(hashes: np.ndarray) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with the 64-bit ``fingerprint`` of each whole text as a (signed) long."""
-    docs = drop_clashing(docs, ["fingerprint"])
+    docs = small_batches(drop_clashing(docs, ["fingerprint"]))
 
     def run(batches):
         for batch in batches:

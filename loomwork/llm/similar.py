@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bloom import having, lacking
-from .common import OWN, Scratch, bounded_sample, ddl
+from .common import OWN, Scratch, bounded_sample, ddl, small_batches
 from .components import components
 from .simhash import SAMPLE, links, majority, plan_parts, words_of
 
@@ -272,7 +272,7 @@ def _closest(pairs: DataFrame) -> DataFrame:
 
 def _grouped(docs: DataFrame, key: str, text: str, shingle: int, similar: float) -> DataFrame:
     """``key``, ``id`` (of the text), ``root`` (of the group) and ``component_id`` of every row."""
-    it = _Texts(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), shingle, similar)
+    it = _Texts(small_batches(docs).select(F.col(key).alias("key"), F.col(text).alias("text")), shingle, similar)
     scratch = it.scratch
     met = it.shared()
     found = it.verified(_closest(it.near(it.by_prints())), "links-0")
