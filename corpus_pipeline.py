@@ -13,32 +13,43 @@ Further columns stay with their rows, up to the last stage, which returns its ow
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.llm import langid, mixing, pieces, similar
 
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 #: A language less sure than this is no language: with four of them, chance alone gives 0.25.
 LEAST_SCORE = 0.3
 #: The mix takes as many tokens as it is given; a leaf may be read twice.
 MIX = mixing.Mix(budget=1000, max_epochs=2)
 
 
+def _apart(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with further columns under names of their own, so that no operator takes them for its own, and what gives
+    all columns their names again."""
+    names = {c: f"__further{i}" for i, c in enumerate(docs.columns) if c not in DOCUMENT}
+    return docs.withColumnsRenamed(names), [F.col(names.get(c, c)).alias(c) for c in docs.columns]
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents with a language; those without a letter, or that fit none, go."""
-    net = langid.fit(docs, F.lit(True))
-    seen = langid.identify(docs, net)
-    return seen.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    rows, shown = _apart(docs)
+    net = langid.fit(rows, F.lit(True))
+    seen = langid.identify(rows, net)
+    return seen.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*shown)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of copies and near-copies."""
-    return similar.one_of_each(docs).select(*docs.columns)
+    rows, shown = _apart(docs)
+    return similar.one_of_each(rows).select(*shown)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes documents by domain, language and source to the target weights, once for each epoch."""
-    return mixing.mix(docs, MIX).select(*docs.columns)
+    rows, shown = _apart(docs)
+    return mixing.mix(rows, MIX).select(*shown)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
