@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html, langid, lm, media, mixing, neighbours, pieces, sharding, simhash, urls
+from . import html, infill, langid, lm, media, mixing, neighbours, pieces, sharding, simhash, urls
 
 
 def queries():
@@ -17,8 +17,9 @@ def queries():
         "op8_sentencepiece": pieces.query,
         "op9_lm_scoring": lm.query,
         "op10_media_columns": media.query,
+        "op13_fill_in_middle": infill.query,
     }
 
 
 def oracle_sql():
-    return {"op2_url_filter": urls.ORACLE_SQL, "op3_mixing": mixing.oracle_sql()}
+    return {"op2_url_filter": urls.ORACLE_SQL, "op3_mixing": mixing.oracle_sql(), "op13_fill_in_middle": infill.ORACLE_SQL}
