@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html, infill, langid, lm, media, mixing, neighbours, pieces, sharding, simhash, urls
+from . import html, infill, langid, lm, media, mixing, neighbours, periodic, pieces, sharding, simhash, urls
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_sentencepiece": pieces.query,
         "op9_lm_scoring": lm.query,
         "op10_media_columns": media.query,
+        "op11_periodic_runs": periodic.query,
         "op13_fill_in_middle": infill.query,
     }
 
