@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html, infill, langid, lm, media, mixing, neighbours, periodic, pieces, sharding, simhash, urls
+from . import html, infill, langid, licences, lm, media, mixing, neighbours, periodic, pieces, sharding, simhash, urls
 
 
 def queries():
@@ -18,9 +18,15 @@ def queries():
         "op9_lm_scoring": lm.query,
         "op10_media_columns": media.query,
         "op11_periodic_runs": periodic.query,
+        "op12_license_scan": licences.query,
         "op13_fill_in_middle": infill.query,
     }
 
 
 def oracle_sql():
-    return {"op2_url_filter": urls.ORACLE_SQL, "op3_mixing": mixing.oracle_sql(), "op13_fill_in_middle": infill.ORACLE_SQL}
+    return {
+        "op2_url_filter": urls.ORACLE_SQL,
+        "op3_mixing": mixing.oracle_sql(),
+        "op12_license_scan": licences.oracle_sql(),
+        "op13_fill_in_middle": infill.ORACLE_SQL,
+    }
