@@ -27,6 +27,8 @@ from ..functions.builtins import REGISTRY, constant
 from ..functions.compiler import CompileError, Scope, compiled, row_scope
 from ..functions.values import Value
 from ..plans import syntax as S
+from ..workspace import folder
+from . import running
 from .check import dataset_rules, holds
 
 LOG = logging.getLogger("loomwork.generate")
@@ -36,6 +38,8 @@ OPTIONAL = 0.3
 ROW, NUMBER, TRY = "_row", "__i", "__try"
 #: Rows that an ordinal group aims at, and elements of a collection that nested references may carry along.
 GROUP_ROWS, CARRIED = 50_000, 10_000
+#: Rows that change one target and are gathered at once.
+FOLDED = 20_000
 
 
 # Words in a plain string field's name (or in its schema's) and the generator that they stand for.
@@ -79,6 +83,9 @@ class Options:
     dataset_attempts: int = DATASET_ATTEMPTS
     imports: dict[str, dict[str, list[S.Field]]] = field(default_factory=dict)
     functions: dict = field(default_factory=dict)
+    #: Tables at hand, by the name under which datasets may refer to them, change them or make rows for each of theirs. Rows
+    #: are numbered by ``_row`` from 0 (``running.numbered``); tables without it are numbered in an order of their own.
+    tables: dict[str, DataFrame] = field(default_factory=dict)
 
 
 @dataclass
@@ -153,6 +160,7 @@ class Generator:
         self.sequences: dict[tuple, int] = {}
         self.warnings: list[Warned] = []
         self.salt, self.labels = 0, 0
+        self.before = None  # what ``previous`` means while rows are made in turn
         self.picks: dict[tuple, tuple[DataFrame, int]] = {}
 
     # -- whole programs
@@ -181,8 +189,16 @@ class Generator:
             self.warnings.append(said)
             LOG.warning("%s: %s", kind, text)
 
+    def at_hand(self) -> dict[str, Made]:
+        """The given tables as collections."""
+        out = {}
+        for name, df in self.options.tables.items():
+            df = df if ROW in df.columns else running.numbered(df)
+            out[name] = Made(name, self.schemas.get(name, S.Schema(name, ())), df, df.count())
+        return out
+
     def dataset(self, d: S.Dataset) -> dict[str, DataFrame]:
-        self.made, self.picks = {}, {}
+        self.made, self.picks = self.at_hand(), {}
         for c in d.collections:
             if c.schema not in self.schemas:
                 raise CompileError(f"collection {c.name!r} names no schema {c.schema!r}")
@@ -190,7 +206,8 @@ class Generator:
             self.made[c.name] = made
             if made.schema.mutations:
                 self.mutate(made)
-        return {n: self.embedded(m).shown() for n, m in self.made.items()}
+        own = {c.name for c in d.collections}
+        return {n: self.embedded(m).shown() for n, m in self.made.items() if n in own or getattr(m, "changed", False)}
 
     def fields(self, schema: S.Schema, overrides: tuple[S.Field, ...] = ()) -> list[S.Field]:
         """A schema's fields over those of its base, under a collection's overrides."""
@@ -235,16 +252,16 @@ class Generator:
         if c.per:
             parent = self.made[c.per]
             each = self.count(c.count, c.name)
-            df = parent.frame.select(F.col(ROW).alias("__fk_parent")).select(F.explode(F.sequence(F.lit(0), F.lit(each - 1))).alias("__n"), "__fk_parent")
+            df = parent.frame.select(F.col(ROW).alias("__fk_parent")).select(F.explode(F.slice(F.sequence(F.lit(0), F.lit(each)), 1, each)).alias("__n"), "__fk_parent")
             df = df.select((F.col("__fk_parent") * each + F.col("__n")).alias(ROW), "__fk_parent")
             made.count, made.references = parent.count * each, {"parent": c.per}
         else:
             made.count = self.count(c.count, c.name)
             df = self.spark.range(made.count).withColumnRenamed("id", ROW)
         label = f"{c.name}.{schema.name}"
-        later = [f for f in fields if self._previous(f)]
         rules = bool(schema.assumes)
-        redrawn = rules and self._read_by_rules(schema, fields)
+        later, in_turn = self._later(fields, schema)
+        redrawn = rules and not in_turn and self._read_by_rules(schema, fields)
         start = self.labels
 
         def look_up(df: DataFrame) -> tuple[DataFrame, dict[str, Value]]:
@@ -253,11 +270,10 @@ class Generator:
                 given["parent"] = row_scope(df.schema, self.lets, self.options.functions).fields["parent"]
             return df, given
 
-        def attempts(numbers: Column, given: dict[str, Value]) -> tuple[Column, Column, T.StructType]:
+        def attempts(numbers: Column, given: dict[str, Value], row: Column = F.col(ROW)) -> tuple[Column, Column, T.StructType]:
             """The attempts that satisfy the rules, all of them, and their type."""
             now = [f for f in fields if f not in later and f.name not in given]
             numbers = F.transform(numbers, lambda i: F.struct(i.alias(NUMBER)))
-            row = F.col(ROW)
             arr, kind = self.elements(numbers, T.StructType([T.StructField(NUMBER, T.IntegerType())]), now, schema, label, [row], Scope(lets=self.lets), made.count, given)
             if not rules:
                 return arr, arr, kind
@@ -269,7 +285,10 @@ class Generator:
 
             return F.filter(arr, fits), arr, kind
 
-        if redrawn:
+        if in_turn:
+            df, given = look_up(df)
+            df, kind = self.in_turn(df, given, attempts, rules, made.count)
+        elif redrawn:
 
             def first_fit(rows: DataFrame, first: int, count: int) -> DataFrame:
                 """The first of some attempts that satisfies the rules, of each row that has one."""
@@ -301,7 +320,8 @@ class Generator:
             arr, _, kind = attempts(F.sequence(F.lit(0), F.lit(0)), given)
             df = df.withColumn("__one", F.try_element_at(arr, F.lit(1)))
         names = [f.name for f in kind.fields if f.name != NUMBER]
-        df = df.select(*[x for x in df.columns if x != "__one"], *[F.col("__one").getField(n).alias(n) for n in names])
+        if not in_turn:
+            df = df.select(*[x for x in df.columns if x != "__one"], *[F.col("__one").getField(n).alias(n) for n in names])
         if rules and (self.options.strict or self.options.report):
             bad = df.where("__unmet").count()
             said = f"{schema.name}: {bad} of {made.count} rows satisfy no attempt of {self.options.attempts} ({'violating' if violating else 'satisfying'})"
@@ -310,7 +330,7 @@ class Generator:
             if bad:
                 self.warn(RETRIES, said)
         for f in later:
-            df = self.lagged(df, f)
+            df = self.lagged(df, f, made.count) if self._wanted(f) else self.derived(df, f, schema, label, made.count)
         order = [f.name for f in fields if f.name in df.columns]
         hidden = [x for x in df.columns if x not in order]
         made.frame = df.select(*hidden, *order)
@@ -327,23 +347,114 @@ class Generator:
         return bool(named & reading)
 
     @staticmethod
-    def _previous(f: S.Field) -> bool:
-        return any(isinstance(n, S.Call) and n.name == "previous" for n in S.walk(f.type))
-
-    def lagged(self, df: DataFrame, f: S.Field) -> DataFrame:
+    def _wanted(f: S.Field) -> list[str]:
+        """What a field reads of the row before."""
+        return sorted({constant(n.args, 0) for x in (f.type, f.when) if x is not None for n in S.walk(x) if isinstance(n, S.Call) and n.name == "previous"})
+
+    def _later(self, fields: list[S.Field], schema: S.Schema) -> tuple[list[S.Field], bool]:
+        """The fields that read the row before, or fields that do, in the order in which whole columns of them can be made;
+        and whether they can't be, so that rows have to be made in turn: fields in a circle through the row before that no
+        running sum of chunks gives, or rules that read such fields."""
+        by_name = {f.name: f for f in fields}
+        late = {f.name for f in fields if self._wanted(f)}
+        if not late:
+            return [], False
+        more = True
+        while more:
+            more = {f.name for f in fields if f.name not in late and (names_in(f.type) | names_in(f.when) | _parents(f.type, self.schemas)) & late}
+            late |= more
+        named = {n for a in schema.assumes for x in (*a.rules, a.condition) for n in names_in(x)}
+        refined = {f.name for r in schema.refinements for f in r.fields} | {n for r in schema.refinements for n in names_in(r.condition)}
+        if (named | refined) & late:
+            return [], True
+        out: list[S.Field] = []
+        while len(out) < len(late):
+            done = {f.name for f in out}
+            ready = [by_name[n] for n in sorted(late - done) if (names_in(by_name[n].type) | names_in(by_name[n].when) | set(self._wanted(by_name[n]))) & (late - done) <= {n}]
+            if not ready:
+                return [], True
+            out += ready
+        own = [f for f in out if f.name in self._wanted(f)]
+        if any(self._wanted(f) != [f.name] or f.when is not None or f.optional or running.linear(f.type, running.previous_of(f.name)) is None for f in own):
+            return [], True
+        return out, False
+
+    def lagged(self, df: DataFrame, f: S.Field, rows: int | None = None) -> DataFrame:
         """A field that reads the row before: rows are joined with the next by number, so no order of the whole table is
-        needed."""
-        wanted = sorted({constant(n.args, 0) for n in S.walk(f.type) if isinstance(n, S.Call) and n.name == "previous"})
+        needed. One that multiplies its own previous value and adds to it runs on through chunks of rows."""
+        wanted = self._wanted(f)
         if f.name in wanted:
-            raise CompileError(f"{f.name} can't be made of its own previous value in parallel")
+            return self.run_on(df, f, df.count() if rows is None else rows)
         before = df.select((F.col(ROW) + 1).alias("__prev"), *[F.col(w).alias(f"__prev_{w}") for w in wanted])
         df = df.join(before, F.col(ROW) == F.col("__prev"), "left").drop("__prev")
         scope = row_scope(df.schema, self.lets, self.options.functions)
         scope.draw = self.drawer([F.col(ROW)], f.name)
         scope.functions["previous"] = lambda args, s: scope.fields[f"__prev_{constant(args, 0)}"]
-        df = df.withColumn(f.name, compiled(f.type, scope).column)
+        v = compiled(f.type, scope)
+        if f.when is not None:
+            v = _either(V.truth(compiled(f.when, scope)), v, None)
+        df = df.withColumn(f.name, v.column)
         return df.drop(*[f"__prev_{w}" for w in wanted])
 
+    def run_on(self, df: DataFrame, f: S.Field, rows: int) -> DataFrame:
+        """A field made of its own previous value by a rate and an addition."""
+        parts = running.linear(f.type, running.previous_of(f.name))
+        if parts is None:
+            raise CompileError(f"{f.name} isn't made of its own previous value by a rate and an addition")
+        scope = row_scope(df.schema, self.lets, self.options.functions)
+        scope.draw = self.drawer([F.col(ROW)], f.name)
+        scope.functions["previous"] = lambda args, s: V.literal(None)
+        first, rate, add = (compiled(x, scope) for x in (f.type, *parts))
+        kind = T.LongType() if rate.whole and add.whole else T.DoubleType()
+        begins = F.col(ROW) == 0
+        df = df.withColumn("__add", F.when(begins, V.number(first)).otherwise(V.number(add)).cast(kind))
+        if parts[0] == S.Literal(1):
+            return running.before_each(df, ROW, F.col("__add"), rows, "__sum").withColumn(f.name, F.col("__sum") + F.col("__add")).drop("__sum", "__add")
+        df = df.withColumn("__rate", F.when(begins, 0).otherwise(V.number(rate)).cast(kind))
+        return running.affine(df, ROW, F.col("__rate"), F.col("__add"), rows, f.name).drop("__rate", "__add")
+
+    def derived(self, df: DataFrame, f: S.Field, schema: S.Schema, label: str, rows: int) -> DataFrame:
+        """A field made of such fields."""
+        scope = row_scope(df.schema, self.lets, self.options.functions)
+        scope.draw = self.drawer([F.col(ROW)], f.name)
+        v = self.value(f, scope, schema, label, [F.col(ROW)], F.col(ROW), rows)
+        if f.when is not None:
+            v = _either(V.truth(compiled(f.when, scope)), v, None)
+        return df.withColumn(f.name, v.column)
+
+    def in_turn(self, df: DataFrame, given: dict[str, Value], attempts, rules: bool, rows: int) -> tuple[DataFrame, T.StructType]:
+        """Rows made one after another, each from the row before: the first attempt that satisfies the rules counts."""
+        start, kind = self.labels, T.StructType([])
+        few = min(FIRST, self.options.attempts)
+
+        def row(state: Column, r: Column, kind: T.StructType) -> tuple[Column, T.StructType]:
+            known = {f.name: f.dataType for f in kind.fields}
+            self.labels = start
+            # until a field's type is known it is taken for a number
+            self.before = lambda args, s: Value(state.getField(n), known[n]) if (n := constant(args, 0)) in known else Value(F.lit(None).cast("long"), T.LongType())
+            own = {n: Value(r.getField(n), v.type) for n, v in given.items()}
+            try:
+                fitting, tried, made = attempts(F.sequence(F.lit(0), F.lit(few - 1 if rules else 0)), own, r[ROW])
+                one = F.try_element_at(fitting, F.lit(1))
+                if rules and self.options.attempts > few:
+                    self.labels = start
+                    one = F.coalesce(one, F.try_element_at(attempts(F.sequence(F.lit(few), F.lit(self.options.attempts - 1)), own, r[ROW])[0], F.lit(1)))
+            finally:
+                self.before = None
+            names = [f.name for f in made.fields if f.name != NUMBER]
+            pick = F.array(F.struct(one.isNull().alias("unmet"), F.coalesce(one, F.try_element_at(tried, F.lit(1))).alias("one")))
+            whole = F.transform(pick, lambda p: F.struct(*[p["one"].getField(n).alias(n) for n in names], p["unmet"].alias("__unmet")))
+            return F.element_at(whole, 1), T.StructType([*[f for f in made.fields if f.name != NUMBER], T.StructField("__unmet", T.BooleanType())])
+
+        for _ in range(8):
+            before, kind = kind, row(F.lit(None).cast(kind), F.struct(*[F.col(f"`{c}`") for c in df.columns]), kind)[1]
+            if before == kind:
+                break
+        df = running.in_turn(df, ROW, rows, kind, lambda state, r: row(state, r, kind)[0])
+        if not rules:
+            df = df.drop("__unmet")
+        return df, T.StructType([f for f in kind.fields if f.name != "__unmet"])
+
     # -- references
 
     def referenced(self, df: DataFrame, fields: list[S.Field], made: Made, label: str, attempt: str | None = None) -> tuple[DataFrame, dict[str, Value]]:
@@ -420,7 +531,8 @@ class Generator:
 
     def scope(self, x: Column, kind: T.StructType, keys: list[Column], label: str, parent: Scope | None, given: dict[str, Value] | None = None) -> Scope:
         fields = {f.name: Value(x[f.name], f.dataType) for f in kind.fields}
-        return Scope({**(given or {}), **fields}, parent, self.lets, self.drawer(keys, label), REGISTRY | self.options.functions)
+        own = {"previous": self.before} if self.before else {}
+        return Scope({**(given or {}), **fields}, parent, self.lets, self.drawer(keys, label), REGISTRY | self.options.functions | own)
 
     def elements(self, numbers: Column, kind: T.StructType, fields: list[S.Field], schema: S.Schema, label: str, keys: list[Column], parent: Scope | None, rows: int, given: dict[str, Value] | None = None) -> tuple[Column, T.StructType]:
         """``numbers`` (an array of structs with NUMBER) with all ``fields``, level by level."""
@@ -604,11 +716,82 @@ class Generator:
             target.frame = df.select(*order)
             target.changed = True
 
+    def maps(self, rows: DataFrame, target: DataFrame, ref: str, mutations: list[S.Mutation]) -> dict[str, tuple[Column, Column, bool]] | None:
+        """By changed field, what a referring row multiplies it by and adds to it, and whether the rate is always one; None
+        where changes do anything else, or read changed fields other than their own."""
+        changed = {m.target[1] for m in mutations}
+        scope = row_scope(rows.schema, self.lets, self.options.functions)
+        out: dict[str, tuple[Column, Column, bool]] = {}
+        for m in mutations:
+            f = m.target[1]
+            paths = [n.parts for n in S.walk(m.value) if isinstance(n, S.Path) and n.parts[0] == ref]
+            kind = target.schema[f].dataType if f in target.columns else None
+            if any(len(x) < 2 or x[1] in changed - {f} or x[1] == f and len(x) > 2 for x in paths) or kind is not None and not isinstance(kind, T.NumericType):
+                return None
+            if any(x[1] not in changed for x in paths) and ref not in rows.columns:
+                return None
+            parts = running.linear(m.value, lambda n, f=f: isinstance(n, S.Path) and n.parts == (ref, f))
+            if parts is None:
+                return None
+            rate, add = (compiled(x, scope) for x in parts)
+            if m.op != "+=" and (isinstance(kind, T.IntegralType) and not (rate.whole and add.whole) or kind is None or add.kind not in ("number", "null")):
+                return None
+            one = parts[0] == S.Literal(0) if m.op == "+=" else parts[0] == S.Literal(1)
+            made = (V.number(rate).cast("double") + (1 if m.op == "+=" else 0), V.number(add).cast("double"))
+            out[f] = (*running.compose(out[f][:2], made), out[f][2] and one) if f in out else (*made, one)
+        return out
+
+    def composed(self, rows: DataFrame, target: DataFrame, ref: str, mutations: list[S.Mutation], maps: dict[str, tuple[Column, Column, bool]]) -> DataFrame:
+        """``target`` after changes that are maps of one value: sums where all rates are one, or else compositions."""
+        rows = rows.where(F.col(f"__fk_{ref}").isNotNull())
+        names = {f: f"__m{k}" for k, f in enumerate(maps)}
+        if all(one for _, _, one in maps.values()):
+            changes = rows.groupBy(F.col(f"__fk_{ref}").alias("__to")).agg(*[F.sum(maps[f][1]).alias(f"{n}_add") for f, n in names.items()])
+            changes = changes.withColumns({f"{n}_rate": F.lit(1.0) for n in names.values()})
+        else:
+            columns = [c.alias(f"{n}_{x}") for f, n in names.items() for x, c in zip(("rate", "add"), maps[f][:2], strict=True)]
+            changes = running.composed(rows.select(F.col(f"__fk_{ref}").alias("__to"), ROW, *columns), "__to", ROW, list(names.values()))
+        shown = target.columns
+        df = target.join(changes, F.col(ROW) == F.col("__to"), "left")
+        for f, n in names.items():
+            old = F.col(f"`{f}`") if f in shown else F.lit(None).cast("double")
+            new = F.coalesce(old.cast("double"), F.lit(0.0)) * F.col(f"{n}_rate") + F.col(f"{n}_add")
+            kind = target.schema[f].dataType if f in shown else T.DoubleType()
+            kind = T.LongType() if isinstance(kind, T.IntegralType) and any(m.op == "+=" for m in mutations if m.target[1] == f) else kind
+            df = df.withColumn(f, F.when(F.col("__to").isNotNull(), new.cast(kind)).otherwise(old.cast(kind)))
+        return df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*shown, *names])])
+
     def folded(self, rows: DataFrame, target: DataFrame, ref: str, mutations: list[S.Mutation]) -> DataFrame:
-        """``target`` after all changes of each referring row in turn. The rows of one target are gathered, as such changes
-        can't be added up in parts."""
+        """``target`` after all changes of each referring row in turn. Changes that multiply and add are composed in parts.
+        For others, the rows of one target are gathered, at most about FOLDED at once: a target with more takes them in
+        several pieces, each from what the one before left."""
+        maps = self.maps(rows, target, ref, mutations)
+        if maps is not None:
+            return self.composed(rows, target, ref, mutations, maps)
+        to = f"__fk_{ref}"
+        rows = rows.where(F.col(to).isNotNull())
+        counts = rows.groupBy(to, F.floor(F.col(ROW) / FOLDED).alias("__c")).agg(F.count(F.lit(1)).alias("__n"))
+        most = counts.groupBy(to).agg(F.sum("__n").alias("n")).agg(F.max("n")).first()[0] or 0
+        if most <= FOLDED:
+            return self.fold_once(rows, target, ref, mutations)
+        # chunks of row numbers are put together, in order, to pieces of at most twice FOLDED rows
+        over = Window.partitionBy(to).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
+        pieces = counts.withColumn("__piece", F.floor(F.coalesce(F.sum("__n").over(over), F.lit(0)) / FOLDED)).select(F.col(to).alias("__to"), "__c", "__piece")
+        keys = [F.col(to) == F.col("__to"), F.floor(F.col(ROW) / FOLDED) == F.col("__c")]
+        names, number = rows.columns, most // FOLDED + 1
+        spark, at = rows.sparkSession, folder(rows.sparkSession, "then")
+        rows.join(pieces, keys).select(*names, "__piece").write.partitionBy("__piece").parquet(f"{at}/rows")
+        rows = spark.read.parquet(f"{at}/rows")
+        for k in range(number):
+            target = self.fold_once(rows.where(F.col("__piece") == k).drop("__piece"), target, ref, mutations)
+            target.write.parquet(f"{at}/target-{k}")
+            target = spark.read.schema(target.schema).parquet(f"{at}/target-{k}")
+        return target
+
+    def fold_once(self, rows: DataFrame, target: DataFrame, ref: str, mutations: list[S.Mutation]) -> DataFrame:
+        """``target`` after the changes of ``rows``, which are gathered by target."""
         named = sorted({n for m in mutations for n in names_in(m.value)} & set(rows.columns) - {ref, ROW})
-        changes = rows.where(F.col(f"__fk_{ref}").isNotNull()).groupBy(F.col(f"__fk_{ref}").alias("__to"))
+        changes = rows.groupBy(F.col(f"__fk_{ref}").alias("__to"))
         changes = changes.agg(F.sort_array(F.collect_list(F.struct(F.col(ROW), *[F.col(f"`{n}`") for n in named]))).alias("__rows"))
         shown = {f.name: f.dataType for f in target.schema.fields}
         kinds = dict(shown)
