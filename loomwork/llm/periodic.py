@@ -144,19 +144,21 @@ def strongest(runs: Column) -> Column:
     return F.aggregate(runs, F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>"), better)
 
 
-def looped(text: Column, key: Column) -> Column:
-    """The text, or for every tenth key by its CRC-32 the text whose words from a place on repeat a stretch of it."""
-    h = F.crc32(key.cast("string").cast("binary"))
-    words = F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)"), 1)
+def looped(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``docs`` in which every tenth text, by the CRC-32 of its key, repeats a stretch of its words from some place on."""
+    h, words = F.crc32(F.col(key).cast("string").cast("binary")), F.col(f"{OWN}words")
+    chosen = F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)"), 1)
+    docs = docs.withColumn(f"{OWN}words", F.when(h % 10 == 0, chosen))  # a column of its own, so that a text is cut once
     n, g = F.size(words).cast("long"), F.floor(h / 10).cast("long")
     a = g % n
-    p = 1 + F.floor((n - a) / (3 + g % 8)).cast("long")
-    again = F.transform(words, lambda x, i: F.when(i < a, x).otherwise(F.get(words, (a + (i - a) % p).cast("int"))))
-    return F.when((h % 10 == 0) & (n > 0), F.array_join(again, " ")).otherwise(text)
+    docs = docs.withColumn(f"{OWN}from", F.when(n > 0, a)).withColumn(f"{OWN}step", F.when(n > 0, 1 + F.floor((n - a) / (3 + g % 8)).cast("long")))
+    start, step = F.col(f"{OWN}from"), F.col(f"{OWN}step")
+    again = F.transform(words, lambda x, i: F.when(i < start, x).otherwise(F.get(words, (start + (i - start) % step).cast("int"))))
+    return docs.withColumn(text, F.when(step.isNotNull(), F.array_join(again, " ")).otherwise(F.col(text))).drop(*[f"{OWN}{x}" for x in ("words", "from", "step")])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", looped(F.col("text"), F.col("doc_id")).alias("text"))
+    docs = looped(table(spark, sf_dir, "documents").select("doc_id", "text"))
     seen = collapse_runs(docs).drop("text").withColumn("best", strongest(F.col("runs")))
     lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
     sha = lambda text: F.sha2(text.cast("binary"), 256)
