@@ -5,22 +5,16 @@ Round trips write to a folder below ``spark.checkpoint.dir``, or a temporary one
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from .catalogue import _LINE, each, entry, orders_with_items, read
 from .operators import profile as P
+from .operators import running
 from .operators.check import Checker
-from .operators.generate import Generator, Options
+from .operators.generate import Generator, Made, Options
 from .sources import csv, ndjson, openapi
 from .streaming import checks
-
-
-def _folder(spark, name: str) -> str:
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomwork-")
-    return f"{top.rstrip('/')}/loomwork/{name}-{uuid.uuid4().hex}"
+from .workspace import folder as _folder
 
 
 # -- sources and sinks
@@ -266,3 +260,84 @@ def _(spark, sf):
 
     text = typescript("Nation", P.profile(read(spark, sf, "nation").select("n_nationkey", "n_name"), parts=set()))
     return spark.createDataFrame([(x.strip(),) for x in text.split("\n")[1:-1]], "line string")
+
+
+# -- values that run on from row to row
+
+
+def _running(spark, sf, field: str, rows):
+    """A field made of its own previous value, for every row of a table."""
+    table = running.numbered(rows, "event_id")
+    g = Generator(spark, f"schema R {{ event_id: parent.event_id, {field} }} dataset D {{ rs: 1 per events of R }}", Options(tables={"events": table}))
+    return g.run()["rs"].drop("parent")
+
+
+@entry("gen_running_balance", "SELECT event_id, sum(CAST(floor(value * 100) AS BIGINT)) OVER (ORDER BY event_id)::BIGINT AS balance FROM events")
+def _(spark, sf):
+    rows = read(spark, sf, "events").select("event_id", F.floor(F.col("value") * 100).cast("long").alias("cents"))
+    return _running(spark, sf, 'balance: previous("balance") + parent.cents', rows)
+
+
+@entry("gen_running_since", "WITH n AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events) SELECT event_id, (i - coalesce(max(CASE WHEN event_type = 'purchase' THEN i END) OVER (ORDER BY i), -1))::BIGINT AS since FROM n")
+def _(spark, sf):
+    return _running(spark, sf, 'since: parent.event_type == "purchase" ? 0 : previous("since") + 1', read(spark, sf, "events").select("event_id", "event_type"))
+
+
+@entry("gen_running_queue", "WITH s AS (SELECT event_id, sum(CAST(floor(value) AS BIGINT) % 7 - 3) OVER (ORDER BY event_id) AS s FROM events) SELECT event_id, (s - least(0, min(s) OVER (ORDER BY event_id)))::BIGINT AS queue FROM s")
+def _(spark, sf):
+    """A queue never falls below nothing: no chunk of rows can say in short what it does to it, so rows go in turn."""
+    rows = read(spark, sf, "events").select("event_id", (F.floor("value").cast("long") % 7 - 3).alias("step"))
+    return _running(spark, sf, 'queue: previous("queue") + parent.step < 0 ? 0 : previous("queue") + parent.step', rows)
+
+
+def _hot(spark, sf, then: str):
+    """Orders after changes from all line items, of which three in ten refer to one order."""
+    rows = running.numbered(read(spark, sf, "lineitem"), "l_orderkey").withColumn("q", F.floor("l_quantity"))
+    rows = rows.withColumn("__fk_order", F.when(F.col("l_partkey") % 10 < 3, F.lit(7)).otherwise(F.col("l_orderkey")))
+    g = Generator(spark, f"schema Line {{ a: 1 }} then {{ {then} }}")
+    orders = read(spark, sf, "orders").select(F.col("o_orderkey").alias("_row"), "o_orderkey", F.lit(0.0).alias("paid"))
+    g.made["orders"] = Made("orders", g.schemas["Line"], orders, 0)
+    g.mutate(Made("lines", g.schemas["Line"], rows, 0, {"order": "orders"}))
+    return g.made["orders"].frame.select("o_orderkey", "paid")
+
+
+_HOT = """
+WITH l AS (
+  SELECT CASE WHEN l_partkey % 10 < 3 THEN 7 ELSE l_orderkey END AS k, floor(l_quantity) AS q,
+    row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS i
+  FROM lineitem
+)"""
+
+
+@entry("gen_then_hot_composed", _HOT + ", r AS (SELECT k, q, row_number() OVER (PARTITION BY k ORDER BY i DESC) AS back FROM l) SELECT o_orderkey, coalesce(paid, 0.0) AS paid FROM orders LEFT JOIN (SELECT k, sum(CASE WHEN back % 2 = 1 THEN q ELSE -q END) AS paid FROM r GROUP BY k) ON k = o_orderkey")
+def _(spark, sf):
+    return _hot(spark, sf, "order.paid = q - order.paid")
+
+
+@entry("gen_then_hot_in_pieces", _HOT + ", s AS (SELECT k, i, sum(q - 26) OVER (PARTITION BY k ORDER BY i) AS s FROM l), w AS (SELECT k, i, s - least(0, min(s) OVER (PARTITION BY k ORDER BY i)) AS w FROM s) SELECT o_orderkey, coalesce(w, 0.0) AS paid FROM orders LEFT JOIN (SELECT k, arg_max(w, i) AS w FROM w GROUP BY k) ON k = o_orderkey")
+def _(spark, sf):
+    return _hot(spark, sf, "order.paid = order.paid + q - 26 < 0 ? 0 : order.paid + q - 26")
+
+
+_ITEMS = "schema Item { part: any of parts, n: int in 1..4, cost: part.p_size * n } schema Basket { key: parent.o_orderkey, items: 3 of Item, total: sum(items.cost) } dataset D { baskets: 1 per orders of Basket }"
+
+
+def _baskets(spark, sf):
+    """For every order, items that draw from all of the parts."""
+    parts = running.numbered(read(spark, sf, "part"), "p_partkey")
+    orders = running.numbered(read(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
+    return Generator(spark, _ITEMS, Options(seed=6, tables={"parts": parts, "orders": orders})).run()["baskets"]
+
+
+@entry("gen_nested_references", "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part")
+def _(spark, sf):
+    """The rows that items were given: with 45 draws a part at every size, each of them."""
+    return _baskets(spark, sf).select(F.explode("items.part").alias("p")).select("p.*").distinct()
+
+
+@entry("gen_nested_reference_sums", "SELECT o_orderkey AS key, 3::BIGINT AS n, true AS same FROM orders")
+def _(spark, sf):
+    """What was computed from the referred rows equals what the table says of their keys."""
+    items = _baskets(spark, sf).select("key", "total", F.explode("items").alias("i")).select("key", "total", F.col("i.part.p_partkey").alias("p_partkey"), "i.n")
+    items = items.join(read(spark, sf, "part").select("p_partkey", "p_size"), "p_partkey")
+    return items.groupBy("key", "total").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("p_size") * F.col("n")).alias("sum")).select("key", "n", (F.col("sum") == F.col("total")).alias("same"))

@@ -36,8 +36,8 @@ FIRST, ATTEMPTS, DATASET_ATTEMPTS = 8, 100, 20
 #: A field with ``?`` on a range, reference or collection is left out with this chance.
 OPTIONAL = 0.3
 ROW, NUMBER, TRY = "_row", "__i", "__try"
-#: Rows that an ordinal group aims at, and elements of a collection that nested references may carry along.
-GROUP_ROWS, CARRIED = 50_000, 10_000
+#: Rows that an ordinal group aims at.
+GROUP_ROWS = 50_000
 #: Rows that change one target and are gathered at once.
 FOLDED = 20_000
 
@@ -161,6 +161,10 @@ class Generator:
         self.warnings: list[Warned] = []
         self.salt, self.labels = 0, 0
         self.before = None  # what ``previous`` means while rows are made in turn
+        self.column = F.col  # where columns of the row being made are found
+        # references inside nested collections, by place: being gathered, and gathered (collection, column)
+        self.inside: dict[str, tuple[str, str]] | None = None
+        self.drawn_inside: dict[str, tuple[str, str]] = {}
         self.picks: dict[tuple, tuple[DataFrame, int]] = {}
 
     # -- whole programs
@@ -261,13 +265,23 @@ class Generator:
         label = f"{c.name}.{schema.name}"
         rules = bool(schema.assumes)
         later, in_turn = self._later(fields, schema)
-        redrawn = rules and not in_turn and self._read_by_rules(schema, fields)
+        inside = self._refers_inside(fields)
+        redrawn = rules and not in_turn and (inside or self._read_by_rules(schema, fields))
         start = self.labels
 
         def look_up(df: DataFrame) -> tuple[DataFrame, dict[str, Value]]:
             df, given = self.referenced(df, fields, made, schema.name, TRY if redrawn else None)
             if c.per:
                 given["parent"] = row_scope(df.schema, self.lets, self.options.functions).fields["parent"]
+            if inside:
+                self.inside, begin = {}, self.labels
+                self.before = (lambda args, s: V.literal(None)) if in_turn else None
+                try:
+                    _, arr, kind = attempts(F.array(TRY) if redrawn else F.sequence(F.lit(0), F.lit(0)), given)
+                finally:
+                    self.drawn_inside, self.inside, self.before = self.inside, None, None
+                    self.labels = begin  # the rows themselves draw the same
+                df = self.looked_up_inside(df, arr, kind, [ROW, TRY] if redrawn else [ROW])
             return df, given
 
         def attempts(numbers: Column, given: dict[str, Value], row: Column = F.col(ROW)) -> tuple[Column, Column, T.StructType]:
@@ -433,6 +447,7 @@ class Generator:
             # until a field's type is known it is taken for a number
             self.before = lambda args, s: Value(state.getField(n), known[n]) if (n := constant(args, 0)) in known else Value(F.lit(None).cast("long"), T.LongType())
             own = {n: Value(r.getField(n), v.type) for n, v in given.items()}
+            self.column = r.getField
             try:
                 fitting, tried, made = attempts(F.sequence(F.lit(0), F.lit(few - 1 if rules else 0)), own, r[ROW])
                 one = F.try_element_at(fitting, F.lit(1))
@@ -440,7 +455,7 @@ class Generator:
                     self.labels = start
                     one = F.coalesce(one, F.try_element_at(attempts(F.sequence(F.lit(few), F.lit(self.options.attempts - 1)), own, r[ROW])[0], F.lit(1)))
             finally:
-                self.before = None
+                self.before, self.column = None, F.col
             names = [f.name for f in made.fields if f.name != NUMBER]
             pick = F.array(F.struct(one.isNull().alias("unmet"), F.coalesce(one, F.try_element_at(tried, F.lit(1))).alias("one")))
             whole = F.transform(pick, lambda p: F.struct(*[p["one"].getField(n).alias(n) for n in names], p["unmet"].alias("__unmet")))
@@ -592,7 +607,7 @@ class Generator:
 
             return Value(_mapped(F.slice(F.sequence(F.lit(0), n), F.lit(1), n), one_of), T.ArrayType(t))
         if isinstance(node, S.AnyOf):
-            return self.carried(node, scope)
+            return self.carried(node, f"{label}.{f.name}", keys)
         if isinstance(node, S.Cycle):
             options = [compiled(e, scope) for e in node.elements]
             t = V.common([o.type for o in options])
@@ -612,25 +627,77 @@ class Generator:
             raise CompileError(f"schema {schema.name} contains itself")
         numbers = F.transform(F.slice(F.sequence(F.lit(0), n), F.lit(1), n), lambda i: F.struct(i.alias(NUMBER)))
         arr, kind = self.elements(numbers, T.StructType([T.StructField(NUMBER, T.IntegerType())]), self.fields(schema), schema, f"{label}<{schema.name}>", keys, scope, 0)
-        private = {f.name for f in schema.fields if f.private} | {NUMBER}
+        private = {f.name for f in schema.fields if f.private and self.inside is None} | {NUMBER}
         shown = T.StructType([f for f in kind.fields if f.name not in private])
         return F.transform(arr, lambda x: F.struct(*[x[f.name].alias(f.name) for f in shown.fields])), shown
 
-    def carried(self, node: S.AnyOf, scope: Scope) -> Value:
-        """A reference inside a nested collection: the collection's rows travel along as one array, if they are few."""
+    def _refers_inside(self, fields: list[S.Field]) -> bool:
+        """Whether rows of nested collections refer to a collection."""
+        seen: set[str] = set()
+
+        def nested(node: S.Node) -> bool:
+            inner = node.element if isinstance(node, S.Many) else node
+            name = inner.parts[0] if isinstance(inner, S.Path) else None
+            if name not in self.schemas or name in seen:
+                return False
+            seen.add(name)
+            return any(isinstance(f.type, S.AnyOf) and f.type.collection.parts[0] in self.made or nested(f.type) for f in self.fields(self.schemas[name]))
+
+        return any(nested(f.type) for f in fields)
+
+    def carried(self, node: S.AnyOf, place: str, keys: list[Column]) -> Value:
+        """A reference inside a nested collection. Its draw is an ordinal that the row's keys alone decide; rows are looked up
+        for all ordinals of a row at once (``looked_up_inside``) and found here in the row's map."""
         name = node.collection.parts[0]
         if name not in self.made:
             return V.literal(None)
-        df = self.made[name].shown()
-        if node.condition is not None:
-            df = df.where(V.truth(compiled(node.condition, row_scope(df.schema, self.lets))))
-        rows = df.limit(CARRIED + 1).collect()
-        if len(rows) > CARRIED:
-            raise CompileError(f"nested references to {name!r} are limited to {CARRIED} rows; reference it from the outer collection")
-        if not rows:
-            return Value(F.lit(None).cast(df.schema), df.schema)
-        options = F.from_json(F.lit("[" + ",".join(df.toJSON().collect()) + "]"), T.ArrayType(df.schema))
-        return Value(F.element_at(options, (F.floor(scope.uniform("any") * len(rows)) + 1).cast("int")), df.schema)
+        source = self.made[name]
+        known = (place, name)
+        if node.condition is not None and known not in self.picks:
+            self.picks[known] = self.ordinals(source, node.condition)
+        n = source.count if node.condition is None else self.picks[known][1]
+        # while rows are made in turn, all attempts of a row share its references
+        keys = keys if self.before is None else [keys[0], *keys[2:]]
+        u = uniform(self.options.seed + self.salt * 1_000_003, f"{place}.any", *keys)
+        at = F.floor(u * n).cast("long") if n else F.lit(None).cast("long")
+        if self.inside is not None:
+            mark = f"__at{list(self.inside).index(place) if place in self.inside else len(self.inside)}"
+            self.inside[place] = (name, mark)
+            return Value(F.struct(at.alias(mark)), T.StructType([T.StructField(mark, T.LongType())]))
+        kind = source.shown().schema
+        return Value(F.try_element_at(self.column(self.drawn_inside[place][1]), at), kind)
+
+    def looked_up_inside(self, df: DataFrame, arr: Column, kind: T.StructType, keys: list[str]) -> DataFrame:
+        """``df`` with a map of the referred rows by ordinal for each reference inside nested collections: the ordinals that
+        a row draws are unnested, looked up by an equi-join and put together by row again."""
+
+        def drawn(c: Column, t: T.DataType, mark: str) -> Column | None:
+            """All ordinals of one mark in a value, or None if it holds none."""
+            if isinstance(t, T.ArrayType):
+                return F.flatten(F.transform(c, lambda x: drawn(x, t.elementType, mark))) if drawn(F.lit(None), t.elementType, mark) is not None else None
+            if not isinstance(t, T.StructType):
+                return None
+            if t.names == [mark]:
+                return F.array(c[mark])
+            found = [x for f in t.fields if (x := drawn(c.getField(f.name), f.dataType, mark)) is not None]
+            none = F.array().cast("array<bigint>")
+            return F.concat(*[F.coalesce(F.filter(x, lambda v: v.isNotNull()), none) for x in found]) if found else None
+
+        for place, (name, mark) in self.drawn_inside.items():
+            ordinals = drawn(arr, T.ArrayType(kind), mark)
+            if ordinals is None:
+                df = df.withColumn(mark, F.lit(None).cast(T.MapType(T.LongType(), self.made[name].shown().schema)))
+                continue
+            asked = df.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.explode(F.array_distinct(ordinals)).alias("__ord_in"))
+            shown = self.made[name].shown().columns
+            side = self.made[name].frame.select(F.col(ROW).alias("__at"), F.struct(*[F.col(f"`{c}`") for c in shown]).alias("__found"))
+            if (place, name) in self.picks:
+                side = side.join(self.picks[place, name][0], F.col("__at") == F.col("__to")).select(F.col("__ord").alias("__at"), "__found")
+            found = asked.join(side, F.col("__ord_in") == F.col("__at"))
+            ks = [f"__k{i}" for i in range(len(keys))]
+            maps = found.groupBy(*ks).agg(F.map_from_entries(F.collect_list(F.struct("__ord_in", "__found"))).alias(mark))
+            df = df.join(maps, [F.col(k) == F.col(x) for k, x in zip(keys, ks, strict=True)], "left").drop(*ks)
+        return df
 
     def unique(self, node: S.Node, row: Column, rows: int, label: str, keys: list[Column]) -> Value | None:
         """A value of its own for each row: a permutation of the range or of the options; wraps around when they run out."""

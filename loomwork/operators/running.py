@@ -79,7 +79,9 @@ def stepped(rows: Column, start: Column, step: Callable[[Column, Column], Column
 
 def _gathered(df: DataFrame, number: str, by: Column) -> DataFrame:
     row = F.struct(F.col(number), *[F.col(f"`{c}`") for c in df.columns if c != number])
-    return df.groupBy(by.alias(_G)).agg(F.sort_array(F.collect_list(row)).alias(_ROWS))
+    # numbers differ, so no other column is compared; maps could not be
+    in_order = F.array_sort(F.collect_list(row), lambda a, b: F.when(a[number] < b[number], -1).when(a[number] > b[number], 1).otherwise(0))
+    return df.groupBy(by.alias(_G)).agg(in_order.alias(_ROWS))
 
 
 def _map(rate: Column, add: Column) -> Column:
