@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import OWN, ddl, drop_clashing, small_batches, table
 
@@ -25,11 +26,16 @@ from .common import OWN, ddl, drop_clashing, small_batches, table
 WINDOW, BATCH = 256, 256
 #: Widths of the filters, filters of each width, and size of a byte's vector.
 WIDTHS, FILTERS, EMBEDDING = (2, 3, 4), (8, 12, 12), 8
-#: Bounds of the training sample: labelled rows of each language (all of their text is learned from), and languages, the
-#: commonest first.
-TRAIN_ROWS, MOST_LABELS = 120, 256
+#: Bound of the training sample: different labelled texts of each language (all of their text is learned from).
+TRAIN_ROWS = 120
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a text has a letter (categories L). Python's word characters hold other numbers too, such as superscripts."""
+    return any(m[0].isalpha() for m in _WORDLIKE.finditer(text))
+
 
 
 @dataclass
@@ -135,20 +141,22 @@ def training_windows(texts: list[str], labels: list[str], seed: int = 7) -> tupl
     return np.concatenate(rows), np.concatenate(which), names
 
 
-def fit(docs: DataFrame, usable: Column, text: str = "text", label: str = "lang", key: str = "doc_id") -> Network | None:
-    """A network learned from at most about TRAIN_ROWS usable labelled rows of each language, chosen by a hash of the
-    key, whatever the size of the table. Only sample rows reach the driver."""
-    known = docs.filter(usable & F.col(label).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    counts = {r[label]: r["count"] for r in known.groupBy(label).count().orderBy(F.desc("count"), label).limit(MOST_LABELS).collect()}
+def fit(docs: DataFrame, usable: Column, text: str = "text", label: str = "lang") -> Network | None:
+    """A network learned from at most TRAIN_ROWS different usable labelled texts of each language, those of the smallest
+    hashes, whatever the size of the table and whatever its keys. Only sample rows reach the driver, and a count for each
+    language. Copies of a text count once, so no group of them can fill or empty the sample."""
+    known = docs.filter(usable & F.col(label).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(label).alias("label"), F.col(text).alias("text"))
+    chance = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1_000_003)) / 1_000_003.0
+    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.approx_count_distinct("text").alias("n")).collect()}
     if not counts:
         return None
-    chance = F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(1_000_003)) / 1_000_003.0
-    share = F.lit(0.0)
-    for name, n in sorted(counts.items()):
-        share = F.when(F.col(label) == name, min(1.0, TRAIN_ROWS / n)).otherwise(share)
-    sample = known.filter(chance < share).select(key, text, label)
-    rows = sorted(sample.limit(2 * TRAIN_ROWS * len(counts)).collect(), key=lambda r: (str(r[0]), r[1]))
-    return train(*training_windows([r[1] for r in rows], [r[2] for r in rows])) if rows else None
+    # twice the bound by an estimate, of which the first by hash are kept
+    shares = F.map_from_arrays(F.array(*map(F.lit, sorted(counts))), F.array(*[F.lit(min(1.0, 2 * TRAIN_ROWS / max(1, counts[n]))) for n in sorted(counts)]))
+    some = known.where(chance <= F.try_element_at(shares, "label")).distinct()
+    first = F.row_number().over(Window.partitionBy("label").orderBy(chance, "text"))
+    rows = some.withColumn("__first", first).where(F.col("__first") <= TRAIN_ROWS).select("text", "label").collect()
+    rows = sorted(rows, key=lambda r: (r["label"], r["text"]))
+    return train(*training_windows([r["text"] for r in rows], [r["label"] for r in rows]))
 
 
 def identify(docs: DataFrame, net: Network | None, text: str = "text") -> DataFrame:
@@ -173,7 +181,7 @@ def identify(docs: DataFrame, net: Network | None, text: str = "text") -> DataFr
 
 def predict(net: Network | None, texts: list[str | None]) -> list[tuple[str, float]]:
     out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
-    live = [i for i, t in enumerate(texts) if net and t and _LETTER.search(t)]
+    live = [i for i, t in enumerate(texts) if net and t and has_letter(t)]
     if not live:
         return out
     raws = [texts[i].encode() for i in live]

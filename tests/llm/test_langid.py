@@ -43,3 +43,31 @@ def test_network_matches_plain_loops():
         width = int(np.repeat(langid.WIDTHS, langid.FILTERS)[f])
         plain = max(float((vectors[i : i + width].reshape(-1) * net.filters[: width * langid.EMBEDDING, f]).sum()) for i in range(langid.WINDOW))
         assert abs(plain - top[f]) < 1e-3
+
+
+def test_labels_stay_where_all_ids_are_one(spark):
+    """Ids say nothing: with one id on every row, or none, and with many copies, all languages are learned."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text IS NOT NULL")
+    labels = sorted({r.lang for r in docs.select("lang").distinct().collect() if r.lang})
+    copies = docs.where("lang = 'en'").limit(1).crossJoin(spark.range(3000)).select("text", "lang")
+    nets = []
+    for key in (F.lit(7), F.lit(None).cast("long")):
+        net = langid.fit(docs.select(key.alias("doc_id"), "text", "lang").unionByName(copies.withColumn("doc_id", key)), F.lit(True))
+        assert net.labels == labels
+        nets.append(net)
+    assert np.array_equal(nets[0].filters, nets[1].filters)
+    again = langid.fit(docs.select("text", "lang").unionByName(copies).repartition(7), F.lit(True))
+    assert np.array_equal(nets[0].filters, again.filters)
+
+
+def test_only_letters_count(spark):
+    net = langid.fit(spark.read.parquet(f"{SMALL}/documents.parquet"), F.lit(True))
+    texts = ["\u00b2\u00bd", "\u2167", "12_34", "\u2460 \u00b3", "x\u00b2", "\u4e2d", "\u02b0"]
+    got = [p[0] for p in langid.predict(net, texts)]
+    assert got[:4] == [langid.UNKNOWN] * 4 and langid.UNKNOWN not in got[4:]
+
+
+def test_many_languages_are_all_learned(spark):
+    rows = [(f"l{k:03d}", chr(0x4E00 + k) * 40 + str(i)) for k in range(300) for i in range(2)]
+    net = langid.fit(spark.createDataFrame(rows, "lang string, text string"), F.lit(True))
+    assert len(net.labels) == 300
