@@ -109,15 +109,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_sample(df: DataFrame, keys: list[str], most: int, total: int | None = None) -> list:
-    """About ``most`` rows (never more) chosen by a hash of ``keys``, brought to the driver. Tasks send only the rows
-    whose hash is below a bound set by the row count, so what reaches the driver doesn't grow with the table."""
-    total = df.count() if total is None else total
+def bounded_sample(df: DataFrame, most: int) -> list:
+    """Different rows of ``df``, ``most`` of them where it has so many, by the smallest hashes of the whole row, brought to
+    the driver. Tasks send only rows whose hash is below a bound set by an estimate of how many different rows there are,
+    so what reaches the driver doesn't grow with the table; copies of a row count once, and no row's key matters."""
     h = f"{OWN}hash"
-    rows = df.withColumn(h, F.pmod(F.xxhash64(*keys, F.lit(17)), F.lit(1 << 30)))
+    rows = df.withColumn(h, F.pmod(F.xxhash64(*df.columns, F.lit(17)), F.lit(1 << 30)))
+    total = rows.agg(F.approx_count_distinct(F.xxhash64(*df.columns))).first()[0]
     if total > most:
-        rows = rows.where(F.col(h) < int((1 << 30) * min(1.0, 1.3 * most / total)))
-    return sorted(rows.limit(3 * most).collect(), key=lambda r: (r[h], str(r)))[:most]
+        rows = rows.where(F.col(h) < int((1 << 30) * min(1.0, 1.5 * most / total)))
+    return rows.distinct().orderBy(h, *df.columns).limit(most).collect()
 
 
 def null_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

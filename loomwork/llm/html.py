@@ -388,7 +388,7 @@ def fit(pages: DataFrame, html: str = "html", key: str = "page_id") -> np.ndarra
     """Weights from at most TRAIN_PAGES pages chosen by a hash of the key. Blocks in boilerplate containers are learned
     as boilerplate, others inside ``article`` or ``main`` as content; the rest are left out. Weights stay near PRIOR
     unless the sample says otherwise, and keep its values where there is nothing to learn from."""
-    rows = bounded_sample(pages.where(F.col(html).isNotNull()).select(key, html), [key], TRAIN_PAGES)
+    rows = bounded_sample(pages.where(F.col(html).isNotNull()).select(html), TRAIN_PAGES)
     x, y = [], []
     for r in rows:
         for f in map(features, blocks_of(r[html])):

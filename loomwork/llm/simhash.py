@@ -177,7 +177,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     slim = scratch.put(fingerprints(slim, f"{OWN}text", shingle).select(f"{OWN}key", "fingerprint"), "fingerprints")
     prints = scratch.put(slim.groupBy("fingerprint").agg(F.min(f"{OWN}key").alias("first")), "distinct")
     count = prints.count()
-    sample = bounded_sample(prints.select("fingerprint"), ["fingerprint"], SAMPLE, count)
+    sample = bounded_sample(prints.select("fingerprint"), SAMPLE)
     parts = plan_parts(np.array([r["fingerprint"] for r in sample], np.int64).view(np.uint64), count, most)
     stars = components(links(prints, parts, most), scratch=scratch)
     rooted = prints.join(stars, prints["fingerprint"] == stars["node"], "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))

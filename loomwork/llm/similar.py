@@ -228,7 +228,7 @@ class _Texts:
         some = self.texts.where("size > 0")
         prints = self.scratch.put(some.groupBy(F.col("print").alias("fingerprint")).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "prints")
         count = prints.count()
-        sample = bounded_sample(prints.select("fingerprint"), ["fingerprint"], SAMPLE, count)
+        sample = bounded_sample(prints.select("fingerprint"), SAMPLE)
         parts = plan_parts(np.array([r["fingerprint"] for r in sample], np.int64).view(np.uint64), count)
         first = lambda c: prints.select(F.col("fingerprint").alias(c), F.col("first").alias(f"first_{c}"))
         near = links(prints, parts).join(first("a"), "a").join(first("b"), "b").select("first_a", "first_b")
