@@ -5,11 +5,14 @@ marks as good, the background model on all documents. A document's score is the
 the target model less the loss of the background model; the lower, the more it is like the target.
 
 A token is a character (a code point, as it is) or the border of a text, so the vocabulary is closed and shared, and no
-script or letter is folded into another. All four-grams of all texts are counted, in one pass for both models, into a
-table that grows with the corpus; nothing in it is cut. Losses are computed from it in DataFrame steps, each order smoothed
-by the one below. For scoring, the table is dealt into slices of at most SLICE_GRAMS grams by a hash; the slices are sent to
-the tasks, and the texts pass them one after another in one job, each adding what it knows of every token. So what a task
-holds is bounded, however large the table, and texts aren't shuffled.
+script or letter is folded into another. All four-grams of all texts are counted for both models, into a table that
+grows with the corpus; nothing in it is cut or merged. Losses are computed from it in DataFrame steps, each order smoothed
+by the one below.
+
+Texts are dealt, as they come, into groups of about GROUP_CHARS characters. The distinct grams of each group, with their
+counts in it, are one table: summed by gram it gives the counts of the corpus, and joined by gram with the losses it gives each
+group just the losses that its texts need. A group's texts and its losses then meet in one task. So no task and no driver
+ever holds the model, only the grams of one group, and grams that many texts share travel once for each group.
 
 Defined results: a null or empty text has no tokens, and null losses and score. Repeated rows count as often as they
 occur and score alike. Without any target document the two models are alike and every score is zero. Columns named like
@@ -18,8 +21,6 @@ an output are replaced.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,9 +35,9 @@ ORDER = 4
 TRUST = 8.0
 #: The border of a text: a number above all code points.
 BORDER = 0x110000
-#: Tokens that are counted or scored at once, distinct grams that a task holds before it sends them, and grams of a slice.
-GROUP, HELD, SLICE_GRAMS = 1 << 20, 4 << 20, 2 << 20
-GRAM = ["a", "b", "c", "d"]
+#: Characters of a group of texts, and tokens that are counted at once.
+GROUP_CHARS, TOKENS = 24_000_000, 1 << 20
+GRAM, GROUP = ["a", "b", "c", "d"], f"{OWN}group"
 
 
 def grams_of(text: str) -> np.ndarray:
@@ -48,75 +49,142 @@ def grams_of(text: str) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(s, ORDER)
 
 
-def codes_of(grams: np.ndarray) -> np.ndarray:
-    """A 64-bit number for each gram: the sum of its tokens' hashes by place."""
-    out = np.zeros(len(grams), np.uint64)
-    for k in range(ORDER):
-        out = (out ^ grams[:, k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    return out
+class Alphabet:
+    """The distinct tokens of some texts, numbered, so that a gram of them is one exact number: the numbers of its tokens,
+    in as few bits as they need. Texts of more than 2^16 different characters don't fit and are refused; a group of texts
+    is closed before it has so many."""
+
+    def __init__(self, tokens: np.ndarray):
+        self.tokens = np.union1d(tokens, [BORDER]).astype(np.uint32)
+        self.bits = max(1, int(len(self.tokens) - 1).bit_length())
+        if ORDER * self.bits > 64:
+            raise ValueError("a group of texts has too many different characters")
+
+    def codes(self, numbers: np.ndarray) -> np.ndarray:
+        """The number of the gram that each token ends, from the tokens' numbers after ORDER - 1 borders."""
+        n = len(numbers) - ORDER + 1
+        out = np.zeros(n, np.uint64)
+        for k in range(ORDER):
+            out = (out << np.uint64(self.bits)) | numbers[k : k + n]
+        return out
 
+    def of_text(self, text: str) -> np.ndarray:
+        return self.codes(np.searchsorted(self.tokens, tokens_of(text)).astype(np.uint64))
 
-class _Tally:
-    """Distinct grams of some texts and how often they occur in target texts and in all."""
+    def of_grams(self, grams: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros(len(grams[0]), np.uint64)
+        for column in grams:
+            out = (out << np.uint64(self.bits)) | np.searchsorted(self.tokens, column.astype(np.uint32)).astype(np.uint64)
+        return out
 
-    def __init__(self):
-        self.parts: list[tuple] = []
-        self.held = 0
+    def grams(self, codes: np.ndarray) -> list[np.ndarray]:
+        low = np.uint64((1 << self.bits) - 1)
+        return [self.tokens[(codes >> np.uint64(self.bits * (ORDER - 1 - k))) & low].astype(np.int32) for k in range(ORDER)]
 
-    def add(self, pieces: list[np.ndarray], good: list[bool]) -> None:
-        grams = np.concatenate(pieces)
-        near = np.repeat(np.array(good, np.int64), list(map(len, pieces)))
-        codes, first, at = np.unique(codes_of(grams), return_index=True, return_inverse=True)
-        self.parts.append((codes, grams[first], np.bincount(at, near, len(codes)).astype(np.int64), np.bincount(at, minlength=len(codes))))
-        self.held += len(codes)
 
-    def merged(self) -> tuple:
-        codes = np.concatenate([p[0] for p in self.parts])
-        one, first, at = np.unique(codes, return_index=True, return_inverse=True)
-        sums = [np.bincount(at, np.concatenate([p[k] for p in self.parts]), len(one)).astype(np.int64) for k in (2, 3)]
-        self.parts = [(one, np.concatenate([p[1] for p in self.parts])[first], *sums)]
-        self.held = len(one)
-        return self.parts[0]
+class Group:
+    """Texts of one group: their distinct characters and how many they have."""
 
-    def batches(self):
-        if self.parts:
-            _, grams, near, far = self.merged()
-            for at in range(0, len(grams), 100_000):
-                part = slice(at, at + 100_000)
-                columns = [pa.array(grams[part, k].astype(np.int32)) for k in range(ORDER)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(near[part]), pa.array(far[part])], names=[*GRAM, "near", "far"])
-        self.parts, self.held = [], 0
+    def __init__(self, most: int):
+        self.seen, self.chars, self.most = np.zeros(0, np.uint32), 0, most
 
+    def takes(self, text: str) -> bool:
+        """Whether the text goes into this group; if so, it is counted in. An empty group takes any text."""
+        fresh = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32))
+        both = np.union1d(self.seen, fresh)
+        if self.chars and (self.chars + len(text) > self.most or len(both) >= 1 << 16):
+            return False
+        self.seen, self.chars = both, self.chars + len(text)
+        return True
 
-def counted(docs: DataFrame, text: str = "text", good: Column | None = None) -> DataFrame:
-    """Four-grams (``a`` to ``d``) of all texts, with how often they occur in those that are ``good`` (``near``) and in all
-    (``far``)."""
+
+def tokens_of(text: str) -> np.ndarray:
+    """The characters of a text and the border at its end, after ORDER - 1 borders."""
+    raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    s = np.full(len(raw) + ORDER, BORDER, np.uint32)
+    s[ORDER - 1 : -1] = raw
+    return s
+
+
+def dealt(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The ``docs`` that have a text, with the ``group`` of each: rows of one task in the order in which they come, so a group
+    of copies is dealt like any others. Write the table before it is used twice."""
+    docs = small_batches(docs.where(F.length(text) > 0))
+    column, most = docs.columns.index(text), GROUP_CHARS
 
     def run(batches):
-        tally = _Tally()
+        from pyspark import TaskContext
+
+        group, number = Group(most), TaskContext.get().partitionId() << 32
         for batch in batches:
-            texts, flags, group, marks, size = batch.column(0), batch.column(1), [], [], 0
+            source, numbers = batch.column(column), []
             for i in range(batch.num_rows):
-                grams, good = grams_of(texts[i].as_py() or ""), bool(flags[i].as_py())
-                for at in range(0, len(grams) if len(grams) > 1 else 0, GROUP):
-                    group.append(grams[at : at + GROUP])
-                    marks.append(good)
-                    size += len(group[-1])
-                    if size >= GROUP:
-                        tally.add(group, marks)
-                        group, marks, size = [], [], 0
-            if group:
-                tally.add(group, marks)
-            if tally.held > HELD:
-                tally.merged()
-                if tally.held > HELD // 2:
-                    yield from tally.batches()
-        yield from tally.batches()
-
-    rows = small_batches(docs).select(F.col(text).alias("text"), (F.lit(True) if good is None else good).alias("good"))
-    sums = rows.mapInArrow(run, "a int, b int, c int, d int, near bigint, far bigint")
-    return sums.groupBy(*GRAM).agg(F.sum("near").alias("near"), F.sum("far").alias("far"))
+                t = source[i].as_py()
+                if not group.takes(t):
+                    group, number = Group(most), number + 1
+                    group.takes(t)
+                numbers.append(number)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], names=[*batch.schema.names, GROUP])
+
+    return docs.mapInArrow(run, f"{ddl(docs)}, {GROUP} bigint")
+
+
+def counted(docs: DataFrame, text: str = "text", good: str | None = None) -> DataFrame:
+    """The distinct four-grams (``a`` to ``d``) of each group of ``dealt`` texts, with how often they occur in those whose
+    column ``good`` is true (``near``) and in all (``far``)."""
+    rows = docs.select(F.col(text).alias("text"), (F.lit(True) if good is None else F.coalesce(good, F.lit(False))).alias("good"), GROUP)
+    most = TOKENS
+
+    def run(batches):
+        number, texts, flags = None, [], []
+        for batch in batches:
+            for t, good, at in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if at != number and texts:  # rows of a group stand together; one that is cut in two gives its grams twice
+                    yield from _tally(texts, flags, number, most)
+                    texts, flags = [], []
+                number = at
+                texts.append(t)
+                flags.append(good)
+        if texts:
+            yield from _tally(texts, flags, number, most)
+
+    return rows.mapInArrow(run, f"{GROUP} bigint, a int, b int, c int, d int, near bigint, far bigint")
+
+
+def _tally(texts: list[str], flags: list[bool], number: int, most: int):
+    """The distinct grams of a group's texts, counted."""
+    seen = np.zeros(0, np.uint32)
+    for t in texts:
+        seen = np.union1d(seen, np.unique(tokens_of(t)))
+    alphabet, parts, held, size = Alphabet(seen), [], [], 0
+
+    def add() -> None:
+        codes, marks = np.concatenate([c for c, _ in held]), np.repeat([g for _, g in held], [len(c) for c, _ in held])
+        near, near_n = np.unique(codes[marks], return_counts=True)
+        far, far_n = np.unique(codes[~marks], return_counts=True)
+        parts.append((np.concatenate([near, far]), np.concatenate([near_n, np.zeros(len(far), np.int64)]), np.concatenate([near_n, far_n])))
+        held.clear()
+
+    for t, good in zip(texts, flags, strict=True):
+        held.append((alphabet.of_text(t), good))
+        size += len(t)
+        if size >= most:
+            add()
+            size = 0
+            if sum(len(p[0]) for p in parts) > 4 * most:
+                parts = [_summed(parts)]
+    if held:
+        add()
+    codes, near, far = _summed(parts)
+    for at in range(0, len(codes), 100_000):
+        part = slice(at, at + 100_000)
+        columns = [np.full(len(codes[part]), number, np.int64), *alphabet.grams(codes[part]), near[part], far[part]]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=[GROUP, *GRAM, "near", "far"])
+
+
+def _summed(parts: list[tuple]) -> tuple:
+    codes, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return codes, *(np.bincount(at, np.concatenate([p[k] for p in parts]), len(codes)).astype(np.int64) for k in (1, 2))
 
 
 def losses(counts: DataFrame) -> DataFrame:
@@ -137,72 +205,47 @@ def losses(counts: DataFrame) -> DataFrame:
     return p.select(*GRAM, (-F.log2("low_near")).alias("loss_near"), (-F.log2("low_far")).alias("loss_far"))
 
 
-@dataclass
-class Slice:
-    """Part of the models' grams: their numbers in order, and their losses."""
-
-    codes: np.ndarray
-    near: np.ndarray
-    far: np.ndarray
-
-
-def models(docs: DataFrame, text: str = "text", good: Column | None = None) -> list[Slice]:
-    """The models in slices. ``good`` marks the target documents."""
+def score(docs: DataFrame, text: str = "text", good: Column | None = None) -> DataFrame:
+    """``docs`` with ``n_tokens``, ``loss_target``, ``loss_background`` (bits a token) and ``score`` of each text, by models
+    counted on the same texts; ``good`` marks the target documents."""
+    made = ["n_tokens", "loss_target", "loss_background", "score"]
+    mark = f"{OWN}good"
+    docs = docs.withColumn(mark, F.lit(True) if good is None else F.coalesce(good, F.lit(False)))
+    docs = drop_clashing(docs, [c for c in made if c != text])
+    names = [c for c in docs.columns if c != mark]
     scratch = Scratch(docs.sparkSession, "lm")
-    counts = scratch.put(counted(docs, text, good), "counts")
-    told = scratch.put(losses(counts), "losses")
-    size = counts.agg(F.count(F.lit(1)), F.sum("near")).first()
-    parts = max(1, -(-size[0] // SLICE_GRAMS))
-    far = F.col("loss_far").cast("float")
-    near = F.col("loss_near").cast("float") if size[1] else far
-    out = []
-    for k in range(parts):
-        got = told.where(F.pmod(F.xxhash64(*GRAM), F.lit(parts)) == k).select(*GRAM, near.alias("near"), far.alias("far")).toArrow()
-        codes = codes_of(np.stack([got.column(c).to_numpy().astype(np.uint32) for c in GRAM], axis=1))
-        order = np.argsort(codes)
-        out.append(Slice(codes[order], got.column("near").to_numpy()[order], got.column("far").to_numpy()[order]))
-    scratch.drop()
-    return out
-
-
-def _added(docs: DataFrame, part: Slice, text: str) -> DataFrame:
-    """``docs`` with what a slice knows added to the sums of the losses of each text."""
-    sent = docs.sparkSession.sparkContext.broadcast(part)
-    sums = [f"{OWN}near", f"{OWN}far"]
-    names = docs.columns
-
-    def run(batches):
-        own = sent.value
-        for batch in batches:
-            source = batch.column(names.index(text))
-            old = [batch.column(names.index(c)).to_numpy(zero_copy_only=False) for c in sums]
-            new = np.zeros((2, batch.num_rows))
-            for i in range(batch.num_rows):
-                t = source[i].as_py()
-                for at in range(0, len(t) + 1 if t and len(own.codes) else 0, GROUP):
-                    # a part of the text, with the characters before it
-                    grams = grams_of(t)[at : at + GROUP]
-                    codes = codes_of(grams)
-                    where = np.minimum(np.searchsorted(own.codes, codes), len(own.codes) - 1)
-                    where = where[own.codes[where] == codes]
-                    new[:, i] += own.near[where].sum(dtype=np.float64), own.far[where].sum(dtype=np.float64)
-            made = {c: pa.array(o + n) for c, o, n in zip(sums, old, new, strict=True)}
-            yield pa.RecordBatch.from_arrays([made.get(c, batch.column(k)) for k, c in enumerate(names)], names=names)
-
-    return docs.mapInArrow(run, ddl(docs))
-
-
-def score(docs: DataFrame, of: list[Slice], text: str = "text") -> DataFrame:
-    """``docs`` with ``n_tokens``, ``loss_target``, ``loss_background`` (bits a token) and ``score`` of each text."""
-    docs = drop_clashing(docs, ["n_tokens", "loss_target", "loss_background", "score"])
-    names = docs.columns
-    rows = docs.withColumns({f"{OWN}near": F.lit(0.0), f"{OWN}far": F.lit(0.0)})
-    for part in of:
-        rows = _added(rows, part, text)
+    texts = scratch.put(dealt(docs, text), "texts")
+    grams = scratch.put(counted(texts, text, mark), "grams")
+    sums = scratch.put(grams.groupBy(*GRAM).agg(F.sum("near").alias("near"), F.sum("far").alias("far")), "counts")
+    told = losses(sums)
+    if not (sums.agg(F.sum("near")).first()[0] or 0):
+        told = told.withColumn("loss_near", F.col("loss_far"))
+    needed = grams.select(GROUP, *GRAM).join(told, GRAM).select(GROUP, *GRAM, F.col("loss_near").cast("float").alias("near"), F.col("loss_far").cast("float").alias("far"))
+    columns, at = texts.columns, texts.columns.index(text)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        near_far = np.zeros((2, left.num_rows))
+        if right.num_rows:
+            parts = [right.column(c).to_numpy() for c in GRAM]
+            alphabet = Alphabet(np.unique(np.concatenate([np.unique(p) for p in parts])))
+            codes, first = np.unique(alphabet.of_grams(parts), return_index=True)
+            tables = [right.column(c).to_numpy()[first].astype(np.float64) for c in ("near", "far")]
+            source = left.column(at)
+            for i in range(left.num_rows):
+                where = np.searchsorted(codes, alphabet.of_text(source[i].as_py()))
+                for k in (0, 1):
+                    near_far[k, i] = tables[k][where].sum()
+        kept = [left.column(c) for c in columns if c not in (mark, GROUP)]
+        return pa.Table.from_arrays([*kept, *map(pa.array, near_far)], names=[*names, f"{OWN}near", f"{OWN}far"])
+
+    met = texts.groupBy(GROUP).cogroup(needed.groupBy(GROUP)).applyInArrow(run, f"{ddl(texts.select(*names))}, {OWN}near double, {OWN}far double")
+    blank = docs.where(F.coalesce(F.length(text), F.lit(0)) == 0).select(*names, F.lit(0.0).alias(f"{OWN}near"), F.lit(0.0).alias(f"{OWN}far"))
+    rows = met.unionByName(blank)
     length = F.coalesce(F.length(text), F.lit(0)).cast("long")
     tokens = F.when(length > 0, length + 1).otherwise(length)
     mean = lambda c: F.when(tokens > 0, F.col(c) / tokens)
-    rows = rows.select(*names, tokens.alias("n_tokens"), mean(f"{OWN}near").alias("loss_target"), mean(f"{OWN}far").alias("loss_background"))
+    kept = [c for c in names if c.lower() not in made]
+    rows = rows.select(*kept, tokens.alias("n_tokens"), mean(f"{OWN}near").alias("loss_target"), mean(f"{OWN}far").alias("loss_background"))
     return rows.withColumn("score", F.col("loss_target") - F.col("loss_background"))
 
 
@@ -211,5 +254,4 @@ def query(spark, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").where("quality = 1")
     good = good.select(F.col("doc_id").cast("string").alias("id")).where("id IS NOT NULL").distinct()
     marked = flagged(docs, F.col("doc_id").cast("string"), good, "id", f"{OWN}good")
-    of = models(marked, good=F.col(f"{OWN}good"))
-    return score(docs, of).select("doc_id", "n_tokens", "loss_target", "loss_background", "score")
+    return score(marked, good=F.col(f"{OWN}good")).select("doc_id", "n_tokens", "loss_target", "loss_background", "score")
