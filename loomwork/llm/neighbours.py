@@ -1,27 +1,29 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
-Each of two tables hashes a vector by the cells that it falls into on a few random lines (normal directions are stable
+Each of TABLES tables hashes a vector by the cells that it falls into on some random lines (normal directions are stable
 under the Euclidean norm). A query visits its own bucket of each table and then those reached by moving to neighbouring
-cells, in the order of the estimated chance that a neighbour lies there, which falls with the sum of the squared distances
-to the cells' borders. The candidates of all tables are merged and ranked by exact distance, in double precision.
+cells. Which moves come first is decided once for all queries, by the squared distances to the cells' borders that are
+expected when a query's borders are sorted by distance; a query then fits its own borders in. The candidates of all tables
+are merged and ranked by exact distance, in double precision.
 
-The index is fitted on a bounded sample: as many lines as keep an average bucket near BUCKET vectors of the whole table,
-and as many probes as find WANTED of the sample's own neighbours; if MOST_PROBES don't, the cells are widened until they
-do. The recall that the sample shows is logged.
+The index is fitted on a bounded sample of each length of vectors, whatever the size of the table: of several widths of cells
+and numbers of lines, each with as many probes as find WANTED of the sample's own neighbours, the one that visits the least
+share of the vectors is taken. The recall and the share that the sample shows are logged; every vector is indexed.
 
 Equal vectors are indexed once; of each such class at most one vector more than is asked for can be among the answers,
 so the class keeps its smallest ids. Buckets are dealt to tasks in chunks of about CHUNK vectors; a chunk is held in
 memory while the queries that visit its bucket stream past it.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part. Vectors are
-compared with those of the same length; lengths that are rare (not among the LENGTHS commonest, or of no more than BUCKET
-vectors) are searched whole, as one bucket. Every row is a candidate, whatever its id: rows that share an id are vectors
+compared with those of the same length; of a length with no more than the wanted number of other vectors all are answers,
+so it needs no index. Every row is a candidate, whatever its id: rows that share an id are vectors
 of their own (only the query's own row is left out), and a null id comes last among ties. A query for which the buckets
 hold too few candidates is compared with every vector of its length. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
 import logging
 from dataclasses import dataclass
@@ -36,11 +38,13 @@ from pyspark.sql.window import Window
 from .common import Scratch, bounded_sample, table
 
 LOG = logging.getLogger("loomwork.llm.neighbours")
-TABLES, CELL, MOST_LINES, WIDER = 2, 2.5, 16, 1.5
-#: Vectors of the sample that the index is fitted on, queries among them, the recall asked for there, and probes a table.
-SAMPLE, SAMPLE_QUERIES, WANTED, MOST_PROBES = 3000, 150, 0.95, 128
-#: Vectors that an average bucket should hold, vectors of one chunk, lengths with an index, and the seed of the lines.
-BUCKET, CHUNK, LENGTHS, LINE_SEED = 2048, 1024, 8, 13
+TABLES, MOST_PROBES = 4, 128
+#: Widths of cells (in deviations of a projection) and numbers of lines that are tried.
+CELLS, LINES = (0.7, 1.2, 2.0, 3.0, 6.0, 20.0), (1, 2, 3, 4, 6, 8, 10, 12, 16)
+#: Vectors of the sample that the index is fitted on, queries among them, and the recall asked for there.
+SAMPLE, SAMPLE_QUERIES, WANTED = 2000, 100, 0.96
+#: Vectors of one chunk, and the seed of the lines.
+CHUNK, LINE_SEED = 1024, 13
 
 
 @dataclass
@@ -49,6 +53,7 @@ class Index:
     shifts: np.ndarray  # tables, lines
     probes: int
     recall: float = 1.0
+    share: float = 1.0  # of the vectors that a query meets
 
     def cells(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cell numbers and positions in the cell, each (tables, n, lines)."""
@@ -56,11 +61,14 @@ class Index:
         low = np.floor(at)
         return low.astype(np.int64), at - low
 
-    def visits(self, x: np.ndarray):
-        """For each vector, the buckets of its probes in each table, most promising first."""
+    def visits(self, x: np.ndarray) -> np.ndarray:
+        """The buckets of each vector's probes in each table, most promising first: (n, tables, probes)."""
         cells, places = self.cells(x)
-        for i in range(x.shape[0]):
-            yield [bucket_of(cells[t, i][None] + probe_order(places[t, i], self.probes)) for t in range(len(self.lines))]
+        seen = []
+        for t in range(len(self.lines)):
+            there = cells[t][:, None] + moves(places[t], self.probes)
+            seen.append(bucket_of(there.reshape(-1, there.shape[2])).reshape(there.shape[:2]))
+        return np.stack(seen, axis=1)
 
 
 def bucket_of(cells: np.ndarray) -> np.ndarray:
@@ -72,65 +80,83 @@ def bucket_of(cells: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def probe_order(place: np.ndarray, count: int) -> np.ndarray:
-    """Up to ``count`` moves by -1, 0 or 1 cell on each line, by the sum of squared distances to the borders crossed.
+@functools.cache
+def probe_sets(lines: int, count: int) -> np.ndarray:
+    """The first ``count`` sets of borders to cross, as rows of 0 and 1 over a query's 2 * ``lines`` borders from the nearest
+    to the farthest, by the sum of the squared distances to be expected of them. A line's two borders stand at places that
+    mirror each other, so a set that holds both is left out.
 
-    Single moves are sorted by their distance; a heap holds sets of them, and from the least one grows the next two: its
-    last member moved one on, and one more member added.
+    A heap holds sets; from the least one grow the next two: its last member moved one on, and one more member added.
     """
-    n = len(place)
-    cost = np.concatenate([place, 1 - place]) ** 2
-    order = np.argsort(cost, kind="stable")
-    cost = cost[order].tolist()
-    order = order.tolist()
-    moves = np.zeros((count, n), np.int64)
-    found, heap = 1, [(cost[0], (0,))]
-    while heap and found < count:
+    j, n = np.arange(1, 2 * lines + 1), lines
+    far = 2 * n + 1 - j
+    cost = np.where(j <= n, j * (j + 1), 4 * (n + 1) * (n + 2) - 4 * far * (n + 2) + far * (far + 1)) / (4.0 * (n + 1) * (n + 2))
+    found: list[tuple] = [()]
+    heap = [(cost[0], (0,))]
+    while heap and len(found) < count:
         total, some = heapq.heappop(heap)
-        lines = [order[k] % n for k in some]
-        if len(set(lines)) == len(lines):
-            for k in some:
-                moves[found, order[k] % n] = -1 if order[k] < n else 1
-            found += 1
+        if all(2 * n - 1 - k not in some for k in some):
+            found.append(some)
         last = some[-1]
         if last + 1 < 2 * n:
             heapq.heappush(heap, (total - cost[last] + cost[last + 1], (*some[:-1], last + 1)))
             heapq.heappush(heap, (total + cost[last + 1], (*some, last + 1)))
-    return moves[:found]
+    out = np.zeros((len(found), 2 * n), np.int64)
+    for k, some in enumerate(found):
+        out[k, list(some)] = 1
+    return out
+
+
+def moves(places: np.ndarray, count: int) -> np.ndarray:
+    """Moves by -1, 0 or 1 cell on each line, (n, probes, lines), from positions in the cells (n, lines)."""
+    n, lines = places.shape
+    order = np.argsort(np.concatenate([places, 1 - places], axis=1), axis=1, kind="stable")
+    crossed = np.zeros((n, 2 * lines, lines), np.int64)
+    np.put_along_axis(crossed, (order % lines)[:, :, None], np.where(order < lines, -1, 1)[:, :, None], axis=2)
+    return np.einsum("pj,njl->npl", probe_sets(lines, count), crossed)
+
+
+def _needed(index: Index, sample: np.ndarray, asking: int) -> np.ndarray:
+    """After how many probes a table each of the first ``asking`` vectors meets each vector of the sample."""
+    own = [bucket_of(c) for c in index.cells(sample)[0]]
+    first = np.full((asking, len(sample)), MOST_PROBES + 1)
+    for i, tables in enumerate(index.visits(sample[:asking])):
+        for t, buckets in enumerate(tables):
+            seen, probe = np.unique(buckets, return_index=True)
+            at = np.minimum(np.searchsorted(seen, own[t]), len(seen) - 1)
+            first[i] = np.minimum(first[i], np.where(seen[at] == own[t], probe[at] + 1, MOST_PROBES + 1))
+    return first
 
 
 def fit(sample: np.ndarray, total: int, k: int, seed: int = LINE_SEED) -> Index:
-    """Lines, cells and probes for ``total`` vectors, from a sample of them."""
+    """The lines, cells and probes under which the sample's queries meet the least share of it, of those that find WANTED of
+    its neighbours. The widest cells hold nearly all, so there always are some. A sample of ``total`` vectors is thinner than
+    they are, so fewer of its vectors are as near as the k nearest: one more than its part of k is asked for."""
     n, d = sample.shape
+    k = min(k, 1 + -(-k * n // max(n, total)))
     rng = np.random.default_rng(seed)
-    lines, shifts = rng.standard_normal((TABLES, MOST_LINES, d)), rng.random((TABLES, MOST_LINES))
+    lines, shifts = rng.standard_normal((TABLES, LINES[-1], d)), rng.random((TABLES, LINES[-1]))
     spread = float(np.sqrt(np.sum(np.var(sample, axis=0)))) or 1.0  # of a projection onto a line
-    queries = sample[:SAMPLE_QUERIES]
+    asking = min(n, SAMPLE_QUERIES)
+    queries = sample[:asking]
     far = np.maximum(0, (queries**2).sum(1)[:, None] + (sample**2).sum(1) - 2 * queries @ sample.T)
-    far[np.arange(len(queries)), np.arange(len(queries))] = np.inf
+    far[np.arange(asking), np.arange(asking)] = np.inf
     near = np.argsort(far, axis=1, kind="stable")[:, : max(1, min(k, n - 1))]
-    cell = CELL
-    while True:
-        for count in range(1, MOST_LINES + 1):
+    best = Index(lines[:, :1] * 0.0, shifts[:, :1], 1)  # one bucket for all
+    for cell in CELLS:
+        for count in LINES:
             index = Index(lines[:, :count] / (cell * spread), shifts[:, :count], MOST_PROBES)
-            own = np.stack([bucket_of(c) for c in index.cells(sample)[0]])
-            sizes = [np.unique(o, return_counts=True)[1] for o in own]
-            if np.mean([(c * (c - 1.0)).sum() for c in sizes]) / max(1, n * (n - 1)) * total <= BUCKET:
-                break
-        needed = []
-        for i, visits in enumerate(index.visits(queries)):
-            first = np.full(near.shape[1], MOST_PROBES + 1)
-            for t, buckets in enumerate(visits):
-                at = {int(b): p + 1 for p, b in reversed(list(enumerate(buckets)))}
-                first = np.minimum(first, [at.get(int(own[t, j]), MOST_PROBES + 1) for j in near[i]])
-            needed.append(first)
-        needed = np.sort(np.concatenate(needed))
-        enough = needed[min(len(needed) - 1, int(np.ceil(WANTED * len(needed))))]
-        if enough <= MOST_PROBES:
-            index.probes, index.recall = int(enough), float((needed <= enough).mean())
-            LOG.info("%d vectors of %d components: %d lines, cells of %.2f, %d probes, recall %.3f in the sample", total, d, count, cell, index.probes, index.recall)
-            return index
-        cell *= WIDER
+            first = _needed(index, sample, asking)
+            found = np.sort(np.take_along_axis(first, near, axis=1), axis=None)
+            index.probes = int(found[int(np.ceil(WANTED * len(found))) - 1])
+            if index.probes > MOST_PROBES:
+                break  # more lines need more probes
+            index.recall, index.share = float((found <= index.probes).mean()), float((first <= index.probes).mean())
+            # a probe costs something too: of shares that are nearly equal the one with fewer is taken
+            if index.share + 1e-5 * TABLES * index.probes < best.share + 1e-5 * TABLES * best.probes:
+                best = index
+    LOG.info("vectors of %d components: %d tables of %d lines, %d probes, recall %.3f, share of candidates %.3f in the sample", d, TABLES, best.lines.shape[1], best.probes, best.recall, best.share)
+    return best
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -156,10 +182,9 @@ def _spread(rows: DataFrame, indexes: dict[int, Index], probing: bool) -> DataFr
                     if n not in indexes:
                         rows, tables, buckets = np.arange(len(part)), np.full(len(part), -1), np.zeros(len(part), np.int64)
                     elif probing:
-                        seen = list(indexes[n].visits(_matrix(vectors.take(pa.array(part)))))
-                        rows = np.concatenate([np.full(sum(map(len, v)), i) for i, v in enumerate(seen)])
-                        tables = np.concatenate([np.full(len(b), t) for v in seen for t, b in enumerate(v)])
-                        buckets = np.concatenate([b for v in seen for b in v])
+                        seen = indexes[n].visits(_matrix(vectors.take(pa.array(part))))
+                        rows, tables, _ = (i.reshape(-1) for i in np.indices(seen.shape))
+                        buckets = seen.reshape(-1)
                     else:
                         cells, _ = indexes[n].cells(_matrix(vectors.take(pa.array(part))))
                         rows = np.tile(np.arange(len(part)), len(cells))
@@ -257,10 +282,9 @@ def search(vectors: DataFrame, asks, k: int = 10, key: str = "vec_id", vector: s
     asked = scratch.put(queries.join(members.select("vector", "class"), "vector").select("class", "n", F.col("id").alias("query_id"), F.col("row").alias("query_row")), "asked")
     lengths = rows.groupBy("n").agg(F.count(F.lit(1)).alias("count"))
     indexes = {}
-    for r in members.groupBy("n").count().orderBy(F.desc("count"), "n").limit(LENGTHS).collect():
-        if r["count"] > BUCKET:
-            sample = bounded_sample(members.where(F.col("n") == r["n"]).select("class", "vector"), ["class"], SAMPLE, r["count"])
-            indexes[r["n"]] = fit(np.array([x["vector"] for x in sample], np.float64), r["count"], k)
+    for r in members.groupBy("n").count().where(F.col("count") > k + 1).orderBy("n").collect():
+        sample = bounded_sample(members.where(F.col("n") == r["n"]).select("vector"), SAMPLE)
+        indexes[r["n"]] = fit(np.array([x["vector"] for x in sample], np.float64), r["count"], k)
     asking = members.join(asked.select("class").distinct(), "class", "left_semi")
     both = _chunked(scratch, _spread(members, indexes, False), _spread(asking, indexes, True))
     found = scratch.put(_ranked(_matched(both, k + 1), members, asked, k), "found")

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from loomwork.llm import neighbours
@@ -49,8 +50,7 @@ def test_doubles_keep_their_precision(spark):
     assert 0 < got[0].score < 4e-9
 
 
-def test_index_reaches_its_recall_for_mixed_lengths_and_norms(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "BUCKET", 64)
+def test_index_reaches_its_recall_for_mixed_lengths_and_norms(spark):
     rng = np.random.default_rng(8)
     near = np.concatenate([rng.standard_normal((30, 16)) * s + rng.standard_normal(16) * 3 for s in np.geomspace(0.01, 30, 60)])
     other = rng.standard_normal((500, 5))
@@ -64,7 +64,6 @@ def test_index_reaches_its_recall_for_mixed_lengths_and_norms(spark, monkeypatch
 
 def test_large_buckets_and_copies(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "CHUNK", 16)
-    monkeypatch.setattr(neighbours, "BUCKET", 32)
     rng = np.random.default_rng(3)
     base = rng.standard_normal((300, 8)).astype(np.float32)
     base[100:220] = base[100]
@@ -75,8 +74,56 @@ def test_large_buckets_and_copies(spark, monkeypatch):
     assert len(got) == len(want) and len({(q, j) for q, _, j, _ in want} & {(r.query_id, r.vec_id) for r in got}) >= 0.9 * len(want)
 
 
-def test_probe_order():
-    place = np.array([0.1, 0.7, 0.4])
-    moves = neighbours.probe_order(place, 27)
-    cost = [sum((p if m < 0 else 1 - p) ** 2 for p, m in zip(place, row, strict=True) if m) for row in moves.tolist()]
-    assert len({tuple(m) for m in moves.tolist()}) == len(moves) == 27 and np.allclose(cost, sorted(cost))
+def spread_of(vectors):
+    """For each query, the share of all vectors that lie in one of the buckets it visits, by plain sets."""
+    index = neighbours.fit(vectors[: neighbours.SAMPLE], len(vectors), 10)
+    own = [neighbours.bucket_of(c) for c in index.cells(vectors)[0]]
+    shares = []
+    for tables in index.visits(vectors[::2000]):
+        met = set()
+        for t, buckets in enumerate(tables):
+            met |= set(np.nonzero(np.isin(own[t], buckets))[0].tolist())
+        shares.append(len(met) / len(vectors))
+    return index, float(np.mean(shares))
+
+
+@pytest.mark.parametrize(("kind", "most"), [("clustered", 0.05), ("uniform", 0.85)])
+def test_recall_and_share_of_20000_vectors_at_shipped_constants(spark, kind, most):
+    """Clusters are pruned to a few hundredths; on vectors without any structure no cells can prune much."""
+    rng = np.random.default_rng(4)
+    if kind == "clustered":
+        vectors = np.repeat(rng.standard_normal((200, 32)), 100, axis=0) + 0.1 * rng.standard_normal((20_000, 32))
+    else:
+        vectors = rng.standard_normal((20_000, 32))
+    vectors = rng.permutation(vectors)
+    index, share = spread_of(vectors)
+    assert index.probes >= 1 and share < most and abs(share - index.share) < 0.15, (share, index.share)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(4)
+    got = {(r.query_id, r.vec_id) for r in neighbours.search(df, lambda i: i % 400 == 0).collect()}
+    hits = 0
+    for q in range(0, 20_000, 400):
+        near = np.lexsort((np.arange(20_000), ((vectors - vectors[q]) ** 2).sum(1)))
+        hits += len({(q, int(j)) for j in near[near != q][:10]} & got)
+    assert len(got) == 500 and hits >= 0.9 * 500, hits
+
+
+def test_the_index_is_used_on_small_tables(spark, monkeypatch):
+    """Nothing switches it off: its probes are asked for at every size."""
+    made = []
+    whole = neighbours.fit
+    monkeypatch.setattr(neighbours, "fit", lambda *a: made.append(whole(*a)) or made[-1])
+    assert neighbours.query(spark, "/root/testdata/sf0.001").count() > 0
+    assert len(made) == 1 and made[0].recall >= 0.95 and made[0].share < 0.95 and made[0].probes > 1
+
+
+def test_probe_sets_and_moves():
+    sets = neighbours.probe_sets(4, 81)
+    assert len({tuple(r) for r in sets.tolist()}) == len(sets) == 81 and not sets[0].any()
+    assert all(not (r * r[::-1]).any() for r in sets)  # no line is crossed at both ends
+    place = np.array([[0.1, 0.7, 0.4]])
+    order = sorted([(x, k, -1) for k, x in enumerate(place[0])] + [(1 - x, k, 1) for k, x in enumerate(place[0])])
+    for r, move in zip(neighbours.probe_sets(3, 27), neighbours.moves(place, 27)[0].tolist(), strict=True):
+        want = [0, 0, 0]
+        for j in np.nonzero(r)[0]:
+            want[order[j][1]] += order[j][2]
+        assert move == want
