@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from ..plans.syntax import KEYWORDS
+from .cells import typed
 from .mine import Relation, mine
 from .profile import FORMAT_GENERATORS, MOST_OPTIONS, NAME_GENERATORS, ColumnProfile, TableProfile, profile
 
@@ -81,16 +82,29 @@ def type_text(p: ColumnProfile, names: dict[str, str] | None = None, style: Styl
     return p.type if p.type in ("boolean", "int", "decimal") else f"{unique}string"
 
 
-def schema_text(name: str, table: TableProfile, relations: list[Relation] = (), taken: dict[str, str] | None = None, style: Style = Style()) -> list[str]:
-    """The schema of a table and, before it, those of its nested tables; equal nested ones are written once."""
+def structure(table: TableProfile, style: Style = Style()) -> tuple:
+    """What tables must share to be described by one schema: names, types, nulls, options and generators of their fields, in
+    any order, and the structures of nested ones. Ranges may differ."""
+
+    def of(p: ColumnProfile) -> tuple:
+        options = tuple(sorted(repr(v) for v, _ in p.options)) if p.options and not p.unique and p.type != "date" else None
+        generator = type_text(p, None, style).removeprefix("unique ") if p.type == "string" and options is None else None
+        return p.name, p.type, p.nullable, options, generator, structure(p.nested, style) if p.nested else None
+
+    return tuple(sorted(map(of, table.columns), key=lambda x: x[0]))
+
+
+def schema_text(name: str, table: TableProfile, relations: list[Relation] = (), taken: dict[tuple, str] | None = None, style: Style = Style()) -> list[str]:
+    """The schema of a table and, before it, those of its nested tables; nested ones of equal structure are written once,
+    under the first one's name."""
     out, names = [], {}
     taken = {} if taken is None else taken
     for p in table.columns:
         if p.nested:
             inner = pascal(singular(p.name))
-            *before, body = schema_text(inner, p.nested, (), taken, style)
-            shape = body.split("{", 1)[1]
+            shape = structure(p.nested, style)
             if shape not in taken:
+                *before, body = schema_text(inner, p.nested, (), taken, style)
                 base, k = inner, 2
                 while any(t == inner for t in taken.values()) or inner == name:
                     inner, k = f"{base}{k}", k + 1
@@ -124,6 +138,11 @@ def describe_one(df: DataFrame, name: str = "rows") -> str:
     return "\n\n".join(schema_text(pascal(singular(name)), profile(df)))
 
 
+def describe_json(df: DataFrame, column: str, name: str = "rows") -> str:
+    """The schema of a column of JSON objects, whose cells may be of several types."""
+    return "\n\n".join(schema_text(pascal(singular(name)), profile(typed(df, column))))
+
+
 def _typescript(p: ColumnProfile, names: dict[str, str]) -> str:
     if p.type == "array":
         return f"{names.get(p.name, 'unknown')}[]"
