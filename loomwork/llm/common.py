@@ -109,6 +109,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt evenly over the cores where a few partitions hold most of its rows: a file of one row group is read by
+    one task, however many there are. Rows are only counted for this, which reads no column."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    sizes = df.groupBy(F.spark_partition_id().alias("p")).count()
+    most, rows = sizes.agg(F.max("count"), F.sum("count")).first()
+    return df.repartition(cores) if rows and rows > cores and most * cores > 2 * rows else df
+
+
 def bounded_sample(df: DataFrame, most: int) -> list:
     """Different rows of ``df``, ``most`` of them where it has so many, by the smallest hashes of the whole row, brought to
     the driver. Tasks send only rows whose hash is below a bound set by an estimate of how many different rows there are,

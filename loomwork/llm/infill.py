@@ -22,7 +22,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, drop_clashing, table
+from .common import OWN, drop_clashing, spread, table
 
 #: The marks before prefix, suffix and middle.
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
@@ -126,7 +126,7 @@ def restored(output: Column, form: Column) -> Column:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    seen = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    seen = fill_in_middle(spread(table(spark, sf_dir, "documents")).select("doc_id", "text"))
     sha = lambda text: F.sha2(text.cast("binary"), 256)
     return seen.select(
         "doc_id", "n", "form", F.length("prefix").cast("long").alias("prefix_chars"), F.length("middle").cast("long").alias("middle_chars"),

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import OWN, ddl, drop_clashing, small_batches, table
+from .common import OWN, ddl, drop_clashing, small_batches, spread, table
 
 #: Bytes of a window, and how many windows go through the network at once.
 WINDOW, BATCH = 256, 256
@@ -211,7 +211,7 @@ def held_out(key: Column) -> Column:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     out = held_out(F.col("doc_id"))
     net = fit(docs, ~out)
     seen = identify(docs.select("doc_id", "text", out.alias(f"{OWN}held")), net)

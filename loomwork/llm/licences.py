@@ -27,7 +27,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, drop_clashing, table
+from .common import OWN, drop_clashing, spread, table
 from .urls import LOWER, UPPER
 
 #: A word, after A-Z are lower-cased: ASCII letters and digits and all beyond ASCII.
@@ -209,7 +209,7 @@ def scan(files: DataFrame, index: Index, text: str = "text") -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    files = table(spark, sf_dir, "documents").select("doc_id", "text")
+    files = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
     seen = scan(files, build(files))
     places = F.transform("phrases", lambda p: p["place"])
     base = F.array_sort(F.array_distinct(F.transform("phrases", lambda p: p["label"])))

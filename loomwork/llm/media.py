@@ -209,9 +209,9 @@ def text_media(df: DataFrame, text: str = "text", media: str = "media") -> DataF
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    from .common import table, utf8
+    from .common import spread, table, utf8
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
     stored = text_media(docs).select("doc_id", F.octet_length(utf8(F.col("text"))).cast("long").alias("n_bytes"), "media")
     seen = media_columns(stored)
     return seen.select(

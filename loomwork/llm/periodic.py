@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, ddl, drop_clashing, small_batches, table
+from .common import OWN, ddl, drop_clashing, small_batches, spread, table
 
 #: A run is asked to have at least this many words, and this many periods.
 LEAST_WORDS, LEAST_PERIODS = 6, 4
@@ -158,7 +158,7 @@ def looped(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = looped(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = looped(spread(table(spark, sf_dir, "documents")).select("doc_id", "text"))
     seen = collapse_runs(docs).drop("text").withColumn("best", strongest(F.col("runs")))
     lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
     sha = lambda text: F.sha2(text.cast("binary"), 256)

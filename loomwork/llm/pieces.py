@@ -28,7 +28,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ddl, drop_clashing, small_batches, table
+from .common import ddl, drop_clashing, small_batches, spread, table
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -301,6 +301,6 @@ def decode(encoded: DataFrame, ids: str = "ids", model_path: str = MODEL_PATH) -
 
 def query(spark, sf_dir: str) -> DataFrame:
     """Encodes every whole text, decodes the ids again, and says whether that gave the text back."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
     seen = encode(docs, decoded=True)
     return seen.select("doc_id", "n_tokens", "ids", F.crc32(F.encode("decoded", "UTF-8")).alias("decoded_crc32"), F.col("decoded").eqNullSafe(F.col("text")).alias("exact"))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, Scratch, bounded_sample, ddl, drop_clashing, small_batches, table
+from .common import OWN, Scratch, bounded_sample, ddl, drop_clashing, small_batches, spread, table
 from .components import components
 
 BITS, SHINGLE, MOST_BITS, SEED = 64, 3, 3, 42
@@ -192,5 +192,5 @@ def hex_of(fingerprint: Column) -> Column:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    found = near_duplicates(table(spark, sf_dir, "documents"))
+    found = near_duplicates(spread(table(spark, sf_dir, "documents")))
     return found.select("doc_id", hex_of(F.col("fingerprint")).alias("fingerprint"), "component_id")

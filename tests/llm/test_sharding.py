@@ -54,3 +54,12 @@ def test_clashing_columns(spark, odd_docs):
     assert len(rows) == odd_docs.count() and all(r.shard in (0, 1, 2) for r in rows)
     for s in {r.shard for r in rows}:
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+
+
+def test_rows_of_one_partition_are_spread(spark):
+    from loomwork.llm.common import spread
+
+    one = spark.range(1000).coalesce(1)
+    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread(one).count() == 1000
+    even = spark.range(0, 1000, 1, 4)
+    assert spread(even).rdd.getNumPartitions() == 4 and spread(even.limit(0)).count() == 0
