@@ -332,24 +332,57 @@ for _k, _v in {"tableName": "tableName", "columnName": "columnName", "schemaName
 # -- strings from patterns
 
 
+def _alphabet(items) -> str:
+    """The characters of a parsed class."""
+    out, negated = "", False
+    for op, av in items:
+        name = str(op)
+        if name == "NEGATE":
+            negated = True
+        elif name == "LITERAL":
+            out += chr(av)
+        elif name == "RANGE":
+            out += "".join(map(chr, range(av[0], av[1] + 1)))
+        elif name == "CATEGORY":
+            out += {"CATEGORY_DIGIT": "0123456789", "CATEGORY_WORD": _LETTERS["z"] + "_", "CATEGORY_SPACE": " "}.get(str(av), "")
+    every = "".join(map(chr, range(33, 127)))
+    return "".join(c for c in every if c not in out) if negated else out or "x"
+
+
+def slots(pattern: str) -> list[str] | None:
+    """For a pattern of one length, the characters that each place may have, each once; None if lengths or choices differ."""
+    import re._parser as sre
+
+    def of(tree) -> list[str] | None:
+        out: list[str] = []
+        for op, av in tree:
+            match str(op):
+                case "LITERAL":
+                    part = [chr(av)]
+                case "IN":
+                    part = ["".join(dict.fromkeys(_alphabet(av)))]
+                case "MAX_REPEAT" | "MIN_REPEAT" if av[0] == av[1]:
+                    one = of(av[2])
+                    part = None if one is None else one * int(av[0])
+                case "SUBPATTERN":
+                    part = of(av[3])
+                case "AT":
+                    part = []
+                case _:
+                    return None
+            if part is None:
+                return None
+            out += part
+        return out
+
+    return of(sre.parse(pattern))
+
+
 def from_pattern(pattern: str, scope) -> Column:
     """A string that a regular expression matches: classes, groups, choices and bounded repeats. Open repeats end at 8."""
     import re._parser as sre  # the standard parser; its tree is walked below
 
-    def alphabet(items) -> str:
-        out, negated = "", False
-        for op, av in items:
-            name = str(op)
-            if name == "NEGATE":
-                negated = True
-            elif name == "LITERAL":
-                out += chr(av)
-            elif name == "RANGE":
-                out += "".join(map(chr, range(av[0], av[1] + 1)))
-            elif name == "CATEGORY":
-                out += {"CATEGORY_DIGIT": "0123456789", "CATEGORY_WORD": _LETTERS["z"] + "_", "CATEGORY_SPACE": " "}.get(str(av), "")
-        every = "".join(map(chr, range(33, 127)))
-        return "".join(c for c in every if c not in out) if negated else out or "x"
+    alphabet = _alphabet
 
     def build(tree) -> Column:
         out = []
@@ -392,7 +425,14 @@ def _generate(args, scope):
     return Value(from_pattern(str(constant(args, 0, "")), scope), STRING)
 
 
+#: The pattern that each call of a named one stands for, from its arguments.
+PATTERNS = {name: lambda args: str(constant(args, 0, "")) for name in ("regex.generate", "regex", "pattern")}
+
+
 def _sized(name: str, short: str | None, pattern: str, *defaults: int) -> None:
+    for n in filter(None, (f"regex.{name}", short)):
+        PATTERNS[n] = lambda args: pattern.format(*[int(constant(args, i, d)) for i, d in enumerate(defaults)])
+
     def call(args, scope):
         sizes = [int(constant(args, i, d)) for i, d in enumerate(defaults)]
         return Value(from_pattern(pattern.format(*sizes), scope), STRING)

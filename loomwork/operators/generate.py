@@ -15,7 +15,8 @@ from __future__ import annotations
 
 import logging
 from dataclasses import dataclass, field, replace
-from math import gcd
+from datetime import date
+from math import ceil, floor, gcd
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,7 @@ from pyspark.sql.window import Window
 from ..functions import values as V
 from ..functions.builtins import REGISTRY, constant
 from ..functions.compiler import CompileError, Scope, compiled, row_scope
+from ..functions.domains import PATTERNS, slots
 from ..functions.values import Value
 from ..plans import syntax as S
 from ..workspace import folder
@@ -110,6 +112,40 @@ def uniform(seed: int, label: str, *keys: Column) -> Column:
     return F.shiftrightunsigned(h, 11).cast("double") * (2.0**-53)
 
 
+def permutation(row: Column, size: int, seed: int, label: str, rounds: int = 12) -> Column:
+    """The place of ``row`` in a permutation of 0 to ``size`` - 1 that seed and label decide: a swap-or-not shuffle (after
+    Hoang, Morris and Rogaway, 2012). In each round a place may change with the one that mirrors it at a key, as a hash of
+    the pair tells, so each round is a permutation, whatever the size."""
+    import random
+
+    r = random.Random(f"{seed}:{label}:{size}")
+    keys = F.array(*[F.struct(F.lit(r.randrange(size)).cast("long").alias("key"), F.lit(r.getrandbits(60)).alias("salt")) for _ in range(rounds)])
+
+    def swap(x: Column, k: Column) -> Column:
+        other = F.pmod(k["key"] - x, F.lit(size).cast("long"))
+        return F.when(F.xxhash64(F.greatest(x, other), k["salt"]).bitwiseAND(1) == 1, other).otherwise(x)
+
+    return F.aggregate(keys, F.pmod(row.cast("long"), F.lit(size).cast("long")), swap)
+
+
+def _days(ends: list) -> tuple[str, int] | None:
+    """First day and number of days between two years or ISO days, both included; an open end is today."""
+    days = []
+    for value, last in zip(ends, (False, True), strict=True):
+        if value is None and not last:
+            return None
+        if value is None:
+            days.append(date.today())
+        elif isinstance(value, int | float):
+            days.append(date(int(value), 12, 31) if last else date(int(value), 1, 1))
+        else:
+            try:
+                days.append(date.fromisoformat(str(value)))
+            except ValueError:
+                return None
+    return days[0].isoformat(), (days[1] - days[0]).days + 1
+
+
 def names_in(node: S.Node | None) -> set[str]:
     return {n.parts[0] for n in S.walk(node) if isinstance(n, S.Path)} if node is not None else set()
 
@@ -615,9 +651,10 @@ class Generator:
         if f.distribution is not None and isinstance(f.distribution, S.Path) and f.distribution.parts[0] in self.distributions:
             buckets = self.distributions[f.distribution.parts[0]].buckets
             return compiled(S.Choice(tuple((w, S.Draw("int", None, b) if isinstance(b, S.Range) else b) for b, w in buckets)), scope)
-        if f.unique and (v := self.unique(node, row, rows, f"{label}.{f.name}", keys)) is not None:
+        call = named_string(f.name, schema.name) if isinstance(node, S.Draw) and node.kind == "string" else None
+        if f.unique and (v := self.unique(node, row, rows, f"{label}.{f.name}", keys, scope, S.Call(call, ()) if call else None)) is not None:
             return v
-        if isinstance(node, S.Draw) and node.kind == "string" and (call := named_string(f.name, schema.name)):
+        if call:
             return compiled(S.Call(call, ()), scope)
         scope.functions = scope.functions | {"sequence": lambda a, s: self.sequence(a, row, rows, True), "sequenceInt": lambda a, s: self.sequence(a, row, rows, False)}
         return compiled(node, scope)
@@ -699,14 +736,16 @@ class Generator:
             df = df.join(maps, [F.col(k) == F.col(x) for k, x in zip(keys, ks, strict=True)], "left").drop(*ks)
         return df
 
-    def unique(self, node: S.Node, row: Column, rows: int, label: str, keys: list[Column]) -> Value | None:
-        """A value of its own for each row: a permutation of the range or of the options; wraps around when they run out."""
+    def unique(self, node: S.Node, row: Column, rows: int, label: str, keys: list[Column], scope: Scope, plain: S.Node | None = None) -> Value | None:
+        """A value of its own for each row: a permutation of the range or of the options, which wraps around when they run
+        out; texts of other kinds carry their row's number. None for what can't repeat or can't be kept from it, with a
+        warning if so."""
         if isinstance(node, S.Draw) and node.kind == "int" and node.within and isinstance(node.within.low, S.Literal) and isinstance(node.within.high, S.Literal):
             low, size = int(node.within.low.value), int(node.within.high.value) - int(node.within.low.value) + 1
         elif isinstance(node, S.Choice):
             low, size = 0, len(node.options)
         else:
-            return None
+            return self.unique_of(node, row, rows, label, scope, plain)
         if rows > size:
             self.warn(UNIQUE, f"{label}: {rows} rows have only {size} unique values")
         step = (int(size * 0.618) | 1) + 2 * (self.options.seed % 97)
@@ -720,6 +759,50 @@ class Generator:
             return Value(F.element_at(F.array(*[V.to(o, t) for o in options]), (at + 1).cast("int")), t)
         return Value(at + low, T.LongType())
 
+    def unique_of(self, node: S.Node, row: Column, rows: int, label: str, scope: Scope, plain: S.Node | None) -> Value | None:
+        """Unique decimals, dates, booleans, patterns and other texts."""
+        within = node.within if isinstance(node, S.Draw) else None
+        ends = [x.value if isinstance(x, S.Literal) else None for x in (within.low, within.high)] if within else [None, None]
+
+        def permuted(size: int) -> Column:
+            if rows > size:
+                self.warn(UNIQUE, f"{label}: {rows} rows have only {size} unique values")
+            return permutation(row, size, self.options.seed, label)
+
+        if isinstance(node, S.Draw) and node.kind == "decimal" and (within is None or None not in ends):
+            low, high = (0.0, 1000.0) if within is None else map(float, ends)
+            places = node.precision if node.precision is not None else None if within else 2
+            if places is None:  # each row has a stretch of the range to itself
+                count = max(rows, 1)
+                return Value((permutation(row, count, self.options.seed, label) + scope.uniform("decimal")) / count * (high - low) + low, T.DoubleType())
+            first = ceil(round(low * 10**places, 6))
+            return Value((permuted(floor(round(high * 10**places, 6)) - first + 1) + first) / float(10**places), T.DoubleType())
+        if isinstance(node, S.Draw) and node.kind == "date" and (days := _days(ends if within else ["2020-01-01", None])) is not None:
+            return Value(F.date_add(F.lit(days[0]).cast("date"), permuted(days[1]).cast("int")), T.DateType())
+        if isinstance(node, S.Draw) and node.kind == "boolean":
+            return Value(permuted(2) == 1, T.BooleanType())
+        if isinstance(node, S.Call) and node.name in PATTERNS and (places := slots(PATTERNS[node.name](node.args))):
+            # the last places, as many as a number can tell apart, are unique together; those before them are drawn
+            size, k = 1, len(places)
+            while k and size * len(places[k - 1]) <= 1 << 50:
+                k -= 1
+                size *= len(places[k])
+            tail, n, parts = places[k:], permuted(size), []
+            for x in reversed(tail):
+                parts.append(F.substr(F.lit(x), (n % len(x) + 1).cast("int"), F.lit(1)))
+                n = F.floor(n / len(x)).cast("long")
+            head = [F.substr(F.lit(x), F.floor(scope.uniform("place") * len(x)).cast("int") + 1, F.lit(1)) for x in places[:k]]
+            return Value(F.concat(*head, *reversed(parts)), T.StringType())
+        if isinstance(node, S.Call) and node.name in ("sequence", "sequenceInt", "uuid", "faker.string.uuid"):
+            return None
+        v = compiled(plain or node, scope) if isinstance(node, S.Call | S.Draw) else None
+        if v is None or v.kind != "string":
+            self.warn(UNIQUE, f"{label}: values of this kind aren't kept from repeating")
+            return None
+        number = F.lower(F.conv(row.cast("string"), 10, 36))
+        text = F.when(v.column.contains("@"), F.regexp_replace(v.column, F.lit("@"), F.concat(F.lit("."), number, F.lit("@")))).otherwise(F.concat(v.column, F.lit("-"), number))
+        return Value(text, T.StringType())
+
     def sequence(self, args: tuple[S.Node, ...], row: Column, rows: int, text: bool) -> Value:
         """Numbers counted on across the collections that use one name."""
         name, start = str(constant(args, 0, "")), int(constant(args, 1, 1))
