@@ -28,15 +28,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bloom import flagged
-from .common import OWN, Scratch, ddl, drop_clashing, small_batches, table
+from .common import OWN, Scratch, ddl, drop_clashing, small_batches, spread, table
 
 ORDER = 4
 #: A context's own counts weigh against this many of what the shorter context says.
 TRUST = 8.0
 #: The border of a text: a number above all code points.
 BORDER = 0x110000
-#: Characters of a group of texts, and tokens that are counted at once.
-GROUP_CHARS, TOKENS = 24_000_000, 1 << 20
+#: Characters of a group of texts (at most twice as many, and fewer where tasks would stand idle), and tokens that are
+#: counted at once.
+GROUP_CHARS, LEAST_CHARS, TOKENS = 16_000_000, 2_000_000, 1 << 18
 GRAM, GROUP = ["a", "b", "c", "d"], f"{OWN}group"
 
 
@@ -110,7 +111,10 @@ def dealt(docs: DataFrame, text: str = "text") -> DataFrame:
     """The ``docs`` that have a text, with the ``group`` of each: rows of one task in the order in which they come, so a group
     of copies is dealt like any others. Write the table before it is used twice."""
     docs = small_batches(docs.where(F.length(text) > 0))
-    column, most = docs.columns.index(text), GROUP_CHARS
+    total = docs.agg(F.sum(F.length(text))).first()[0] or 0
+    groups = max(-(-total // GROUP_CHARS), min(-(-total // LEAST_CHARS), docs.sparkSession.sparkContext.defaultParallelism))
+    docs = docs.coalesce(max(1, groups))  # small files are put together, so that their grams are
+    column, most = docs.columns.index(text), 2 * GROUP_CHARS
 
     def run(batches):
         from pyspark import TaskContext
@@ -136,26 +140,29 @@ def counted(docs: DataFrame, text: str = "text", good: str | None = None) -> Dat
     most = TOKENS
 
     def run(batches):
-        number, texts, flags = None, [], []
+        number, held = None, []
         for batch in batches:
-            for t, good, at in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if at != number and texts:  # rows of a group stand together; one that is cut in two gives its grams twice
-                    yield from _tally(texts, flags, number, most)
-                    texts, flags = [], []
-                number = at
-                texts.append(t)
-                flags.append(good)
-        if texts:
-            yield from _tally(texts, flags, number, most)
+            at = batch.column(2).to_numpy()
+            cuts = [0, *(np.nonzero(at[1:] != at[:-1])[0] + 1), len(at)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a < b:
+                    if held and at[a] != number:  # rows of a group stand together; one that is cut in two gives its grams twice
+                        yield from _tally(held, number, most)
+                        held = []
+                    number = int(at[a])
+                    held.append((batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a)))
+        if held:
+            yield from _tally(held, number, most)
 
     return rows.mapInArrow(run, f"{GROUP} bigint, a int, b int, c int, d int, near bigint, far bigint")
 
 
-def _tally(texts: list[str], flags: list[bool], number: int, most: int):
-    """The distinct grams of a group's texts, counted."""
+def _tally(rows: list[tuple[pa.Array, pa.Array]], number: int, most: int):
+    """The distinct grams of a group's texts, counted. Texts stay in Arrow's memory until it's their turn."""
     seen = np.zeros(0, np.uint32)
-    for t in texts:
-        seen = np.union1d(seen, np.unique(tokens_of(t)))
+    for texts, _ in rows:
+        for t in texts:
+            seen = np.union1d(seen, np.unique(tokens_of(t.as_py())))
     alphabet, parts, held, size = Alphabet(seen), [], [], 0
 
     def add() -> None:
@@ -165,7 +172,7 @@ def _tally(texts: list[str], flags: list[bool], number: int, most: int):
         parts.append((np.concatenate([near, far]), np.concatenate([near_n, np.zeros(len(far), np.int64)]), np.concatenate([near_n, far_n])))
         held.clear()
 
-    for t, good in zip(texts, flags, strict=True):
+    for t, good in ((t.as_py(), g.as_py()) for texts, flags in rows for t, g in zip(texts, flags, strict=True)):
         held.append((alphabet.of_text(t), good))
         size += len(t)
         if size >= most:
@@ -217,7 +224,7 @@ def score(docs: DataFrame, text: str = "text", good: Column | None = None) -> Da
     texts = scratch.put(dealt(docs, text), "texts")
     grams = scratch.put(counted(texts, text, mark), "grams")
     sums = scratch.put(grams.groupBy(*GRAM).agg(F.sum("near").alias("near"), F.sum("far").alias("far")), "counts")
-    told = losses(sums)
+    told = scratch.put(losses(sums), "losses")  # its true size tells the planner how to join it
     if not (sums.agg(F.sum("near")).first()[0] or 0):
         told = told.withColumn("loss_near", F.col("loss_far"))
     needed = grams.select(GROUP, *GRAM).join(told, GRAM).select(GROUP, *GRAM, F.col("loss_near").cast("float").alias("near"), F.col("loss_far").cast("float").alias("far"))
@@ -250,7 +257,7 @@ def score(docs: DataFrame, text: str = "text", good: Column | None = None) -> Da
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
     good = table(spark, sf_dir, "labels").where("quality = 1")
     good = good.select(F.col("doc_id").cast("string").alias("id")).where("id IS NOT NULL").distinct()
     marked = flagged(docs, F.col("doc_id").cast("string"), good, "id", f"{OWN}good")
