@@ -201,6 +201,10 @@ class Generator:
         # references inside nested collections, by place: being gathered, and gathered (collection, column)
         self.inside: dict[str, tuple[str, str]] | None = None
         self.drawn_inside: dict[str, tuple[str, str]] = {}
+        # sequences inside nested collections, by place: being gathered (mark), and counted (column of the row's first
+        # number, column of the row's elements, and how many there are in all rows)
+        self.counting: dict[str, str] | None = None
+        self.counted: dict[str, tuple[str, str, T.DataType, int]] = {}
         self.picks: dict[tuple, tuple[DataFrame, int]] = {}
 
     # -- whole programs
@@ -301,23 +305,28 @@ class Generator:
         label = f"{c.name}.{schema.name}"
         rules = bool(schema.assumes)
         later, in_turn = self._later(fields, schema)
-        inside = self._refers_inside(fields)
-        redrawn = rules and not in_turn and (inside or self._read_by_rules(schema, fields))
+        inside = self._nested(fields, lambda f: isinstance(f.type, S.AnyOf) and f.type.collection.parts[0] in self.made)
+        numbering = not in_turn and self._nested(fields, lambda f: any(isinstance(n, S.Call) and n.name in ("sequence", "sequenceInt") for n in S.walk(f.type)))
+        redrawn = rules and not in_turn and (inside or numbering or self._read_by_rules(schema, fields))
         start = self.labels
 
-        def look_up(df: DataFrame) -> tuple[DataFrame, dict[str, Value]]:
+        def look_up(df: DataFrame, last: bool = True) -> tuple[DataFrame, dict[str, Value]]:
             df, given = self.referenced(df, fields, made, schema.name, TRY if redrawn else None)
             if c.per:
                 given["parent"] = row_scope(df.schema, self.lets, self.options.functions).fields["parent"]
-            if inside:
-                self.inside, begin = {}, self.labels
+            self.counted = {}
+            if inside or numbering and last:
+                self.inside, self.counting, begin = {}, {}, self.labels
                 self.before = (lambda args, s: V.literal(None)) if in_turn else None
                 try:
                     _, arr, kind = attempts(F.array(TRY) if redrawn else F.sequence(F.lit(0), F.lit(0)), given)
                 finally:
                     self.drawn_inside, self.inside, self.before = self.inside, None, None
+                    marks, self.counting = self.counting, None
                     self.labels = begin  # the rows themselves draw the same
                 df = self.looked_up_inside(df, arr, kind, [ROW, TRY] if redrawn else [ROW])
+                if numbering and last:
+                    df = self.numbered_inside(df, arr, kind, marks, made.count)
             return df, given
 
         def attempts(numbers: Column, given: dict[str, Value], row: Column = F.col(ROW)) -> tuple[Column, Column, T.StructType]:
@@ -343,7 +352,7 @@ class Generator:
             def first_fit(rows: DataFrame, first: int, count: int) -> DataFrame:
                 """The first of some attempts that satisfies the rules, of each row that has one."""
                 self.labels = start
-                rows, given = look_up(rows.withColumn(TRY, F.explode(F.sequence(F.lit(first), F.lit(first + count - 1)))))
+                rows, given = look_up(rows.withColumn(TRY, F.explode(F.sequence(F.lit(first), F.lit(first + count - 1)))), False)
                 fitting = rows.where(F.size(attempts(F.array(TRY), given)[0]) > 0)
                 return fitting.groupBy(ROW).agg(F.min(TRY).alias(TRY))
 
@@ -656,7 +665,8 @@ class Generator:
             return v
         if call:
             return compiled(S.Call(call, ()), scope)
-        scope.functions = scope.functions | {"sequence": lambda a, s: self.sequence(a, row, rows, True), "sequenceInt": lambda a, s: self.sequence(a, row, rows, False)}
+        place = label if len(keys) > 2 else None
+        scope.functions = scope.functions | {"sequence": lambda a, s: self.sequence(a, row, rows, True, place, keys[2:]), "sequenceInt": lambda a, s: self.sequence(a, row, rows, False, place, keys[2:])}
         return compiled(node, scope)
 
     def nested(self, schema: S.Schema, n: Column, scope: Scope, label: str, keys: list[Column]) -> tuple[Column, T.StructType]:
@@ -666,10 +676,13 @@ class Generator:
         arr, kind = self.elements(numbers, T.StructType([T.StructField(NUMBER, T.IntegerType())]), self.fields(schema), schema, f"{label}<{schema.name}>", keys, scope, 0)
         private = {f.name for f in schema.fields if f.private and self.inside is None} | {NUMBER}
         shown = T.StructType([f for f in kind.fields if f.name not in private])
-        return F.transform(arr, lambda x: F.struct(*[x[f.name].alias(f.name) for f in shown.fields])), shown
+        mark = (self.counting or {}).get(f"{label}<{schema.name}>")
+        extra = [T.StructField(mark, T.LongType())] if mark else []
+        ones = [F.lit(1).cast("long").alias(mark)] if mark else []
+        return F.transform(arr, lambda x: F.struct(*[x[f.name].alias(f.name) for f in shown.fields], *ones)), T.StructType([*shown.fields, *extra])
 
-    def _refers_inside(self, fields: list[S.Field]) -> bool:
-        """Whether rows of nested collections refer to a collection."""
+    def _nested(self, fields: list[S.Field], asked) -> bool:
+        """Whether a field of a nested collection's rows is as asked for."""
         seen: set[str] = set()
 
         def nested(node: S.Node) -> bool:
@@ -678,10 +691,33 @@ class Generator:
             if name not in self.schemas or name in seen:
                 return False
             seen.add(name)
-            return any(isinstance(f.type, S.AnyOf) and f.type.collection.parts[0] in self.made or nested(f.type) for f in self.fields(self.schemas[name]))
+            return any(asked(f) or nested(f.type) for f in self.fields(self.schemas[name]))
 
         return any(nested(f.type) for f in fields)
 
+    def numbered_inside(self, df: DataFrame, arr: Column, kind: T.StructType, marks: dict[str, str], rows: int) -> DataFrame:
+        """``df`` with, for each place of a sequence in nested collections, the shape of the row's elements (nested arrays) and
+        the number of elements in all rows before it."""
+
+        def shape(c: Column, t: T.DataType, mark: str) -> Column | None:
+            if isinstance(t, T.ArrayType):
+                return F.transform(c, lambda x: shape(x, t.elementType, mark)) if shape(F.lit(None), t.elementType, mark) is not None else None
+            if not isinstance(t, T.StructType):
+                return None
+            if mark in t.names:
+                return c.getField(mark)
+            return next((x for f in t.fields if (x := shape(c.getField(f.name), f.dataType, mark)) is not None), None)
+
+        for place, mark in marks.items():
+            own = shape(F.try_element_at(arr, F.lit(1)), kind, mark)
+            if own is None:
+                continue
+            df = df.withColumn(mark, own)
+            size = _leaves(F.col(mark), df.schema[mark].dataType)
+            df = running.before_each(df, ROW, size, rows, f"{mark}_first")
+            self.counted[place] = (f"{mark}_first", mark, df.schema[mark].dataType, df.agg(F.sum(size)).first()[0] or 0)
+        return df
+
     def carried(self, node: S.AnyOf, place: str, keys: list[Column]) -> Value:
         """A reference inside a nested collection. Its draw is an ordinal that the row's keys alone decide; rows are looked up
         for all ordinals of a row at once (``looked_up_inside``) and found here in the row's map."""
@@ -803,11 +839,19 @@ class Generator:
         text = F.when(v.column.contains("@"), F.regexp_replace(v.column, F.lit("@"), F.concat(F.lit("."), number, F.lit("@")))).otherwise(F.concat(v.column, F.lit("-"), number))
         return Value(text, T.StringType())
 
-    def sequence(self, args: tuple[S.Node, ...], row: Column, rows: int, text: bool) -> Value:
-        """Numbers counted on across the collections that use one name."""
+    def sequence(self, args: tuple[S.Node, ...], row: Column, rows: int, text: bool, place: str | None = None, path: list[Column] = ()) -> Value:
+        """Numbers counted on across the collections that use one name; inside nested collections, across the elements of all
+        rows."""
         name, start = str(constant(args, 0, "")), int(constant(args, 1, 1))
+        if place is not None and self.counting is not None:
+            self.counting.setdefault(place, f"__in{len(self.counting)}")
+        if place is not None and place in self.counted:
+            first, shape, kind, rows = self.counted[place]
+            row = self.column(first) + _before(self.column(shape), kind, path)
         key = (name, text)
-        use = (key, len(self.made))  # of this collection, however often its expression is built
+        use = (key, len(self.made), place)  # of this collection, however often its expression is built
+        if self.counting is not None:
+            return Value(F.lit(name), T.StringType()) if text else Value(F.lit(0).cast("long"), T.LongType())
         if use not in self.sequences:
             self.sequences[use] = self.sequences.get(key, 0)
             self.sequences[key] = self.sequences[use] + rows
@@ -996,6 +1040,25 @@ def _stepwise(ref: str, mutations: list[S.Mutation]) -> bool:
     return False
 
 
+def _leaves(c: Column, kind: T.DataType) -> Column:
+    """How many elements nested arrays (or one single value) hold."""
+    if not isinstance(kind, T.ArrayType):
+        return F.when(c.isNotNull(), 1).otherwise(0).cast("long")
+    if not isinstance(kind.elementType, T.ArrayType):
+        return F.greatest(F.size(c), F.lit(0)).cast("long")
+    zero = F.lit(0).cast("long")
+    return F.coalesce(F.aggregate(c, zero, lambda s, x: s + _leaves(x, kind.elementType)), zero)
+
+
+def _before(c: Column, kind: T.DataType, path: list[Column]) -> Column:
+    """How many elements of nested arrays stand before the one at a path of places."""
+    if not isinstance(kind, T.ArrayType):
+        return F.lit(0).cast("long")
+    if not isinstance(kind.elementType, T.ArrayType):
+        return path[0].cast("long")
+    return _leaves(F.slice(c, 1, path[0]), kind) + _before(F.get(c, path[0]), kind.elementType, path[1:])
+
+
 def _mapped(arr: Column, f) -> Column:
     """``transform`` of a function of one argument, whatever defaults it has besides."""
     return F.transform(arr, lambda x: f(x))
