@@ -701,10 +701,10 @@ def _(spark, sf):
     return df.select("o_orderkey", (F.floor(F.col("o_totalprice") * 100 + 0.5) / 100).alias("o_totalprice"))
 
 
-@entry("gen_then_last_write", "SELECT o_orderkey, coalesce(f, o_orderstatus) AS o_orderstatus FROM orders LEFT JOIN (SELECT l_orderkey, arg_max(l_returnflag, l_linenumber) AS f, count(*) = count(DISTINCT l_linenumber) AS good FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE coalesce(good, true)")
+@entry("gen_then_last_write", "SELECT o_orderkey, coalesce(f, o_orderstatus) AS o_orderstatus FROM orders LEFT JOIN (SELECT l_orderkey, l_returnflag AS f FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey DESC, l_returnflag DESC) = 1) ON l_orderkey = o_orderkey")
 def _(spark, sf):
-    ties = read(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").count().where("count > 1").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
-    return _mutated(spark, sf, "order.o_orderstatus = l_returnflag").join(ties, "o_orderkey", "left_anti").select("o_orderkey", "o_orderstatus")
+    row = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_returnflag"))
+    return _mutated(spark, sf, "order.o_orderstatus = l_returnflag", row).select("o_orderkey", "o_orderstatus")
 
 
 @entry("gen_then_last_write_all", "SELECT o_orderkey, coalesce(f, o_orderstatus) AS o_orderstatus FROM orders LEFT JOIN (SELECT l_orderkey, l_returnflag AS f FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_returnflag DESC) = 1) ON l_orderkey = o_orderkey")

@@ -5,12 +5,16 @@ Round trips write to a folder below ``spark.checkpoint.dir``, or a temporary one
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from .catalogue import _LINE, each, entry, orders_with_items, read
+from .operators import cells, running
+from .operators import mine as M
 from .operators import profile as P
-from .operators import running
 from .operators.check import Checker
+from .operators.describe import schema_text
 from .operators.generate import Generator, Made, Options
 from .sources import csv, ndjson, openapi
 from .streaming import checks
@@ -341,3 +345,90 @@ def _(spark, sf):
     items = _baskets(spark, sf).select("key", "total", F.explode("items").alias("i")).select("key", "total", F.col("i.part.p_partkey").alias("p_partkey"), "i.n")
     items = items.join(read(spark, sf, "part").select("p_partkey", "p_size"), "p_partkey")
     return items.groupBy("key", "total").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("p_size") * F.col("n")).alias("sum")).select("key", "n", (F.col("sum") == F.col("total")).alias("same"))
+
+
+# -- values without repeats, and numbers inside nested collections
+
+
+@entry("gen_nested_sequences", "SELECT o_orderkey AS key, k + 1 AS place, row_number() OVER (ORDER BY o_orderkey, k)::BIGINT AS id FROM (SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 3 WHEN 'F' THEN 2 ELSE 0 END AS n FROM orders), range(0, 3) t(k) WHERE k < n")
+def _(spark, sf):
+    """Items of all orders numbered without a gap, in the orders' own order."""
+    orders = running.numbered(read(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey")
+    text = 'schema Item { id: sequenceInt("item", 1) } schema R { key: parent.o_orderkey, items: (parent.o_orderstatus == "O" ? 3 : parent.o_orderstatus == "F" ? 2 : 0) of Item } dataset D { rs: 1 per orders of R }'
+    rows = Generator(spark, text, Options(tables={"orders": orders})).run()["rs"]
+    return rows.select("key", F.posexplode("items").alias("place", "item")).select("key", (F.col("place") + 1).cast("long").alias("place"), "item.id")
+
+
+_UNIQUE = {"price": "unique decimal(2) in 1..20000", "share": "unique decimal in 0..1", "day": "unique date in 1000..2999", "plate": 'unique regex("[A-Z]{3}-[0-9]{4}")', "mail": "unique email()", "name": "unique string", "n": "unique int in 1..2000000"}
+
+
+@entry("gen_unique_domains", "SELECT unnest(['day', 'mail', 'n', 'name', 'plate', 'price', 'share']) AS field, (SELECT count(*) FROM orders) AS n")
+def _(spark, sf):
+    """How many values of each field are different: as many as there are orders."""
+    orders = running.numbered(read(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
+    fields = ", ".join(f"{k}: {v}" for k, v in _UNIQUE.items())
+    rows = Generator(spark, f"schema R {{ {fields} }} dataset D {{ rs: 1 per orders of R }}", Options(8, tables={"orders": orders})).run()["rs"]
+    told = rows.agg(*[F.count_distinct(k).alias(k) for k in _UNIQUE])
+    return told.select(F.explode(F.array(*[F.struct(F.lit(k).alias("field"), F.col(k).alias("n")) for k in sorted(_UNIQUE)])).alias("x")).select("x.*")
+
+
+# -- cells of several types, wide tables, equal structures
+
+
+_MIXED_SQL = """
+WITH cells AS (
+  SELECT 'k' AS key, 'int' AS tag FROM events
+  UNION ALL SELECT 'v', CASE event_type WHEN 'click' THEN CASE WHEN value = floor(value) THEN 'int' ELSE 'decimal' END WHEN 'view' THEN 'date' WHEN 'error' THEN 'array' WHEN 'purchase' THEN 'object' ELSE 'string' END FROM events WHERE event_id % 5 <> 0
+)
+SELECT key, tag, count(*) AS n FROM cells GROUP BY 1, 2"""
+
+
+@entry("prof_cell_types", _MIXED_SQL)
+def _(spark, sf):
+    """The table's JSON column with a further key whose cells are of several types."""
+    events, kind = read(spark, sf, "events"), F.col("event_type")
+    day = F.concat(F.lit('"'), F.date_format("ts", "yyyy-MM-dd"), F.lit('"'))
+    cell = F.when(kind == "click", F.format_string("%s", F.col("value"))).when(kind == "view", day).when(kind == "error", F.lit("[1]")).when(kind == "purchase", F.lit('{"a": 1}')).otherwise(F.lit('"text"'))
+    text = F.when(F.col("event_id") % 5 == 0, F.col("props")).otherwise(F.concat(F.expr("substring(props, 1, length(props) - 1)"), F.lit(', "v": '), cell, F.lit("}")))
+    return cells.tag_counts(events.select(text.alias("props")), "props")
+
+
+@entry("prof_cell_columns", "SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events")
+def _(spark, sf):
+    events = read(spark, sf, "events")
+    found = cells.cells_of(events, "props")
+    keyed = events.select(F.concat(F.expr("substring(props, 1, length(props) - 1)"), F.lit(', "event_id": '), F.col("event_id").cast("string"), F.lit("}")).alias("props"))
+    return cells.typed(keyed, "props", [*found, cells.Cells("event_id", {"int": 1})]).select("event_id", "k")
+
+
+def _wide(k: int) -> str:
+    return f"(l_orderkey * 7919 + l_partkey * {(k + 3) * 104729} + l_suppkey * {(k * k + 1) * 1299709}) % 9973 + {17 * k + 1}"
+
+
+_WIDE_SQL = f"""
+WITH h AS (SELECT *, {", ".join(f"{_wide(k)} AS h{k}" for k in range(9))} FROM lineitem),
+t AS (SELECT *, l_quantity * l_extendedprice AS net, l_suppkey + l_linenumber + h0 + CASE WHEN l_orderkey % 50 = 0 THEN 9 ELSE 0 END AS three, l_partkey - h1 AS gap, h2 * 2.5::DOUBLE AS twice FROM h)
+SELECT 'product' AS kind, 'net' AS target, 'l_quantity * l_extendedprice' AS text, avg(CASE WHEN abs(net - l_quantity * l_extendedprice) <= 0.01 THEN 1.0::DOUBLE ELSE 0 END) AS support FROM t
+UNION ALL SELECT 'sum3', 'three', 'l_suppkey + l_linenumber + h0', avg(CASE WHEN abs(three - (l_suppkey + l_linenumber + h0)) <= 0.0001 * greatest(abs(three), 1) THEN 1.0::DOUBLE ELSE 0 END) FROM t
+UNION ALL SELECT 'sum', 'l_partkey', 'h1 + gap', avg(CASE WHEN abs(l_partkey - (h1 + gap)) <= 0.0001 * greatest(abs(l_partkey), 1) THEN 1.0::DOUBLE ELSE 0 END) FROM t
+UNION ALL SELECT 'multiple', 'h2', 'twice * 0.4', avg(CASE WHEN abs(h2 - twice * 0.4) <= 0.01 THEN 1.0::DOUBLE ELSE 0 END) FROM t"""
+
+
+@entry("mine_wide", _WIDE_SQL)
+def _(spark, sf):
+    """The relations of twenty numeric columns of line items, four of which are made of others, one with exceptions."""
+    df = read(spark, sf, "lineitem").select("l_quantity", "l_extendedprice", "l_partkey", "l_suppkey", "l_linenumber", "l_discount", "l_tax", "l_orderkey", *[F.expr(_wide(k)).alias(f"h{k}") for k in range(9)])
+    df = df.withColumn("net", F.col("l_quantity") * F.col("l_extendedprice")).withColumn("gap", F.col("l_partkey") - F.col("h1")).withColumn("twice", F.col("h2") * 2.5)
+    df = df.withColumn("three", F.col("l_suppkey") + F.col("l_linenumber") + F.col("h0") + F.when(F.col("l_orderkey") % 50 == 0, 9).otherwise(0)).drop("l_orderkey")
+    return spark.createDataFrame([(r.kind, r.target, r.text, r.support) for r in M.derivations(df)], "kind string, target string, text string, support double")
+
+
+@entry("describe_equal_structures", "SELECT count(*) = (SELECT count(*) FROM orders) AS whole, 'Bill, Order' AS schemas, 'Bill' AS ship FROM orders")
+def _(spark, sf):
+    """Two structs of one structure under two names give one schema."""
+    one = lambda c, k: F.struct((F.col(c) * k).alias("amount"), F.concat(F.lit(f"{k}-"), F.col("o_orderkey").cast("string")).alias("code"))
+    df = read(spark, sf, "orders").select("o_orderkey", one("o_totalprice", 1).alias("bill"), one("o_totalprice", 2).alias("ship"))
+    table = P.profile(df)
+    text = "\n".join(schema_text("Order", table))
+    names, ship = ", ".join(sorted(re.findall(r"schema (\w+) \{", text))), re.search(r"ship: (\w+)", text)[1]
+    return spark.createDataFrame([(table.rows == df.count(), names, ship)], "whole boolean, schemas string, ship string")

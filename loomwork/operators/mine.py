@@ -25,7 +25,7 @@ ABSOLUTE, RELATIVE = 0.01, 1e-4
 #: Candidates that one pass over the table tests.
 CHUNK = 150
 #: Part of the rows on which candidates are ruled out (all rows of a small table), and candidates and rows of one matrix.
-PART, SMALL, AT_ONCE, ROWS = 10, 20_000, 256, 2048
+PART, SMALL, AT_ONCE, ROWS = 10, 5_000, 128, 512
 
 # Names between which an order of numbers means something.
 ORDERED_NAMES = [
