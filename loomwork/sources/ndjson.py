@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import json_parts
+
 #: ``name: {...}`` on a line.
 PREFIX = r"(?s)\A([^{]+?): (\{.*)\z"
 COLLECTION = "_collection"
@@ -18,7 +20,11 @@ def read_ndjson(spark: SparkSession, path: str, schema: T.StructType | str | Non
 
 
 def read_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """A file with one object of arrays: a collection for each."""
+    """A file with one object of arrays: a collection for each. Arrays of objects are read in parts (``json_parts``); only
+    files that hold other arrays too are read whole."""
+    found = json_parts.read_parts(spark, path)
+    if found is not None:
+        return found
     whole = spark.read.option("multiLine", True).json(path)
     out = {}
     for f in whole.schema.fields:
