@@ -5,6 +5,7 @@ Round trips write to a folder below ``spark.checkpoint.dir``, or a temporary one
 
 from __future__ import annotations
 
+import datetime
 import re
 
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from .operators.check import Checker
 from .operators.describe import schema_text
 from .operators.generate import Generator, Made, Options
 from .sources import csv, ndjson, openapi
-from .streaming import checks
+from .streaming import checks, state
 from .workspace import folder as _folder
 
 
@@ -151,6 +152,41 @@ def _(spark, sf):
     return spark.read.schema("event_id bigint").parquet(f"{at}/rows")
 
 
+def _in_batches(spark, sf, act):
+    """The table of events as a stream of four batches by time, through ``act``, to its end: a last batch holds one row of
+    no user, a year later, which closes everything before it."""
+    at = _folder(spark, "stream")
+    events = read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    first, last = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    batch = F.expr(f"(unix_micros(ts) - {first or 0}) * 4 div {(last or 0) - (first or 0) + 1}")
+    for i in range(4):
+        events.where(batch == i).write.mode("append").parquet(f"{at}/in/batch={i}")
+    closing = spark.range(1).select(*[(F.timestamp_micros(F.lit((last or 0) + 365 * 86_400_000_000)) if f.name == "ts" else F.lit(None).cast(f.dataType)).alias(f.name) for f in events.schema.fields])
+    closing.write.parquet(f"{at}/in/batch=4")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 64).parquet(f"{at}/in")
+    with state.keeping_state(spark):
+        made = act(stream)
+        checks.pick_up(made, f"{at}/rows", f"{at}/state").awaitTermination()
+    return spark.read.schema(made.schema).parquet(f"{at}/rows")
+
+
+@entry("stream_running_rules", "SELECT event_id, before FROM (SELECT event_id, value, ts, lag(value) OVER w AS before, lag(ts) OVER w AS since FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)) WHERE ts - since <= INTERVAL 2 DAY AND NOT value - before <= 40")
+def _(spark, sf):
+    """A rule on each event and its user's one before, in append mode; users that are still for two days are forgotten."""
+    rule = 'schema Event { assume previous("value") == null or value - previous("value") <= 40 }'
+    days = datetime.timedelta(days=2)
+    rows = _in_batches(spark, sf, lambda s: state.running_errors(s, rule, "Event", ["user_id"], "ts", days, "1 hour", keep=True))
+    return rows.select("event_id", F.col(f"{state.BEFORE}value").alias("before"))
+
+
+@entry("stream_repeated_values", "SELECT event_id, 'value' AS field FROM (SELECT event_id, ts, lag(ts) OVER (PARTITION BY value ORDER BY ts) AS since FROM events WHERE value IS NOT NULL) WHERE ts - since <= INTERVAL 6 HOUR")
+def _(spark, sf):
+    """Events that repeat a value of the last six hours, in append mode."""
+    rule = "schema Event { value: unique decimal in 0..1000 }"
+    rows = _in_batches(spark, sf, lambda s: state.repeats(s, rule, "Event", "ts", datetime.timedelta(hours=6), "1 hour"))
+    return rows.select("event_id", "field")
+
+
 # -- checks of whole datasets
 
 

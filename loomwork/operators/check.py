@@ -104,10 +104,11 @@ class Checker:
             raise KeyError(f"the description has no schema {name!r}")
         return self.schemas[name]
 
-    def rows(self, df: DataFrame, schema: str, column: str = "errors") -> DataFrame:
-        """``df`` with an array of the errors of each row: rule, kind (violation or error) and the values it saw."""
+    def rows(self, df: DataFrame, schema: str, column: str = "errors", functions: dict | None = None) -> DataFrame:
+        """``df`` with an array of the errors of each row: rule, kind (violation or error) and the values it saw. Rules may
+        call further ``functions``."""
         checked, _ = rules_of(self._schema(schema))
-        scope = row_scope(df.schema, self.lets)
+        scope = row_scope(df.schema, self.lets, functions)
         found = [_error(r, scope) for r in checked]
         errors = F.filter(F.array(*found), lambda e: e.isNotNull()) if found else F.array().cast(T.ArrayType(ERROR))
         return df.withColumn(column, errors)
