@@ -178,8 +178,6 @@ def _generate(spark: SparkSession, a: argparse.Namespace, settings: config.Confi
     options = Options(seed, a.strict, imports=openapi.imports_of(program, str(Path(a.file).parent)), functions=plugins.functions(), attempts=settings.attempts, dataset_attempts=settings.dataset_attempts)
     made = Generator(spark, program, options)
     frames = made.run()
-    for w in made.warnings:
-        print(f"warning: {w}", file=sys.stderr)
     valid = True
     if a.validate:
         valid = _matches(frames, openapi.load(a.validate), a.mapping or {})
@@ -190,6 +188,8 @@ def _generate(spark: SparkSession, a: argparse.Namespace, settings: config.Confi
         pretty = settings.pretty if a.pretty is None else a.pretty
         how = csv.Writing(a.csv_delimiter, not a.csv_no_header, a.csv_arrays, a.csv_nested)
         write(frames, a.out, a.format or settings.format, pretty, how, a.csv_single)
+    for w in made.warnings:  # last, as the rows that break rules are counted while they are written
+        print(f"warning: {w}", file=sys.stderr)
     return 0 if valid else 1
 
 

@@ -14,11 +14,12 @@ the number of the first attempt that holds is kept; the row itself is then made
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from datetime import date
 from math import ceil, floor, gcd
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -37,7 +38,7 @@ LOG = logging.getLogger("loomwork.generate")
 FIRST, ATTEMPTS, DATASET_ATTEMPTS = 8, 100, 20
 #: A field with ``?`` on a range, reference or collection is left out with this chance.
 OPTIONAL = 0.3
-ROW, NUMBER, TRY = "_row", "__i", "__try"
+ROW, NUMBER, TRY, UNMET = "_row", "__i", "__try", "__unmet"
 #: Rows that an ordinal group aims at.
 GROUP_ROWS = 50_000
 #: Rows that change one target and are gathered at once.
@@ -61,6 +62,7 @@ def named_string(field_: str, schema: str) -> str | None:
 
 # The kinds of warnings.
 UNIQUE, RETRIES, TARGET, UNKNOWN = "UniqueValueExhaustion", "ConstraintRetryLimit", "MutationTargetNotFound", "UnknownFieldInImportedSchema"
+EVALUATION = "ConstraintEvaluationError"
 
 
 class Warned(str):
@@ -78,7 +80,8 @@ class Options:
     seed: int = 0
     strict: bool = False
     optional: float = OPTIONAL
-    #: Counts the rows that break their rules after all attempts, and warns of them.
+    #: Warns of the rows that break their rules after all attempts. They are counted while a collection's rows are written
+    #: or read to their end; ``Generator.warnings`` counts by a job of its own only where none has been.
     report: bool = True
     #: Attempts of a row and of a dataset.
     attempts: int = ATTEMPTS
@@ -100,6 +103,10 @@ class Made:
     count: int
     references: dict[str, str] = field(default_factory=dict)
     private: set[str] = field(default_factory=set)
+    #: What to say of so many rows that satisfy no attempt, while that isn't known yet.
+    unmet: Callable[[int], str] | None = None
+    #: The rows that satisfy no attempt.
+    attempted: DataFrame | None = None
 
     def shown(self) -> DataFrame:
         hidden = [c for c in self.frame.columns if c == ROW or c.startswith("__") or c in self.private]
@@ -194,7 +201,8 @@ class Generator:
         self.distributions = self.program.all(S.Distribution)
         self.made: dict[str, Made] = {}
         self.sequences: dict[tuple, int] = {}
-        self.warnings: list[Warned] = []
+        self._warnings: list[Warned] = []
+        self.pending: list[tuple[Observation | None, DataFrame, Made]] = []  # collections whose unmet rows aren't counted yet
         self.salt, self.labels = 0, 0
         self.before = None  # what ``previous`` means while rows are made in turn
         self.column = F.col  # where columns of the row being made are found
@@ -215,22 +223,40 @@ class Generator:
             most = self.options.dataset_attempts
             for attempt in range(most + 1):
                 self.salt, self.labels, self.sequences = attempt, 0, {}
+                known = len(self.pending)
                 frames = self.dataset(d)
                 if not d.rules or attempt == most:
                     break
                 inner = {n: m.frame for n, m in self.made.items()}
-                if all(r["ok"] for r in dataset_rules(list(d.rules), inner, self.lets).collect()) != d.violating:
+                outcomes = dataset_rules(list(d.rules), inner, self.lets).collect()
+                for r in outcomes:
+                    if r["failed"]:
+                        self.warn(EVALUATION, f"dataset {d.name}: {r['rule']} can't be evaluated")
+                if all(r["ok"] for r in outcomes) != d.violating:
                     break
+                del self.pending[known:]  # of rows that are thrown away
             if d.rules and attempt == most:
                 self.warn(RETRIES, f"dataset {d.name}: its rules don't hold after {most} attempts")
             out |= frames
         return out
 
+    @property
+    def warnings(self) -> list[Warned]:
+        """All warnings so far. Unmet rows are known from the run that wrote or read a collection to its end; where there
+        was none, or it saw only a part of the rows, they are counted now."""
+        waiting, self.pending = self.pending, []
+        for seen, counted, made in waiting:
+            found = seen.get if seen is not None and seen._jo.future().isCompleted() else {}
+            bad = found["unmet"] if found.get("rows") == made.count else counted.count()
+            if bad:
+                self.warn(RETRIES, made.unmet(bad))
+        return self._warnings
+
     def warn(self, kind: str, text: str) -> None:
-        if text not in self.warnings:
+        if text not in self._warnings:
             said = Warned(text)
             said.kind = kind
-            self.warnings.append(said)
+            self._warnings.append(said)
             LOG.warning("%s: %s", kind, text)
 
     def at_hand(self) -> dict[str, Made]:
@@ -251,7 +277,18 @@ class Generator:
             if made.schema.mutations:
                 self.mutate(made)
         own = {c.name for c in d.collections}
-        return {n: self.embedded(m).shown() for n, m in self.made.items() if n in own or getattr(m, "changed", False)}
+        return {n: self.watched(self.embedded(m)).shown() for n, m in self.made.items() if n in own or getattr(m, "changed", False)}
+
+    def watched(self, made: Made) -> Made:
+        """A collection that counts its unmet rows as it is run through."""
+        if made.unmet is None:
+            return made
+        if UNMET not in made.frame.columns:
+            self.pending.append((None, made.attempted, made))
+            return made
+        seen = Observation()
+        self.pending.append((seen, made.attempted, made))
+        return replace(made, frame=made.frame.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(UNMET).alias("unmet")))
 
     def fields(self, schema: S.Schema, overrides: tuple[S.Field, ...] = ()) -> list[S.Field]:
         """A schema's fields over those of its base, under a collection's overrides."""
@@ -359,7 +396,7 @@ class Generator:
             few = first_fit(df, 0, min(FIRST, self.options.attempts))
             if self.options.attempts > FIRST:
                 few = few.unionByName(first_fit(df.join(few, ROW, "left_anti"), FIRST, self.options.attempts - FIRST))
-            df = df.join(few, ROW, "left").withColumn("__unmet", F.col(TRY).isNull())
+            df = df.join(few, ROW, "left").withColumn(UNMET, F.col(TRY).isNull())
             df = df.withColumn(TRY, F.coalesce(TRY, F.lit(0)))
             self.labels = start
             df, given = look_up(df)
@@ -373,7 +410,7 @@ class Generator:
             if self.options.attempts > first:
                 one = F.coalesce(one, F.try_element_at(attempts(F.sequence(F.lit(first), F.lit(self.options.attempts - 1)), given)[0], F.lit(1)))
             df = df.withColumn("__one", one)
-            df = df.withColumn("__unmet", F.col("__one").isNull()).withColumn("__one", F.coalesce("__one", F.try_element_at(tried, F.lit(1))))
+            df = df.withColumn(UNMET, F.col("__one").isNull()).withColumn("__one", F.coalesce("__one", F.try_element_at(tried, F.lit(1))))
         else:
             df, given = look_up(df)
             arr, _, kind = attempts(F.sequence(F.lit(0), F.lit(0)), given)
@@ -382,12 +419,13 @@ class Generator:
         if not in_turn:
             df = df.select(*[x for x in df.columns if x != "__one"], *[F.col("__one").getField(n).alias(n) for n in names])
         if rules and (self.options.strict or self.options.report):
-            bad = df.where("__unmet").count()
-            said = f"{schema.name}: {bad} of {made.count} rows satisfy no attempt of {self.options.attempts} ({'violating' if violating else 'satisfying'})"
-            if bad and self.options.strict:
-                raise ConstraintError(said)
-            if bad:
-                self.warn(RETRIES, said)
+            most = self.options.attempts
+            made.unmet = lambda bad: f"{schema.name}: {bad} of {made.count} rows satisfy no attempt of {most} ({'violating' if violating else 'satisfying'})"
+            made.attempted = df.where(UNMET)
+            if self.options.strict:  # nothing may come out before all rows are known to satisfy
+                if bad := made.attempted.count():
+                    raise ConstraintError(made.unmet(bad))
+                made.unmet = None
         for f in later:
             df = self.lagged(df, f, made.count) if self._wanted(f) else self.derived(df, f, schema, label, made.count)
         order = [f.name for f in fields if f.name in df.columns]
@@ -503,8 +541,8 @@ class Generator:
                 self.before, self.column = None, F.col
             names = [f.name for f in made.fields if f.name != NUMBER]
             pick = F.array(F.struct(one.isNull().alias("unmet"), F.coalesce(one, F.try_element_at(tried, F.lit(1))).alias("one")))
-            whole = F.transform(pick, lambda p: F.struct(*[p["one"].getField(n).alias(n) for n in names], p["unmet"].alias("__unmet")))
-            return F.element_at(whole, 1), T.StructType([*[f for f in made.fields if f.name != NUMBER], T.StructField("__unmet", T.BooleanType())])
+            whole = F.transform(pick, lambda p: F.struct(*[p["one"].getField(n).alias(n) for n in names], p["unmet"].alias(UNMET)))
+            return F.element_at(whole, 1), T.StructType([*[f for f in made.fields if f.name != NUMBER], T.StructField(UNMET, T.BooleanType())])
 
         for _ in range(8):
             before, kind = kind, row(F.lit(None).cast(kind), F.struct(*[F.col(f"`{c}`") for c in df.columns]), kind)[1]
@@ -512,8 +550,8 @@ class Generator:
                 break
         df = running.in_turn(df, ROW, rows, kind, lambda state, r: row(state, r, kind)[0])
         if not rules:
-            df = df.drop("__unmet")
-        return df, T.StructType([f for f in kind.fields if f.name != "__unmet"])
+            df = df.drop(UNMET)
+        return df, T.StructType([f for f in kind.fields if f.name != UNMET])
 
     # -- references
 
