@@ -67,7 +67,7 @@ def type_text(p: ColumnProfile, names: dict[str, str] | None = None, style: Styl
         return " | ".join(f"{round(n / p.present, 2):g}: {_value(v)}" for v, n in p.options)
     if p.type == "string" and style.formats:
         low = p.name.lower()
-        if not (low == "id" or low.endswith("_id")) and (g := NAME_GENERATORS.get(low.replace("_", ""))):
+        if not (low == "id" or low.endswith("_id")) and (g := NAME_GENERATORS.get(low) or NAME_GENERATORS.get(p.name)):
             return g
         return FORMAT_GENERATORS.get(p.format or "", f"{unique}string")
     if p.type == "date":

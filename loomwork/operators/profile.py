@@ -54,20 +54,31 @@ FORMAT_GENERATORS = {
     "isbn": "faker.commerce.isbn()", "hex-color": "faker.color.rgb()", "ipv4": "faker.internet.ip()", "ipv6": "faker.internet.ipv6()", "phone": "phone()", "hostname": "faker.internet.domainName()", "slug": "slug()",
     "datetime": "datetime()", "ssn": 'regex("[1-8][0-9]{2}-[0-9]{2}-[0-9]{4}")', "time": 'regex("[01][0-9]:[0-5][0-9]")',
 }
-# Field names, compared without case and underscores, and the generators that they stand for.
+# Names of fields and the generators that they stand for, looked up in lower case, then as they are.
 NAME_GENERATORS = {
-    "firstname": "firstName()", "lastname": "lastName()", "fullname": "fullName()", "name": "fullName()",
-    "email": "email()", "emailaddress": "email()", "phone": "phone()", "phonenumber": "phone()", "telephone": "phone()",
-    "street": "streetAddress()", "streetaddress": "streetAddress()", "city": "city()", "state": "faker.location.state()", "country": "country()",
-    "zip": "zipCode()", "zipcode": "zipCode()", "postalcode": "zipCode()",
+    "first_name": "faker.person.firstName()", "firstname": "faker.person.firstName()", "firstName": "faker.person.firstName()",
+    "last_name": "faker.person.lastName()", "lastname": "faker.person.lastName()", "lastName": "faker.person.lastName()",
+    "full_name": "fullName()", "fullname": "fullName()", "fullName": "fullName()", "name": "fullName()",
+    "email": "email()", "email_address": "email()", "emailAddress": "email()",
+    "phone": "phone()", "phone_number": "phone()", "phoneNumber": "phone()", "telephone": "phone()",
+    "street": "faker.location.streetAddress()", "street_address": "faker.location.streetAddress()", "streetAddress": "faker.location.streetAddress()",
+    "city": "faker.location.city()", "state": "faker.location.state()", "country": "faker.location.country()",
+    "zip": "faker.location.zipCode()", "zipcode": "faker.location.zipCode()", "zipCode": "faker.location.zipCode()", "zip_code": "faker.location.zipCode()",
+    "postal_code": "faker.location.zipCode()", "postalCode": "faker.location.zipCode()",
     "url": "faker.internet.url()", "website": "faker.internet.url()", "domain": "faker.internet.domainName()", "hostname": "faker.internet.domainName()",
-    "username": "faker.internet.username()", "avatar": "avatar()", "avatarurl": "avatar()", "ip": "faker.internet.ipv4()", "ipaddress": "faker.internet.ipv4()",
-    "mac": "faker.internet.mac()", "macaddress": "faker.internet.mac()", "company": "companyName()", "companyname": "companyName()", "uuid": "uuid()", "guid": "uuid()",
-    "description": "paragraph()", "bio": "paragraph()", "about": "paragraph()", "summary": "sentence()", "title": "sentence()",
-    "creditcard": "faker.finance.creditCardNumber()", "cardnumber": "faker.finance.creditCardNumber()", "iban": "iban()", "bankaccount": "iban()", "bic": "faker.finance.bic()",
-    "swift": "faker.finance.bic()", "swiftcode": "faker.finance.bic()", "cvv": "faker.finance.creditCardCVV()", "cvc": "faker.finance.creditCardCVV()",
-    "currency": "currencyCode()", "currencycode": "currencyCode()", "isbn": "faker.commerce.isbn()", "sku": "faker.commerce.isbn()", "color": "faker.color.rgb()", "hexcolor": "faker.color.rgb()",
-    "job": "faker.person.jobTitle()", "jobtitle": "faker.person.jobTitle()", "department": "faker.commerce.department()", "slug": "faker.lorem.slug()",
+    "username": "faker.internet.username()", "user_name": "faker.internet.username()", "userName": "faker.internet.username()",
+    "avatar": "faker.image.avatar()", "avatar_url": "faker.image.avatar()", "avatarUrl": "faker.image.avatar()",
+    "ip": "faker.internet.ipv4()", "ip_address": "faker.internet.ipv4()", "ipAddress": "faker.internet.ipv4()",
+    "mac": "faker.internet.mac()", "mac_address": "faker.internet.mac()", "macAddress": "faker.internet.mac()",
+    "company": "companyName()", "company_name": "companyName()", "companyName": "companyName()", "uuid": "uuid()", "guid": "uuid()",
+    "description": "faker.lorem.paragraph()", "bio": "faker.lorem.paragraph()", "about": "faker.lorem.paragraph()", "summary": "faker.lorem.sentence()", "title": "faker.lorem.sentence()",
+    "credit_card": "faker.finance.creditCardNumber()", "creditCard": "faker.finance.creditCardNumber()", "card_number": "faker.finance.creditCardNumber()", "cardNumber": "faker.finance.creditCardNumber()",
+    "iban": "faker.finance.iban()", "bank_account": "faker.finance.iban()", "bankAccount": "faker.finance.iban()",
+    "bic": "faker.finance.bic()", "swift": "faker.finance.bic()", "swift_code": "faker.finance.bic()", "swiftCode": "faker.finance.bic()",
+    "cvv": "faker.finance.creditCardCVV()", "cvc": "faker.finance.creditCardCVV()", "currency": "faker.finance.currencyCode()", "currency_code": "faker.finance.currencyCode()", "currencyCode": "faker.finance.currencyCode()",
+    "isbn": "faker.commerce.isbn()", "color": "faker.color.rgb()", "hex_color": "faker.color.rgb()", "hexColor": "faker.color.rgb()",
+    "job": "faker.person.jobTitle()", "job_title": "faker.person.jobTitle()", "jobTitle": "faker.person.jobTitle()", "department": "faker.commerce.department()",
+    "slug": "faker.lorem.slug()", "sku": "faker.commerce.isbn()",
 }
 
 
