@@ -55,8 +55,7 @@ def write(frames: dict[str, DataFrame], out: str, kind: str, pretty: bool = Fals
     if kind == "csv" and single:
         csv.write_sections(frames, out, how)
     elif kind == "csv":
-        for name, df in frames.items():
-            csv.write_csv(df, os.path.join(out, name), how)
+        csv.write_csvs(frames, out, how)
     elif kind == "parquet":
         for name, df in frames.items():
             df.write.parquet(os.path.join(out, name))

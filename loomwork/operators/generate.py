@@ -18,6 +18,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from datetime import date
 from math import ceil, floor, gcd
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -1112,3 +1113,15 @@ def _either(condition: Column, new: Value, old: Value | None) -> Value:
 def generate(spark: SparkSession, source: str, seed: int = 0, strict: bool = False) -> dict[str, DataFrame]:
     """The collections of a description's datasets."""
     return Generator(spark, source, Options(seed, strict)).run()
+
+
+def generate_file(spark: SparkSession, path: str, options: Options | None = None) -> dict[str, DataFrame]:
+    """The collections of a description in a file, or in the files of a folder by name, anywhere Spark reads from. What it
+    imports is looked for beside a local file."""
+    from ..sources import openapi
+
+    files = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("at")).orderBy("at")
+    program, options = S.parse("\n".join(r["value"] for r in files.collect())), options or Options()
+    if not options.imports and (local := Path(path)).exists():
+        options = replace(options, imports=openapi.imports_of(program, str(local.parent)))
+    return Generator(spark, program, options).run()

@@ -108,6 +108,14 @@ def write_csv(df: DataFrame, path: str, how: Writing | None = None) -> None:
     flattened(df, how).write.option("sep", how.delimiter).option("header", how.header).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
 
 
+def write_csvs(frames: dict[str, DataFrame], path: str, how: Writing | None = None) -> dict[str, str]:
+    """Each collection in a folder of its own below ``path``; the folders by collection."""
+    at = {name: f"{path.rstrip('/')}/{name}" for name in frames}
+    for name, df in frames.items():
+        write_csv(df, at[name], how)
+    return at
+
+
 def escaped(c: Column, delimiter: str = ",") -> Column:
     """A field as CSV text: quoted where it holds the delimiter, a quote or a line end."""
     quoted = F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
