@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import datetime
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
