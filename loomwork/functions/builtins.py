@@ -263,12 +263,12 @@ def _today(values, scope):
 
 @function("daysAgo")
 def _days_ago(values, scope):
-    return Value(F.date_format(F.date_sub(F.current_date(), V.strict_number(arg(values, 0), 0).cast("int")), "yyyy-MM-dd"), STRING)
+    return Value(V.day_text(F.date_sub(F.current_date(), V.strict_number(arg(values, 0), 0).cast("int"))), STRING)
 
 
 @function("daysFromNow")
 def _days_from_now(values, scope):
-    return Value(F.date_format(F.date_add(F.current_date(), V.strict_number(arg(values, 0), 0).cast("int")), "yyyy-MM-dd"), STRING)
+    return Value(V.day_text(F.date_add(F.current_date(), V.strict_number(arg(values, 0), 0).cast("int"))), STRING)
 
 
 def _instant(v: Value, last: bool) -> Column:
@@ -290,7 +290,7 @@ def _datetime(values, scope):
 @function("dateBetween")
 def _date_between(values, scope):
     a, b = _instant(arg(values, 0), False).cast("date"), _instant(arg(values, 1), True).cast("date")
-    return Value(F.date_format(F.date_add(a, F.floor(scope.uniform("date") * (F.datediff(b, a) + 1)).cast("int")), "yyyy-MM-dd"), STRING)
+    return Value(V.day_text(F.date_add(a, F.floor(scope.uniform("date") * (F.datediff(b, a) + 1)).cast("int"))), STRING)
 
 
 @special("formatDate")

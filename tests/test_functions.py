@@ -73,3 +73,16 @@ def test_patterns_match_what_they_generate(spark):
         got = [r[0] for r in df.select(from_pattern(p, scope)).collect()]
         assert all(re.fullmatch(p, g) for g in got), (p, got[:5])
         assert len(set(got)) > 1
+
+
+def test_days_before_year_one_and_after_9999(spark):
+    """Numbers of days that lead to years of other than four digits."""
+    import duckdb
+
+    days = [0, 700_000, 739_000, 740_300, 741_000, 776_000, 900_000, 5_000_000]
+    df = spark.createDataFrame([(n,) for n in days], "n int")
+    scope = row_scope(df.schema)
+    got = {r[0]: r[1:] for r in df.select("n", *[compiled(parse_expression(f"{f}(n)"), scope).column for f in ("daysAgo", "daysFromNow")]).collect()}
+    today = spark.sql("SELECT current_date()").first()[0]
+    want = duckdb.execute("SELECT n, strftime(?::DATE - n, '%Y-%m-%d'), strftime(?::DATE + n, '%Y-%m-%d') FROM unnest(?::INTEGER[]) t(n)", [today, today, days]).fetchall()
+    assert got == {n: (a, b) for n, a, b in want}
