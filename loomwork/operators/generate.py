@@ -473,7 +473,8 @@ class Generator:
                 return [], True
             out += ready
         own = [f for f in out if f.name in self._wanted(f)]
-        if any(self._wanted(f) != [f.name] or f.when is not None or f.optional or running.linear(f.type, running.previous_of(f.name)) is None for f in own):
+        short = lambda f: any(law(f.type, running.previous_of(f.name)) is not None for law in (running.linear, running.clamp))
+        if any(self._wanted(f) != [f.name] or f.when is not None or f.optional or not short(f) for f in own):
             return [], True
         return out, False
 
@@ -495,7 +496,13 @@ class Generator:
         return df.drop(*[f"__prev_{w}" for w in wanted])
 
     def run_on(self, df: DataFrame, f: S.Field, rows: int) -> DataFrame:
-        """A field made of its own previous value by a rate and an addition."""
+        """A field made of its own previous value by a rate and an addition, or by an addition up to a bound."""
+        if (stop := running.clamp(f.type, running.previous_of(f.name))) is not None:
+            scope = row_scope(df.schema, self.lets, self.options.functions)
+            scope.draw = self.drawer([F.col(ROW)], f.name)
+            add = compiled(stop[0], scope)
+            df = df.withColumn("__add", V.number(add).cast(T.LongType() if add.whole else T.DoubleType())).withColumn("__bound", F.lit(stop[1]))
+            return running.mapped(df, ROW, running.bounded(stop[2]), {"add": F.col("__add"), "bound": F.col("__bound")}, rows, f.name).drop("__add", "__bound")
         parts = running.linear(f.type, running.previous_of(f.name))
         if parts is None:
             raise CompileError(f"{f.name} isn't made of its own previous value by a rate and an addition")
@@ -997,10 +1004,12 @@ class Generator:
     def folded(self, rows: DataFrame, target: DataFrame, ref: str, mutations: list[S.Mutation]) -> DataFrame:
         """``target`` after all changes of each referring row in turn. Changes that multiply and add are composed in parts.
         For others, the rows of one target are gathered, at most about FOLDED at once: a target with more takes them in
-        several pieces, each from what the one before left."""
+        several pieces, each from what the one before left. Only such targets are carried from piece to piece."""
         maps = self.maps(rows, target, ref, mutations)
         if maps is not None:
             return self.composed(rows, target, ref, mutations, maps)
+        if (stopped := self.stopped(rows, target, ref, mutations)) is not None:
+            return stopped
         to = f"__fk_{ref}"
         rows = rows.where(F.col(to).isNotNull())
         counts = rows.groupBy(to, F.floor(F.col(ROW) / FOLDED).alias("__c")).agg(F.count(F.lit(1)).alias("__n"))
@@ -1013,13 +1022,38 @@ class Generator:
         keys = [F.col(to) == F.col("__to"), F.floor(F.col(ROW) / FOLDED) == F.col("__c")]
         names, number = rows.columns, most // FOLDED + 1
         spark, at = rows.sparkSession, folder(rows.sparkSession, "then")
-        rows.join(pieces, keys).select(*names, "__piece").write.partitionBy("__piece").parquet(f"{at}/rows")
-        rows = spark.read.parquet(f"{at}/rows")
+        rows.join(pieces, keys).select(*names, "__piece").repartition("__piece", to).write.partitionBy("__piece").parquet(f"{at}/rows")
+        piece = lambda k: spark.read.schema(rows.schema).parquet(f"{at}/rows/__piece={k}")
+        counts.groupBy(F.col(to).alias("__to")).agg(F.sum("__n").alias("n")).where(F.col("n") > FOLDED).select("__to").write.parquet(f"{at}/many")
+        many = spark.read.schema(T.StructType([T.StructField("__to", rows.schema[to].dataType)])).parquet(f"{at}/many")
+        carried = self.fold_once(piece(0).join(many, F.col(to) == F.col("__to"), "left_semi"), target.join(many, F.col(ROW) == F.col("__to"), "left_semi"), ref, mutations)
         for k in range(number):
-            target = self.fold_once(rows.where(F.col("__piece") == k).drop("__piece"), target, ref, mutations)
-            target.write.parquet(f"{at}/target-{k}")
-            target = spark.read.schema(target.schema).parquet(f"{at}/target-{k}")
-        return target
+            if k:
+                carried = self.fold_once(piece(k), carried, ref, mutations)
+            carried.write.parquet(f"{at}/target-{k}")
+            carried = spark.read.schema(carried.schema).parquet(f"{at}/target-{k}")
+        rest = target.join(many, F.col(ROW) == F.col("__to"), "left_anti")
+        return self.fold_once(piece(0).join(many, F.col(to) == F.col("__to"), "left_anti"), rest, ref, mutations).unionByName(carried)
+
+    def stopped(self, rows: DataFrame, target: DataFrame, ref: str, mutations: list[S.Mutation]) -> DataFrame | None:
+        """``target`` after changes that add to one value up to a bound; None where changes do anything else."""
+        m, f = mutations[0], mutations[0].target[1]
+        kind = target.schema[f].dataType if f in target.columns else None
+        stop = running.clamp(m.value, lambda n: isinstance(n, S.Path) and n.parts == (ref, f)) if len(mutations) == 1 and m.op != "+=" else None
+        if stop is None or not isinstance(kind, T.DoubleType | T.LongType) or any(isinstance(n, S.Path) and n.parts[0] == ref and len(n.parts) < 2 for n in S.walk(stop[0])):
+            return None
+        if ref not in rows.columns and any(isinstance(n, S.Path) and n.parts[0] == ref for n in S.walk(stop[0])):
+            return None
+        add, law = compiled(stop[0], row_scope(rows.schema, self.lets, self.options.functions)), running.bounded(stop[2])
+        if isinstance(kind, T.LongType) and not (add.whole and isinstance(stop[1], int)):
+            return None
+        rows = rows.where(F.col(f"__fk_{ref}").isNotNull())
+        changes = rows.select(F.col(f"__fk_{ref}").alias("__to"), ROW, F.coalesce(V.number(add).cast("double"), F.lit(0.0)).alias("__m_add"), F.lit(float(stop[1])).alias("__m_bound"))
+        changes = running.composed(changes, "__to", ROW, ["__m"], law).select("__to", F.struct(F.col("__m_add").alias("add"), F.col("__m_bound").alias("bound")).alias("__m"))
+        df = target.join(changes, F.col(ROW) == F.col("__to"), "left")
+        new = law.after(F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(0.0)), F.col("__m"))
+        df = df.withColumn(f, F.when(F.col("__to").isNotNull(), new.cast(kind)).otherwise(F.col(f"`{f}`")))
+        return df.select(*[F.col(f"`{c}`") for c in target.columns])
 
     def fold_once(self, rows: DataFrame, target: DataFrame, ref: str, mutations: list[S.Mutation]) -> DataFrame:
         """``target`` after the changes of ``rows``, which are gathered by target."""

@@ -1,7 +1,7 @@
 """Values that run on from row to row, by row number, without putting a table in one order or in one task.
 
 Rows are cut by number into chunks of CHUNK. Where what a chunk does to the value handed to it can be said in short (it adds a
-sum; it multiplies and adds), chunks are summed up at the same time, the few summaries are run through in order, by the
+sum; it multiplies and adds; it adds and stops at a bound), chunks are summed up at the same time, the few summaries are run through in order, by the
 same means if they are many, and each chunk then starts from the value handed to it. Anything else is stepped through
 chunk by chunk, one job each, and only the last row's values are handed on. No task ever holds more than a chunk.
 """
@@ -9,6 +9,7 @@ chunk by chunk, one job each, and only the last row's values are handed on. No t
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,33 +85,57 @@ def _gathered(df: DataFrame, number: str, by: Column) -> DataFrame:
     return df.groupBy(by.alias(_G)).agg(in_order.alias(_ROWS))
 
 
-def _map(rate: Column, add: Column) -> Column:
-    return F.struct(rate.alias("rate"), add.alias("add"))
+@dataclass(frozen=True)
+class Law:
+    """A kind of maps of one value that compose to maps of the same kind: their columns, the map that changes nothing, what
+    a map makes of a value, and one map after another."""
+
+    unit: dict[str, float]
+    after: Callable[[Column, Column], Column]
+    then: Callable[[Column, Column], dict[str, Column]]
+
+
+#: The value times ``rate`` plus ``add``.
+AFFINE = Law({"rate": 1.0, "add": 0.0}, lambda s, r: s * r["rate"] + r["add"], lambda s, r: {"rate": s["rate"] * r["rate"], "add": s["add"] * r["rate"] + r["add"]})
+
+
+def bounded(low: bool) -> Law:
+    """The value plus ``add``, but no less than ``bound`` (or, if not ``low``, no more). Null bounds nothing."""
+    pick = F.greatest if low else F.least
+    return Law({"add": 0.0, "bound": None}, lambda s, r: pick(s + r["add"], r["bound"]), lambda s, r: {"add": s["add"] + r["add"], "bound": pick(s["bound"] + r["add"], r["bound"])})
+
+
+def _struct(cols: dict[str, Column], kind: T.DataType) -> Column:
+    return F.struct(*[c.cast(kind).alias(n) for n, c in cols.items()])
 
 
 def affine(df: DataFrame, number: str, rate: Column, add: Column, rows: int, out: str) -> DataFrame:
     """``df`` with ``out``: the value of the row before times ``rate`` plus ``add``, from 0 on. Such maps compose to maps of
     the same kind, so a chunk is summed up by one."""
-    slim = df.select(number, rate.alias("rate"), add.alias("add"))
-    kind = T.LongType() if all(isinstance(slim.schema[c].dataType, T.IntegralType) for c in ("rate", "add")) else T.DoubleType()
-    slim = slim.select(number, *[F.coalesce(F.col(c).cast(kind), F.lit(0).cast(kind)).alias(c) for c in ("rate", "add")])
-    seen = _affine(slim, number, rows, kind).select(F.col(number).alias("__at"), F.col("after").alias(out))
+    return mapped(df, number, AFFINE, {"rate": rate, "add": add}, rows, out)
+
+
+def mapped(df: DataFrame, number: str, law: Law, maps: dict[str, Column], rows: int, out: str) -> DataFrame:
+    """``df`` with ``out``: what each row's map makes of the value of the row before, from 0 on."""
+    slim = df.select(number, *[c.alias(n) for n, c in maps.items()])
+    kind = T.LongType() if all(isinstance(slim.schema[c].dataType, T.IntegralType) for c in maps) else T.DoubleType()
+    slim = slim.select(number, *[F.coalesce(F.col(c).cast(kind), F.lit(0).cast(kind)).alias(c) for c in maps])
+    seen = _mapped(slim, number, law, rows, kind).select(F.col(number).alias("__at"), F.col("after").alias(out))
     return df.join(seen, F.col(number) == F.col("__at")).drop("__at")
 
 
-def _affine(slim: DataFrame, number: str, rows: int, kind: T.DataType) -> DataFrame:
+def _mapped(slim: DataFrame, number: str, law: Law, rows: int, kind: T.DataType) -> DataFrame:
     """number, and the value after it."""
-    after = lambda s, r: s * r["rate"] + r["add"]
     zero = F.lit(0).cast(kind)
     if rows <= CHUNK:
         chunks = _gathered(slim, number, F.lit(0)).withColumn("__start", zero)
     else:
         chunks = _gathered(slim, number, F.floor(F.col(number) / CHUNK).cast("long"))
-        whole = F.aggregate(_ROWS, _map(F.lit(1).cast(kind), zero), lambda s, r: _map(s["rate"] * r["rate"], s["add"] * r["rate"] + r["add"]))
-        sums = chunks.select(F.col(_G).alias("__n"), whole.alias("m")).select("__n", "m.rate", "m.add")
-        ends = _affine(sums, "__n", -(-rows // CHUNK), kind).select((F.col("__n") + 1).alias("__g"), F.col("after").alias("__start"))
+        whole = F.aggregate(_ROWS, _struct({n: F.lit(x) for n, x in law.unit.items()}, kind), lambda s, r: _struct(law.then(s, r), kind))
+        sums = chunks.select(F.col(_G).alias("__n"), whole.alias("m")).select("__n", "m.*")
+        ends = _mapped(sums, "__n", law, -(-rows // CHUNK), kind).select((F.col("__n") + 1).alias("__g"), F.col("after").alias("__start"))
         chunks = chunks.join(ends, F.col(_G) == F.col("__g"), "left").withColumn("__start", F.coalesce("__start", zero))
-    pairs = F.arrays_zip(F.col(_ROWS).getField(number).alias("n"), stepped(F.col(_ROWS), F.col("__start"), after).alias("after"))
+    pairs = F.arrays_zip(F.col(_ROWS).getField(number).alias("n"), stepped(F.col(_ROWS), F.col("__start"), law.after).alias("after"))
     return chunks.select(F.explode(pairs).alias("p")).select(F.col("p.n").alias(number), F.col("p.after").alias("after"))
 
 
@@ -130,8 +155,11 @@ def in_turn(df: DataFrame, number: str, rows: int, kind: T.StructType, step: Cal
         return states(df, start)
     at, spark = folder(df.sparkSession, "in-turn"), df.sparkSession
     schema = None
+    # each job reads the rows of its own chunk alone
+    cut = df.withColumn(_G, F.floor(F.col(number) / CHUNK).cast("long"))
+    cut.repartition(_G).write.partitionBy(_G).parquet(f"{at}-rows")
     for c in range(-(-rows // CHUNK)):
-        out = states(df.where(F.col(number).between(c * CHUNK, (c + 1) * CHUNK - 1)), start)
+        out = states(spark.read.schema(df.schema).parquet(f"{at}-rows/{_G}={c}"), start)
         schema = out.schema
         out.write.parquet(f"{at}/chunk={c}")
         last = spark.read.schema(schema).parquet(f"{at}/chunk={c}").where(F.col(number) == (c + 1) * CHUNK - 1)
@@ -185,6 +213,40 @@ def linear(node: S.Node, hole: Hole) -> tuple[S.Node, S.Node] | None:
     return None
 
 
+def clamp(node: S.Node, hole: Hole) -> tuple[S.Node, float, bool] | None:
+    """What a node adds to one value, which ``hole`` knows, where it stops, and whether that is its least value (or its
+    greatest): choices between a sum and the number that it is compared with. None if it does anything else."""
+    turned = {"<": ">", "<=": ">=", ">": "<", ">=": "<="}
+    if not isinstance(node, S.Ternary) or not isinstance(node.condition, S.Binary) or node.condition.op not in turned:
+        return None
+    op, x, y = node.condition.op, node.condition.left, node.condition.right
+    if _number(x) is not None:
+        op, x, y = turned[op], y, x
+    bound, branches = _number(y), [node.yes, node.no]
+    if bound is None or x not in branches or y not in branches or not _same_but(x, hole):
+        return None
+    parts = linear(x, hole)
+    if parts is None or parts[0] != S.Literal(1):
+        return None
+    # x < y ? y : x is the greater of both, and so is x > y ? x : y
+    return parts[1], bound, (op in ("<", "<=")) == (node.yes == y)
+
+
+def _number(node: S.Node) -> int | float | None:
+    match node:
+        case S.Literal(int() | float() as value) if not isinstance(value, bool):
+            return value
+        case S.Unary("-", S.Literal(int() | float() as value)) if not isinstance(value, bool):
+            return -value
+    return None
+
+
+def _same_but(node: S.Node, hole: Hole) -> bool:
+    """Whether a node reads the value once, and all else in it gives the same each time."""
+    inside = list(S.walk(node))
+    return sum(map(hole, inside)) == 1 and not any(isinstance(n, S.Choice | S.Cycle | S.Draw | S.Range | S.Call) and not hole(n) for n in inside)
+
+
 def _same(node: S.Node) -> bool:
     """Whether a node gives the same each time it is computed: it draws nothing and calls nothing that might."""
     return not any(isinstance(n, S.Choice | S.Cycle | S.Draw | S.Range | S.Call) for n in S.walk(node))
@@ -209,20 +271,19 @@ def compose(first: tuple[Column, Column], then: tuple[Column, Column]) -> tuple[
     return first[0] * then[0], first[1] * then[0] + then[1]
 
 
-def composed(df: DataFrame, group: str, number: str, names: list[str]) -> DataFrame:
-    """For each group, the maps ``<name>_rate`` and ``<name>_add`` of its rows composed in the order of ``number``, for each of
-    ``names``. A group of any size is composed by chunks of row numbers first, so none of it comes together in one task."""
-    cols = [f"{n}_{x}" for n in names for x in ("rate", "add")]
-    start = F.struct(*[F.lit(1.0 if c.endswith("_rate") else 0.0).alias(c) for c in cols])
+def composed(df: DataFrame, group: str, number: str, names: list[str], law: Law = AFFINE) -> DataFrame:
+    """For each group, the maps (``<name>_rate`` and ``<name>_add``, or the law's other columns) of its rows composed in the
+    order of ``number``, for each of ``names``. A group of any size is composed by chunks of row numbers first, so none of it
+    comes together in one task."""
+    cols = {f"{n}_{x}": value for n in names for x, value in law.unit.items()}
+    kind = T.DoubleType()
+    start = _struct({c: F.lit(value) for c, value in cols.items()}, kind)
 
     def step(s: Column, r: Column) -> Column:
-        made = []
-        for n in names:
-            rate, add = compose((s[f"{n}_rate"], s[f"{n}_add"]), (r[f"{n}_rate"], r[f"{n}_add"]))
-            made += [rate.alias(f"{n}_rate"), add.alias(f"{n}_add")]
-        return F.struct(*made)
+        of = lambda x, n: {c: x[f"{n}_{c}"] for c in law.unit}
+        return _struct({f"{n}_{c}": made for n in names for c, made in law.then(of(s, n), of(r, n)).items()}, kind)
 
-    df = df.select(group, F.col(number).alias("__n"), *[F.col(c).cast("double").alias(c) for c in cols])
+    df = df.select(group, F.col(number).alias("__n"), *[F.col(c).cast(kind).alias(c) for c in cols])
     left = (df.agg(F.max("__n")).first()[0] or 0) + 1
     while True:
         left = -(-left // CHUNK)

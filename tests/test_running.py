@@ -164,3 +164,52 @@ def test_tables_at_hand(spark):
 
 def generate_with(spark, text, **tables):
     return Generator(spark, text, Options(seed=2, tables=tables)).run()
+
+
+CLAMPS = {
+    'previous("n") + a < 0 ? 0 : previous("n") + a': lambda n, a: max(0, n + a),
+    'previous("n") + a > 5 ? 5 : previous("n") + a': lambda n, a: min(5, n + a),
+    '-3 <= previous("n") - a ? previous("n") - a : -3': lambda n, a: max(-3, n - a),
+}
+
+
+@pytest.mark.parametrize("text", CLAMPS)
+def test_sums_that_stop_at_a_bound_run_by_chunks(spark, small_chunks, monkeypatch, text):
+    """As many rows as take three levels of chunks; none of them goes in turn."""
+    monkeypatch.setattr(running, "in_turn", lambda *_: pytest.fail("rows went in turn"))
+    rows, _ = rows_of(spark, f"schema Q {{ a: int in -4..4, n: {text} }} dataset D {{ rows: 120 of Q }}")
+    n = 0
+    for r in rows:
+        n = CLAMPS[text](n, r.a)
+        assert r.n == n and isinstance(r.n, int)
+
+
+def test_what_is_no_clamp():
+    kind = lambda text: running.clamp(parse_expression(text), running.previous_of("x"))
+    for text in ('previous("x") + a < 0 ? 1 : previous("x") + a', 'previous("x") + a < b ? b : previous("x") + a', '2 * previous("x") < 0 ? 0 : 2 * previous("x")', 'previous("x") < 0 ? 0 : previous("x") + 1', 'a < 0 ? 0 : a'):
+        assert kind(text) is None, text
+
+
+def test_changes_that_stop_at_a_bound_are_composed(spark, small_chunks, monkeypatch):
+    rng = random.Random(5)
+    pays = [(i, 0 if rng.random() < 0.6 else rng.randrange(5), rng.choice([None, *range(-6, 7)])) for i in range(120)]
+    g = Generator(spark, "schema Pay { a: 1 } then { order.n = order.n + amount < 2 ? 2 : order.n + amount }")
+    monkeypatch.setattr(g, "fold_once", lambda *_: pytest.fail("rows were folded"))
+    from loomwork.operators.generate import Made
+
+    g.made["orders"] = Made("orders", g.schemas["Pay"], spark.createDataFrame([(k, k) for k in range(7)], "_row long, n long"), 7)
+    g.mutate(Made("pays", g.schemas["Pay"], spark.createDataFrame(pays, "_row long, __fk_order long, amount long").repartition(3), 120, {"order": "orders"}))
+    want = {k: k for k in range(7)}
+    for _, to, amount in pays:
+        want[to] = max(2, want[to] + (amount or 0))
+    assert {r._row: r.n for r in g.made["orders"].frame.collect()} == want
+
+
+def test_only_rows_of_a_chunk_are_read_in_turn(spark, small_chunks, monkeypatch):
+    """The input is computed once, not once for each chunk."""
+    seen = spark.sparkContext.accumulator(0)
+    told = F.udf(lambda v: seen.add(1) or v, "long").asNondeterministic()
+    kind = T.StructType([T.StructField("s", T.LongType())])
+    df = numbered(spark, list(range(30))).select("n", told("v").alias("v"))
+    out = running.in_turn(df, "n", 30, kind, lambda s, r: F.struct((F.coalesce(s["s"], F.lit(0)) * 2 % 7 + r["v"]).alias("s"))).collect()
+    assert len(out) == 30 and seen.value == 30
