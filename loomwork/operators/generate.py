@@ -1020,7 +1020,7 @@ class Generator:
         over = Window.partitionBy(to).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
         pieces = counts.withColumn("__piece", F.floor(F.coalesce(F.sum("__n").over(over), F.lit(0)) / FOLDED)).select(F.col(to).alias("__to"), "__c", "__piece")
         keys = [F.col(to) == F.col("__to"), F.floor(F.col(ROW) / FOLDED) == F.col("__c")]
-        names, number = rows.columns, most // FOLDED + 1
+        names, number = rows.columns, pieces.agg(F.max("__piece")).first()[0] + 1
         spark, at = rows.sparkSession, folder(rows.sparkSession, "then")
         rows.join(pieces, keys).select(*names, "__piece").repartition("__piece", to).write.partitionBy("__piece").parquet(f"{at}/rows")
         piece = lambda k: spark.read.schema(rows.schema).parquet(f"{at}/rows/__piece={k}")
