@@ -12,7 +12,8 @@ share of the vectors is taken. The recall and the share that the sample shows ar
 
 Equal vectors are indexed once; of each such class at most one vector more than is asked for can be among the answers,
 so the class keeps its smallest ids. Buckets are dealt to tasks in chunks of about CHUNK vectors; a chunk is held in
-memory while the queries that visit its bucket stream past it.
+memory while the queries that visit its bucket stream past it. What a query finds in the chunks of one task is merged there,
+so a task gives each query no more than its k nearest, however many chunks it met.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part. Vectors are
 compared with those of the same length; of a length with no more than the wanted number of other vectors all are answers,
@@ -45,6 +46,9 @@ CELLS, LINES = (0.7, 1.2, 2.0, 3.0, 6.0, 20.0), (1, 2, 3, 4, 6, 8, 10, 12, 16)
 SAMPLE, SAMPLE_QUERIES, WANTED = 2000, 100, 0.96
 #: Vectors of one chunk, and the seed of the lines.
 CHUNK, LINE_SEED = 1024, 13
+#: Distances that a task holds before it keeps the nearest of each query alone, and a part of it: it hands on what is left if
+#: that is more, so that its memory has a bound.
+HELD = 1 << 20
 
 
 @dataclass
@@ -218,11 +222,31 @@ def _nearest(qid: np.ndarray, q: np.ndarray, xid: np.ndarray, first: np.ndarray,
     return [np.concatenate(c) for c in zip(*out, strict=True)]
 
 
+def _best(found: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...]:
+    """The k nearest different classes of each query, from (query, class, first, distance) of several chunks and tables."""
+    query, near, first, distance = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((near, first, distance, query))
+    query, near, first, distance = query[order], near[order], first[order], distance[order]
+    # a class met in several tables stands there several times, side by side, as its distance is the same
+    new = np.ones(len(query), bool)
+    new[1:] = (query[1:] != query[:-1]) | (near[1:] != near[:-1])
+    query, near, first, distance = query[new], near[new], first[new], distance[new]
+    starts = np.nonzero(np.concatenate([[True], query[1:] != query[:-1]]))[0]
+    sizes = np.diff([*starts, len(query)])
+    keep = np.arange(len(query)) - np.repeat(starts, sizes) < k
+    return query[keep], near[keep], first[keep], distance[keep]
+
+
 def _matched(rows: DataFrame, k: int) -> DataFrame:
-    """The k nearest classes within each chunk, whose rows come sorted: its candidates are held, its queries streamed."""
+    """The k nearest classes within the chunks of each task, whose rows come sorted: a chunk's candidates are held, its
+    queries streamed. Only a task that holds more than half of HELD after merging gives a query several times k."""
+
+    def out(found):
+        for at in range(0, len(found[0]), 20_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 20_000]) for c in found], names=["query", "class", "first", "distance"])
 
     def run(batches):
-        key, parts, held = None, [], None
+        key, parts, held, seen, count = None, [], None, [], 0
         for batch in batches:
             get = lambda c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)  # noqa: E731,B023
             keys = np.stack([get(c).astype(np.int64) for c in ("n", "table", "bucket", "chunk", "kind")], axis=1)
@@ -238,8 +262,16 @@ def _matched(rows: DataFrame, k: int) -> DataFrame:
                     held = None
                 elif parts:
                     held = held or [np.concatenate(c) for c in zip(*parts, strict=True)]
-                    found = _nearest(ids[a:b], _matrix(vectors.slice(a, b - a)), *held, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query", "class", "first", "distance"])
+                    seen.append(tuple(_nearest(ids[a:b], _matrix(vectors.slice(a, b - a)), *held, k)))
+                    count += len(seen[-1][0])
+                    if count > HELD:
+                        seen = [_best(seen, k)]
+                        count = len(seen[0][0])
+                        if count > HELD // 2:
+                            yield from out(seen[0])
+                            seen, count = [], 0
+        if seen:
+            yield from out(_best(seen, k))
 
     order = ["n", "table", "bucket", "chunk"]
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -74,6 +74,28 @@ def test_large_buckets_and_copies(spark, monkeypatch):
     assert len(got) == len(want) and len({(q, j) for q, _, j, _ in want} & {(r.query_id, r.vec_id) for r in got}) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("held", [neighbours.HELD, 40])
+def test_a_task_merges_what_its_chunks_give(spark, monkeypatch, held):
+    """Of all chunks that a query meets in a task no more than the k nearest leave it; nothing is lost where it holds little."""
+    monkeypatch.setattr(neighbours, "CHUNK", 16)
+    monkeypatch.setattr(neighbours, "HELD", held)
+    sizes = []
+    ranked = neighbours._ranked
+    monkeypatch.setattr(neighbours, "_ranked", lambda found, *a: sizes.append(found.groupBy("query").count().agg(F.max("count")).first()[0]) or ranked(found, *a))
+    vectors = np.random.default_rng(5).standard_normal((600, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 50 == 0, 5).collect()
+    want = answers([(i, np.array(v)) for i, v in rows], lambda i: i % 50 == 0, 5)
+    assert len(got) == len(want) and len({(q, j) for q, _, j, _ in want} & {(r.query_id, r.vec_id) for r in got}) >= 0.9 * len(want)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sizes and (held < neighbours.CHUNK * 6 or max(sizes) <= tasks * 6)
+
+
+def test_best_of_several_chunks():
+    two = [tuple(map(np.array, ([7, 7, 3], [1, 2, 9], [5, 6, 7], [0.5, 0.25, 1.0]))), tuple(map(np.array, ([7, 7, 3], [1, 4, 8], [5, 1, 2], [0.5, 0.25, 1.0])))]
+    assert [c.tolist() for c in neighbours._best(two, 2)] == [[3, 3, 7, 7], [8, 9, 4, 2], [2, 7, 1, 6], [1.0, 1.0, 0.25, 0.25]]
+
+
 def spread_of(vectors):
     """For each query, the share of all vectors that lie in one of the buckets it visits, by plain sets."""
     index = neighbours.fit(vectors[: neighbours.SAMPLE], len(vectors), 10)
