@@ -5,7 +5,8 @@ Each candidate relation is one support ratio over all rows, so a pass over the t
 A table of many columns has very many candidates, nearly all of which hold nowhere. They are ruled out first, soundly: a
 relation with enough support fails on at most a twentieth of the rows, so one that fails on more rows than that among any
 part of the table can be left out. A tenth of the rows, chosen by a hash, shows this for each relation that fails on more
-than half of them. Fails are counted there for all candidates at once, by matrices of column numbers.
+than half of them. Fails are counted there for all candidates at once: what a relation expects is the same for every target,
+so it is computed once for each pair or triple of columns, and each target is compared with all of them.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ SUPPORT, TOLERANCE, MOST_RULES = 0.95, 1e-4, 20
 ABSOLUTE, RELATIVE = 0.01, 1e-4
 #: Candidates that one pass over the table tests.
 CHUNK = 150
-#: Part of the rows on which candidates are ruled out (all rows of a small table), and candidates and rows of one matrix.
+#: Part of the rows on which candidates are ruled out (all rows of a small table), and expected values and rows of one matrix.
 PART, SMALL, AT_ONCE, ROWS = 10, 5_000, 128, 512
 
 # Names between which an order of numbers means something.
@@ -136,32 +137,56 @@ class Candidates:
     columns: np.ndarray
     factor: np.ndarray | None = None
 
-    def fails(self, x: np.ndarray, there: np.ndarray) -> np.ndarray:
-        """On how many rows of a matrix each fails. What isn't a number counts as held, as comparisons of such differ."""
+    def __post_init__(self):
+        """``sources``: the different sets of columns that values are expected of; ``of``: for each target, the places of its
+        sources among them and of its candidates among the rows. A multiple's factor belongs to its target too."""
+        sources = self.columns if self.kind == "multiple" else self.columns[:, 1:]
+        self.sources, which = np.unique(sources, axis=0, return_inverse=True)
+        which = which.reshape(-1)
+        self.of = []
+        for t in np.unique(self.columns[:, 0]):
+            mine = np.nonzero(self.columns[:, 0] == t)[0]
+            mine = mine[np.argsort(which[mine])]
+            self.of.append((int(t), which[mine], mine))
+
+    def expected(self, x: np.ndarray, at: int) -> np.ndarray:
+        """What AT_ONCE of the sources, from a place on, make of the values of all columns (a row each)."""
+        parts = [x[c] for c in self.sources[at : at + AT_ONCE].T]
+        match self.kind:
+            case "product":
+                return parts[0] * parts[1]
+            case "ratio":
+                # dividing by zero gives no number that is near to any, but shows nothing where a value is missing
+                return np.where(parts[1] == 0, parts[0] * 0 + np.inf, parts[0] / parts[1])
+            case "difference":
+                return parts[0] - parts[1]
+            case "multiple":
+                factors = np.zeros(len(self.sources))
+                for _, source, mine in self.of:
+                    factors[source] = self.factor[mine]
+                return parts[1] * factors[at : at + AT_ONCE, None]
+        return sum(parts[1:], parts[0])
+
+    def fails(self, x: np.ndarray) -> np.ndarray:
+        """On how many rows each fails; ``x`` has a row for each column, not-a-number where a value is missing. What isn't a
+        number counts as held, as comparisons of such differ."""
         out = np.zeros(len(self.columns), np.int64)
-        for at in range(0, len(self.columns), AT_ONCE):
-            cols = self.columns[at : at + AT_ONCE].T
-            value, parts = x[:, cols[0]], [x[:, c] for c in cols[1:]]
-            with np.errstate(all="ignore"):
-                match self.kind:
-                    case "product":
-                        expected = parts[0] * parts[1]
-                    case "ratio":
-                        expected = parts[0] / parts[1]
-                    case "difference":
-                        expected = parts[0] - parts[1]
-                    case "multiple":
-                        expected = parts[0] * self.factor[at : at + AT_ONCE]
-                    case _:
-                        expected = sum(parts[1:], parts[0])
-                off = np.abs(value - expected)
-                if self.kind in ("sum", "sum3"):
-                    bad = off > RELATIVE * np.maximum(np.abs(value), 1.0)
-                else:
-                    bad = (off > ABSOLUTE) & (off > RELATIVE * np.abs(value))
-                if self.kind == "ratio":
-                    bad |= parts[1] == 0
-            out[at : at + AT_ONCE] = (bad & there[:, cols].all(axis=1)).sum(axis=0)
+        size = np.abs(x)
+        with np.errstate(all="ignore"):
+            tolerance = RELATIVE * np.maximum(size, 1.0) if self.kind in ("sum", "sum3") else np.maximum(ABSOLUTE, RELATIVE * size)
+            for at in range(0, len(self.sources), AT_ONCE):
+                expected = self.expected(x, at)
+                off, bad = np.empty_like(expected), np.empty(expected.shape, bool)
+                for t, source, mine in self.of:
+                    low, high = np.searchsorted(source, (at, at + len(expected)))
+                    if low == high:
+                        continue
+                    first, last = source[low] - at, source[high - 1] - at + 1
+                    o, w = off[first:last], bad[first:last]
+                    np.subtract(expected[first:last], x[t], out=o)
+                    np.abs(o, out=o)
+                    np.greater(o, tolerance[t], out=w)
+                    out[mine[low:high]] += np.count_nonzero(w, axis=1)[source[low:high] - at - first]
         return out
 
 
@@ -192,10 +217,9 @@ def _possible(df: DataFrame, numbers: list[str], groups: list[Candidates], rows:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 columns = batch.slice(at, ROWS).columns
-                there = np.stack([c.is_valid().to_numpy(zero_copy_only=False) for c in columns], axis=1)
-                x = np.stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in columns], axis=1)
+                x = np.stack([c.fill_null(np.nan).to_numpy(zero_copy_only=False) for c in columns])
                 for s, g in zip(sums, groups, strict=True):
-                    s += g.fails(x, there)
+                    s += g.fails(x)
         for k, s in enumerate(sums):
             some = np.nonzero(s)[0]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), pa.array(some), pa.array(s[some])], names=["kind", "place", "fails"])
@@ -211,6 +235,37 @@ def _possible(df: DataFrame, numbers: list[str], groups: list[Candidates], rows:
     return out
 
 
+def _factors(df: DataFrame, numbers: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
+    """The number of rows, of each column's values, and the mean of each column (first index) over each other; not-a-number
+    where there is none. Nulls and divisors of zero count nowhere. Several hundred means are too many for one compiled
+    aggregate, so tasks sum them up by matrices."""
+    n = len(numbers)
+    doubles = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(numbers)])
+
+    def run(batches):
+        rows, sums, counts = 0, np.zeros((n, n)), np.zeros((n, n), np.int64)
+        for batch in batches:
+            rows += batch.num_rows
+            for at in range(0, batch.num_rows, ROWS):
+                columns = batch.slice(at, ROWS).columns
+                there = np.stack([c.is_valid().to_numpy(zero_copy_only=False) for c in columns])
+                x = np.stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in columns])
+                with np.errstate(all="ignore"):
+                    for a in range(n):
+                        both = there & (there[a] & (x[a] != 0))
+                        sums[:, a] += np.where(both, x / x[a], 0.0).sum(axis=1)
+                        counts[:, a] += np.count_nonzero(both, axis=1)
+                counts[np.arange(n), np.arange(n)] += np.count_nonzero(there & (x == 0), axis=1)  # on the diagonal: all values
+        places = np.arange(n * n + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(places), pa.array([*sums.reshape(-1), 0.0]), pa.array([*counts.reshape(-1), rows])], names=["place", "total", "n"])
+
+    told = {r["place"]: (r["total"], r["n"]) for r in doubles.mapInArrow(run, "place bigint, total double, n bigint").groupBy("place").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).collect()}
+    means = np.array([told[i][0] / told[i][1] if told.get(i, (0.0, 0))[1] else np.nan for i in range(n * n)]).reshape(n, n)
+    counts = np.array([told.get(i, (0.0, 0))[1] for i in range(n * n)], np.int64).reshape(n, n)
+    means[counts == 0] = np.nan
+    return told.get(n * n, (0.0, 0))[1], counts.diagonal().copy(), means
+
+
 def derivations(df: DataFrame) -> list[Relation]:
     """Columns that are the product, sum, difference, ratio, a constant multiple, or the sum of three, of others: one pass for
     counts and factors, one over a part of the rows that rules candidates out, and one on all rows for the others."""
@@ -219,16 +274,14 @@ def derivations(df: DataFrame) -> list[Relation]:
         return []
     num = {n: F.col(f"`{n}`").cast("double") for n in numbers}
     pairs = list(itertools.permutations(range(len(numbers)), 2))
-    counts = [F.count(F.lit(1)).alias("rows"), *[F.count(num[n]).alias(f"n{i}") for i, n in enumerate(numbers)]]
-    told = df.agg(*counts, *[F.avg(F.try_divide(num[numbers[t]], num[numbers[a]])).alias(f"m{i}") for i, (t, a) in enumerate(pairs)]).first()
-    scaled = [(t, a, round(told[f"m{i}"], 4)) for i, (t, a) in enumerate(pairs) if told[f"m{i}"] is not None]
+    rows, known, means = _factors(df, numbers)
+    scaled = [(t, a, round(float(means[t, a]), 4)) for t, a in pairs if not np.isnan(means[t, a])]
     scaled = [x for x in scaled if x[2] not in (0.0, 1.0)]
     groups = _candidates(len(numbers))
     if scaled:
         groups.append(Candidates("multiple", np.array([x[:2] for x in scaled], np.int64), np.array([x[2] for x in scaled], float)))
-    known = np.array([told[f"n{i}"] for i in range(len(numbers))], np.float64)
     candidates = []
-    for k, i in _possible(df, numbers, groups, told["rows"], known):
+    for k, i in _possible(df, numbers, groups, rows, known.astype(np.float64)):
         g = groups[k]
         names = [numbers[c] for c in g.columns[i]]
         if g.kind == "multiple":

@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +56,37 @@ def test_twenty_columns_take_three_passes(spark, monkeypatch):
     assert len(tested) == 1 and tested[0] <= M.CHUNK
 
 
+def test_factors_are_the_means_of_the_ratios_in_one_small_plan(spark, monkeypatch):
+    """Nulls and zeros count nowhere; no aggregate holds a mean for each pair."""
+    rows = [(2, 4.0, None, 1), (3, 0.0, 5.0, 0), (None, 8.0, 2.5, 0), (0, 1.0, 1.0, 0)]
+    df = spark.createDataFrame(rows, "a int, b double, c double, d int")
+    n, known, means = M._factors(df, df.columns)
+    assert n == 4 and known.tolist() == [3, 4, 3, 4]
+    want = df.agg(*[F.avg(F.try_divide(F.col(t).cast("double"), F.col(s).cast("double"))).alias(t + s) for t in df.columns for s in df.columns if t != s]).first().asDict()
+    got = {t + s: means[i, j] for i, t in enumerate(df.columns) for j, s in enumerate(df.columns) if t != s}
+    assert {k: v for k, v in want.items() if v is not None} == pytest.approx({k: v for k, v in got.items() if v == v})
+
+
+def test_fails_equal_those_of_single_relations():
+    """Of each kind, with missing values and more sources than one matrix holds."""
+    rng = np.random.default_rng(2)
+    x = rng.integers(-2, 5, (7, 90)).astype(float)
+    x[rng.random(x.shape) < 0.1] = np.nan
+    for g in M._candidates(7):
+        g_fails = g.fails(x)
+        for row, count in zip(g.columns.tolist(), g_fails.tolist(), strict=True):
+            bad = 0
+            for t, *parts in x[row].T.tolist():
+                if any(v != v for v in (t, *parts)):
+                    continue
+                if g.kind == "ratio" and parts[1] == 0:
+                    bad += 1
+                    continue
+                e = {"product": lambda p: p[0] * p[1], "ratio": lambda p: p[0] / p[1], "difference": lambda p: p[0] - p[1]}.get(g.kind, sum)(parts)
+                bad += abs(t - e) > (M.RELATIVE * max(abs(t), 1) if g.kind in ("sum", "sum3") else max(M.ABSOLUTE, M.RELATIVE * abs(t)))
+            assert count == bad, (g.kind, row)
+
+
 def test_few_columns_and_rows(spark):
     assert M.derivations(spark.range(5).select("id")) == [] and M.derivations(spark.createDataFrame([], "a int, b int, c int")) == []
     assert M.derivations(spark.createDataFrame([(None, None, None)], "a int, b int, c int")) == []
