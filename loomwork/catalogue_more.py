@@ -65,16 +65,14 @@ def _(spark, sf):
 
 @entry("json_dataset_source", "SELECT 'items' AS collection, l_orderkey AS key, l_linenumber::BIGINT AS line, '} \"' || l_returnflag || '\" {' AS note FROM lineitem UNION ALL SELECT 'nations', n_nationkey, NULL, n_name FROM nation")
 def _(spark, sf):
-    """One file of two arrays with brackets and quotes in its texts, read in as many parts as it has splits."""
+    """One document of arrays with brackets and quotes in its texts, kept in the files that tasks wrote side by side and read in
+    as many parts as these have splits."""
     at = _folder(spark, "json")
     note = F.concat(F.lit('} "'), "l_returnflag", F.lit('" {'))
-    items = running.numbered(read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("line"), note.alias("note")))
-    nations = running.numbered(read(spark, sf, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("note")))
-    line = lambda df, cols, part: df.select(F.lit(part).alias("part"), F.col("_row").alias("n"), F.concat(F.when(F.col("_row") > 0, ",").otherwise(""), F.to_json(F.struct(*cols))).alias("value"))
-    marks = spark.createDataFrame([(0, 0, '{"items": ['), (2, 0, '], "none": [], "nations": ['), (4, 0, "]}")], "part int, n long, value string")
-    rows = marks.unionByName(line(items, ["key", "line", "note"], 1)).unionByName(line(nations, ["key", "note"], 3))
-    rows.orderBy("part", "n").select("value").coalesce(1).write.text(at)
-    got = ndjson.read_json(spark, at)
+    items = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("line"), note.alias("note"))
+    nations = read(spark, sf, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("note"))
+    ndjson.write_document({"items": items, "none": items.limit(0), "nations": nations}, at)
+    got = ndjson.read_json(spark, at, joined=True)
     out = got["items"].select(F.lit("items").alias("collection"), "key", "line", "note")
     return out.unionByName(got["nations"].select(F.lit("nations").alias("collection"), F.col("key").cast("long").alias("key"), F.lit(None).cast("long").alias("line"), "note"))
 

@@ -1,4 +1,5 @@
-"""Reading one large JSON file in parts: one object whose fields are arrays of objects.
+"""Reading one large JSON document in parts: one object whose fields are arrays of objects, in one file, or in the files of a
+folder that tasks wrote side by side (``ndjson.write_document``), which put together in order of their paths are the document.
 
 The file is cut at every ``}``, by as many tasks as it has splits. Whether a piece begins inside a string follows from the
 number of quotes in all pieces before it, and how deep it begins from the brackets outside of strings: two sums over pieces
@@ -29,6 +30,29 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
     return running.numbered(rows, "id", "n").select("n", "text")
 
 
+def joined_pieces(spark: SparkSession, path: str, at: str) -> DataFrame:
+    """The same of all files of a folder in order of their paths, each but the last of which ends at a brace. They are written
+    to ``at``; only the counts of the splits come to the driver."""
+    own = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_size").alias("size")]
+    rows = spark.read.option("lineSep", "}").option("recursiveFileLookup", True).text(path).select(*own, F.monotonically_increasing_id().alias("id"), F.col("value").alias("text"))
+    rows.write.parquet(at)
+    rows = spark.read.parquet(at)
+    told = [F.min("id").alias("first"), F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text") + 1).alias("bytes"), F.max("size").alias("size")]
+    splits = sorted(rows.groupBy("file", "start").agg(*told).collect(), key=lambda r: (r["file"], r["start"]))
+    held: dict[str, int] = {}
+    for r in splits:
+        held[r["file"]] = held.get(r["file"], 0) + r["bytes"]
+    if cut := [r["file"] for r in splits if r["file"] != splits[-1]["file"] and held[r["file"]] != r["size"]]:
+        raise ValueError(f"{cut[0]} doesn't end at a brace")
+    shifts, total = [], 0
+    for r in splits:
+        shifts.append((r["file"], r["start"], total - r["first"]))
+        total += r["rows"]
+    shifts = spark.createDataFrame(shifts, "file string, start long, shift long")
+    rows = rows.join(F.broadcast(shifts), ["file", "start"]).select((F.col("id") + F.col("shift")).alias("n"), "text")
+    return rows.where(~((F.col("n") == total - 1) & F.col("text").rlike(r"\A\s*\z")))
+
+
 def elements(cut: DataFrame, rows: int) -> DataFrame:
     """``at`` (the element's number), ``head`` and ``body`` of all elements of the arrays, from the pieces in order. What is
     left after the last one comes as a row without a body."""
@@ -53,11 +77,12 @@ def elements(cut: DataFrame, rows: int) -> DataFrame:
     return rows_.select("at", "head", F.when(F.col("closed") == 1, F.substr("whole", F.length("head") + 1)).alias("body"))
 
 
-def read_parts(spark: SparkSession, path: str) -> dict[str, DataFrame] | None:
-    """The collections of a file (or of the files of a folder), or None where there is anything but arrays of objects."""
+def read_parts(spark: SparkSession, path: str, joined: bool = False) -> dict[str, DataFrame] | None:
+    """The collections of a file (or of the files of a folder, which are one document if they are ``joined``), or None where
+    there is anything but arrays of objects."""
     at = folder(spark, "json")
-    for k, name in enumerate(spark.read.text(path).inputFiles()):
-        cut = pieces(spark, name)
+    for k, name in enumerate([path] if joined else spark.read.text(path).inputFiles()):
+        cut = joined_pieces(spark, name, f"{at}/cut") if joined else pieces(spark, name)
         cut.write.parquet(f"{at}/pieces-{k}")
         cut = spark.read.parquet(f"{at}/pieces-{k}")
         rows = cut.count()
@@ -69,7 +94,7 @@ def read_parts(spark: SparkSession, path: str) -> dict[str, DataFrame] | None:
     fields = F.regexp_extract_all("head", F.lit(_FIELD), F.lit(1))
     every = every.withColumn("opens", F.array_size(fields).cast("long")).withColumn("fields", fields)
     # between elements there are commas, and where arrays end and begin, their fields
-    rest = F.regexp_replace("head", r'(?s)"(?:[^"\\\\]|\\\\.)*+"\s*:\s*\[', "")
+    rest = F.regexp_replace("head", _FIELD, "")
     if every.where(rest.rlike(r"[^\s,\]}]")).limit(1).count():
         return None
     named = every.where("opens > 0").select("file", "at", "fields").orderBy("file", "at").collect()  # a row for each array

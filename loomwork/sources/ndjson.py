@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,12 +21,14 @@ def read_ndjson(spark: SparkSession, path: str, schema: T.StructType | str | Non
     return reader.json(path)
 
 
-def read_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+def read_json(spark: SparkSession, path: str, joined: bool = False) -> dict[str, DataFrame]:
     """A file with one object of arrays: a collection for each. Arrays of objects are read in parts (``json_parts``); only
-    files that hold other arrays too are read whole."""
-    found = json_parts.read_parts(spark, path)
+    files that hold other arrays too are read whole. ``joined``: the files of a folder are one document (``write_document``)."""
+    found = json_parts.read_parts(spark, path, joined)
     if found is not None:
         return found
+    if joined:
+        raise ValueError(f"{path} holds arrays of anything but objects, which are read from one file only")
     whole = spark.read.option("multiLine", True).json(path)
     out = {}
     for f in whole.schema.fields:
@@ -100,3 +104,23 @@ def write_json(frames: dict[str, DataFrame], folder: str, pretty: bool = False)
             df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"pretty": "true"}).alias("value")).write.text(f"{folder}/{name}")
         else:
             df.write.json(f"{folder}/{name}")
+
+
+def write_document(frames: dict[str, DataFrame], folder: str) -> None:
+    """One document, an object with an array of objects for each collection, as the files of a folder: put together in order of
+    their paths they are the document. Each ends at a brace, and each task writes its own rows. An array begins with its least
+    row, as what stands before the first row differs from what stands before the others; the others come in any order."""
+    brace = {"lineSep": "}"}
+    text, k = "{", 0
+    for i, (name, df) in enumerate(frames.items()):
+        spark, rows = df.sparkSession, line_of(df)
+        text += (", " if i else "") + json.dumps(name, ensure_ascii=False) + ": ["
+        first = rows.agg(F.min("value")).first()[0]
+        if first is not None:
+            spark.range(1).select(F.lit((text + first)[:-1])).coalesce(1).write.options(**brace).text(f"{folder}/{k:05d}")
+            copies = spark.range(rows.where(F.col("value") == first).count() - 1).select(F.lit(first).alias("value"))
+            others = rows.where(F.col("value") > first).unionByName(copies)
+            others.select(F.concat(F.lit(","), F.expr("substring(value, 1, length(value) - 1)"))).write.options(**brace).text(f"{folder}/{k + 1:05d}")
+            text, k = "", k + 2
+        text += "]"
+    spark.range(1).select(F.lit(text)).coalesce(1).write.options(**brace).text(f"{folder}/{k:05d}")

@@ -50,3 +50,28 @@ def test_other_files(spark, tmp_path):
     assert got["xs"].count() == 3 and got["rows"].count() == 1
     assert ndjson.read_json(spark, save(tmp_path, {})) == {}
     assert {n: d.count() for n, d in ndjson.read_json(spark, save(tmp_path, {"a": [], "b": []})).items()} == {"a": 0, "b": 0}
+
+
+def test_documents_in_files_that_tasks_wrote_side_by_side(spark, tmp_path):
+    """Put together the files are the document; no task writes it whole; equal rows stay as many; arrays may be empty."""
+    rows = [{"x": i % 40, "s": '} "' * (i % 3) + "ü{"} for i in range(200)] + [{"x": 0, "s": "ü{"}] * 3
+    many = spark.createDataFrame([(r["x"], r["s"]) for r in rows], "x int, s string").repartition(4)
+    one = spark.createDataFrame([(1.5,)], "y double")
+    at = tmp_path / "doc"
+    ndjson.write_document({"none": one.limit(0), "many": many, 'odd "{': one, "last": many.limit(0)}, str(at))
+    files = sorted(f for f in at.rglob("part-*") if f.stat().st_size)
+    data = json.loads("".join(f.read_text() for f in files))
+    order = lambda x: sorted((r["x"], r["s"]) for r in x)
+    assert list(data) == ["none", "many", 'odd "{', "last"] and order(data["many"]) == order(rows) and data['odd "{'] == [{"y": 1.5}] and data["last"] == data["none"] == []
+    assert len(files) > 5 and max(f.read_text().count('"x"') for f in files) < 150
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        got = ndjson.read_json(spark, str(at), joined=True)
+        assert list(got) == list(data) and sorted((r.x, r.s) for r in got["many"].collect()) == order(rows)
+        assert [r.y for r in got['odd "{'].collect()] == [1.5] and got["none"].count() == got["last"].count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    files[1].write_text(files[1].read_text() + " ")
+    (files[1].parent / f".{files[1].name}.crc").unlink()
+    with pytest.raises(ValueError, match="brace"):
+        ndjson.read_json(spark, str(at), joined=True)
