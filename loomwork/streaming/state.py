@@ -5,16 +5,18 @@ only if it is no more than a horizon older, so a key that has been still for lon
 state goes.
 
 On a stream one stateful operator does the work. Rows wait in it until the watermark has passed them, as until then a late row
-may still come between; then they leave in order, each with the row before it. A key keeps its waiting rows and its last row,
-the latter until the watermark is a horizon past it. A timer for each key does both, so the state follows the open keys,
-not the length of the stream. Memory: the rows of one key that fall due at once are put in order by one task.
+may still come between; then they leave in order, each with the row before it. The last row of a key stays until the watermark
+is a horizon past it, so the state follows the open keys, not the length of the stream. Calls of the state by row or by key
+cost far more than the work itself: so keys are dealt into BUCKETS by their hash, rows come packed as Arrow, the state of a
+bucket is a few packed tables and one timer, and a bucket's rows are put in order by whole columns. Memory: a task holds the
+rows of one bucket that wait, and, packed, those that its buckets let go in one batch.
 
 On a table the same is a window over spans of time as long as the horizon, not over whole keys: the row before lies in the
 same span or is the last of the span before, which an equi-join hands on. A key that holds a third of all rows is spread over
 its spans.
 
 Defined results: rows without a time can't be put in order and are left out; rows without a key have no row before them and
-pass at once. Rows later than the watermark are dropped. Repeated rows follow each other. An empty input gives no rows.
+pass at once. Rows later than the watermark may be dropped, and are if their bucket has let rows go past them. Repeated rows follow each other. An empty input gives no rows.
 """
 
 from __future__ import annotations
@@ -23,6 +25,9 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from datetime import timedelta
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +42,10 @@ from ..plans import syntax as S
 
 #: Rows of equal time follow each other by TIE; AT is the time in microseconds.
 AT, TIE, SEEN, BEFORE = "__at", "__tie", "__seen", "__before_"
+#: In packed rows: the key as text (null where a part of it is) and its bucket; and the column of packed rows.
+KEY, BUCKET, ROWS = "__key", "__bucket", "__rows"
+#: Keys share the calls of a bucket. Rows are packed together up to so many or so many bytes, and let go in tables of so many.
+BUCKETS, PACKED_ROWS, PACKED_BYTES, GONE_ROWS = 512, 1 << 18, 32 << 20, 20_000
 #: The session setting that stateful operators of Python need, and its value.
 PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 _JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
@@ -79,56 +88,159 @@ def _marked(df: DataFrame, time: str) -> DataFrame:
     return df.where(_q(time).isNotNull()).withColumn(AT, F.unix_micros(_q(time).cast("timestamp"))).withColumn(TIE, F.xxhash64(*hashed))
 
 
+def _key_text(types: list[T.DataType], columns: list[Column]) -> Column:
+    """One text for each key: equal just where the keys are (0.0 is -0.0, save within nested keys); null where a part is."""
+    texts = []
+    for t, c in zip(types, columns, strict=True):
+        if isinstance(t, T.BinaryType):
+            c = F.hex(c)
+        elif isinstance(t, T.FloatType | T.DoubleType):
+            c = c + F.lit(0.0)
+        texts.append(c.cast("string"))
+    if len(texts) == 1:
+        return texts[0]
+    whole = F.lit(True)
+    for c in texts:
+        whole = whole & c.isNotNull()
+    return F.when(whole, F.to_json(F.array(*texts)))
+
+
+def _to_bytes(table: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as w:
+        w.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def _of_bytes(packed: bytes) -> pa.Table:
+    return pa.ipc.open_stream(packed).read_all()
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows to BUCKET, the greatest AT and the packed ROWS of each bucket."""
+
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        buckets = table[BUCKET].to_numpy()
+        order = np.argsort(buckets, kind="stable")
+        table, buckets = table.drop_columns(BUCKET).take(pa.array(order)), buckets[order]
+        starts = np.flatnonzero(np.diff(buckets, prepend=-1))
+        parts = [table.slice(i, j - i) for i, j in zip(starts, [*starts[1:], len(buckets)], strict=True)]
+        columns = [pa.array(buckets[starts], pa.int32()), pa.array([pc.max(p[AT]).as_py() for p in parts], pa.int64()), pa.array([_to_bytes(p) for p in parts], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=[BUCKET, AT, ROWS])
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+        if sum(h.num_rows for h in held) >= PACKED_ROWS or sum(h.nbytes for h in held) >= PACKED_BYTES:
+            yield packed(held)
+            held = []
+    if held:
+        yield packed(held)
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for packed in b.column(0):
+            yield from _of_bytes(packed.as_py()).to_batches()
+
+
 class _Before(StatefulProcessor):
-    """Lets rows go in order of time once the watermark has passed them, each with the last one before it."""
+    """Lets the rows of a bucket go in order of time once the watermark has passed them, each with the last of its key before it."""
 
-    def __init__(self, row: T.StructType, wanted: list[int], horizon: int):
-        self.row, self.wanted, self.horizon = row, wanted, horizon
-        self.at, self.tie = row.fieldNames().index(AT), row.fieldNames().index(TIE)
-        self.names = [*row.fieldNames(), SEEN, *[f"b{i}" for i in range(len(wanted))]]
+    def __init__(self, own: list[str], wanted: list[str], horizon: int):
+        self.own, self.wanted, self.horizon = own, wanted, horizon
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.row)
-        self.last = handle.getValueState("last", self.row)
+        self.waiting = handle.getListState("waiting", "rows binary")
+        # the last row of each key (null: none), how far the bucket's rows have gone, and the timer (null: none)
+        self.last = handle.getValueState("last", "rows binary, passed bigint, wake bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        came = [tuple(r[n] for n in self.row.fieldNames()) for r in rows]
-        if any(k is None for k in key):
-            for r in came:
-                yield self._out(r, None)
-            return
+        last, passed, wake = self._state()
+        came, first = [], None
+        for r in rows:
+            packed = r[ROWS]
+            table = _of_bytes(packed)
+            n = table.num_rows
+            if passed is not None:
+                table = table.filter(pc.greater(table[AT], passed))
+            lone = table.filter(pc.is_null(table[KEY]))
+            if lone.num_rows:
+                yield from self._out(lone, np.full(lone.num_rows, -1), lone)
+                table = table.filter(pc.is_valid(table[KEY]))
+            if table.num_rows:
+                came.append((packed if table.num_rows == n else _to_bytes(table),))
+                least = pc.min(table[AT]).as_py()
+                first = least if first is None else min(first, least)
         if came:
             self.waiting.appendList(came)
-            self._wake(min(r[self.at] for r in came))
+            self._keep(last, passed, wake, first)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        last, passed, wake = self._state()
+        if wake is None or wake > expiredTimerInfo.getExpiryTimeInMs():
+            return
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        due = sorted((r for r in waiting if r[self.at] <= passed), key=lambda r: (r[self.at], r[self.tie]))
-        still = [r for r in waiting if r[self.at] > passed]
-        last = tuple(self.last.get()) if self.last.exists() else None
-        for r in due:
-            yield self._out(r, last if last is not None and r[self.at] - last[self.at] <= self.horizon else None)
-            last = r
-        if due:
-            self.last.update(last)
-            if still:
-                self.waiting.put(still)
-            else:
-                self.waiting.clear()
-        if still:
-            self._wake(min(r[self.at] for r in still))
-        elif last is not None and passed > last[self.at] + self.horizon:
+        ends = [AT, TIE, KEY, *self.wanted]
+        parts = [_of_bytes(r[0]) for r in self.waiting.get()] if self.waiting.exists() else []
+        least = []
+        known = _of_bytes(last) if last is not None else None
+        if parts:
+            rows = pa.concat_tables(parts)
+            isdue = pc.less_equal(rows[AT], passed)
+            due, still = rows.filter(isdue), rows.filter(pc.invert(isdue))
+            if due.num_rows:
+                both = due.select(ends) if known is None else pa.concat_tables([known, due.select(ends)])
+                both = both.combine_chunks()
+                old = both.num_rows - due.num_rows
+                codes = pc.rank(both[KEY], tiebreaker="dense").to_numpy()
+                at = both[AT].to_numpy()
+                order = np.lexsort((both[TIE].to_numpy(), at, codes))
+                same = codes[order[1:]] == codes[order[:-1]]
+                near = same & (at[order[1:]] - at[order[:-1]] <= self.horizon)
+                before = np.full(len(order), -1)
+                before[order[1:]] = np.where(near, order[:-1], -1)
+                mine = order[order >= old]
+                yield from self._out(due.take(pa.array(mine - old)), before[mine], both)
+                known = both.take(pa.array(order[np.append(~same, True)]))
+                if still.num_rows:
+                    self.waiting.put([(_to_bytes(still),)])
+                else:
+                    self.waiting.clear()
+            if still.num_rows:
+                least.append(pc.min(still[AT]).as_py())
+        if known is not None:
+            known = known.filter(pc.greater_equal(known[AT], passed - self.horizon))
+            if known.num_rows:
+                least.append(pc.min(known[AT]).as_py() + self.horizon + 1)
+        if least:
+            self._keep(_to_bytes(known) if known is not None and known.num_rows else None, passed, None, min(least))
+        else:
             self.last.clear()
-        elif last is not None:
-            self._wake(last[self.at] + self.horizon + 1)
-
-    def _wake(self, micros: int) -> None:
-        self.handle.registerTimer(-(-micros // 1000))
 
-    def _out(self, r: tuple, last: tuple | None) -> Row:
-        return Row(**dict(zip(self.names, [*r, last is not None, *[last[i] if last else None for i in self.wanted]], strict=True)))
+    def _state(self) -> tuple:
+        return tuple(self.last.get()) if self.last.exists() else (None, None, None)
+
+    def _keep(self, last: bytes | None, passed: int | None, wake: int | None, micros: int) -> None:
+        """Keeps the state with the earlier timer of ``wake`` and ``micros``."""
+        at = -(-micros // 1000)
+        if wake is None or at < wake:
+            if wake is not None:
+                self.handle.deleteTimer(wake)
+            self.handle.registerTimer(at)
+            wake = at
+        self.last.update((last, passed, wake))
+
+    def _out(self, rows: pa.Table, before: np.ndarray, both: pa.Table) -> Iterator[Row]:
+        """The rows with SEEN and what stands at ``before`` in ``both`` (-1: nothing)."""
+        at = pa.array(before, mask=before < 0)
+        columns = [*[rows[n] for n in self.own], pc.is_valid(at), *[both[w].take(at) for w in self.wanted]]
+        made = pa.Table.from_arrays(columns, names=[*self.own, SEEN, *[f"b{i}" for i in range(len(self.wanted))]])
+        for i in range(0, made.num_rows, GONE_ROWS):
+            yield Row(**{ROWS: _to_bytes(made.slice(i, GONE_ROWS))})
 
     def close(self) -> None:
         pass
@@ -146,15 +258,20 @@ def with_previous(df: DataFrame, key: list[str], time: str, fields: list[str], w
     span = within // timedelta(microseconds=1)
     if not df.isStreaming:
         return _on_table(_marked(df, time), df.columns, key, fields, span)
-    # after the watermark the column's metadata must not be lost, so time itself stays beside the packed columns
-    df = _marked(df.withWatermark(time, late), time)
+    df = _marked(df, time)
     packs = {f"p{i}": _packed(f) for i, f in enumerate(df.schema.fields) if f.name not in (AT, TIE)}
     names = dict(zip([n for n in df.columns if n not in (AT, TIE)], packs, strict=True))
-    rows = df.select(_q(time).alias("__time"), *[_q(k).alias(f"k{i}") for i, k in enumerate(key)], AT, TIE, *[c.alias(n) for n, (c, _) in packs.items()])
-    kept = T.StructType([T.StructField(AT, T.LongType()), T.StructField(TIE, T.LongType()), *[T.StructField(n, t) for n, (_, t) in packs.items()]])
-    wanted = [kept.fieldNames().index(names[f]) for f in fields]
-    shape = T.StructType([*kept.fields, T.StructField(SEEN, T.BooleanType()), *[T.StructField(f"b{i}", kept.fields[w].dataType) for i, w in enumerate(wanted)]])
-    made = rows.groupBy(*[f"k{i}" for i in range(len(key))]).transformWithState(_Before(kept, wanted, span), shape, "append", "eventTime")
+    text = _key_text([packs[names[k]][1] for k in key], [packs[names[k]][0] for k in key])
+    rows = df.select(AT, TIE, text.alias(KEY), *[c.alias(n) for n, (c, _) in packs.items()])
+    # rows without a key are spread over all buckets
+    hashed = F.when(F.col(KEY).isNotNull(), F.xxhash64(KEY)).otherwise(F.col(TIE))
+    rows = rows.withColumn(BUCKET, F.pmod(hashed, F.lit(BUCKETS)).cast("int"))
+    wanted = [names[f] for f in fields]
+    shape = T.StructType([*[T.StructField(n, t) for n, (_, t) in packs.items()], T.StructField(SEEN, T.BooleanType()), *[T.StructField(f"b{i}", packs[w][1]) for i, w in enumerate(wanted)]])
+    tables = rows.mapInArrow(_pack, f"{BUCKET} int, {AT} bigint, {ROWS} binary")
+    tables = tables.select(F.timestamp_micros(AT).alias("__time"), BUCKET, ROWS).withWatermark("__time", late)
+    gone = tables.groupBy(BUCKET).transformWithState(_Before(list(packs), wanted, span), f"{ROWS} binary", "append", "eventTime")
+    made = gone.mapInArrow(_unpack, shape)
     own = [_unpacked(F.col(p), types[n]).alias(n) for n, p in names.items()]
     return made.select(*own, SEEN, *[_unpacked(F.col(f"b{i}"), types[f]).alias(BEFORE + f) for i, f in enumerate(fields)])
 

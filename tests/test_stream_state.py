@@ -1,6 +1,7 @@
 """Rules that read the row before, and repeated values: streams against tables, and tables against plain loops."""
 
 import datetime as dt
+import decimal
 import json
 import random
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwork.operators.check import Checker
-from loomwork.streaming import state
+from loomwork.streaming import checks, state
 
 RULES = 'schema E { id: unique int in 1..9, v: int in 1..9 assume previous("v") == null or v - previous("v") <= 3 }'
 HOUR = dt.timedelta(hours=1)
@@ -126,3 +127,42 @@ def test_odd_cases(spark):
             bad()
     assert state.wanted_before(Checker(RULES), "E") == ["v"]
     assert state.with_previous(empty.withColumn("__x", F.lit(1)), ["k"], "ts", ["__x"], HOUR).columns[-1] == state.BEFORE + "__x"
+
+
+def test_state_goes_by_buckets_of_keys(rocks, tmp_path):
+    """Neither rows nor keys have calls of the state of their own, and every key still has its own row before."""
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, f"k{i * 7 % 1500}", start + dt.timedelta(seconds=i), i % 10, None) for i in range(4500)]
+    table = state.with_previous(rocks.createDataFrame(rows, SCHEMA), ["k"], "ts", ["v", "id"], HOUR)
+    assert table.where(state.SEEN).count() == 3000
+    got, sizes = streamed(rocks, tmp_path, rows, in_parts(rows, 2), lambda s: state.with_previous(s, ["k"], "ts", ["v", "id"], HOUR, "11 minutes"))
+    same(got, table)
+    assert max(s[0] for s in sizes if s) <= 2 * state.BUCKETS + 1
+
+
+def test_values_of_all_types_come_through_a_stream(rocks, tmp_path):
+    kinds = "k double, j string, ts timestamp, big bigint, d double, f float, m decimal(38,10), b binary, day date, local timestamp_ntz, ok boolean, s string, n map<string,int>, l array<double>"
+    at = dt.datetime(2024, 1, 1, 1, 2, 3, 456789)
+    full = (2**53 + 1, float("nan"), 0.1, decimal.Decimal("1234567890123456789.0123456789"), b"\x00\xff", dt.date(2, 1, 1), at, True, 'a"\n\u00e9', {"a": None}, [-0.0, None])
+    rows = [(k, j, at + dt.timedelta(seconds=n), *v) for n, (k, j, v) in enumerate([(0.0, "a", full), (-0.0, "a", (None,) * 11), (float("nan"), "a", full), (float("nan"), "a", full), (0.0, None, full), (0.0, 'a"', full), (0.0, "a", full)])]
+    df = rocks.createDataFrame(rows, kinds)
+    fields = [f for f in df.columns if f not in "kjts"]
+    want = state.with_previous(df, ["k", "j"], "ts", fields, HOUR)
+    assert want.where(state.SEEN).count() == 3
+    end = rocks.createDataFrame([(None, "end", at + dt.timedelta(days=3), *(None,) * 11)], kinds)
+    for i, part in enumerate([df, end]):
+        part.coalesce(1).write.parquet(str(tmp_path / "in" / f"part={i}"))
+    stream = rocks.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).drop("part")
+    made = state.with_previous(stream, ["k", "j"], "ts", fields, HOUR)
+    assert made.schema.simpleString() == want.schema.simpleString()
+    checks.pick_up(made, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    same(rocks.read.parquet(str(tmp_path / "out")).where("j IS NULL OR j <> 'end'"), want)
+
+
+def test_rows_later_than_their_bucket_has_gone_are_dropped(rocks, tmp_path):
+    """A late row is packed together with one in time, of its own key."""
+    ten = dt.datetime(2024, 1, 1, 10)
+    row = lambda i, minutes: (i, "a", ten + dt.timedelta(minutes=minutes), 1, None)
+    parts = [[row(1, -60), row(2, 0)], [row(3, 10)], [row(4, -90), row(5, 20)]]
+    got, _ = streamed(rocks, tmp_path, [r for p in parts for r in p], parts, lambda s: state.with_previous(s, ["k"], "ts", ["id"], HOUR, "11 minutes"))
+    assert sorted((r.id, r[state.BEFORE + "id"]) for r in got.collect() if r.id != 1) == [(2, 1), (3, 2), (5, 3)] and got.count() == 4
