@@ -153,19 +153,19 @@ def _(spark, sf):
 
 def _in_batches(spark, sf, act):
     """The table of events as a stream of four batches by time, through ``act``, to its end: a last batch holds one row of
-    no user, a year later, which closes everything before it."""
+    no user, a year later, which closes everything before it. Each batch is picked up when it has been written, so none is
+    mixed with another however many files it has."""
     at = _folder(spark, "stream")
     events = read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     first, last = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
     batch = F.expr(f"(unix_micros(ts) - {first or 0}) * 4 div {(last or 0) - (first or 0) + 1}")
-    for i in range(4):
-        events.where(batch == i).write.mode("append").parquet(f"{at}/in/batch={i}")
     closing = spark.range(1).select(*[(F.timestamp_micros(F.lit((last or 0) + 365 * 86_400_000_000)) if f.name == "ts" else F.lit(None).cast(f.dataType)).alias(f.name) for f in events.schema.fields])
-    closing.write.parquet(f"{at}/in/batch=4")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 64).parquet(f"{at}/in")
-    with state.keeping_state(spark):
-        made = act(stream)
-        checks.pick_up(made, f"{at}/rows", f"{at}/state").awaitTermination()
+    parts = [events.where(batch == i).repartition(spark.sparkContext.defaultParallelism) for i in range(4)]
+    for i, part in enumerate([*parts, closing]):
+        part.write.parquet(f"{at}/in/batch={i}")
+        with state.keeping_state(spark):
+            made = act(spark.readStream.schema(events.schema).parquet(f"{at}/in"))
+            checks.pick_up(made, f"{at}/rows", f"{at}/state").awaitTermination()
     return spark.read.schema(made.schema).parquet(f"{at}/rows")
 
 

@@ -5,9 +5,11 @@ import decimal
 import json
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from loomwork.operators.check import Checker
 from loomwork.streaming import checks, state
 
@@ -166,3 +168,23 @@ def test_rows_later_than_their_bucket_has_gone_are_dropped(rocks, tmp_path):
     parts = [[row(1, -60), row(2, 0)], [row(3, 10)], [row(4, -90), row(5, 20)]]
     got, _ = streamed(rocks, tmp_path, [r for p in parts for r in p], parts, lambda s: state.with_previous(s, ["k"], "ts", ["id"], HOUR, "11 minutes"))
     assert sorted((r.id, r[state.BEFORE + "id"]) for r in got.collect() if r.id != 1) == [(2, 1), (3, 2), (5, 3)] and got.count() == 4
+
+
+@pytest.mark.parametrize("name", ["stream_running_rules", "stream_repeated_values"])
+def test_queries_take_one_batch_at_a_time(spark, monkeypatch, name):
+    """Rows of different batches never come together, however many files a batch has."""
+    taken = []
+
+    def pick_up(*args, of=checks.pick_up):
+        q = of(*args)
+        q.awaitTermination()
+        taken.extend(p.numInputRows for p in q.recentProgress if p.numInputRows)
+        return q
+
+    monkeypatch.setattr(checks, "pick_up", pick_up)
+    got = entry.queries()[name](spark, "/root/testdata/sf0.001")
+    con = duckdb.connect()
+    con.execute("CREATE VIEW events AS SELECT * FROM '/root/testdata/sf0.001/events.parquet'")
+    want = con.execute(entry.oracle_sql()[name])
+    assert sorted(map(tuple, got.select(*[c[0] for c in want.description]).collect())) == sorted(want.fetchall())
+    assert len(taken) == 5 and taken[-1] == 1 and sum(taken) == con.execute("SELECT count(*) + 1 FROM events").fetchone()[0]
