@@ -163,7 +163,7 @@ def _in_batches(spark, sf, act):
     parts = [events.where(batch == i).repartition(spark.sparkContext.defaultParallelism) for i in range(4)]
     for i, part in enumerate([*parts, closing]):
         part.write.parquet(f"{at}/in/batch={i}")
-        with state.keeping_state(spark):
+        with state.keeping_state(spark, unload=True):
             made = act(spark.readStream.schema(events.schema).parquet(f"{at}/in"))
             checks.pick_up(made, f"{at}/rows", f"{at}/state").awaitTermination()
     return spark.read.schema(made.schema).parquet(f"{at}/rows")

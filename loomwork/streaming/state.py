@@ -48,18 +48,23 @@ KEY, BUCKET, ROWS = "__key", "__bucket", "__rows"
 BUCKETS, PACKED_ROWS, PACKED_BYTES, GONE_ROWS = 512, 1 << 18, 32 << 20, 20_000
 #: The session setting that stateful operators of Python need, and its value.
 PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+#: Has each batch put the state stores it loaded away again, local files and all, where a stream is picked up time and again.
+UNLOAD = ("spark.sql.streaming.stateStore.unloadOnCommit", "true")
 _JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
 @contextmanager
-def keeping_state(spark: SparkSession):
-    """Sets PROVIDER while streams are started, and sets back what was there."""
-    old = spark.conf.get(PROVIDER[0])
-    spark.conf.set(*PROVIDER)
+def keeping_state(spark: SparkSession, unload: bool = False):
+    """Sets PROVIDER (and UNLOAD) while streams are started, and sets back what was there."""
+    wanted = [PROVIDER, UNLOAD] if unload else [PROVIDER]
+    old = [(k, spark.conf.get(k)) for k, _ in wanted]
+    for k, v in wanted:
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(PROVIDER[0], old)
+        for k, v in old:
+            spark.conf.set(k, v)
 
 
 def _q(name: str) -> Column:
