@@ -75,3 +75,33 @@ def test_documents_in_files_that_tasks_wrote_side_by_side(spark, tmp_path):
     (files[1].parent / f".{files[1].name}.crc").unlink()
     with pytest.raises(ValueError, match="brace"):
         ndjson.read_json(spark, str(at), joined=True)
+
+
+def test_reading_keeps_less_than_the_document(spark, tmp_path, monkeypatch):
+    """What is written between the steps is packed, and no copy of the document is kept."""
+    numbers = iter(range(99))
+    monkeypatch.setattr(json_parts, "folder", lambda spark, name: str(tmp_path / "shared" / str(next(numbers))))
+    rows = spark.range(0, 20_000, 1, 2).selectExpr("id AS x", "concat('} \"', id % 7, '\" {') AS s")
+    ndjson.write_document({"rows": rows}, str(tmp_path / "doc"))
+    got = ndjson.read_json(spark, str(tmp_path / "doc"), joined=True)["rows"]
+    assert got.count() == 20_000 and got.exceptAll(rows.selectExpr("s", "x")).count() == 0
+    size = lambda at: sum(f.stat().st_size for f in at.rglob("part-*"))
+    assert 0 < size(tmp_path / "shared") < size(tmp_path / "doc")
+
+
+def test_elements_over_many_splits(spark, tmp_path):
+    """Elements of several splits, which begin in strings, and end with other elements or alone."""
+    data = {"a": [{"s": '}{\\"' * 400, "in": [{"z": "}" * 300}]}, {"s": "b", "in": []}, {"s": "[" * 900, "in": []}], "none": [], "c": [{"q": i} for i in range(40)], "d": [{"w": '"{' * 500}]}
+    at = save(tmp_path, data)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "400")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        cut = json_parts.pieces(spark, at)
+        rows = json_parts.elements(cut).orderBy("at").collect()
+        assert [json.loads(r.body) for r in rows if r.body] == [x for xs in data.values() for x in xs]
+        assert [r.head.strip() for r in rows] == ['"a": [', ",", ",", '], "none": [], "c": [', *[","] * 39, '], "d": [', "]}"]
+        with pytest.raises(ValueError, match="pieces"):
+            json_parts.elements(cut, cut.count() + 1)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
